@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaria.llm import chat_format, ngram_join, ogg_media, url_filter
+from lexaria.llm import chat_format, decontamination, language_id, ngram_join, ogg_media, secret_scan, url_filter, warc_archive
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,20 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(~language_id.held_out("doc_id", 4, 2)))
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("score")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_read(spark, sf_dir, "documents"))
+
+
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: The list of op6: the URLs of the pages whose id is divisible by this.
 LISTED_EVERY = 100
@@ -33,6 +47,10 @@ def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media.media_features(ogg_media.media_column(_read(spark, sf_dir, "documents")))
 
 
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archive.read_archives(warc_archive.write_archives(_read(spark, sf_dir, "pages")))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -42,8 +60,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_language_id": op2_language_id,
+    "op4_decontamination": op4_decontamination,
+    "op5_secret_scan": op5_secret_scan,
     "op6_url_filter": op6_url_filter,
     "op8_ogg_media": op8_ogg_media,
+    "op9_warc_archive": op9_warc_archive,
     "op10_chat_format": op10_chat_format,
 }
 
@@ -51,7 +73,43 @@ _HOST = r"translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDE
 _PATH = r"coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"
 _KEPT = r"list_sort(list_filter(string_split(coalesce(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), ''), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(ref|fbclid|gclid|utm_[a-z]+)(=|$)')))"
 
+
+def _words(text: str) -> str:
+    """SQL for the lower-cased words of a text."""
+    return f"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+
+
+#: Distinct shingles of w, joined by spaces.
+_SHINGLES = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_words("text")} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM d),
+        n AS (SELECT d.doc_id, count(s.s) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2""",
+    "op4_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents),
+        ds AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM d),
+        b AS (SELECT DISTINCT item_id, {_words("text")} AS w FROM benchmark),
+        i AS (SELECT item_id, len(w) AS m, {_SHINGLES} AS l FROM b WHERE len(w) > 0),
+        bs AS (SELECT item_id, s, min(CASE WHEN m < 5 OR k + 5 > m - greatest(1, m // 4) THEN 1 ELSE 0 END) AS late
+            FROM (SELECT item_id, m, unnest(l) AS s, unnest(range(len(l))) AS k FROM i) GROUP BY 1, 2),
+        n AS (SELECT item_id, count(*) FILTER (WHERE late = 0) AS n_question, count(*) FILTER (WHERE late = 1) AS n_answer FROM bs GROUP BY 1),
+        h AS (SELECT doc_id, item_id, count(*) FILTER (WHERE late = 0) AS question_hits, count(*) FILTER (WHERE late = 1) AS answer_hits FROM ds JOIN bs USING (s) GROUP BY 1, 2)
+        SELECT doc_id, item_id, n_question, n_answer, question_hits, answer_hits FROM h JOIN n USING (item_id)
+        WHERE 5 * (question_hits + answer_hits) >= 4 * (n_question + n_answer) AND (question_hits > 0 OR n_question = 0) AND (answer_hits > 0 OR n_answer = 0)""",
+    "op9_warc_archive": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        s AS (SELECT page_id, html, strlen(html) AS payload_bytes, unhex(sha1(html))::BIT::VARCHAR AS bits, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+        SELECT page_id, payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT
+                + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest,
+            CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM s""",
     "op6_url_filter": f"""
         WITH u AS (
             SELECT page_id, {_HOST} AS host, {_PATH} AS path, {_KEPT} AS kept FROM pages

@@ -164,3 +164,41 @@ def short_hash(h: np.ndarray) -> np.ndarray:
     for v in h:
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + v
     return mix(out)
+
+
+class HashIndex:
+    """Position of 64-bit keys in an array of distinct keys, by open addressing on numpy arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(len(keys) * 4 - 1).bit_length() if len(keys) else 4)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, dtype=np.uint64)
+        self.values = np.full(1 << bits, -1, dtype=np.int32)
+        self.probes = 0
+        wait = np.arange(len(keys))
+        while len(wait):
+            slot = ((keys[wait] >> self.shift).astype(np.int64) + self.probes) & self.mask
+            free = self.values[slot] < 0
+            first = np.zeros(len(wait), dtype=bool)
+            first[np.unique(slot, return_index=True)[1]] = True
+            put = free & first
+            self.keys[slot[put]] = keys[wait[put]]
+            self.values[slot[put]] = wait[put]
+            wait = wait[~put]
+            self.probes += 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Positions, -1 for keys that are not there."""
+        slot = (keys >> self.shift).astype(np.int64)
+        out = self.values[slot]
+        open_ = np.flatnonzero((self.keys[slot] != keys) & (out >= 0))
+        out[self.keys[slot] != keys] = -1
+        for r in range(1, self.probes):
+            if not len(open_):
+                break
+            at = (slot[open_] + r) & self.mask
+            value = self.values[at]
+            same = (self.keys[at] == keys[open_]) & (value >= 0)
+            out[open_[same]] = value[same]
+            open_ = open_[~same & (value >= 0)]
+        return out
