@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexaria.llm.ngram_join import WORDS
-from lexaria.llm.words import HashIndex, chunk_words, chunks, hash_text, shingle_hashes, short_hash
+from lexaria.llm.words import HashIndex, chunk_words, chunks, expand, hash_text, shingle_hashes, short_hash
 
 K1, B = 1.2, 0.75
 THETA = 0.5
@@ -44,12 +44,6 @@ BLOCK = 16
 SHARD_WORDS = 2_000_000
 
 
-def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All positions first[i] .. first[i] + count[i] - 1, and i for each."""
-    of = np.repeat(np.arange(len(first)), count)
-    return np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[of], of
-
-
 class ItemIndex:
     """Inverted index of test items with list and block maxima of the normalised impacts."""
 
@@ -107,13 +101,13 @@ class ItemIndex:
         passage, term = passage[live], term[live]
         if not len(passage):
             return none, none, np.zeros(0)
-        entry, of = _expand(self.first_block[term], self.n_blocks[term])
+        entry, of = expand(self.first_block[term], self.n_blocks[term])
         n_items = max(1, len(self.ids))
         cell = passage[of] * n_items + self.block[entry]
         cells, at = np.unique(cell, return_inverse=True)
         good = np.bincount(at, weights=self.block_max[entry])[at] >= THETA
         entry, owner = entry[good], passage[of][good]
-        post, of = _expand(self.block_start[entry], self.block_size[entry])
+        post, of = expand(self.block_start[entry], self.block_size[entry])
         pairs, at = np.unique(owner[of] * n_items + self.item[post], return_inverse=True)
         score = np.bincount(at, weights=self.impact[post], minlength=len(pairs))
         found = score >= THETA

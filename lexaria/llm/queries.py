@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaria.llm import chat_format, decontamination, language_id, ngram_join, ogg_media, secret_scan, url_filter, warc_archive
+from lexaria.llm import chat_format, decontamination, language_id, lm_scoring, ngram_join, ogg_media, secret_scan, url_filter, warc_archive
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", language_id.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(_read(spark, sf_dir, "documents"), language_id.held_out("doc_id", 5, 1))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("score")
 
@@ -61,6 +65,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op6_url_filter": op6_url_filter,

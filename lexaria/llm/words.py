@@ -166,6 +166,12 @@ def short_hash(h: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions first[i] .. first[i] + count[i] - 1, and i for each."""
+    of = np.repeat(np.arange(len(first)), count)
+    return np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[of], of
+
+
 class HashIndex:
     """Position of 64-bit keys in an array of distinct keys, by open addressing on numpy arrays."""
 
