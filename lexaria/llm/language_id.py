@@ -216,12 +216,24 @@ def predict(docs: DataFrame, model: PpmModel | None, id_col: str = "doc_id", tex
     return rows.mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs whose language can be told; their other columns stay as they are.
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+    """The rows of docs whose language can be told, in one pass; all columns stay as they are.
 
-    Rejected are texts that are null or have no letter. Learns from the rows
-    that are not held out (CRC-32 of the id modulo 4 is not 2).
+    Rejected are texts that are null or have no letter, and those where no
+    language has a posterior of least. Learns from the rows that are not held
+    out (CRC-32 of the id modulo 4 is not 2).
     """
     model = train(docs.filter(~held_out(id_col, 4, 2)), id_col, text_col, lang_col)
-    gone = predict(docs, model, id_col, text_col).filter(F.col("lang_pred") == UNDETERMINED).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    if model is None:
+        return docs.limit(0)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def posterior(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts))
+        for first, last, data, offsets in chunks(texts):
+            bits = held.value.bits(data, offsets)
+            out[first:last] = 1.0 / np.exp2(bits.min(1, keepdims=True) - bits).sum(1)
+        return pa.array(out)
+
+    lettered = docs.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    return lettered.filter(F.arrow_udf(posterior, "double")(F.col(text_col).cast("string")) >= least)

@@ -358,4 +358,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of docs, one of each group of near copies: the one with the smallest id. Rows with equal ids go together; null ids stay."""
     found = jaccard_components(docs, id_col, text_col)
     gone = found.filter("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    gone = Scratch(docs.sparkSession, "near_copies").table(gone)
+    return docs.join(broadcast_if_small(gone, gone.count()), docs[id_col].cast("long") == gone["__gone"], "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaria.llm import chat_format, decontamination, language_id, lm_scoring, ngram_join, ogg_media, secret_scan, url_filter, warc_archive
+from lexaria.llm import chat_format, decontamination, language_id, lm_scoring, ngram_join, ogg_media, secret_scan, sentencepiece_lattice, url_filter, warc_archive
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +47,25 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, listed, RULES)
 
 
+def sentencepiece_digest(docs: DataFrame) -> DataFrame:
+    """Counts and digests of the whole texts' pieces, and of what decoding gives back."""
+    found = sentencepiece_lattice.encode_column(docs)
+    decode = sentencepiece_lattice.decode_column(sentencepiece_lattice.MODEL, docs.sparkSession)
+    text = decode(F.col("ids"))
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
+        F.sha2("ids", 256).alias("pieces_sha256"),
+        F.col("score").alias("best_score"),
+        F.concat_ws(",", F.transform("n_best", lambda b: b["score"].cast("string"))).alias("n_best_scores"),
+        F.sha2(text.cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_digest(_read(spark, sf_dir, "documents"))
+
+
 def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media.media_features(ogg_media.media_column(_read(spark, sf_dir, "documents")))
 
@@ -69,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op6_url_filter": op6_url_filter,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_ogg_media": op8_ogg_media,
     "op9_warc_archive": op9_warc_archive,
     "op10_chat_format": op10_chat_format,

@@ -56,13 +56,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class SpanHasher:
+    """64-bit hashes of data[start:end] for any spans of one byte array."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.prefix = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=self.prefix[1:])
+        self.scale = powers(_INVERSE, n + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.prefix[ends] - self.prefix[starts]) * self.scale[starts]
+        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for each span (data of bounded length)."""
-    n = len(data)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * powers(_INVERSE, n + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return SpanHasher(data)(starts, ends)
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
