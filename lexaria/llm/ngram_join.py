@@ -18,7 +18,7 @@ no link is lost; the last step counts the intersection exactly.
    have one in common.  Large sets (heavy) put their prefix hashes in inverted
    lists, which heavy sets and the light sets large enough to link with them
    scan.  The boundary is the size at which enumerating subsets would cost more
-   than scanning lists, from the size histogram and the mean list length.
+   rows than scanning lists, from the histogram of sizes and of unshared hashes.
 4. *Verification in two rounds.*  First each list's members against its most
    central member; exact links join components.  Then, inside each list, only
    pairs that still lie in different components and that the size and position
@@ -50,6 +50,8 @@ WORDS = 5
 FLUSH = 1 << 21
 #: Entries of the table of the most frequent hashes. It only orders hashes: any order gives the same links.
 FREQUENT = 1 << 16
+#: Rows that a posting of an inverted list costs: its own, and one against the list's lead. A subset costs its own row.
+SCANS = 2
 
 
 def least_overlap(n: np.ndarray | int):
@@ -210,14 +212,14 @@ def _keys(boundary: int, frequent: dict[str, np.ndarray]):
     return run
 
 
-def _boundary(sets: DataFrame, list_length: float) -> int:
-    """Largest size, by classes of the histogram, whose 2-subsets cost no more than scanning lists."""
+def _boundary(sets: DataFrame) -> int:
+    """Largest size, by classes of the histogram, at which enumerating 2-subsets costs no more rows than scanning lists."""
     best = 0
     classes = sets.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 4).alias("c")).agg(F.max("n").alias("n"), F.avg(F.col("n") - F.size("hs")).alias("alone")).orderBy("c").collect()
     for row in classes:  # four classes for each doubling of the size
         spare = row.n - least_overlap(row.n)
-        light = max(0, spare + 2 - int(row.alone))
-        if light * (light - 1) / 2 > max(1.0, (spare + 1) * list_length):
+        light, heavy = max(0.0, spare + 2 - row.alone), max(0.0, spare + 1 - row.alone)
+        if light * (light - 1) / 2 > max(1.0, heavy * SCANS):
             break
         best = row.n
     return best
@@ -288,11 +290,10 @@ class JaccardJoin:
 
         counts = self.sets.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
         counts = self.scratch.table(counts.filter("c > 1"), "none")
-        mean = counts.agg((F.sum(F.col("c") * F.col("c")) / F.sum("c")).alias("m")).first().m or 1.0
         top = counts.filter("c > 4").orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas().sort_values("h")
         self.scratch.drop(counts)
         frequent = {"h": top["h"].to_numpy(np.int64), "c": top["c"].to_numpy(np.int64)}
-        self.boundary = _boundary(self.sets, mean)
+        self.boundary = _boundary(self.sets)
         keys = self.sets.repartition(self._spread(), "sid").mapInArrow(_keys(self.boundary, frequent), "key long, sid long, n long, rest long, alone long")
         keys = self.scratch.table(keys, "none")
         full = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "sid", "n", "rest")).alias("lead")).filter("size > 1")
