@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lexaria.plans import corpus_queries, evaluation_queries, text_queries
+
+QUERIES = text_queries.QUERIES | evaluation_queries.QUERIES | corpus_queries.QUERIES
+ORACLES = text_queries.ORACLES | evaluation_queries.ORACLES | corpus_queries.ORACLES
