@@ -104,7 +104,7 @@ class PpmModel:
 
 
 def ppm_probabilities(counts: list[np.ndarray], others: int) -> np.ndarray:
-    """P(symbol | context) for rows of contexts; counts: by order from the longest to 0, each (rows, symbols).
+    """P(byte | context) by symbol for rows of contexts; counts: by order from the longest to 0, each (rows, symbols).
 
     others: byte values that have no symbol of their own but share the last one.
     """
@@ -124,7 +124,9 @@ def ppm_probabilities(counts: list[np.ndarray], others: int) -> np.ndarray:
     weight[-1] = others
     left = np.where(seen, 0.0, weight)
     room = left.sum(1, keepdims=True)
-    return p + np.where(room > 0, mass * left / np.maximum(room, 1), 0.0)
+    p += np.where(room > 0, mass * left / np.maximum(room, 1), 0.0)
+    p[:, -1] /= max(others, 1)  # of each byte value
+    return p
 
 
 def build_model(languages: list[str], lang: np.ndarray, grams: np.ndarray, n: np.ndarray) -> PpmModel:
