@@ -49,17 +49,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentencepiece_digest(docs: DataFrame) -> DataFrame:
     """Counts and digests of the whole texts' pieces, and of what decoding gives back."""
-    found = sentencepiece_lattice.encode_column(docs)
-    decode = sentencepiece_lattice.decode_column(sentencepiece_lattice.MODEL, docs.sparkSession)
-    text = decode(F.col("ids"))
-    return found.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
-        F.sha2("ids", 256).alias("pieces_sha256"),
-        F.col("score").alias("best_score"),
-        F.concat_ws(",", F.transform("n_best", lambda b: b["score"].cast("string"))).alias("n_best_scores"),
-        F.sha2(text.cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return sentencepiece_lattice.round_trip(docs)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

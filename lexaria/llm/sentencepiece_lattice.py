@@ -29,6 +29,7 @@ rows are encoded alike.  Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import uuid
 from collections.abc import Iterator
@@ -48,7 +49,7 @@ _NONE = np.int64(-(1 << 60))
 #: Gap of a unit that has one path only.
 FAR_GAP = np.int64(1 << 60)
 #: Units that a worker remembers before it starts anew.
-REMEMBER = 300_000
+REMEMBER = 150_000
 _LIVE: dict[str, object] = {}
 
 
@@ -411,6 +412,37 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(encode, f"doc_id {kind}, ids binary, score long, n_best array<struct<score:long,changes:array<struct<unit:int,ids:array<int>>>>>")
 
 
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST, model: str = MODEL) -> DataFrame:
+    """Encodes each whole text, decodes its ids again, and keeps counts and digests only, in one pass.
+
+    doc_id, n_pieces, pieces_sha256 (of the ids as encode_column packs them),
+    best_score, n_best_scores (joined by commas) and decoded_sha256.
+    """
+    spark = docs.sparkSession
+    with open(model, "rb") as f:
+        held, run = spark.sparkContext.broadcast(f.read()), uuid.uuid4().hex
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = dict(rows.dtypes)["doc_id"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    names = ["doc_id", "n_pieces", "pieces_sha256", "best_score", "n_best_scores", "decoded_sha256"]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _live(run, lambda: Encoder(held.value))
+        for batch in batches:
+            null = batch.column(1).is_null().to_pylist()
+            for first, last, data, offsets in chunks(batch.column(1)):
+                out = []
+                for i, (x, s, v) in enumerate(encoder(data, offsets, n)):
+                    if null[first + i]:
+                        out.append((None, None, None, "", None))
+                        continue
+                    back = encoder.pieces.decode(x)
+                    out.append((len(x), hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), s, ",".join(str(a) for a, _ in v), hashlib.sha256(back).hexdigest()))
+                yield pa.record_batch([batch.column(0)[first:last], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names)
+
+    return rows.mapInArrow(check, f"doc_id {kind}, n_pieces long, pieces_sha256 string, best_score long, n_best_scores string, decoded_sha256 string")
+
+
 def decode_column(model: str, spark) -> object:
     """A column function from ids (as encode_column packs them) to text."""
     with open(model, "rb") as f:
