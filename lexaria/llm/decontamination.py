@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexaria.llm.ngram_join import WORDS
-from lexaria.llm.words import HashIndex, chunk_words, chunks, expand, hash_text, shingle_hashes, short_hash
+from lexaria.llm.words import HashIndex, bound_batches, chunk_words, chunks, expand, hash_text, shingle_hashes, short_hash
 
 K1, B = 1.2, 0.75
 THETA = 0.5
@@ -166,6 +166,7 @@ def _shards(items: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The verified (document, item) pairs: score (best normalised BM25 of a passage), shingle counts and hits."""
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = []
     for shard in _shards(items, item_col, item_text_col):
@@ -191,6 +192,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 def contamination_flag(docs: DataFrame, items: DataFrame, item_col: str = "item_id", item_text_col: str = "text"):
     """A column function: whether a text holds a test item. For one pass over the rows, without a join back."""
     spark = docs.sparkSession
+    bound_batches(spark)
     helds = []
     for shard in _shards(items, item_col, item_text_col):
         rows = shard.orderBy("item_id", "text").collect()

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexaria.llm.words import SEGMENT, chunks
+from lexaria.llm.words import SEGMENT, bound_batches, chunks
 
 ORDER = 3
 UNDETERMINED = "und"
@@ -193,6 +193,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def predict(docs: DataFrame, model: PpmModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row."""
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     kind = dict(rows.dtypes)["doc_id"]
     held = spark.sparkContext.broadcast(model)
@@ -225,6 +226,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     language has a posterior of least. Learns from the rows that are not held
     out (CRC-32 of the id modulo 4 is not 2).
     """
+    bound_batches(docs.sparkSession)
     model = train(docs.filter(~held_out(id_col, 4, 2)), id_col, text_col, lang_col)
     if model is None:
         return docs.limit(0)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexaria.llm.words import bound_batches, give_back
+
 KINDS = ("assign", "access", "hex", "literal")
 LEAST = 0.5
 #: What a redacted span becomes.
@@ -177,15 +179,19 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts by kind, digest of the base spans, and all spans of every row."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scan_batches, _OUT)
 
 
 def _redact_column(texts: pa.Array) -> pa.Array:
-    return pa.array([None if (t := texts[i].as_py()) is None else redact(t) for i in range(len(texts))], pa.string())
+    out = pa.array([None if (t := texts[i].as_py()) is None else redact(t) for i in range(len(texts))], pa.string())
+    give_back()
+    return out
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs with spans masked; the column of text lengths, if there is one, follows."""
+    bound_batches(docs.sparkSession)
     out = docs.withColumn(text_col, F.arrow_udf(_redact_column, "string")(F.col(text_col).cast("string")))
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(dict(docs.dtypes)[chars_col]))

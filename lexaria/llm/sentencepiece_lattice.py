@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaria.llm.words import HashIndex, SpanHasher, chunks, expand, span_hashes
+from lexaria.llm.words import HashIndex, SpanHasher, bound_batches, chunks, expand, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_PENALTY = 10.0
@@ -390,6 +390,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Scores are micronats. Changes name the units where a segmentation differs from the best.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     with open(model, "rb") as f:  # on the driver; executors get the bytes
         held, run = spark.sparkContext.broadcast(f.read()), uuid.uuid4().hex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -419,6 +420,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best_score, n_best_scores (joined by commas) and decoded_sha256.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     with open(model, "rb") as f:
         held, run = spark.sparkContext.broadcast(f.read()), uuid.uuid4().hex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

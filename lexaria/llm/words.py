@@ -8,12 +8,15 @@ by the text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SEGMENT = 1 << 20
+BATCH = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -120,6 +123,21 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: workers stay alive after a task and count against their executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of about BATCH bytes (or one row) in this session, unless its settings name a size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH))
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of at most SEGMENT bytes (or one row): first, last, bytes, offsets from 0."""
     raw, offsets = text_buffer(column)
@@ -129,6 +147,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         end = min(n, max(at + 1, end))
         yield at, end, raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+    give_back()
 
 
 def chunk_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
