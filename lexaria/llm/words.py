@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 BATCH = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
