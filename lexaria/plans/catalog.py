@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexaria.plans import corpus_queries, evaluation_queries, text_queries
+from lexaria.plans import corpus_queries, evaluation_queries, study_queries, text_queries
 
-QUERIES = text_queries.QUERIES | evaluation_queries.QUERIES | corpus_queries.QUERIES
-ORACLES = text_queries.ORACLES | evaluation_queries.ORACLES | corpus_queries.ORACLES
+QUERIES = text_queries.QUERIES | evaluation_queries.QUERIES | corpus_queries.QUERIES | study_queries.QUERIES
+ORACLES = text_queries.ORACLES | evaluation_queries.ORACLES | corpus_queries.ORACLES | study_queries.ORACLES
