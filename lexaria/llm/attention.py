@@ -10,6 +10,8 @@ as the rare token, times their share of the rare tokens' corpus counts.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 
 SPAN = 16
@@ -88,6 +90,21 @@ class Attention:
         self.distance = np.clip(i + SPAN - j, 0, 2 * SPAN - 1)
         self.future = np.where(j - SPAN > i, _FAR, np.float32(0))
 
+    def weights(self) -> np.ndarray:
+        """All parameters in one row."""
+        return np.concatenate([v.reshape(-1) for v in self.p.values()])
+
+    def take(self, weights: np.ndarray) -> None:
+        """Set all parameters from such a row."""
+        cuts = np.cumsum([v.size for v in self.p.values()])[:-1]
+        self.p = {k: w.reshape(v.shape).astype(np.float32) for (k, v), w in zip(self.p.items(), np.split(weights, cuts), strict=True)}
+
+    def copy(self) -> Attention:
+        """A model with parameters of its own."""
+        other = copy.copy(self)
+        other.p = {k: v.copy() for k, v in self.p.items()}
+        return other
+
     # training
 
     def _step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
@@ -151,26 +168,39 @@ class Attention:
         out["E"] = np.stack([np.bincount(ids, weights=de[:, i], minlength=self.vocab_size) for i in range(d)], 1).astype(np.float32)
         return loss, out
 
-    def train(self, tokens: np.ndarray, bounds: np.ndarray, steps: int = 800, batch: int = 192, rate: float = 0.03, seed: int = 11) -> list[float]:
-        """Adam on random blocks of the sample; returns the losses."""
-        x, y, before, _ = blocks_of(tokens, bounds)
-        if len(x) < 2:
-            return []
-        r = np.random.default_rng(seed)
+    def _descend(self, x: np.ndarray, y: np.ndarray, before: np.ndarray, picks, rates) -> list[float]:
+        """Adam steps on these picks of blocks at these rates; returns the losses."""
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         losses = []
-        for step in range(1, steps + 1):
-            pick = r.integers(1, len(x), batch)
+        for step, (pick, now) in enumerate(zip(picks, rates, strict=True), 1):
             loss, grad = self._step(np.concatenate([x[before[pick]], x[pick]], 1), y[pick])
             losses.append(loss)
-            now = rate * min(1.0, step / 30) * (1 - 0.95 * step / steps)
             for k, g in grad.items():
                 first[k] += np.float32(0.1) * (g - first[k])
                 second[k] += np.float32(0.01) * (g * g - second[k])
                 self.p[k] -= np.float32(now) * (first[k] / np.float32(1 - 0.9**step)) / (np.sqrt(second[k] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
         return losses
 
+    def train(self, tokens: np.ndarray, bounds: np.ndarray, steps: int = 800, batch: int = 192, rate: float = 0.03, seed: int = 11) -> list[float]:
+        """Adam on random blocks of the texts; returns the losses."""
+        x, y, before, _ = blocks_of(tokens, bounds)
+        if len(x) < 2:
+            return []
+        r = np.random.default_rng(seed)
+        rates = [rate * min(1.0, step / 30) * (1 - 0.95 * step / steps) for step in range(1, steps + 1)]
+        return self._descend(x, y, before, (r.integers(1, len(x), batch) for _ in range(steps)), rates)
+
+    def train_once(self, tokens: np.ndarray, bounds: np.ndarray, rate: float, batch: int = 192, seed: int = 11) -> int:
+        """Adam on every block of the texts, each once and in random order; returns the number of targets."""
+        x, y, before, _ = blocks_of(tokens, bounds)
+        if len(x) < 2:
+            return 0
+        order = np.random.default_rng(seed).permutation(np.arange(1, len(x)))
+        picks = [order[i : i + batch] for i in range(0, len(order), batch)]
+        self._descend(x, y, before, picks, [rate * min(1.0, step / 30) for step in range(1, len(picks) + 1)])
+        return int((y >= 0).sum())
+
     # scoring
 
     def freeze(self) -> None:

@@ -3,10 +3,14 @@
 A text is its lower-cased words, each with a space before it, and one end; the
 model gives the probability of this sequence in subword ids of a public
 tokenizer.  Word counts, subword counts (which fix the model's vocabulary, its
-output biases and the shares of rare tokens) and the baseline come from all
-training texts; the weights of the attention model are fitted on at most
-``SAMPLE_TEXTS`` of them, evenly spaced windows of ``RUN`` tokens, at most
-``RUNS`` a text.  Every token of every text is scored once, in overlapping
+output biases and the shares of rare tokens), the baseline and the weights come
+from all training texts.  The attention model starts on whole texts of some
+``START_TOKENS`` subwords, drawn by hash.  Then every block of every training
+text is taken once: texts are dealt by hash to ``ROUNDS`` rounds, and in a round
+to shards of some ``SHARD_TOKENS``; each shard's task goes on from the weights
+of the round before, and their average, by numbers of targets, is what the next
+round gets.  Steps so grow with the tokens, and weights don't depend on how rows
+lie in partitions.  Every token of every text is scored once, in overlapping
 windows that see the block before (see ``attention``).
 
 Counts of the ``FREQUENT`` most frequent words are broadcast; those of all
@@ -32,12 +36,17 @@ from pyspark.sql import functions as F
 
 from lexaria.llm.attention import Attention, Vocabulary, blocks_of
 from lexaria.llm.scratch import Scratch
-from lexaria.llm.words import HashIndex, chunk_words, chunks, expand
+from lexaria.llm.words import HashIndex, bound_batches, chunk_words, chunks, expand
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 FREQUENT = 1 << 18
-SAMPLE_TEXTS, RUN, RUNS = 1500, 256, 16
-STEPS = 700
+START_TOKENS, STEPS = 1 << 21, 700
+#: Passes over parts of the texts, which together are all texts; a shard's subwords; most shards of a round (beyond it they grow).
+ROUNDS, SHARD_TOKENS, SHARDS = 8, 1 << 18, 256
+#: Adam's rate in the first round; it falls to nearly nothing in the last.
+RATE = 0.006
+#: Subwords scored at a time.
+SCORED = 1 << 17
 #: Words gathered in a task before they are counted.
 FLUSH = 1 << 21
 # Fixed value: how the tokenizer's vocabulary was made to split text into pieces.
@@ -115,29 +124,58 @@ def _counter(run: str, held):
     return count
 
 
-def _sampler(run: str, held):
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of subword ids of a text: all of a short one, evenly spaced windows of a long one."""
-        tokenizer = _live(f"{run}:words", lambda: Subwords(held.value))
-        for batch in batches:
-            keys, places, runs = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = [i for w in (text or "").encode().lower().split() for i in tokenizer(w)]
-                n = -(-len(ids) // RUN)
-                for k in range(n) if n <= RUNS else (j * (n - 1) // (RUNS - 1) for j in range(RUNS)):
-                    keys.append(key)
-                    places.append(k)
-                    runs.append(ids[k * RUN : (k + 1) * RUN])
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], ["key", "place", "ids"])
-
-    return sample
-
-
-class _Scorer:
-    """What a worker needs: frequent words with their counts, vocabulary and model; token ids of words as they come."""
-
-    def __init__(self, tokenizer: Subwords, keys: np.ndarray, counts: np.ndarray, model: Attention, vocab: Vocabulary):
-        self.tokenizer, self.model, self.vocab = tokenizer, model, vocab
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Model ids of all rows, and where each row's begin."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 2
+    return np.frombuffer(data or b"", dtype=np.int16)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _trainer(shared, rate: float, steps: int | None):
+    def train(table: pa.Table) -> pa.Table:
+        """The weights after this shard's texts, and its number of targets; with steps, random blocks of them, else each block once."""
+        # an order that doesn't depend on how rows came; equal rows may trade places
+        held = sorted(zip(table.column("key").to_pylist(), table.column("ids").to_pylist(), strict=True))
+        tokens, bounds = _tokens(pa.array([x for _, x in held], pa.binary()))
+        model = shared.value.copy()
+        if steps is None:
+            n = model.train_once(tokens, bounds, rate)
+        else:
+            n = len(model.train(tokens, bounds, steps=steps)) and len(tokens) + len(held)
+        return pa.table({"n": pa.array([n], pa.int64()), "weights": pa.array([model.weights().tobytes()], pa.binary())})
+
+    return train
+
+
+def _fit(model: Attention, texts: DataFrame, tokens: int, steps: int) -> None:
+    """Trains the model on texts (key, ids) with this many tokens in all."""
+    sc = texts.sparkSession.sparkContext
+
+    def average(rows: DataFrame, rate: float, steps: int | None) -> None:
+        shared = sc.broadcast(model)
+        done = rows.groupBy("shard").applyInArrow(_trainer(shared, rate, steps), "n long, weights binary").collect()
+        shared.destroy()
+        # in a fixed order, as sums of floats depend on it
+        done = sorted((r.n, bytes(r.weights)) for r in done if r.n)
+        if done:
+            model.take(sum(np.frombuffer(w, dtype=np.float32).astype(np.float64) * n for n, w in done) / sum(n for n, _ in done))
+
+    place = F.xxhash64(F.col("key"), F.lit(1))
+    cut = F.lit(min(1.0, START_TOKENS / max(tokens, 1)) - 0.5) * float(1 << 64)
+    average(texts.filter(place.cast("double") < cut).select(F.lit(0).alias("shard"), "key", "ids"), 0.0, steps)
+    rounds = max(1, min(ROUNDS, tokens // SHARD_TOKENS))
+    shards = min(SHARDS, -(-tokens // (rounds * SHARD_TOKENS)) or 1)
+    for k in range(rounds):
+        part = texts.filter(F.pmod(F.xxhash64(F.col("key"), F.lit(2)), F.lit(rounds)) == k)
+        average(part.select(F.pmod(F.xxhash64(F.col("key"), F.lit(3)), F.lit(shards)).alias("shard"), "key", "ids"), RATE * (1 - 0.95 * k / rounds), None)
+
+
+class _Speller:
+    """What a worker needs: frequent words with their counts, and the vocabulary; token ids of words as they come."""
+
+    def __init__(self, tokenizer: Subwords, keys: np.ndarray, counts: np.ndarray, vocab: Vocabulary):
+        self.tokenizer, self.vocab = tokenizer, vocab
         self.index = HashIndex(keys)
         self.log_count = np.log10(counts + 0.5)
         self.first = np.full(len(keys), -1, dtype=np.int64)
@@ -150,7 +188,7 @@ class _Scorer:
         return np.array([len(x) for x in lists], dtype=np.int64), np.array([i for x in lists for i in x], dtype=np.int32)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple:
-        """By row: words, those frequent, sum of their log counts, model score; and (row, hash, count) of other words."""
+        """By row: words, those frequent, sum of their log counts, cost of rare tokens, model ids; and (row, hash, count) of other words."""
         s, e, h, bounds = chunk_words(data, offsets)
         rows = len(offsets) - 1
         row = np.repeat(np.arange(rows), np.diff(bounds))
@@ -180,19 +218,18 @@ class _Scorer:
         pool = np.concatenate([self.pool[: self.used], ids])
         tokens = pool[expand(first, count)[0]]
         edges = np.concatenate([[0], np.cumsum(count)])[bounds]
-        x, y, before, text = blocks_of(self.vocab.of[tokens], edges)
-        logs = self.model.log_probs(x, y, before)[1:].sum(1, dtype=np.float64)
-        score = np.bincount(text, weights=logs, minlength=rows) / np.log(10)
-        score += np.bincount(np.repeat(np.arange(rows), np.diff(edges)), weights=self.vocab.extra[tokens], minlength=rows)
+        extra = np.bincount(np.repeat(np.arange(rows), np.diff(edges)), weights=self.vocab.extra[tokens], minlength=rows)
+        spelt = self.vocab.of[tokens].astype(np.int16)
+        ids = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((edges * 2).astype(np.int32)), pa.py_buffer(spelt)])
         order = np.lexsort((h[rare], row[rare]))
         r, k = row[rare][order], h[rare][order]
         head = np.ones(len(r), dtype=bool)
         head[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
         starts = np.flatnonzero(head)
-        return np.diff(bounds), n_common, base, score, r[starts], k[starts].view(np.int64), np.diff(np.append(starts, len(r)))
+        return np.diff(bounds), n_common, base, extra, ids, r[starts], k[starts].view(np.int64), np.diff(np.append(starts, len(r)))
 
 
-_FOUND = {"rid": pa.int64(), "n": pa.int64(), "common": pa.int64(), "h": pa.int64(), "base": pa.float64(), "score": pa.float64(), "doc_id": None, "held_out": pa.bool_()}
+_FOUND = {"rid": pa.int64(), "n": pa.int64(), "common": pa.int64(), "h": pa.int64(), "base": pa.float64(), "extra": pa.float64(), "ids": pa.binary(), "doc_id": None, "held_out": pa.bool_()}
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -205,6 +242,7 @@ def _batch(**columns) -> pa.RecordBatch:
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, frequent: int = FREQUENT, steps: int = STEPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from rows that are not held out."""
     spark = docs.sparkSession
+    bound_batches(spark)
     sc, scratch = spark.sparkContext, Scratch(docs.sparkSession, "lm_scoring")
     with open(tokenizer, "rb") as f:  # on the driver; executors get the bytes
         file = f.read()
@@ -225,36 +263,46 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     for r in counted.filter("kind = 2").collect():
         subword[r.h] = r.n
     vocab = Vocabulary(subword, texts)
-    model = Attention(vocab)
-    if texts:
-        key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-        cut = F.lit(min(1.0, SAMPLE_TEXTS / texts) - 0.5) * float(1 << 64)
-        runs = train.filter(key.cast("double") < cut).select(key.alias("key"), "text").mapInArrow(_sampler(run, held), "key long, place long, ids array<int>").toPandas()
-        lists = [vocab.of[np.asarray(x, dtype=np.int64)] for x in runs.sort_values(["key", "place"])["ids"]]
-        if lists:
-            model.train(np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])]), steps=steps)
-    model.freeze()
-    parts = sc.broadcast((keys, counts, model, vocab))
+    parts = sc.broadcast((keys, counts, vocab))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _live(f"{run}:scorer", lambda: _Scorer(Subwords(held.value), *parts.value))
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speller = _live(f"{run}:speller", lambda: _Speller(Subwords(held.value), *parts.value))
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, last, data, offsets in chunks(batch.column(1)):
-                n, common, base, value, r, h, tf = scorer(data, offsets)
+                n, common, base, extra, spelt, r, h, tf = speller(data, offsets)
                 own = ids[first:last]
-                yield _batch(rid=own, n=n + 1, common=common, base=base, score=value, doc_id=batch.column(2)[first:last], held_out=batch.column(3)[first:last])
+                yield _batch(rid=own, n=n + 1, common=common, base=base, extra=extra, ids=spelt, doc_id=batch.column(2)[first:last], held_out=batch.column(3)[first:last])
                 yield _batch(rid=own[r], n=tf, h=h, doc_id=pa.nulls(len(r), batch.column(2).type))
 
     # rows without h are texts, the others are the words of a text that are not frequent
     kind = dict(rows.dtypes)["doc_id"]
     numbered = rows.withColumn("rid", F.monotonically_increasing_id())
-    found = scratch.table(numbered.select("rid", "text", "doc_id", "held_out").mapInArrow(score, f"rid long, n long, common long, h long, base double, score double, doc_id {kind}, held_out boolean"))
+    found = scratch.table(numbered.select("rid", "text", "doc_id", "held_out").mapInArrow(spell, f"rid long, n long, common long, h long, base double, extra double, ids binary, doc_id {kind}, held_out boolean"))
+    model = Attention(vocab)
+    if texts:
+        key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "ids")
+        _fit(model, found.filter("h is null and not held_out").select(key.alias("key"), "ids"), int(subword.sum()), steps)
+    model.freeze()
+    shared = sc.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, bounds = _tokens(batch.column(0))
+            out, first = np.zeros(batch.num_rows), 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + SCORED, "right")) - 1)
+                x, y, before, text = blocks_of(tokens[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
+                out[first:last] = np.bincount(text, weights=shared.value.log_probs(x, y, before)[1:].sum(1, dtype=np.float64), minlength=last - first) / np.log(10)
+                first = last
+            yield pa.record_batch([*batch.columns[1:-1], pa.array(out + batch.column(batch.num_columns - 1).to_numpy())], ["rid", "n", "common", "base", "doc_id", "held_out", "score"])
+
     rare = found.filter("h is not null").select("rid", "h", F.col("n").alias("tf")).join(words, "h", "left")
     rare = rare.groupBy("rid").agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
     known_end = 1 if texts else 0
     scale = float(np.log10(total + 0.5 * (distinct + 1)))
-    out = found.filter("h is null").join(rare, "rid", "left")
+    scored = found.filter("h is null").select("ids", "rid", "n", "common", "base", "doc_id", "held_out", "extra")
+    out = scored.mapInArrow(score, f"rid long, n long, common long, base double, doc_id {kind}, held_out boolean, score double").join(rare, "rid", "left")
     return out.select(
         "doc_id",
         "held_out",
