@@ -24,6 +24,11 @@ no link is lost; the last step counts the intersection exactly.
    pairs that still lie in different components and that the size and position
    bounds allow.  A group of copies so costs its size and not its square.
    ``similar_pairs`` skips the first round and returns every link.
+5. *Counting links* (``jaccard_links`` only).  Linked sets share a component and
+   differ in size by a quarter at most.  So each component's sets go to blocks
+   by classes of size, large classes to several; two blocks of one or of
+   neighbouring classes meet in one group, which counts the intersections of all
+   their pairs exactly by matrix products.  No pair is ever a row.
 
 Definitions.  Null or empty texts and texts without words have an empty set and
 link with nothing.  Rows with a null id get their set size, take no part in
@@ -52,6 +57,8 @@ FLUSH = 1 << 21
 FREQUENT = 1 << 16
 #: Rows that a posting of an inverted list costs: its own, and one against the list's lead. A subset costs its own row.
 SCANS = 2
+#: Sets and hashes of a block whose links are counted, and columns of a matrix product.
+BLOCK_SETS, BLOCK_HASHES, COLUMNS = 512, 1 << 18, 4096
 
 
 def least_overlap(n: np.ndarray | int):
@@ -347,6 +354,102 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return full.unionByName(rest)
 
 
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set of distinct hashes."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    i, j = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    both = np.intersect1d(a, b)
+    for first in range(0, len(both), COLUMNS):
+        some = both[first : first + COLUMNS]
+        tables = []
+        for h, row, n in ((a, i, len(left)), (b, j, len(right))):
+            at = np.minimum(np.searchsorted(some, h), len(some) - 1)
+            hit = some[at] == h
+            table = np.zeros((n, len(some)), dtype=np.float32)
+            table[row[hit], at[hit]] = 1
+            tables.append(table)
+        out += np.rint(tables[0] @ tables[1].T).astype(np.int64)
+    return out
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, links) from rows sorted by group (root, c, p, d, q): a set's links into the other side's block, by numbers of texts."""
+    group, held = None, []
+
+    def counted() -> list[tuple[np.ndarray, np.ndarray]]:
+        sides = [[r for r in held if r[0] == side] for side in (0, 1)]
+        same = group[1:3] == group[3:5]
+        left, right = sides[0], sides[0] if same else sides[1]
+        if not left or not right or (same and len(left) < 2):
+            return []
+        common = _shared_counts([r[4] for r in left], [r[4] for r in right])
+        n, m = np.array([r[2] for r in left]), np.array([r[2] for r in right])
+        link = common * 9 >= (n[:, None] + m[None, :]) * 4
+        if same:
+            np.fill_diagonal(link, False)
+        out = [(np.array([r[1] for r in left]), link @ np.array([r[3] for r in right]))]
+        if not same:
+            out.append((np.array([r[1] for r in right]), np.array([r[3] for r in left]) @ link))
+        return out
+
+    def sent(parts: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.concatenate([p[k] for p in parts]).astype(np.int64)) for k in (0, 1)], ["sid", "links"])
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
+        side, sid, n, texts = (batch.column(k).to_pylist() for k in range(5, 9))
+        flat, bounds = batch.column(9).values.to_numpy(zero_copy_only=False), batch.column(9).offsets.to_numpy()
+        parts = []
+        for k, key in enumerate(keys):
+            if key != group:
+                if held:
+                    parts += counted()
+                group, held = key, []
+            held.append((side[k], sid[k], n[k], texts[k], flat[bounds[k] : bounds[k + 1]].copy()))
+        if parts:
+            yield sent(parts)
+    if held and (parts := counted()):
+        yield sent(parts)
+
+
+def _link_counts(sets: DataFrame) -> DataFrame:
+    """(sid, links) of sets (root, sid, n, texts, hs): the texts of all other sets of the component that a set links with."""
+    spread = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = sets.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.25)))).cast("long"))
+    # hashes and sets of a block are bounded; a quarter in size is one class, and one more for rounding
+    size = sets.groupBy("root", "c").agg(F.sum("n").alias("hashes"), F.count("*").alias("k"))
+    size = size.select("root", "c", F.greatest(F.ceil(F.col("hashes") / BLOCK_HASHES), F.ceil(F.col("k") / BLOCK_SETS)).cast("long").alias("parts"))
+    near = size.select("root", "c", F.explode(F.sequence(F.col("c") - 2, F.col("c") + 2)).alias("d")).join(size.select("root", F.col("c").alias("d"), F.col("parts").alias("others")), ["root", "d"])
+    near = near.join(size, ["root", "c"])
+    rows = sets.join(near, ["root", "c"]).withColumn("p", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    first = (F.col("c") < F.col("d")) | ((F.col("c") == F.col("d")) & (F.col("p") <= F.col("q")))
+    low, high = F.struct("c", "p"), F.struct(F.col("d").alias("c"), F.col("q").alias("p"))
+    rows = rows.select("root", F.when(first, low).otherwise(high).alias("a"), F.when(first, high).otherwise(low).alias("b"), F.when(first, 0).otherwise(1).cast("long").alias("side"), "sid", "n", "texts", "hs")
+    rows = rows.select("root", F.col("a.c").alias("c"), F.col("a.p").alias("p"), F.col("b.c").alias("d"), F.col("b.p").alias("q"), "side", "sid", "n", "texts", "hs")
+    group = ["root", "c", "p", "d", "q"]
+    return rows.repartition(spread, *group).sortWithinPartitions(*group).mapInArrow(_block_links, "sid long, links long").groupBy("sid").agg(F.sum("links").alias("links"))
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row; n_links counts the other rows that the row's text links with, those of equal sets too.
+
+    Rows with a null id have no links and are nobody's.
+    """
+    join = JaccardJoin(docs, id_col, text_col)
+    classes = join.scratch.table(join.classes())
+    members = join.members
+    whole = join.scratch.table(members.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("texts")))
+    sets = join.sets.join(classes, "sid").join(whole.select(F.col("rep").alias("sid"), "texts"), "sid")
+    links = join.scratch.table(_link_counts(join.scratch.table(sets, "none")))
+    whole = whole.join(classes.withColumnRenamed("sid", "rep"), "rep", "left").join(links.withColumnRenamed("sid", "rep"), "rep", "left")
+    whole = whole.select("hi", "lo", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).cast("long").alias("n_links"))
+    full = members.filter("n > 0 and doc_id is not null").join(whole, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    rest = members.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return full.unionByName(rest)
+
+
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All links between different sets (a, b, common, na, nb), and membership (doc_id, sid)."""
     join = JaccardJoin(docs, id_col, text_col)

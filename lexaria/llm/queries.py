@@ -18,6 +18,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of op1_ngram_jaccard_join with each document's number of links."""
+    return ngram_join.jaccard_links(_read(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = language_id.train(docs.filter(~language_id.held_out("doc_id", 4, 2)))
@@ -73,6 +78,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
     "op2_language_id": op2_language_id,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_decontamination": op4_decontamination,

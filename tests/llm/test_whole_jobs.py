@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from lexaria.llm import lm_scoring
+from lexaria.llm import lm_scoring, ngram_join, queries
+from tests.llm.test_brute_force import _near_copies
 
 
 def test_lm_learns_from_every_block(spark):
@@ -16,3 +17,16 @@ def test_lm_learns_from_every_block(spark):
     by = {row.doc_id: row for row in lm_scoring.score_texts(docs, F.col("doc_id") == 1, steps=300).collect()}
     assert by[0].n_tokens == len(lines) + 1
     assert by[1].score / by[1].n_tokens > by[1].base_score / by[1].n_tokens + 0.4
+
+
+def test_join_counts_every_link(spark, monkeypatch):
+    """Near copies and equal texts against brute force, with blocks so small that components take several."""
+    assert "op1_ngram_jaccard_links" in queries.QUERIES
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 3)
+    texts = _near_copies(1) + _near_copies(1)[:20] + [""]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()} for w in map(str.split, texts)]
+    want = [sum(i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = ngram_join.jaccard_links(docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.n_links) for r in rows} == {i: (len(s), want[i]) for i, s in enumerate(sets)}
+    assert {r.doc_id: r.component_id for r in rows} == {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()}
