@@ -112,11 +112,24 @@ def metric_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "pair").join(scored, "pair").select("doc_id", "n", F.round("j", 6).alias("jaccard"), "uses")
 
 
+def _bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.concat(F.array(F.lit("<s>")), text.words(F.col("text")), F.array(F.lit("</s>")))
+    two = _docs(spark, sf_dir).select(F.explode(F.arrays_zip(F.slice(w, 1, 1 << 30).alias("a"), F.slice(w, 2, 1 << 30).alias("b"))).alias("p"))
+    return two.filter("p.b is not null").groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
+
+
 def bigram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bigram counts with sentence markers, of counts of 20 or more."""
+    return _bigrams(spark, sf_dir).filter("n >= 20")
+
+
+def bigram_lm_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counts of the language model with sentence markers: bigrams; words, where b is null; and the vocabulary's size, where a is null too."""
     w = F.concat(F.array(F.lit("<s>")), text.words(F.col("text")), F.array(F.lit("</s>")))
-    two = _docs(spark, sf_dir).select(F.explode(F.arrays_zip(F.slice(w, 1, 1 << 30).alias("a"), F.slice(w, 2, 1 << 30).alias("b"))).alias("p"))
-    return two.filter("p.b is not null").groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n")).filter("n >= 20")
+    one = _docs(spark, sf_dir).select(F.explode(w).alias("a")).groupBy("a").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("string")
+    size = one.agg(F.count("*").alias("n"))
+    return _bigrams(spark, sf_dir).unionByName(one.select("a", none.alias("b"), "n")).unionByName(size.select(none.alias("a"), none.alias("b"), "n"))
 
 
 def corpus_zipf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +162,7 @@ def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (readability_by_lang, readability_family_r, word_complexity_topk, dictionary_rewrite, simplicity_s, explicit_checks, tfidf_pair_cosine, sari_proxy, changed_token_rate, metric_reuse, bigram_lm, corpus_zipf, phrase_match, sentence_split, html_blocks, normalise_text)
+    for f in (readability_by_lang, readability_family_r, word_complexity_topk, dictionary_rewrite, simplicity_s, explicit_checks, tfidf_pair_cosine, sari_proxy, changed_token_rate, metric_reuse, bigram_lm, bigram_lm_all, corpus_zipf, phrase_match, sentence_split, html_blocks, normalise_text)
 }
 
 _W = "regexp_extract_all(lower(text), '[a-z]+(?:[''-][a-z]+)*')"
@@ -252,6 +265,11 @@ ORACLES = {
         WITH w AS (SELECT list_concat(['<s>'], {_W}, ['</s>']) AS w FROM documents WHERE text IS NOT NULL),
         b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM w)
         SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) >= 20""",
+    "bigram_lm_all": f"""
+        WITH w AS (SELECT list_concat(['<s>'], {_W}, ['</s>']) AS w FROM documents WHERE text IS NOT NULL),
+        u AS (SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM w) GROUP BY 1),
+        b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM w), c AS (SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM b GROUP BY 1, 2)
+        SELECT a, b, n FROM c UNION ALL SELECT t, NULL, n FROM u UNION ALL SELECT NULL, NULL, count(*) FROM u""",
     "corpus_zipf": f"""
         WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({_W}) AS word FROM documents) GROUP BY 1), t AS (SELECT sum(n)::DOUBLE AS total FROM w)
         SELECT word, n, round(log10(n / total * 1e9::DOUBLE), 6) AS zipf FROM w, t WHERE n >= 50""",

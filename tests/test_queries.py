@@ -20,3 +20,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _tables(spark, folder, documents, benchmark=()):
+    spark.createDataFrame(list(enumerate(documents)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(enumerate(benchmark)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_rare_bigrams_count(spark, tmp_path):
+    got = {tuple(r) for r in catalog.QUERIES["bigram_lm_all"](spark, _tables(spark, tmp_path, ["a b a", "b", None])).collect()}
+    two = {("<s>", "a", 1), ("a", "b", 1), ("b", "a", 1), ("a", "</s>", 1), ("<s>", "b", 1), ("b", "</s>", 1)}
+    assert got == two | {("<s>", None, 2), ("a", None, 2), ("b", None, 2), ("</s>", None, 2), (None, None, 4)}
