@@ -126,9 +126,8 @@ def span_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.groupBy("l_orderkey").agg(F.count("*").alias("n_pairs"), F.sum(F.least("b", "d") - F.greatest("a", "c")).alias("days"))
 
 
-def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the benchmark in the lexicon of frequent document words: exact, else with the first ending off that is there, else the lexicon's median."""
-    words = read(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("stem")).groupBy("stem").agg(F.count("*").alias("value")).filter("value >= 100")
+def _lexicon_lookup(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    words = read(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("stem")).groupBy("stem").agg(F.count("*").alias("value")).filter(F.col("value") >= least)
     median = words.agg(F.percentile("value", F.lit(0.5)).alias("median"))
     b = read(spark, sf_dir, "benchmark").select(F.explode(text.words(F.col("text"))).alias("word")).distinct()
     tries = F.array(F.col("word"), *(F.when(F.col("word").endswith(e), F.expr(f"left(word, length(word) - {len(e)})")) for e in ENDINGS))
@@ -136,6 +135,16 @@ def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.crossJoin(F.broadcast(median)).select("word", F.coalesce(F.col("value").cast("double"), F.col("median")).alias("value"), F.col("value").isNotNull().alias("known"))
 
 
+def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark in the lexicon of frequent document words: exact, else with the first ending off that is there, else the lexicon's median."""
+    return _lexicon_lookup(spark, sf_dir, 100)
+
+
+def lexicon_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark in the lexicon of all document words: exact, else with the first ending off that is there, else the lexicon's median."""
+    return _lexicon_lookup(spark, sf_dir, 1)
+
+
 def locked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that a locked list names by id or by text hash: a semi join for each way, united, in place of one join on 'or'."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
@@ -294,7 +303,7 @@ def panel_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (formula_record, formula_summary, sari_sentence, sari_corpus, threshold_f1, bootstrap_cluster_hash, bigram_context_score, span_overlap, lexicon_lookup, locked_rows, priority_lookup, nominal_alpha, cross_tab, weighted_precision, band_means, precise_threshold,
+    for f in (formula_record, formula_summary, sari_sentence, sari_corpus, threshold_f1, bootstrap_cluster_hash, bigram_context_score, span_overlap, lexicon_lookup, lexicon_lookup_all, locked_rows, priority_lookup, nominal_alpha, cross_tab, weighted_precision, band_means, precise_threshold,
               best_cutoff, miss_partition, sole_failures, rating_pivot, rating_union, listwise_features, passage_shortlist, rank_sum, modal_edge, event_states, config_parse, latency_summary, conversation_grade, panel_assembly)
 }
 
@@ -341,6 +350,9 @@ ORACLES = {
     "lexicon_lookup": f"""WITH x AS (SELECT stem, count(*) AS value FROM (SELECT unnest({tq._W}) AS stem FROM documents) GROUP BY 1 HAVING count(*) >= 100), b AS (SELECT DISTINCT unnest({tq._W}) AS word FROM benchmark),
         t AS (SELECT word, 0 AS place, word AS stem FROM b {" ".join(f"UNION ALL SELECT word, {i + 1}, left(word, length(word) - {len(e)}) FROM b WHERE word LIKE '%{e}'" for i, e in enumerate(ENDINGS))}),
         f AS (SELECT word, arg_min(value, place) FILTER (WHERE value IS NOT NULL) AS value FROM t LEFT JOIN x USING (stem) GROUP BY 1) SELECT word, coalesce(value::DOUBLE, (SELECT median(value)::DOUBLE FROM x)) AS value, value IS NOT NULL AS known FROM f""",
+    "lexicon_lookup_all": f"""WITH x AS (SELECT stem, count(*) AS value FROM (SELECT unnest({tq._W}) AS stem FROM documents) GROUP BY 1), b AS (SELECT DISTINCT unnest({tq._W}) AS word FROM benchmark),
+        t AS (SELECT word, 0 AS place, word AS stem FROM b {" ".join(f"UNION ALL SELECT word, {i + 1}, left(word, length(word) - {len(e)}) FROM b WHERE word LIKE '%{e}'" for i, e in enumerate(ENDINGS))}),
+        f AS (SELECT word, arg_min(value, place) FILTER (WHERE value IS NOT NULL) AS value FROM t LEFT JOIN x USING (stem) GROUP BY 1) SELECT word, coalesce(value::DOUBLE, (SELECT median(value)::DOUBLE FROM x)) AS value, value IS NOT NULL AS known FROM f""",
     "locked_rows": "WITH t AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT doc_id FROM documents WHERE doc_id IN (FROM t) OR sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id IN (FROM t))",
     "priority_lookup": f"""WITH {_C}, p AS (SELECT *, CASE system WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 END AS p FROM c WHERE value IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY p) AS k FROM p WHERE p IS NOT NULL)
         SELECT passage, system, round(value, 6) AS value FROM r WHERE k = 1""",

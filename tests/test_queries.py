@@ -32,3 +32,8 @@ def test_rare_bigrams_count(spark, tmp_path):
     got = {tuple(r) for r in catalog.QUERIES["bigram_lm_all"](spark, _tables(spark, tmp_path, ["a b a", "b", None])).collect()}
     two = {("<s>", "a", 1), ("a", "b", 1), ("b", "a", 1), ("a", "</s>", 1), ("<s>", "b", 1), ("b", "</s>", 1)}
     assert got == two | {("<s>", None, 2), ("a", None, 2), ("b", None, 2), ("</s>", None, 2), (None, None, 4)}
+
+
+def test_rare_words_are_in_the_lexicon(spark, tmp_path):
+    got = {r.word: (r.value, r.known) for r in catalog.QUERIES["lexicon_lookup_all"](spark, _tables(spark, tmp_path, ["cat cat dog", "tree tree tree"], ["cat dog fish"])).collect()}
+    assert got == {"cat": (2.0, True), "dog": (1.0, True), "fish": (2.0, False)}
