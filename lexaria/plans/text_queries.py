@@ -132,11 +132,20 @@ def bigram_lm_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bigrams(spark, sf_dir).unionByName(one.select("a", none.alias("b"), "n")).unionByName(size.select(none.alias("a"), none.alias("b"), "n"))
 
 
-def corpus_zipf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zipf frequency log10(1e9 * count / total) of words that occur 50 times or more."""
+def _zipf(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
     n = _docs(spark, sf_dir).select(F.explode(text.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").cast("double").alias("total"))
-    return n.filter("n >= 50").crossJoin(F.broadcast(total)).select("word", "n", F.round(F.log10(F.col("n") / F.col("total") * 1e9), 6).alias("zipf"))
+    return n.filter(F.col("n") >= least).crossJoin(F.broadcast(total)).select("word", "n", F.round(F.log10(F.col("n") / F.col("total") * 1e9), 6).alias("zipf"))
+
+
+def corpus_zipf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zipf frequency log10(1e9 * count / total) of words that occur 50 times or more."""
+    return _zipf(spark, sf_dir, 50)
+
+
+def corpus_zipf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zipf frequency log10(1e9 * count / total) of every word."""
+    return _zipf(spark, sf_dir, 1)
 
 
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +171,7 @@ def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (readability_by_lang, readability_family_r, word_complexity_topk, dictionary_rewrite, simplicity_s, explicit_checks, tfidf_pair_cosine, sari_proxy, changed_token_rate, metric_reuse, bigram_lm, bigram_lm_all, corpus_zipf, phrase_match, sentence_split, html_blocks, normalise_text)
+    for f in (readability_by_lang, readability_family_r, word_complexity_topk, dictionary_rewrite, simplicity_s, explicit_checks, tfidf_pair_cosine, sari_proxy, changed_token_rate, metric_reuse, bigram_lm, bigram_lm_all, corpus_zipf, corpus_zipf_all, phrase_match, sentence_split, html_blocks, normalise_text)
 }
 
 _W = "regexp_extract_all(lower(text), '[a-z]+(?:[''-][a-z]+)*')"
@@ -273,6 +282,9 @@ ORACLES = {
     "corpus_zipf": f"""
         WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({_W}) AS word FROM documents) GROUP BY 1), t AS (SELECT sum(n)::DOUBLE AS total FROM w)
         SELECT word, n, round(log10(n / total * 1e9::DOUBLE), 6) AS zipf FROM w, t WHERE n >= 50""",
+    "corpus_zipf_all": f"""
+        WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({_W}) AS word FROM documents) GROUP BY 1), t AS (SELECT sum(n)::DOUBLE AS total FROM w)
+        SELECT word, n, round(log10(n / total * 1e9::DOUBLE), 6) AS zipf FROM w, t""",
     "phrase_match": f"""
         WITH d AS (SELECT doc_id, {_W} AS w FROM documents), g AS (SELECT doc_id, unnest({_grams("w", 3)}) AS phrase FROM d),
         b AS (SELECT item_id, array_to_string(({_W})[1:3], ' ') AS phrase FROM benchmark)

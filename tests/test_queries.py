@@ -37,3 +37,8 @@ def test_rare_bigrams_count(spark, tmp_path):
 def test_rare_words_are_in_the_lexicon(spark, tmp_path):
     got = {r.word: (r.value, r.known) for r in catalog.QUERIES["lexicon_lookup_all"](spark, _tables(spark, tmp_path, ["cat cat dog", "tree tree tree"], ["cat dog fish"])).collect()}
     assert got == {"cat": (2.0, True), "dog": (1.0, True), "fish": (2.0, False)}
+
+
+def test_rare_words_have_a_zipf_value(spark, tmp_path):
+    got = {r.word: (r.n, r.zipf) for r in catalog.QUERIES["corpus_zipf_all"](spark, _tables(spark, tmp_path, ["cat " * 9 + "dog"])).collect()}
+    assert got == {"cat": (9, 8.954243), "dog": (1, 8.0)}
