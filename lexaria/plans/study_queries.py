@@ -102,20 +102,26 @@ def bootstrap_cluster_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter("n > 0").select("draw", F.round(F.col("s") / F.col("n"), 4).alias("mean"))
 
 
-def bigram_context_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean log probability ln((c(a b) + 0.1) / (c(a) + 0.1 V)) of the word pairs of each conversation's turns; counts over all turns.
-
-    Pairs are summed by conversation before they meet the counts, so a frequent
-    pair costs one row a conversation.
-    """
+def _context_score(rows: DataFrame, key: str) -> DataFrame:
+    """Pairs are summed by key before they meet the counts, so a frequent pair costs one row a key."""
     w = F.concat(F.array(F.lit("<s>")), text.words(F.col("text")), F.array(F.lit("</s>")))
     two = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    per = read(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", F.explode(two).alias("p")).groupBy("conv_id", "p.a", "p.b").agg(F.count("*").alias("n"))
+    per = rows.filter("text IS NOT NULL").select(key, F.explode(two).alias("p")).groupBy(key, "p.a", "p.b").agg(F.count("*").alias("n"))
     ab = per.groupBy("a", "b").agg(F.sum("n").alias("ab"))
     a = ab.groupBy("a").agg(F.sum("ab").alias("na"))
     v = a.agg(F.count("*").cast("double").alias("v"))
     scored = ab.join(a, "a").crossJoin(F.broadcast(v)).select("a", "b", F.log((F.col("ab") + 0.1) / (F.col("na") + F.col("v") * 0.1)).alias("lp"))
-    return per.join(scored, ["a", "b"]).groupBy("conv_id").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("lp")) / F.sum("n"), 6).alias("score"))
+    return per.join(scored, ["a", "b"]).groupBy(key).agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("lp")) / F.sum("n"), 6).alias("score"))
+
+
+def bigram_context_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean log probability ln((c(a b) + 0.1) / (c(a) + 0.1 V)) of the word pairs of each conversation's turns; counts over all turns."""
+    return _context_score(read(spark, sf_dir, "conversations"), "conv_id")
+
+
+def bigram_document_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean log probability ln((c(a b) + 0.1) / (c(a) + 0.1 V)) of each document's word pairs; counts over all documents."""
+    return _context_score(read(spark, sf_dir, "documents"), "doc_id")
 
 
 def span_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +309,7 @@ def panel_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (formula_record, formula_summary, sari_sentence, sari_corpus, threshold_f1, bootstrap_cluster_hash, bigram_context_score, span_overlap, lexicon_lookup, lexicon_lookup_all, locked_rows, priority_lookup, nominal_alpha, cross_tab, weighted_precision, band_means, precise_threshold,
+    for f in (formula_record, formula_summary, sari_sentence, sari_corpus, threshold_f1, bootstrap_cluster_hash, bigram_context_score, bigram_document_score, span_overlap, lexicon_lookup, lexicon_lookup_all, locked_rows, priority_lookup, nominal_alpha, cross_tab, weighted_precision, band_means, precise_threshold,
               best_cutoff, miss_partition, sole_failures, rating_pivot, rating_union, listwise_features, passage_shortlist, rank_sum, modal_edge, event_states, config_parse, latency_summary, conversation_grade, panel_assembly)
 }
 
@@ -345,6 +351,9 @@ ORACLES = {
     "bigram_context_score": f"""WITH w AS (SELECT conv_id, list_concat(['<s>'], {tq._W}, ['</s>']) AS w FROM conversations WHERE text IS NOT NULL), p AS (SELECT conv_id, unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM w),
         ab AS (SELECT p, count(*) AS ab FROM p GROUP BY 1), a AS (SELECT p[1] AS a, count(*) AS na FROM p GROUP BY 1), v AS (SELECT count(*)::DOUBLE AS v FROM a)
         SELECT conv_id, count(*) AS n, round(avg(ln((ab + 0.1::DOUBLE) / (na + v * 0.1::DOUBLE))), 6) AS score FROM p JOIN ab USING (p) JOIN a ON a.a = p.p[1], v GROUP BY 1""",
+    "bigram_document_score": f"""WITH w AS (SELECT doc_id, list_concat(['<s>'], {tq._W}, ['</s>']) AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM w),
+        ab AS (SELECT p, count(*) AS ab FROM p GROUP BY 1), a AS (SELECT p[1] AS a, count(*) AS na FROM p GROUP BY 1), v AS (SELECT count(*)::DOUBLE AS v FROM a)
+        SELECT doc_id, count(*) AS n, round(avg(ln((ab + 0.1::DOUBLE) / (na + v * 0.1::DOUBLE))), 6) AS score FROM p JOIN ab USING (p) JOIN a ON a.a = p.p[1], v GROUP BY 1""",
     "span_overlap": """WITH s AS (SELECT l_orderkey, l_linenumber AS m, l_shipdate::DATE - DATE '1970-01-01' AS a, l_shipdate::DATE - DATE '1970-01-01' + l_quantity::INT AS b FROM lineitem)
         SELECT s.l_orderkey, count(*) AS n_pairs, sum(least(s.b, t.b) - greatest(s.a, t.a))::BIGINT AS days FROM s JOIN s t ON s.l_orderkey = t.l_orderkey AND s.m < t.m AND s.a < t.b AND t.a < s.b GROUP BY 1""",
     "lexicon_lookup": f"""WITH x AS (SELECT stem, count(*) AS value FROM (SELECT unnest({tq._W}) AS stem FROM documents) GROUP BY 1 HAVING count(*) >= 100), b AS (SELECT DISTINCT unnest({tq._W}) AS word FROM benchmark),

@@ -42,3 +42,9 @@ def test_rare_words_are_in_the_lexicon(spark, tmp_path):
 def test_rare_words_have_a_zipf_value(spark, tmp_path):
     got = {r.word: (r.n, r.zipf) for r in catalog.QUERIES["corpus_zipf_all"](spark, _tables(spark, tmp_path, ["cat " * 9 + "dog"])).collect()}
     assert got == {"cat": (9, 8.954243), "dog": (1, 8.0)}
+
+
+def test_documents_are_scored_by_all_documents(spark, tmp_path):
+    got = {r.doc_id: (r.n, r.score) for r in catalog.QUERIES["bigram_document_score"](spark, _tables(spark, tmp_path, ["a", "a", "b"])).collect()}
+    # <s> a 2 of 3, a </s> 2 of 2, <s> b 1 of 3, b </s> 1 of 1; three words begin a pair
+    assert got == {0: (2, -0.271478), 1: (2, -0.271478), 2: (2, -0.632833)}
