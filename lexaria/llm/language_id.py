@@ -42,8 +42,6 @@ from lexaria.llm.words import SEGMENT, bound_batches, chunks
 ORDER = 3
 UNDETERMINED = "und"
 SYMBOLS = 128
-#: Bytes of the table of costs; the number of contexts kept follows from it.
-TABLE_BYTES = 48 << 20
 
 
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
@@ -144,10 +142,7 @@ def build_model(languages: list[str], lang: np.ndarray, grams: np.ndarray, n: np
     for i in range(ORDER):
         code = code * width + w[:, i]
     langs, last = len(languages), w[:, -1]
-    kept = max(0, TABLE_BYTES // (4 * langs * width) - width * width)
-    context, inverse = np.unique(code, return_inverse=True)
-    seen = np.bincount(inverse, weights=n, minlength=len(context))
-    long = np.sort(context[np.argsort(-seen, kind="stable")[:kept]])
+    long = np.unique(code)  # every context of the sample, which is bounded
     short = np.arange(width ** (ORDER - 1))
     row_of = np.tile(short, width).astype(np.int32)  # by default the row of the shorter context
     row_of[long] = len(short) + np.arange(len(long))

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lexaria.llm import lm_scoring, ngram_join, queries
+from lexaria.llm import language_id, lm_scoring, ngram_join, queries
 from tests.llm.test_brute_force import _near_copies
 
 
@@ -30,3 +31,13 @@ def test_join_counts_every_link(spark, monkeypatch):
     rows = ngram_join.jaccard_links(docs).collect()
     assert {r.doc_id: (r.n_shingles, r.n_links) for r in rows} == {i: (len(s), want[i]) for i, s in enumerate(sets)}
     assert {r.doc_id: r.component_id for r in rows} == {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()}
+
+
+def test_language_id_keeps_all_contexts_of_many_languages():
+    r = np.random.default_rng(5)
+    window = r.integers(1, 128, (4000, 4))
+    grams = window @ (256 ** np.arange(3, -1, -1))
+    model = language_id.build_model([str(i) for i in range(8)], np.arange(4000) % 8, grams, np.ones(4000))
+    w = model.symbol[window].astype(np.int64)
+    code = (w[:, 0] * model.width + w[:, 1]) * model.width + w[:, 2]
+    assert (np.asarray(model.row_of)[code] >= model.width**2).all()
