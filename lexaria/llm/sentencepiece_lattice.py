@@ -18,13 +18,21 @@ out unit by unit, once for each different unit of a batch:
   units only the ``n - 1`` with the smallest gaps can differ from their best
   path in its ``n`` best segmentations; their lists are merged by a heap.
 
-Among equal scores, paths of a unit come in the order of their cuts, compared
-from the end (smaller first); among equal segmentations of a text, those that
-change an earlier unit come first.  Decoding joins the pieces' bytes and drops
-the space in front: every text is restored exactly.
-
-Definitions: a null text has null ids; an empty text has no pieces.  Repeated
-rows are encoded alike.  Other columns are not read.
+A search entry stands for all paths that end in its suffix, none of which another
+entry has, and its key is the score of the best of them; so only the ``n`` best
+entries are ever held.  A unit of more than ``LONG`` bytes is solved window by
+window of its positions: it takes some 30 bytes of memory for each of its own.
+
+Among equal scores of a unit the path whose search reaches further back first
+comes first, then the one found first; among equal segmentations
+of a text, those that change an earlier unit come first.  Equal units are told
+by their bytes.  Decoding joins the pieces' bytes and drops the space in front:
+every text is restored exactly.
+
+Definitions: a null text has null ids; an empty text has no pieces; an empty
+table gives an empty result.  Whole texts are encoded, of any length and with or
+without spaces.  Repeated rows are encoded alike.  Other columns are not read and
+may have any name.
 """
 
 from __future__ import annotations
@@ -32,14 +40,16 @@ from __future__ import annotations
 import hashlib
 import heapq
 import uuid
-from collections.abc import Iterator
+from array import array
+from bisect import insort
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaria.llm.words import HashIndex, SpanHasher, bound_batches, chunks, expand, span_hashes
+from lexaria.llm.words import HashIndex, bound_batches, chunks, expand, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_PENALTY = 10.0
@@ -48,8 +58,10 @@ SPACE = "▁"
 _NONE = np.int64(-(1 << 60))
 #: Gap of a unit that has one path only.
 FAR_GAP = np.int64(1 << 60)
-#: Units that a worker remembers before it starts anew.
-REMEMBER = 150_000
+#: Units, and bytes of them, that a worker remembers before it starts anew.
+REMEMBER, REMEMBER_BYTES = 150_000, 16 << 20
+#: Bytes of a unit up to which it is solved together with others; positions of a window of a longer one; windows held.
+LONG, WINDOW, WINDOWS = 2048, 1 << 14, 6
 _LIVE: dict[str, object] = {}
 
 
@@ -161,6 +173,101 @@ def _wide_covered(data: np.ndarray, points: np.ndarray) -> np.ndarray:
     return (points[k] == point)[which]
 
 
+def _edges(pieces: Pieces, data: np.ndarray, end: np.ndarray, covered: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size, piece) of all edges that start at these positions; end: where the unit of each byte ends. Shortest first."""
+    bare = at[~covered[at]]
+    starts, sizes, ids = [bare], [np.ones(len(bare), dtype=np.int64)], [pieces.byte_id[data[bare]]]
+    for length, (index, own) in pieces.by_length.items():
+        at = at[at + length <= end[at]]
+        if not len(at):
+            break
+        found = index.find(span_hashes(data, at, at + length))
+        hit = np.flatnonzero(found >= 0)
+        starts.append(at[hit])
+        sizes.append(np.full(len(hit), length))
+        ids.append(own[found[hit]])
+    return tuple(np.concatenate(x) for x in (starts, sizes, ids))  # type: ignore[return-value]
+
+
+def _search(first: int, last: int, forward: np.ndarray, into: Callable[[int], list[tuple[int, int, int]]], n: int) -> list[tuple[int, list[int]]]:
+    """(score, ids) of the n best paths from first to last: A-star from the end, forward scores as heuristics.
+
+    into: the edges into a node, as (where it starts, score, piece). An entry is
+    (minus its key, node, when it was made, score of the suffix, its step); of
+    each step only its piece and the step after it are kept.
+    """
+    held = [(-int(forward[last]), last, 0, 0, -1)]
+    piece, after, made = array("i"), array("q"), 0
+    out: list[tuple[int, list[int]]] = []
+    while held and len(out) < n:
+        f, node, _, done, step = held.pop(0)
+        if node == first:
+            ids = []
+            while step >= 0:
+                ids.append(piece[step])
+                step = after[step]
+            out.append((-f, ids))
+            continue
+        most = n - len(out)
+        for before, score, p in into(node):
+            ahead = int(forward[before])
+            if ahead > _NONE // 2:
+                key = -(done + score + ahead)
+                if len(held) < most or key <= held[-1][0]:
+                    piece.append(p)
+                    after.append(step)
+                    made += 1
+                    insort(held, (key, before, made, done + score, len(piece) - 1))
+                    del held[most:]
+    return out
+
+
+class LongUnit:
+    """One long unit, solved in windows of its positions."""
+
+    def __init__(self, pieces: Pieces, data: np.ndarray):
+        self.pieces, self.data = pieces, data
+        self.size, self.reach = len(data), max(pieces.by_length)
+        self.covered = _covered(data, pieces.points)
+        self.end = np.full(len(data), len(data))
+        self.forward = np.full(len(data) + 1, _NONE, dtype=np.int64)
+        self.forward[0] = 0
+        self.windows: dict[int, tuple] = {}
+        for low in range(0, self.size, WINDOW):
+            high = min(self.size, low + WINDOW)
+            start, size, piece = _edges(pieces, data, self.end, self.covered, np.arange(low, high))
+            order = np.argsort(start, kind="stable")
+            values = self.forward[low : high + self.reach].tolist()
+            for i, n, s in zip((start[order] - low).tolist(), size[order].tolist(), pieces.score[piece[order]].tolist(), strict=True):
+                v = values[i] + s
+                if v > values[i + n]:
+                    values[i + n] = v
+            self.forward[low : high + self.reach] = values[: len(self.forward) - low]
+
+    def _into(self, node: int) -> list[tuple[int, int, int]]:
+        """Edges into a node; those of the windows used last are held."""
+        w = (node - 1) // WINDOW
+        held = self.windows.pop(w, None)
+        if held is None:
+            low, high = w * WINDOW, min(self.size, (w + 1) * WINDOW)
+            start, size, piece = _edges(self.pieces, self.data, self.end, self.covered, np.arange(max(0, low - self.reach), high))
+            target = start + size
+            some = np.flatnonzero((target > low) & (target <= high))
+            some = some[np.argsort(target[some], kind="stable")]
+            edge = np.searchsorted(target[some], np.arange(low + 1, high + 2)).tolist()
+            held = edge, start[some].tolist(), self.pieces.score[piece[some]].tolist(), piece[some].tolist()
+        while len(self.windows) >= WINDOWS:
+            del self.windows[next(iter(self.windows))]
+        self.windows[w] = held
+        edge, start, score, piece = held
+        k = node - 1 - w * WINDOW
+        a, b = edge[k], edge[k + 1]
+        return list(zip(start[a:b], score[a:b], piece[a:b], strict=True))
+
+    def n_best(self, n: int) -> list[tuple[int, list[int]]]:
+        return _search(0, self.size, self.forward, self._into, n)
+
+
 class Lattice:
     """The lattices of many units (bounds into one byte buffer), solved together."""
 
@@ -168,24 +275,7 @@ class Lattice:
         self.pieces, self.bounds = pieces, bounds
         n, units = len(data), np.arange(len(bounds) - 1)
         unit = np.repeat(units, np.diff(bounds))
-        end = bounds[1:][unit]
-        starts, sizes, ids = [], [], []
-        at = np.arange(n)
-        hashes_of = SpanHasher(data)
-        bare = np.flatnonzero(~_covered(data, pieces.points))
-        starts.append(bare)
-        sizes.append(np.ones(len(bare), dtype=np.int64))
-        ids.append(pieces.byte_id[data[bare]])
-        for length, (index, own) in pieces.by_length.items():  # shortest first
-            at = at[at + length <= end[at]]
-            if not len(at):
-                break
-            found = index.find(hashes_of(at, at + length))
-            hit = np.flatnonzero(found >= 0)
-            starts.append(at[hit])
-            sizes.append(np.full(len(hit), length))
-            ids.append(own[found[hit]])
-        start, size, piece = (np.concatenate(x) for x in (starts, sizes, ids))
+        start, size, piece = _edges(pieces, data, bounds[1:][unit], _covered(data, pieces.points), np.arange(n))
         # nodes: one more than bytes for each unit
         self.first, self.last = bounds[:-1] + units, bounds[1:] + units
         self.unit = np.repeat(units, np.diff(bounds) + 1)
@@ -253,20 +343,12 @@ class Lattice:
             order = np.argsort(self.target, kind="stable")
             self._by_target = order, np.searchsorted(self.target[order], np.arange(len(self.forward) + 1))
         order, edge = self._by_target
-        heap = [(-int(self.forward[last]), (), last, 0, ())]
-        out = []
-        while heap and len(out) < n:
-            f, cuts, node, done, ids = heapq.heappop(heap)
-            if node == first:
-                out.append((-f, list(ids)))
-                continue
-            for e in order[edge[node] : edge[node + 1]].tolist():
-                before = int(self.source[e])
-                ahead = int(self.forward[before])
-                if ahead > _NONE // 2:
-                    g = done + int(self.score[e])
-                    heapq.heappush(heap, (-(g + ahead), (*cuts, before), before, g, (int(self.piece[e]), *ids)))
-        return out
+
+        def into(node: int) -> list[tuple[int, int, int]]:
+            some = order[edge[node] : edge[node + 1]]
+            return list(zip(self.source[some].tolist(), self.score[some].tolist(), self.piece[some].tolist(), strict=True))
+
+        return _search(first, last, self.forward, into, n)
 
 
 def _units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -303,35 +385,57 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.first = self.size = self.total = self.gap = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int64)
         self.lists: dict[int, list[tuple[int, list[int]]]] = {}
+        self.held = 0
 
     def _lattice(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Lattice:
         at, _ = expand(starts, ends - starts)
         return Lattice(self.pieces, data[at], np.concatenate([[0], np.cumsum(ends - starts)]))
 
-    def _slots(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def _take(self, ids: np.ndarray, sizes: np.ndarray, total: np.ndarray, gap: np.ndarray) -> None:
+        """Adds units: their best ids one after the other, how many each has, scores and gaps."""
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+        self.total = np.concatenate([self.total, total])
+        self.gap = np.concatenate([self.gap, gap])
+
+    def _slots(self, data: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
         """Slot of each unit; new units are solved and get one."""
-        if len(self.slot) > REMEMBER:
+        if len(self.slot) > REMEMBER or self.held > REMEMBER_BYTES:
             self._forget()
-        keys, pick, same = np.unique(span_hashes(data, bounds[:-1], bounds[1:]), return_index=True, return_inverse=True)
-        get = self.slot.get
-        slots = np.array([get(k, -1) for k in keys.tolist()], dtype=np.int64)
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            lattice = self._lattice(data, bounds[pick[new]], bounds[pick[new] + 1])
+        starts, sizes = bounds[:-1], np.diff(bounds)
+        _, pick, same = np.unique(span_hashes(data, starts, bounds[1:]), return_index=True, return_inverse=True)
+        # units of one hash and other bytes, should there be any, go their own way
+        at, of = expand(starts, sizes)
+        like = sizes == sizes[pick][same]
+        other = expand(starts[pick][same], sizes)[0]
+        like[of[data[at] != data[np.minimum(other, len(data) - 1)]]] = False
+        odd = np.flatnonzero(~like)
+        pick, same[odd] = np.concatenate([pick, odd]), len(pick) + np.arange(len(odd))
+        raw = data.tobytes()
+        keys = [raw[a:b] for a, b in zip(bounds[pick].tolist(), bounds[pick + 1].tolist(), strict=True)]
+        fresh = {k: i for i, k in enumerate(keys) if k not in self.slot}
+        new = np.array(sorted(fresh.values(), key=lambda i: len(keys[i]) > LONG), dtype=np.int64)
+        long = [i for i in new.tolist() if len(keys[i]) > LONG]
+        for k, i in enumerate(new.tolist()):
+            self.slot[keys[i]] = len(self.first) + k
+            self.held += len(keys[i])
+        short = new[: len(new) - len(long)]
+        if len(short):
+            lattice = self._lattice(data, bounds[pick[short]], bounds[pick[short] + 1])
             best, edges = lattice.best_paths()
-            base = len(self.first)
-            slots[new] = base + np.arange(len(new))
-            self.slot.update(zip(keys[new].tolist(), slots[new].tolist(), strict=True))
-            self.first = np.concatenate([self.first, len(self.ids) + edges[:-1]])
-            self.size = np.concatenate([self.size, np.diff(edges)])
-            self.ids = np.concatenate([self.ids, lattice.piece[best]])
-            self.total = np.concatenate([self.total, lattice.forward[lattice.last]])
-            self.gap = np.concatenate([self.gap, lattice.gaps(best)])
-        return slots[same]
+            self._take(lattice.piece[best], np.diff(edges), lattice.forward[lattice.last], lattice.gaps(best))
+        for i in long:
+            unit = LongUnit(self.pieces, np.frombuffer(keys[i], dtype=np.uint8))
+            paths = unit.n_best(max(2, n))
+            gap = paths[0][0] - paths[1][0] if len(paths) > 1 else FAR_GAP
+            self.lists[len(self.first)] = paths[:n]
+            self._take(np.array(paths[0][1], dtype=np.int64), np.array([len(paths[0][1])]), np.array([paths[0][0]]), np.array([gap]))
+        return np.array([self.slot[k] for k in keys], dtype=np.int64)[same]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, int, list[tuple[int, list[tuple[int, list[int]]]]]]]:
         """For each row: ids, score, and the n best as (score, [(unit, its ids), ...] where it differs from the best)."""
@@ -345,7 +449,7 @@ class Encoder:
             yield from ((self.ids[:0], 0, [(0, [])]) for _ in sizes)
             return
         bounds = _units(spaced, grown)
-        slots = self._slots(spaced, bounds)
+        slots = self._slots(spaced, bounds, n)
         units = np.searchsorted(bounds, grown)
         where, _ = expand(self.first[slots], self.size[slots])
         ids = self.ids[where]

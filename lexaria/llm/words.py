@@ -9,6 +9,7 @@ by the text.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,30 +24,10 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
-    out = np.ones(n, dtype=np.uint64)
-    done = 1
-    while done < n:
-        step = min(done, n - done)
-        out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
-        done += step
-    return out
-
-
-_POW: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    have = _POW.get(base)
-    if have is None or len(have) < n:
-        have = _POW[base] = _powers(base, max(n, SEGMENT + 1024))
-    return have[:n]
+#: Bytes of a word up to which it is hashed eight bytes at a time; longer words go through BLAKE2b.
+LONG_WORD = 2048
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,22 +40,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class SpanHasher:
-    """64-bit hashes of data[start:end] for any spans of one byte array."""
-
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=self.prefix[1:])
-        self.scale = powers(_INVERSE, n + 1)
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.prefix[ends] - self.prefix[starts]) * self.scale[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return SpanHasher(data)(starts, ends)
+    """64-bit hashes of data[start:end].
+
+    Spans are taken eight bytes at a time, each step a bijective mix of what came
+    before and the next eight bytes, so spans of one length of up to eight bytes
+    never collide and longer ones do so by chance only (a polynomial modulo a
+    power of two would collide on regular words).  Very long spans are hashed one by one.
+    """
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    if not len(size):
+        return out
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    words = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    open_ = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at, left = starts[open_].astype(np.int64), size[open_]
+    while len(open_):
+        out[open_] = mix(out[open_] ^ (words[at] & _KEEP[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        open_, at, left = open_[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
