@@ -6,30 +6,37 @@ of PPM with escape method C and exclusion: in the longest known context with
 ``t`` occurrences of ``q`` distinct symbols, a symbol seen ``c`` times costs
 ``-log2(c / (t + q))``; otherwise the escape, ``-log2(q / (t + q))``, and the
 cost in the next shorter context, where symbols already seen are excluded; in
-the end all remaining byte values are equally likely.  A text's code length is
-the sum over its bytes; the shortest wins.
+the end all byte values not seen at all are equally likely.  A text's code length
+is the sum over its bytes; the shortest wins.
 
-As the statistics don't change, the cost of every symbol after every kept
-context is worked out once.  Scoring a byte is then two table lookups for all
-languages at a time, whatever the order.
+The trees of all languages share their nodes, which are kept sparsely with each
+language's own counts: memory follows the contexts of the sample, not the number
+of languages or of byte values, and no context is left out.  What follows a context
+excludes just the symbols seen in it, so the denominators below a context are kept
+with it, and code lengths are exact.  Those of all windows of the sample are
+worked out once; scoring looks a window up, and only windows that no language has
+walk the trees.
 
 Training takes at most ``per_language`` texts of each language (those with the
-smallest hash of the id): this is the bound on the sample.  The most frequent
-contexts of order ``ORDER`` are kept, as many as fit the table of costs; others
-fall back to the shorter context, so trees have variable depth.
+smallest hash of the id): this is the bound on the sample.
 
-Bytes beyond the ``SYMBOLS - 1`` most frequent ones share a symbol.
+Score.  The posterior of the chosen language with equal priors, per byte and not per
+text (texts of any length would otherwise all come to 1), times the fit: 1 up to the
+bound on the rate, and then the bound's share of the rate.  The rate is the bits a
+byte of the text's words of letters, so that numbers and keys don't count against a
+language; the bound is ``SLACK`` times the median of the sample's own rates.
 
 Definitions: null text and text without a letter get ``und`` with score 0.
 Ties go to the first language in sorted order.  Null languages are not learned;
-with nothing to learn from every text is ``und``.  The score is the posterior
-probability of the chosen language with equal priors.  Whole texts are scored,
-in pieces of bounded size that keep their context.  Repeated rows are judged
-alike; an empty table gives an empty result.
+with nothing to learn from every text is ``und``, and a filter keeps all texts with
+a letter and warns.  Whole texts are scored, in pieces of bounded size that keep
+their context.  Repeated rows are judged alike; an empty table gives an empty
+result.  Only the named columns are read; others may have any name.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +44,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexaria.llm.words import SEGMENT, bound_batches, chunks
+from lexaria.llm.words import SEGMENT, HashIndex, bound_batches, chunks, mix
 
 ORDER = 3
 UNDETERMINED = "und"
-SYMBOLS = 128
+#: A text fits as long as its rate is no more than so many times the sample's median.
+SLACK = 3.0
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
@@ -66,101 +76,122 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([lang] * len(own)), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "gram", "n"])
 
 
-class PpmModel:
-    """Frozen code lengths: cost[row * width + symbol, language], and the row of each context."""
+class _Level:
+    """Contexts of one order: each language's totals and distinct symbols, what they exclude one level below, and counts by symbol."""
+
+    def __init__(self, lang: np.ndarray, key: np.ndarray, n: np.ndarray, langs: int, below: _Level | None):
+        keys, at = np.unique(key, return_inverse=True)  # context and symbol
+        self.count = np.zeros((len(keys), langs))
+        np.add.at(self.count, (at, lang), n)
+        contexts, of = np.unique(keys >> 8, return_inverse=True)
+        self.edge, self.node = HashIndex(mix(keys.astype(np.uint64))), HashIndex(mix(contexts.astype(np.uint64)))
+        self.total, self.distinct, self.excluded = (np.zeros((len(contexts), langs)) for _ in range(3))
+        np.add.at(self.total, of, self.count)
+        np.add.at(self.distinct, of, (self.count > 0).astype(float))
+        if below is not None:
+            shorter = below.counts(keys & below.mask)
+            np.add.at(self.excluded, of, np.where(self.count > 0, shorter, 0.0))
+        self.keys, self.mask = keys, 0
+
+    def counts(self, key: np.ndarray) -> np.ndarray:
+        at = self.edge.find(mix(key.astype(np.uint64)))
+        return np.where((at >= 0)[:, None], self.count[at], 0.0)
+
+
+def _in_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each byte, whether it belongs to a word of letters only (bytes beyond ASCII count as letters)."""
+    inside = _ALNUM[data]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    first = offsets[:-1][offsets[:-1] < len(data)]
+    start[first] = inside[first]
+    run = np.cumsum(start)
+    digit = np.bincount(run[inside & (data < 58)], minlength=int(run[-1]) + 1 if len(run) else 1) > 0
+    return inside & ~digit[run]
+
 
-    def __init__(self, languages: list[str], symbol: np.ndarray, width: int, row_of: np.ndarray, cost: np.ndarray):
-        self.languages, self.symbol, self.width, self.row_of, self.cost = languages, symbol, width, row_of, cost
+class PpmModel:
+    """Frozen context trees of all languages, and the costs of the sample's windows."""
+
+    def __init__(self, languages: list[str], lang: np.ndarray, grams: np.ndarray, n: np.ndarray):
+        self.languages, self.levels, below = languages, [], None
+        for k in range(ORDER + 1):
+            mask = (1 << 8 * (k + 1)) - 1
+            level = _Level(lang, grams & mask, n, len(languages), below)
+            level.mask = mask
+            self.levels.append(level)
+            below = level
+        self.windows = self.levels[-1].edge
+        self.cost = self._costs(self.levels[-1].keys).astype(np.float32)
+        #: Bits a byte up to which a text fits; set by train.
+        self.bound = float("inf")
+
+    def _costs(self, window: np.ndarray) -> np.ndarray:
+        """Cost of each window's last byte after the bytes before it, in each language."""
+        shape = (len(window), len(self.languages))
+        out, open_ = np.zeros(shape), np.ones(shape, dtype=bool)
+        seen, dropped = np.zeros(shape), np.zeros(shape)  # symbols excluded so far, and their counts here
+        for level in reversed(self.levels):
+            key = window & level.mask
+            node = level.node.find(mix((key >> 8).astype(np.uint64)))
+            known = (node >= 0)[:, None]
+            count, total, distinct = level.counts(key), np.where(known, level.total[node], 0.0), np.where(known, level.distinct[node], 0.0)
+            rest, fresh = total - dropped, distinct - seen
+            base = np.log2(np.maximum(rest + fresh, 1))
+            hit = open_ & (count > 0)
+            out = np.where(hit, out + base - np.log2(np.maximum(count, 1)), out)
+            open_ &= ~hit
+            out = np.where(open_ & (rest > 0), out + base - np.log2(np.maximum(fresh, 1)), out)
+            seen, dropped = distinct, np.where(known, level.excluded[node], 0.0)
+        return np.where(open_, out + np.log2(np.maximum(256 - seen, 1)), out)
 
     def _symbol_costs(self, data: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Cost of each byte in each language; place: how far into its text it is."""
-        s = self.symbol[data]
-        start = self.symbol[0]
-        context = np.zeros(len(s), dtype=np.int32)
-        for i in range(ORDER, 0, -1):
-            before = np.full(len(s), start)
-            before[i:] = s[:-i]
-            before[place < i] = start
-            context = context * self.width + before
-        return self.cost[self.row_of[context] * self.width + s]
-
-    def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Code length of each row (offsets into data) in each language."""
-        out = np.zeros((len(offsets) - 1, len(self.languages)))
-        sizes = np.diff(offsets)
+        window = data.astype(np.int64)
+        for i in range(1, ORDER + 1):
+            before = np.zeros(len(data), dtype=np.int64)
+            before[i:] = data[:-i]
+            before[place < i] = 0
+            window |= before << 8 * i
+        at = self.windows.find(mix(window.astype(np.uint64)))
+        cost = self.cost[at]
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            some, which = np.unique(window[miss], return_inverse=True)
+            cost[miss] = self._costs(some).astype(np.float32)[which]
+        return cost
+
+    def bits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code length of each row (offsets into data) in each language, that of its words of letters, and the bytes of these."""
+        rows, langs = len(offsets) - 1, len(self.languages)
+        out, words = np.zeros((rows, langs)), np.zeros((rows, langs))
+        inside = _in_words(data, offsets)
+        sizes, full = np.diff(offsets), np.flatnonzero(np.diff(offsets))
+        letters = np.zeros(rows)
+        if len(full):
+            letters[full] = np.add.reduceat(inside.astype(np.int64), offsets[:-1][full])
         if len(sizes) == 1:  # a long text, piece by piece
             for at in range(0, len(data), SEGMENT):
                 low = max(0, at - ORDER)
                 piece = data[low : at + SEGMENT]
-                out[0] += self._symbol_costs(piece, np.arange(low, low + len(piece)))[at - low :].sum(0, dtype=np.float64)
-            return out
-        full = np.flatnonzero(sizes)
-        if len(full):
+                cost = self._symbol_costs(piece, np.arange(low, low + len(piece)))[at - low :]
+                out[0] += cost.sum(0, dtype=np.float64)
+                words[0] += cost[inside[at : at + SEGMENT]].sum(0, dtype=np.float64)
+        elif len(full):
             cost = self._symbol_costs(data, np.arange(len(data)) - np.repeat(offsets[:-1], sizes))
             out[full] = np.add.reduceat(cost, offsets[:-1][full], axis=0, dtype=np.float64)
-        return out
-
-
-def ppm_probabilities(counts: list[np.ndarray], others: int) -> np.ndarray:
-    """P(byte | context) by symbol for rows of contexts; counts: by order from the longest to 0, each (rows, symbols).
+            words[full] = np.add.reduceat(cost * inside[:, None], offsets[:-1][full], axis=0, dtype=np.float64)
+        return out, words, letters
 
-    others: byte values that have no symbol of their own but share the last one.
-    """
-    rows, width = counts[0].shape
-    p = np.zeros((rows, width))
-    mass = np.ones((rows, 1))
-    seen = np.zeros((rows, width), dtype=bool)
-    for c in counts:
-        left = np.where(seen, 0.0, c)
-        total = left.sum(1, keepdims=True)
-        distinct = (left > 0).sum(1, keepdims=True)
-        base = np.maximum(total + distinct, 1)
-        p += mass * left / base
-        mass = np.where(total > 0, mass * distinct / base, mass)
-        seen |= c > 0
-    weight = np.ones(width)
-    weight[-1] = others
-    left = np.where(seen, 0.0, weight)
-    room = left.sum(1, keepdims=True)
-    p += np.where(room > 0, mass * left / np.maximum(room, 1), 0.0)
-    p[:, -1] /= max(others, 1)  # of each byte value
-    return p
-
-
-def build_model(languages: list[str], lang: np.ndarray, grams: np.ndarray, n: np.ndarray) -> PpmModel:
-    """The model of summed window counts; lang: index of the language of each window."""
-    window = (grams[:, None] >> (8 * np.arange(ORDER, -1, -1))) & 255
-    by_byte = np.bincount(window[:, -1], weights=n, minlength=256)
-    by_byte[0] = by_byte.max(initial=0) + 1  # what stands before a text
-    own = np.argsort(-by_byte, kind="stable")[: SYMBOLS - 1]
-    own = np.sort(own[by_byte[own] > 0])
-    width = len(own) + 1
-    symbol = np.full(256, width - 1, dtype=np.int32)
-    symbol[own] = np.arange(len(own))
-    w = symbol[window].astype(np.int64)
-    code = np.zeros(len(w), dtype=np.int64)
-    for i in range(ORDER):
-        code = code * width + w[:, i]
-    langs, last = len(languages), w[:, -1]
-    long = np.unique(code)  # every context of the sample, which is bounded
-    short = np.arange(width ** (ORDER - 1))
-    row_of = np.tile(short, width).astype(np.int32)  # by default the row of the shorter context
-    row_of[long] = len(short) + np.arange(len(long))
-    cost = np.empty((len(short) + len(long), width, langs), dtype=np.float32)
-    for i in range(langs):
-        mine = lang == i
-        tables = [np.bincount(code[mine] % width**k * width + last[mine], weights=n[mine], minlength=width ** (k + 1)).reshape(-1, width) for k in range(ORDER)]
-        at = np.searchsorted(long, code[mine])
-        hit = (at < len(long)) & (long[np.minimum(at, len(long) - 1)] == code[mine]) if len(long) else np.zeros(int(mine.sum()), dtype=bool)
-        top = np.bincount(at[hit] * width + last[mine][hit], weights=n[mine][hit], minlength=len(long) * width).reshape(-1, width)
-        for rows, longest, base in ((short, None, 0), (long, top, len(short))):
-            for a in range(0, len(rows), 4096):
-                part = rows[a : a + 4096]
-                counts = [t[part % width**k] for k, t in reversed(list(enumerate(tables)))]
-                if longest is not None:
-                    counts.insert(0, longest[a : a + 4096])
-                cost[base + a : base + a + len(part), :, i] = -np.log2(np.maximum(ppm_probabilities(counts, 256 - len(own)), 1e-30))
-    return PpmModel(languages, symbol, width, row_of, cost.reshape(-1, langs))
+    def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row: the language of the shortest code, the score, the rate (0 without words of letters), and whether it fits."""
+        bits, words, letters = self.bits(data, offsets)
+        best, least = bits.argmin(1), bits.min(1, keepdims=True)
+        posterior = 1.0 / np.exp2((least - bits) / np.maximum(np.diff(offsets), 1)[:, None]).sum(1)
+        rate = words[np.arange(len(best)), best] / np.maximum(letters, 1)
+        # the first bytes of a text have no context and cost more: they are allowed as many bits as bytes can have
+        allowed = self.bound + 8.0 * ORDER / np.maximum(letters, 1)
+        return best, posterior * np.minimum(1.0, allowed / np.maximum(rate, 1e-9)), rate, rate <= allowed
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600) -> PpmModel | None:
@@ -181,8 +212,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not languages:
         return None
     index = {x: i for i, x in enumerate(languages)}
-    grams = grams.sort_values(["lang", "gram"])
-    return build_model(languages, grams["lang"].map(index).to_numpy(), grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.float64))
+    model = PpmModel(languages, grams["lang"].map(index).to_numpy(), grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.float64))
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [held.value.judge(data, offsets)[2] for _, _, data, offsets in chunks(batch.column(0))]
+            yield pa.record_batch([pa.array(np.concatenate(out) if out else np.zeros(0))], ["rate"])
+
+    measured = sample.filter(F.octet_length("text") > 8 * ORDER).select("text").mapInArrow(rates, "rate double").agg(F.percentile("rate", F.lit(0.5)).alias("r")).first().r
+    if measured:
+        model.bound = SLACK * measured
+    return model
 
 
 def predict(docs: DataFrame, model: PpmModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,9 +243,7 @@ def predict(docs: DataFrame, model: PpmModel | None, id_col: str = "doc_id", tex
             names = np.array([UNDETERMINED] if ppm is None else [*ppm.languages, UNDETERMINED], dtype=object)
             if ppm is not None:
                 for first, last, data, offsets in chunks(batch.column(1)):
-                    bits = ppm.bits(data, offsets)
-                    best[first:last] = bits.argmin(1)
-                    score[first:last] = 1.0 / np.exp2(bits.min(1, keepdims=True) - bits).sum(1)
+                    best[first:last], score[first:last], _, _ = ppm.judge(data, offsets)
             best[~letters] = len(names) - 1
             score[~letters] = 0.0
             if ppm is None:
@@ -214,25 +253,27 @@ def predict(docs: DataFrame, model: PpmModel | None, id_col: str = "doc_id", tex
     return rows.mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs whose language can be told, in one pass; all columns stay as they are.
 
-    Rejected are texts that are null or have no letter, and those where no
-    language has a posterior of least. Learns from the rows that are not held
-    out (CRC-32 of the id modulo 4 is not 2).
+    Rejected are texts that are null or have no letter, and those whose rate in the
+    best language is beyond the bound (see the score): noise, and languages that
+    weren't learned. Learns from the rows that are not held out
+    (CRC-32 of the id modulo 4 is not 2). Where none of them has a language, all
+    texts with a letter stay, with a warning.
     """
     bound_batches(docs.sparkSession)
     model = train(docs.filter(~held_out(id_col, 4, 2)), id_col, text_col, lang_col)
+    lettered = docs.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     if model is None:
-        return docs.limit(0)
+        warnings.warn("no text has a language to learn from: no text is rejected for its language", stacklevel=2)
+        return lettered
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def posterior(texts: pa.Array) -> pa.Array:
-        out = np.zeros(len(texts))
+    def fits(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts), dtype=bool)
         for first, last, data, offsets in chunks(texts):
-            bits = held.value.bits(data, offsets)
-            out[first:last] = 1.0 / np.exp2(bits.min(1, keepdims=True) - bits).sum(1)
+            out[first:last] = held.value.judge(data, offsets)[3]
         return pa.array(out)
 
-    lettered = docs.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    return lettered.filter(F.arrow_udf(posterior, "double")(F.col(text_col).cast("string")) >= least)
+    return lettered.filter(F.arrow_udf(fits, "boolean")(F.col(text_col).cast("string")))
