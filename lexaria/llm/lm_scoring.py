@@ -13,7 +13,7 @@ round gets.  Steps so grow with the tokens, and weights don't depend on how rows
 lie in partitions.  Every token of every text is scored once, in overlapping
 windows that see the block before (see ``attention``).
 
-Counts of the ``FREQUENT`` most frequent words are broadcast; those of all
+Counts of the most frequent words, ``FREQUENT`` at most, are broadcast; those of all
 other words come by a join on the word's 64-bit hash, so no table that grows
 with the corpus is broadcast, and the two ways give the same sums.
 
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexaria.llm.attention import Attention, Vocabulary, blocks_of
-from lexaria.llm.scratch import Scratch
+from lexaria.llm.scratch import Scratch, least_count
 from lexaria.llm.words import HashIndex, bound_batches, chunk_words, chunks, expand
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -256,7 +256,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     facts = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).first()
     texts = counted.filter("kind = 3").agg(F.sum("n").alias("n")).first().n or 0
     total, distinct = (facts.tokens or 0) + texts, facts.distinct + (texts > 0)
-    top = words.orderBy(F.desc("n"), "h").limit(frequent).toPandas()
+    top = words.filter(F.col("n") >= least_count(words, "n", frequent)).toPandas().sort_values("h")
     keys, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
 
     subword = np.zeros(Subwords(file).size)

@@ -1,8 +1,10 @@
 """Exact Jaccard self-join of word-shingle sets, size-aware (heavy-light).
 
 Two texts link when ``100 * |A & B| >= 80 * |A | B|`` for their sets of distinct
-5-word shingles (64-bit hashes).  Every step below is a necessary condition, so
-no link is lost; the last step counts the intersection exactly.
+5-word shingles.  A shingle is its 64-bit hash, and equality of sets that of a
+128-bit digest: results are exact for sets of hashes, and words aren't compared.
+Every step below is a necessary condition, so no link is lost; the last step counts
+the intersection exactly.
 
 1. *Sets.*  One pass over the texts makes each set, its 128-bit digest and its
    extended prefix: the ``n - ceil(0.8 n) + l`` smallest hashes, ``l = n // 20``.
@@ -23,7 +25,6 @@ no link is lost; the last step counts the intersection exactly.
    central member; exact links join components.  Then, inside each list, only
    pairs that still lie in different components and that the size and position
    bounds allow.  A group of copies so costs its size and not its square.
-   ``similar_pairs`` skips the first round and returns every link.
 5. *Counting links* (``jaccard_links`` only).  Linked sets share a component and
    differ in size by a quarter at most.  So each component's sets go to blocks
    by classes of size, large classes to several; two blocks of one or of
@@ -32,8 +33,10 @@ no link is lost; the last step counts the intersection exactly.
 
 Definitions.  Null or empty texts and texts without words have an empty set and
 link with nothing.  Rows with a null id get their set size, take no part in
-links and have a null component.  Repeated rows count as equal texts.  Ties do
-not occur: the component's id is the smallest doc_id that links reach.
+links and have a null component.  Repeated rows count as equal texts.  Rows with
+equal ids and different texts are one node: the id links with all that either text
+links with.  Ties do not occur: the component's id is the smallest doc_id that links
+reach.  Whole texts of any length are read; an empty table gives an empty result.
 Only the id and the text column are read; other columns may have any name.
 """
 
@@ -47,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexaria.llm.scratch import Scratch, broadcast_if_small
+from lexaria.llm.scratch import Scratch, broadcast_if_small, least_count
 from lexaria.llm.words import chunk_words, chunks, mix, shingle_hashes, short_hash
 
 WORDS = 5
@@ -55,6 +58,8 @@ WORDS = 5
 FLUSH = 1 << 21
 #: Entries of the table of the most frequent hashes. It only orders hashes: any order gives the same links.
 FREQUENT = 1 << 16
+#: Sets, at most, whose texts are many enough to be dealt without a shuffle.
+HOT = 1000
 #: Rows that a posting of an inverted list costs: its own, and one against the list's lead. A subset costs its own row.
 SCANS = 2
 #: Sets and hashes of a block whose links are counted, and columns of a matrix product.
@@ -297,7 +302,7 @@ class JaccardJoin:
 
         counts = self.sets.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
         counts = self.scratch.table(counts.filter("c > 1"), "none")
-        top = counts.filter("c > 4").orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas().sort_values("h")
+        top = counts.filter(F.col("c") >= least_count(counts, "c", FREQUENT, 5)).toPandas().sort_values("h")
         self.scratch.drop(counts)
         frequent = {"h": top["h"].to_numpy(np.int64), "c": top["c"].to_numpy(np.int64)}
         self.boundary = _boundary(self.sets)
@@ -310,18 +315,13 @@ class JaccardJoin:
     def _spread(self) -> int:
         return int(self.members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def _links(self, rows: DataFrame, parted: bool) -> DataFrame:
-        """Exact links of the pairs within lists; with parted only of pairs whose components differ."""
+    def _links(self, rows: DataFrame) -> DataFrame:
+        """Exact links of the pairs within lists whose components differ."""
         x, y = rows.alias("x"), rows.alias("y")
-        on = (F.col("x.key") == F.col("y.key")) & _possible("x", "y")
-        on = on & (F.col("x.root") != F.col("y.root")) & (F.col("x.sid") < F.col("y.sid")) if parted else on & (F.col("x.sid") < F.col("y.sid"))
+        on = (F.col("x.key") == F.col("y.key")) & _possible("x", "y") & (F.col("x.root") != F.col("y.root")) & (F.col("x.sid") < F.col("y.sid"))
         pairs = x.join(y, on).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
         return _verified(pairs, self.sets)
 
-    def all_links(self) -> DataFrame:
-        """Every link between different sets: a, b (smallest doc_ids that have them), common, na, nb."""
-        return self._links(self.keys.select("key", "sid", "n", "rest"), parted=False)
-
     def classes(self) -> DataFrame:
         """(sid, root) of every set that links with another."""
         x = self.keys.select("key", "sid", "n", "rest", "lead").alias("x")
@@ -333,7 +333,7 @@ class JaccardJoin:
         rows = self.keys.join(first.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         open_ = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
         rows = self.scratch.table(rows.join(open_, "key").select("key", "sid", "n", "rest", "root"), "none")
-        more = self._links(rows, parted=True)
+        more = self._links(rows)
         root = rows.select("sid", "root").distinct()
         more = more.join(root.select(F.col("sid").alias("a"), F.col("root").alias("ra")), "a").join(root.select(F.col("sid").alias("b"), F.col("root").alias("rb")), "b")
         second = components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b")), self.scratch)
@@ -342,14 +342,28 @@ class JaccardJoin:
         return first.join(second, "root", "left").select(F.col("node").alias("sid"), F.coalesce("top", "root").alias("root")).unionByName(alone)
 
 
+def _dealt(members: DataFrame, classes: DataFrame, names: list[str], scratch: Scratch) -> DataFrame:
+    """members with the columns of their set's class (hi, lo, texts and these names).
+
+    Of N members at most ``HOT`` sets have more than ``N / HOT``: those are broadcast,
+    so that a set that a third of all texts have isn't gathered in one task.
+    """
+    least = max(1000, members.count() // HOT)
+    hot = scratch.table(classes.filter(F.col("texts") > least).select("hi", "lo", *(F.col(c).alias(f"__{c}") for c in names), F.lit(True).alias("__hot")))
+    rows = members.join(F.broadcast(hot), ["hi", "lo"], "left")
+    ready = rows.filter("__hot").select("doc_id", "n", *(F.col(f"__{c}").alias(c) for c in names))
+    others = rows.filter("__hot is null").select("doc_id", "n", "hi", "lo")
+    return ready.unionByName(others.join(classes, ["hi", "lo"]).select("doc_id", "n", *names))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     join = JaccardJoin(docs, id_col, text_col)
     classes = join.scratch.table(join.classes())
     members = join.members
-    whole = members.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    whole = whole.join(classes.withColumnRenamed("sid", "rep"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("component_id"))
-    full = members.filter("n > 0 and doc_id is not null").join(whole, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    whole = members.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("texts"))
+    whole = join.scratch.table(whole.join(classes.withColumnRenamed("sid", "rep"), "rep", "left").select("hi", "lo", "texts", F.coalesce("root", "rep").alias("component_id")))
+    full = _dealt(members.filter("n > 0 and doc_id is not null"), whole, ["component_id"], join.scratch).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = members.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(rest)
 
@@ -444,20 +458,12 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = join.sets.join(classes, "sid").join(whole.select(F.col("rep").alias("sid"), "texts"), "sid")
     links = join.scratch.table(_link_counts(join.scratch.table(sets, "none")))
     whole = whole.join(classes.withColumnRenamed("sid", "rep"), "rep", "left").join(links.withColumnRenamed("sid", "rep"), "rep", "left")
-    whole = whole.select("hi", "lo", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).cast("long").alias("n_links"))
-    full = members.filter("n > 0 and doc_id is not null").join(whole, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    whole = join.scratch.table(whole.select("hi", "lo", "texts", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).cast("long").alias("n_links")))
+    full = _dealt(members.filter("n > 0 and doc_id is not null"), whole, ["component_id", "n_links"], join.scratch).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     rest = members.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return full.unionByName(rest)
 
 
-def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All links between different sets (a, b, common, na, nb), and membership (doc_id, sid)."""
-    join = JaccardJoin(docs, id_col, text_col)
-    members = join.members.filter("n > 0 and doc_id is not null")
-    whole = members.groupBy("hi", "lo").agg(F.min("doc_id").alias("sid"))
-    return join.all_links(), members.join(whole, ["hi", "lo"]).select("doc_id", "sid")
-
-
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, one of each group of near copies: the one with the smallest id. Rows with equal ids go together; null ids stay."""
     found = jaccard_components(docs, id_col, text_col)

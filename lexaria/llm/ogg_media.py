@@ -10,9 +10,12 @@ The reader checks every page's checksum and sequence number, reassembles
 packets from lacing values, sorts them by serial number, derives each packet's
 first sample from the granule positions, and interleaves the streams again.
 
-Definitions: null text is empty; an empty payload is padded to one unit.  Equal
-payloads give equal bytes (serial numbers are fixed).  A damaged file raises
-``OggError``.
+Definitions: null text is empty; an empty payload is padded to one unit; an empty
+table gives an empty result.  Equal payloads give equal bytes (serial numbers are
+fixed), so ties and repeated rows come out alike.  A damaged file raises
+``OggError``.  Whole texts are stored, of any length: a text is one value and takes a
+few times its bytes while it is written or read.  Only the id and the text column are
+read; others may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexaria.llm.words import bound_batches, give_back
+
 UNIT, BLOCK, STREAMS, RATE = 192, 3072, 2, 8000
+#: Bytes of files in one batch of rows, or one file.
+HELD = 4 << 20
 MAGIC = b"OggS"
 HEADER = b"LXPCM8\0\1"
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
@@ -183,7 +190,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         while at < len(texts):  # bounded output batches
             ids, sizes, media, held = [], [], [], 0
-            while at < len(texts) and held < 1 << 24:
+            while at < len(texts) and held < HELD:
                 text = (texts[at].as_py() or "").encode()
                 media.append(write_ogg(payload_of(text)))
                 sizes.append(len(text))
@@ -191,10 +198,12 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held += len(media[-1])
                 at += 1
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], schema=schema)
+        give_back()
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: each whole text as an Ogg file in a binary column."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
 

@@ -15,11 +15,6 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"))
-
-
-def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of op1_ngram_jaccard_join with each document's number of links."""
     return ngram_join.jaccard_links(_read(spark, sf_dir, "documents"))
 
 
@@ -78,7 +73,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-    "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
     "op2_language_id": op2_language_id,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_decontamination": op4_decontamination,
@@ -111,7 +105,8 @@ ORACLES: dict[str, str] = {
         p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
         l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
         r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
-        SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2""",
+        SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, (SELECT count(*) FROM l WHERE l.a = n.doc_id) AS n_links
+        FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2""",
     "op4_decontamination": f"""
         WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents),
         ds AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM d),

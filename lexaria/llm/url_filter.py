@@ -5,12 +5,16 @@ blocks: a key sets one bit in each of the eight 64-bit words of one block.  The
 filter is a table of blocks, built by ``bit_or`` aggregation.  A URL without a
 rule looks up its block; only possible hits go on to the exact join on the
 canonical URL, which removes false positives.  So the shuffle carries hits, not
-pages.  The table of blocks is broadcast while it is small (its size follows
-from the counted list) and joined by a shuffle beyond that.
+pages.  While the list is small (its rows and bytes are counted) both tables are
+broadcast and pages are read once and never shuffled; beyond that the table of blocks
+is joined by a shuffle, what it says is written, and hits alone go on to the join.
 
 Definitions: a null URL or one without ``://`` has empty host, path and
-canonical form, fits no rule and is never listed.  Repeated list entries count
-once; repeated pages are judged one by one.  An empty list blocks nothing.
+canonical form, fits no rule and is never listed.  Of several rules that fit the one
+with the longest host and path wins, of equally long ones the first given.  Repeated
+list entries count once; repeated pages are judged one by one.  An empty list blocks
+nothing; an empty table gives an empty result.  URLs of any length are judged whole.
+Only the named columns are read; others may have any name.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexaria.llm.scratch import BROADCAST_BYTES, Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS, KEYS_PER_BLOCK = 8, 32
-#: Blocks (72 bytes each) up to which the filter is broadcast.
-BROADCAST_BLOCKS = 1 << 18
 
 
 def host_of(url: Column) -> Column:
@@ -72,21 +76,25 @@ def bloom_blocks(keys: DataFrame, key_col: str, blocks: int) -> DataFrame:
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", listed_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages; listed URLs without a rule are blocked."""
     keys = listed.select(canonical(F.col(listed_col)).alias("canon")).filter("canon != ''").distinct()
-    blocks = max(1, -(-keys.count() // KEYS_PER_BLOCK))
+    size = keys.agg(F.count("*").alias("n"), F.sum(F.octet_length("canon") + 32).alias("bytes")).first()
+    blocks = max(1, -(-size.n // KEYS_PER_BLOCK))
+    small = (size.bytes or 0) <= BROADCAST_BYTES
     table = bloom_blocks(keys, "canon", blocks)
-    if blocks <= BROADCAST_BLOCKS:
-        table = F.broadcast(table)
     url = F.col("u")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("u"))
     rows = rows.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canon"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("verdict", verdict)
-    ruled = rows.filter("rule is not null").drop("canon")
-    free = rows.filter("rule is null").select("page_id", "host", "path", "canon", "rule", *_place(F.col("canon"), blocks))
+    held = ["page_id", "host", "path", "canon", "rule", "verdict"]
+    rows = rows.select(*held, *_place(F.when(F.col("rule").isNull() & (F.col("canon") != ""), F.col("canon")), blocks))
     hit = reduce(lambda a, b: a & b, (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}") for i in range(WORDS)))
-    free = free.join(table, "block", "left").withColumn("hit", F.coalesce(hit, F.lit(False)) & (F.col("canon") != ""))
-    possible = free.filter("hit").select("page_id", "host", "path", "canon", "rule")
-    exact = possible.join(keys.withColumn("on_list", F.lit(True)), "canon", "left").withColumn("verdict", F.when(F.col("on_list"), F.lit("block")).otherwise(F.lit("allow")))
-    missed = free.filter(~F.col("hit")).withColumn("verdict", F.lit("allow"))
+    free = F.col("rule").isNull() & (F.col("canon") != "")
+    passed = rows.join(F.broadcast(table) if small else table, "block", "left").withColumn("probe", F.when(free & F.coalesce(hit, F.lit(False)), F.col("canon"))).select(*held, "probe")
     names = ["page_id", "host", "path", "rule", "verdict"]
-    return ruled.select(names).unionByName(exact.select(names)).unionByName(missed.select(names))
+    exact = keys.select(F.col("canon").alias("probe"), F.lit(True).alias("on_list"))
+    said = F.coalesce("verdict", F.when(F.col("on_list"), "block").otherwise("allow")).alias("verdict")
+    if small:
+        return passed.join(F.broadcast(exact), "probe", "left").select("page_id", "host", "path", "rule", said)
+    passed = Scratch(pages.sparkSession, "url_filter").table(passed)
+    found = passed.filter("probe is not null").join(exact, "probe", "left").select("page_id", "host", "path", "rule", said)
+    return found.unionByName(passed.filter("probe is null").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict")).select(names))

@@ -2,9 +2,9 @@
 
 An archive is the bytes of a ``.warc.zst`` file: a skippable frame (magic
 ``184D2A5D``) that holds the dictionary, then one Zstandard frame for each
-record.  The dictionary is trained on the archive's own records, on at most
-``SAMPLE`` bytes of them (training needs no more); archives too small to train
-on take the raw bytes of their first records.  Tasks write archives of at most
+record.  The dictionary is trained on the archive's own records, on an even share of
+each of them that comes to some ``SAMPLE`` bytes (training needs no more); archives
+too small to train on take the raw bytes of their records.  Tasks write archives of at most
 ``ARCHIVE`` bytes of payload into a table in the shared folder, one archive per
 row, so no executor depends on another one's disk; a lost task writes its own
 part again.
@@ -12,12 +12,16 @@ part again.
 Of records with equal payloads (of at least ``min_bytes``) the one with the
 largest page id is the response; the others are revisits that refer to it and
 hold no payload.  The groups are found by aggregation on the payload's SHA-1
-and length, which combines on the map side; a payload that very many pages
-share is joined back by a join that adaptive execution can split.
+and length, which combines on the map side; only those of several records go on.
+While they are few they are broadcast, so no page is shuffled; beyond that pages
+meet them in a join that adaptive execution can split.
 
 Definitions: null html is an empty payload; null URLs are empty target URIs;
 a null page id is never the largest unless all are null, and then each such
-record is a response.  Equal page ids with equal payloads are all responses.
+record is a response.  Equal page ids with equal payloads are all responses.  An
+empty table gives no archive.  Whole pages are stored, of any length: a page is one
+value, and an archive holds at least one.  Only the named columns are read; others
+may have any name.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaria.llm.scratch import Scratch
+from lexaria.llm.scratch import Scratch, broadcast_if_small
+from lexaria.llm.words import bound_batches
 
 SKIPPABLE = 0x184D2A5D
 ARCHIVE = 8 << 20
@@ -98,12 +103,11 @@ def read_record(record: bytes) -> tuple[int | None, int, str, str, int | None, s
 
 def write_archive(records: list[bytes]) -> bytes:
     """Dictionary in a leading skippable frame, then a frame for each record."""
-    sample, held = [], 0
-    for r in records:
-        if held >= SAMPLE:
-            break
-        sample.append(r[: SAMPLE - held])
-        held += len(sample[-1])
+    share = min(1.0, SAMPLE / max(1, sum(map(len, records))))
+    sample = [r[: max(1, int(len(r) * share))] if share < 0.25 and len(r) > 4096 else r for r in records]
+    every = max(1, sum(map(len, sample)) // SAMPLE)  # records of some length give a part, short ones every so often
+    sample = sample[::every]
+    held = sum(map(len, sample))
     data = b"".join(sample)[:DICTIONARY]
     kind = zstandard.DICT_TYPE_RAWCONTENT
     if len(sample) >= 16 and held >= 8 * 4096:
@@ -173,10 +177,13 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = rows.withColumn("sum", F.sha1(payload.cast("binary"))).withColumn("size", F.octet_length(payload))
-    last = rows.groupBy("sum", "size").agg(F.max("page_id").alias("last"))
-    marked = rows.join(last, ["sum", "size"]).withColumn("response", F.col("last").isNull() | (F.col("size") < min_bytes) | F.col("page_id").eqNullSafe(F.col("last")))
+    scratch = Scratch(pages.sparkSession, "warc")
+    last = rows.groupBy("sum", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("pages"))
+    last = scratch.table(last.filter(f"pages > 1 AND last IS NOT NULL AND size >= {int(min_bytes)}").drop("pages"))
+    marked = rows.join(broadcast_if_small(last, last.count(), 128), ["sum", "size"], "left").withColumn("response", F.col("last").isNull() | F.col("page_id").eqNullSafe(F.col("last")))
     marked = marked.select("page_id", "url", "html", "response", F.when(~F.col("response"), F.col("last")).alias("refers_to"))
-    return Scratch(pages.sparkSession, "warc").table(marked.mapInArrow(_write, "records long, warc binary"), "none")
+    bound_batches(pages.sparkSession)
+    return scratch.table(marked.mapInArrow(_write, "records long, warc binary"), "none")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
