@@ -108,16 +108,18 @@ ORACLES: dict[str, str] = {
         SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, (SELECT count(*) FROM l WHERE l.a = n.doc_id) AS n_links
         FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2""",
     "op4_decontamination": f"""
-        WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents),
-        ds AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM d),
-        b AS (SELECT DISTINCT item_id, {_words("text")} AS w FROM benchmark),
-        i AS (SELECT item_id, len(w) AS m, {_SHINGLES} AS l FROM b WHERE len(w) > 0),
-        bs AS (SELECT item_id, s, min(CASE WHEN m < 5 OR k + 5 > m - greatest(1, m // 4) THEN 1 ELSE 0 END) AS late
-            FROM (SELECT item_id, m, unnest(l) AS s, unnest(range(len(l))) AS k FROM i) GROUP BY 1, 2),
-        n AS (SELECT item_id, count(*) FILTER (WHERE late = 0) AS n_question, count(*) FILTER (WHERE late = 1) AS n_answer FROM bs GROUP BY 1),
-        h AS (SELECT doc_id, item_id, count(*) FILTER (WHERE late = 0) AS question_hits, count(*) FILTER (WHERE late = 1) AS answer_hits FROM ds JOIN bs USING (s) GROUP BY 1, 2)
-        SELECT doc_id, item_id, n_question, n_answer, question_hits, answer_hits FROM h JOIN n USING (item_id)
-        WHERE 5 * (question_hits + answer_hits) >= 4 * (n_question + n_answer) AND (question_hits > 0 OR n_question = 0) AND (answer_hits > 0 OR n_answer = 0)""",
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_words("text")} AS w FROM documents),
+        dp AS (SELECT doc_id, r, len(w) AS n, unnest({_SHINGLES}) AS s, unnest(range(greatest(1, len(w) - 4))) AS k FROM d WHERE len(w) > 0),
+        b AS (SELECT DISTINCT item_id, text, {_words("text")} AS w FROM benchmark),
+        i AS (SELECT item_id, text, len(w) AS m, CAST(greatest(8, pow(2, ceil(log2(len(w))))) AS BIGINT) AS span, {_SHINGLES} AS l FROM b WHERE len(w) > 0),
+        bs AS (SELECT item_id, text, span, s, min(CASE WHEN m < 5 OR k + 5 > m - greatest(1, m // 4) THEN 1 ELSE 0 END) AS late
+            FROM (SELECT item_id, text, span, m, unnest(l) AS s, unnest(range(len(l))) AS k FROM i) GROUP BY 1, 2, 3, 4),
+        n AS (SELECT item_id, text, count(*) FILTER (WHERE late = 0) AS n_question, count(*) FILTER (WHERE late = 1) AS n_answer FROM bs GROUP BY 1, 2),
+        m AS (SELECT r, doc_id, item_id, text, s, late, unnest(CASE WHEN k >= span AND k % span + 4 < span THEN [k // span, k // span - 1] ELSE [k // span] END) AS p FROM dp JOIN bs USING (s)),
+        h AS (SELECT r, doc_id, item_id, text, p, count(DISTINCT s) FILTER (WHERE late = 0) AS question_hits, count(DISTINCT s) FILTER (WHERE late = 1) AS answer_hits FROM m GROUP BY 1, 2, 3, 4, 5),
+        g AS (SELECT *, row_number() OVER (PARTITION BY r, item_id, text ORDER BY question_hits + answer_hits DESC, p) AS place FROM h JOIN n USING (item_id, text)
+            WHERE 5 * (question_hits + answer_hits) >= 4 * (n_question + n_answer) AND (question_hits > 0 OR n_question = 0) AND (answer_hits > 0 OR n_answer = 0))
+        SELECT doc_id, item_id, n_question, n_answer, question_hits, answer_hits FROM g WHERE place = 1""",
     "op9_warc_archive": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         s AS (SELECT page_id, html, strlen(html) AS payload_bytes, unhex(sha1(html))::BIT::VARCHAR AS bits, max(page_id) OVER (PARTITION BY html) AS last FROM p)
