@@ -109,65 +109,80 @@ class Attention:
 
     def _step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean loss in nats and gradients; x: ids (batch, 2 SPAN), -1 is padding; y: targets (batch, SPAN), -1 is none."""
-        p, d, s = self.p, WIDTH, SPAN
-        pad = x < 0
-        e = p["E"][np.maximum(x, 0)] * ~pad[..., None]
-        own = e[:, s:]
-        q, k, v = own @ p["Q"], e @ p["K"], e @ p["V"]
-        sc = q @ k.transpose(0, 2, 1) * np.float32(d**-0.5) + (p["pos"][self.distance] + self.future) + np.where(pad, _FAR, np.float32(0))[:, None, :]
-        sc -= sc.max(-1, keepdims=True)
-        a = np.exp(sc)
-        a /= a.sum(-1, keepdims=True)
-        h = (own + a @ v).reshape(-1, d)
+        p, d, s, rows = self.p, WIDTH, SPAN, self.vocab_size
+        scale = p["E"].dtype.type(d**-0.5)
+        # queries, keys and values of every token, worked out once for the step; the last row is padding, which no query sees
+        table = np.zeros((rows + 1, 2 * d + 2), dtype=p["E"].dtype)
+        table[:rows, :d], table[:rows, d + 1 : -1], table[:rows, -1] = p["E"] @ p["K"], p["E"] @ p["V"], 1
+        table[rows, d] = _FAR
+        ids = np.where(x < 0, rows, x)
+        kv = table.take(ids, axis=0)
+        k, v = kv[:, :, : d + 1], kv[:, :, d + 1 :]
+        mine = np.minimum(ids[:, s:], rows - 1)
+        own = p["E"].take(mine, axis=0)
+        q = np.concatenate([own @ (p["Q"] * scale), np.ones((len(x), s, 1), dtype=own.dtype)], 2)
+        w = q @ k.transpose(0, 2, 1)
+        w += p["pos"][self.distance] + self.future
+        np.exp(np.minimum(w, 70, out=w), out=w)
+        seen = w @ v  # the last column is the sum of the weights
+        one = 1 / np.maximum(seen[:, :, d:], 1e-30)
+        told = seen[:, :, :d] * one
+        h = (own + told).reshape(-1, d)
         use = np.flatnonzero(y.reshape(-1) >= 0)
         t = y.reshape(-1)[use]
-        order = np.argsort(t // CLASS, kind="stable")
+        order = np.argsort((t // CLASS).astype(np.uint16), kind="stable")
         use, t = use[order], t[order]
         g = h[use]
-        c, m, rows = t // CLASS, t % CLASS, np.arange(len(t))
-        lc = g @ p["C"] + p["bc"]
-        lc -= lc.max(1, keepdims=True)
-        pc = np.exp(lc)
-        pc /= pc.sum(1, keepdims=True)
+        c, m, at = t // CLASS, t % CLASS, np.arange(len(t))
+        pc = g @ p["C"] + p["bc"]
+        np.exp(np.minimum(pc, 70, out=pc), out=pc)
+        pc *= 1 / (pc @ np.ones((self.classes, 1), dtype=pc.dtype))
         members, edge = p["M"].reshape(self.classes, CLASS, d), np.searchsorted(c, np.arange(self.classes + 1)).tolist()
-        parts = [(k, slice(i, j)) for k, (i, j) in enumerate(zip(edge, edge[1:])) if j > i]
-        lm = p["bm"].reshape(self.classes, CLASS)[c]
-        for cls, at in parts:
-            lm[at] += g[at] @ members[cls].T
-        lm -= lm.max(1, keepdims=True)
-        pm = np.exp(lm)
-        pm /= pm.sum(1, keepdims=True)
-        loss = -float(np.mean(np.log(pc[rows, c] + 1e-30) + np.log(pm[rows, m] + 1e-30)))
-        n = np.float32(1 / len(t))
-        dc, dm = pc * n, pm * n
-        dc[rows, c] -= n
-        dm[rows, m] -= n
-        gm, gb = np.zeros_like(members), np.zeros((self.classes, CLASS), dtype=np.float32)
-        dg = dc @ p["C"].T
-        for cls, at in parts:
-            gm[cls], gb[cls] = dm[at].T @ g[at], dm[at].sum(0)
-            dg[at] += dm[at] @ members[cls]
-        out = {"C": g.T @ dc, "bc": dc.sum(0), "M": gm.reshape(-1, d), "bm": gb.reshape(-1)}
-        dh = np.zeros((y.size, d), dtype=np.float32)
+        parts = [(n, slice(i, j)) for n, (i, j) in enumerate(zip(edge, edge[1:])) if j > i]
+        pm = p["bm"].reshape(self.classes, CLASS)[c]
+        for cls, of in parts:
+            pm[of] += g[of] @ members[cls].T
+        np.exp(np.minimum(pm, 70, out=pm), out=pm)
+        pm *= 1 / np.maximum(pm @ np.ones((CLASS, 1), dtype=pm.dtype), 1e-30)
+        loss = -float(np.mean(np.log(pc[at, c] + 1e-30) + np.log(pm[at, m] + 1e-30)))
+        n = p["E"].dtype.type(1 / len(t))
+        pc *= n
+        pm *= n
+        pc[at, c] -= n
+        pm[at, m] -= n
+        gm, gb = np.zeros_like(members), np.zeros((self.classes, CLASS), dtype=members.dtype)
+        dg = pc @ p["C"].T
+        for cls, of in parts:
+            gm[cls], gb[cls] = pm[of].T @ g[of], np.ones(of.stop - of.start, dtype=pm.dtype) @ pm[of]
+            dg[of] += pm[of] @ members[cls]
+        out = {"C": g.T @ pc, "bc": np.ones(len(t), dtype=pc.dtype) @ pc, "M": gm.reshape(-1, d), "bm": gb.reshape(-1)}
+        dh = np.zeros((y.size, d), dtype=own.dtype)
         dh[use] = dg
         dh = dh.reshape(own.shape)
-        dv = a.transpose(0, 2, 1) @ dh
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        out["pos"] = np.bincount(self.distance.reshape(-1), weights=ds.sum(0).reshape(-1), minlength=2 * s).astype(np.float32)
-        ds *= np.float32(d**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        flat = e.reshape(-1, d)
-        out["Q"] = own.reshape(-1, d).T @ dq.reshape(-1, d)
-        out["K"] = flat.T @ dk.reshape(-1, d)
-        out["V"] = flat.T @ dv.reshape(-1, d)
-        de = dk @ p["K"].T + dv @ p["V"].T
-        de[:, s:] += dq @ p["Q"].T + dh
-        de *= ~pad[..., None]
-        ids, de = np.maximum(x, 0).reshape(-1), de.reshape(-1, d)
-        out["E"] = np.stack([np.bincount(ids, weights=de[:, i], minlength=self.vocab_size) for i in range(d)], 1).astype(np.float32)
+        part = dh * one
+        dv = w.transpose(0, 2, 1) @ part
+        ds = part @ v[:, :, :d].transpose(0, 2, 1)
+        ds -= np.einsum("bid,bid->bi", part, told)[:, :, None]
+        ds *= w
+        out["pos"] = np.bincount(self.distance.reshape(-1), weights=ds.sum(0).reshape(-1), minlength=2 * s).astype(own.dtype)
+        dq, dk = ds @ k[:, :, :d], ds.transpose(0, 2, 1) @ q[:, :, :d]
+        by_all = self._by_token(ids, np.concatenate([dk, dv], 2))
+        by_own = self._by_token(mine, np.concatenate([dq, dh], 2))
+        gk, gv, gq = by_all[:, :d], by_all[:, d:], by_own[:, :d] * scale
+        out["Q"], out["K"], out["V"] = p["E"].T @ gq, p["E"].T @ gk, p["E"].T @ gv
+        out["E"] = by_own[:, d:] + gq @ p["Q"].T + gk @ p["K"].T + gv @ p["V"].T
         return loss, out
 
+    def _by_token(self, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Sums of rows by token; those of the padding go."""
+        ids, rows = ids.reshape(-1), rows.reshape(ids.size, -1)
+        order = np.argsort(ids.astype(np.uint16 if self.vocab_size < 1 << 16 else np.int64), kind="stable")
+        ids = ids[order]
+        head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        out = np.zeros((self.vocab_size + 1, rows.shape[1]), dtype=rows.dtype)
+        out[ids[head]] = np.add.reduceat(rows.take(order, axis=0), head, axis=0)
+        return out[:-1]
+
     def _descend(self, x: np.ndarray, y: np.ndarray, before: np.ndarray, picks, rates) -> list[float]:
         """Adam steps on these picks of blocks at these rates; returns the losses."""
         first = {k: np.zeros_like(v) for k, v in self.p.items()}

@@ -13,13 +13,22 @@ round gets.  Steps so grow with the tokens, and weights don't depend on how rows
 lie in partitions.  Every token of every text is scored once, in overlapping
 windows that see the block before (see ``attention``).
 
+The model's probability of a word, or of the end, is a mixture: ``1 - PRIOR`` times the
+product of its subwords' by attention, plus ``PRIOR`` times its share of the training
+words.  The share is that of the baseline, rounded down to ``1 / STEP`` of a decimal
+logarithm, and that of a word never seen where the word is not a frequent one; so the
+mixture's probabilities add up to at most 1.
+
 Counts of the most frequent words, ``FREQUENT`` at most, are broadcast; those of all
 other words come by a join on the word's 64-bit hash, so no table that grows
 with the corpus is broadcast, and the two ways give the same sums.
 
 Definitions: null text is empty and has the end only.  A null id counts as the
 empty string for the split.  Repeated rows are scored one by one.  With no
-training text all counts are zero, and the model gives its starting weights.
+training text all counts are zero, and the model gives its starting weights.  An
+empty table gives an empty result.  Whole texts of any length are read; a text's
+subwords take some 8 bytes for each of its words.  Only the id, the text and what the
+split reads are used; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -45,6 +54,10 @@ START_TOKENS, STEPS = 1 << 21, 700
 ROUNDS, SHARD_TOKENS, SHARDS = 8, 1 << 18, 256
 #: Adam's rate in the first round; it falls to nearly nothing in the last.
 RATE = 0.006
+#: Weight of a word's share in the mixture, and steps of a decimal logarithm that shares are kept in.
+PRIOR, STEP = 0.4, 2048
+#: Marks a word's first subword.
+FIRST = 1 << 14
 #: Subwords scored at a time.
 SCORED = 1 << 17
 #: Words gathered in a task before they are counted.
@@ -124,12 +137,43 @@ def _counter(run: str, held):
     return count
 
 
-def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Model ids of all rows, and where each row's begin."""
+def _shorts(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of two bytes of all rows, and where each row's begin."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     _, offsets, data = column.buffers()
     bounds = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 2
-    return np.frombuffer(data or b"", dtype=np.int16)[bounds[0] : bounds[-1]], bounds - bounds[0]
+    return np.frombuffer(data or b"", dtype=kind)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Model ids of all rows, where each row's begin, and where words begin."""
+    marked, bounds = _shorts(column, np.int16)
+    return marked & (FIRST - 1), bounds, np.flatnonzero(marked & FIRST)
+
+
+def _rounded(log: np.ndarray) -> np.ndarray:
+    """Decimal logarithms of probabilities in steps, rounded down."""
+    return np.minimum(np.ceil(-log * STEP), 65535).astype(np.uint16)
+
+
+def mixed(logs: np.ndarray, bounds: np.ndarray, starts: np.ndarray, prior: np.ndarray, end_prior: float) -> np.ndarray:
+    """Each text's decimal log probability under the mixture.
+
+    logs: by attention, of each text's subwords and then its end; bounds: of texts in
+    the subwords without ends; starts: where words begin there; prior: logarithms of each word's share.
+    """
+    texts = len(bounds) - 1
+    text = np.searchsorted(bounds, starts, side="right") - 1
+    ends = bounds[1:] + np.arange(texts)
+    units = np.sort(np.concatenate([starts + text, ends]))
+    sums = np.add.reduceat(logs, units) if len(units) else np.zeros(0)
+    share = np.full(len(units), end_prior)
+    is_end = np.zeros(len(units), dtype=bool)
+    is_end[np.searchsorted(units, ends)] = True
+    share[~is_end] = prior
+    both = np.logaddexp(sums * np.log(10) + np.log1p(-PRIOR), share * np.log(10) + np.log(PRIOR)) / np.log(10)
+    edges = np.concatenate([[0], np.searchsorted(units, ends) + 1])
+    return np.add.reduceat(both, edges[:-1]) if texts else np.zeros(0)
 
 
 def _trainer(shared, rate: float, steps: int | None):
@@ -137,7 +181,7 @@ def _trainer(shared, rate: float, steps: int | None):
         """The weights after this shard's texts, and its number of targets; with steps, random blocks of them, else each block once."""
         # an order that doesn't depend on how rows came; equal rows may trade places
         held = sorted(zip(table.column("key").to_pylist(), table.column("ids").to_pylist(), strict=True))
-        tokens, bounds = _tokens(pa.array([x for _, x in held], pa.binary()))
+        tokens, bounds, _ = _tokens(pa.array([x for _, x in held], pa.binary()))
         model = shared.value.copy()
         if steps is None:
             n = model.train_once(tokens, bounds, rate)
@@ -174,8 +218,9 @@ def _fit(model: Attention, texts: DataFrame, tokens: int, steps: int) -> None:
 class _Speller:
     """What a worker needs: frequent words with their counts, and the vocabulary; token ids of words as they come."""
 
-    def __init__(self, tokenizer: Subwords, keys: np.ndarray, counts: np.ndarray, vocab: Vocabulary):
+    def __init__(self, tokenizer: Subwords, keys: np.ndarray, counts: np.ndarray, vocab: Vocabulary, scale: float):
         self.tokenizer, self.vocab = tokenizer, vocab
+        self.prior, self.unseen = _rounded(np.log10(counts + 0.5) - scale), _rounded(np.array([np.log10(0.5) - scale]))[0]
         self.index = HashIndex(keys)
         self.log_count = np.log10(counts + 0.5)
         self.first = np.full(len(keys), -1, dtype=np.int64)
@@ -188,7 +233,7 @@ class _Speller:
         return np.array([len(x) for x in lists], dtype=np.int64), np.array([i for x in lists for i in x], dtype=np.int32)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple:
-        """By row: words, those frequent, sum of their log counts, cost of rare tokens, model ids; and (row, hash, count) of other words."""
+        """By row: words, those frequent, sum of their log counts, shares and extra costs of words, model ids; and (row, hash, count) of other words."""
         s, e, h, bounds = chunk_words(data, offsets)
         rows = len(offsets) - 1
         row = np.repeat(np.arange(rows), np.diff(bounds))
@@ -218,9 +263,16 @@ class _Speller:
         pool = np.concatenate([self.pool[: self.used], ids])
         tokens = pool[expand(first, count)[0]]
         edges = np.concatenate([[0], np.cumsum(count)])[bounds]
-        extra = np.bincount(np.repeat(np.arange(rows), np.diff(edges)), weights=self.vocab.extra[tokens], minlength=rows)
         spelt = self.vocab.of[tokens].astype(np.int16)
+        places = np.cumsum(count) - count
+        spelt[places] |= FIRST
         ids = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((edges * 2).astype(np.int32)), pa.py_buffer(spelt)])
+        # of each word its share, and what its rare subwords cost on top
+        prior = np.empty((len(h), 2), dtype=np.uint16)
+        prior[:, 0] = self.unseen
+        prior[common, 0] = self.prior[at[common]]
+        prior[:, 1] = _rounded(np.add.reduceat(self.vocab.extra[tokens], places)) if len(h) else 0
+        extra = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(prior.reshape(-1))])
         order = np.lexsort((h[rare], row[rare]))
         r, k = row[rare][order], h[rare][order]
         head = np.ones(len(r), dtype=bool)
@@ -229,7 +281,7 @@ class _Speller:
         return np.diff(bounds), n_common, base, extra, ids, r[starts], k[starts].view(np.int64), np.diff(np.append(starts, len(r)))
 
 
-_FOUND = {"rid": pa.int64(), "n": pa.int64(), "common": pa.int64(), "h": pa.int64(), "base": pa.float64(), "extra": pa.float64(), "ids": pa.binary(), "doc_id": None, "held_out": pa.bool_()}
+_FOUND = {"rid": pa.int64(), "n": pa.int64(), "common": pa.int64(), "h": pa.int64(), "base": pa.float64(), "extra": pa.binary(), "ids": pa.binary(), "doc_id": None, "held_out": pa.bool_()}
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -263,7 +315,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     for r in counted.filter("kind = 2").collect():
         subword[r.h] = r.n
     vocab = Vocabulary(subword, texts)
-    parts = sc.broadcast((keys, counts, vocab))
+    scale = float(np.log10(total + 0.5 * (distinct + 1)))
+    parts = sc.broadcast((keys, counts, vocab, scale))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = _live(f"{run}:speller", lambda: _Speller(Subwords(held.value), *parts.value))
@@ -278,29 +331,36 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     # rows without h are texts, the others are the words of a text that are not frequent
     kind = dict(rows.dtypes)["doc_id"]
     numbered = rows.withColumn("rid", F.monotonically_increasing_id())
-    found = scratch.table(numbered.select("rid", "text", "doc_id", "held_out").mapInArrow(spell, f"rid long, n long, common long, h long, base double, extra double, ids binary, doc_id {kind}, held_out boolean"))
+    found = scratch.table(numbered.select("rid", "text", "doc_id", "held_out").mapInArrow(spell, f"rid long, n long, common long, h long, base double, extra binary, ids binary, doc_id {kind}, held_out boolean"))
     model = Attention(vocab)
     if texts:
         key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "ids")
         _fit(model, found.filter("h is null and not held_out").select(key.alias("key"), "ids"), int(subword.sum()), steps)
     model.freeze()
     shared = sc.broadcast(model)
+    end_prior = float(np.log10(texts + 0.5)) - scale
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, bounds = _tokens(batch.column(0))
+            tokens, bounds, starts = _tokens(batch.column(0))
+            costs, words_of = _shorts(batch.column(batch.num_columns - 1), np.uint16)
+            costs, words_of = costs.reshape(-1, 2), words_of // 2
             out, first = np.zeros(batch.num_rows), 0
             while first < batch.num_rows:
                 last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + SCORED, "right")) - 1)
                 x, y, before, text = blocks_of(tokens[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
-                out[first:last] = np.bincount(text, weights=shared.value.log_probs(x, y, before)[1:].sum(1, dtype=np.float64), minlength=last - first) / np.log(10)
+                logs = shared.value.log_probs(x, y, before)[y >= 0].astype(np.float64) / np.log(10)
+                mine, some = bounds[first : last + 1], slice(int(words_of[first]), int(words_of[last]))
+                at = starts[some] - mine[0]
+                # what rare subwords cost on top goes to their word's first one; ends lie between the texts
+                logs[at + np.searchsorted(mine - mine[0], at, side="right") - 1] -= costs[some, 1] / STEP
+                out[first:last] = mixed(logs, mine - mine[0], at, costs[some, 0] / -STEP, end_prior)
                 first = last
-            yield pa.record_batch([*batch.columns[1:-1], pa.array(out + batch.column(batch.num_columns - 1).to_numpy())], ["rid", "n", "common", "base", "doc_id", "held_out", "score"])
+            yield pa.record_batch([*batch.columns[1:-1], pa.array(out)], ["rid", "n", "common", "base", "doc_id", "held_out", "score"])
 
     rare = found.filter("h is not null").select("rid", "h", F.col("n").alias("tf")).join(words, "h", "left")
     rare = rare.groupBy("rid").agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
     known_end = 1 if texts else 0
-    scale = float(np.log10(total + 0.5 * (distinct + 1)))
     scored = found.filter("h is null").select("ids", "rid", "n", "common", "base", "doc_id", "held_out", "extra")
     out = scored.mapInArrow(score, f"rid long, n long, common long, base double, doc_id {kind}, held_out boolean, score double").join(rare, "rid", "left")
     return out.select(
