@@ -323,6 +323,18 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _OUT)
 
 
+def _flag(held):
+    """A column function: whether a text holds an item of a broadcast shard."""
+
+    def flag(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts), dtype=bool)
+        for hit in find_in(held.value, texts):
+            out[hit[0]] = True
+        return pa.array(out)
+
+    return F.arrow_udf(flag, "boolean")
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no test item. Rows with a null id are judged like others; each shard of items is a pass of its own."""
     spark = docs.sparkSession
@@ -330,13 +342,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     for k, shard in enumerate(_shards(items, item_col, item_text_col)):
         if k:
             docs = Scratch(spark, "decontamination").table(docs)  # one shard's index at a time
-        held = spark.sparkContext.broadcast(shard)
-
-        def flag(texts: pa.Array, held=held) -> pa.Array:
-            out = np.zeros(len(texts), dtype=bool)
-            for hit in find_in(held.value, texts):
-                out[hit[0]] = True
-            return pa.array(out)
-
-        docs = docs.filter(~F.arrow_udf(flag, "boolean")(F.col(text_col).cast("string")))
+        docs = docs.filter(~_flag(spark.sparkContext.broadcast(shard))(F.col(text_col).cast("string")))
     return docs

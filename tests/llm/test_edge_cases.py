@@ -1,12 +1,17 @@
 """Every operator on nulls, empty and long texts, repeated rows, clashing columns and empty tables."""
 
+import base64
 import datetime
+import random
+import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexaria.llm import chat_format, decontamination, language_id, lm_scoring, ngram_join, ogg_media, queries, secret_scan, url_filter, warc_archive
+from lexaria.llm import chat_format, decontamination, language_id, lm_scoring, ngram_join, ogg_media, queries, secret_scan, sentencepiece_lattice, url_filter, warc_archive, words
 
 LONG = " ".join(f"wort{i % 977} und noch {i}" for i in range(40_000))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, h long, key string, sid string, rid int, kind string, score string, hi string, lo int, `__x` int, date date"
@@ -120,6 +125,102 @@ def test_chat(spark):
     assert chat_format.chat_digest(chat_format.parse_chats(chat_format.format_chats(chats.limit(0)))).count() == 0
 
 
+def test_url_filter_beyond_broadcasts(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.org/p{i % 50}") for i in range(200)] + [(200, None)], "page_id long, url string")
+    listed = pages.filter("page_id % 9 = 0").select("url")
+    rules = [("allow", "h1.org", "/")]
+    small = sorted(map(str, url_filter.judge_urls(pages, listed, rules).collect()))
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, url_filter.judge_urls(pages, listed, rules).collect())) == small
+
+
+def test_language_filter_without_labels(spark, docs):
+    with pytest.warns(UserWarning, match="no text is rejected"):
+        kept = language_id.keep_identified(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {1, 2, 3, 11}.isdisjoint(r.doc_id for r in kept.select("doc_id").collect()) and kept.count() == len(TEXTS) + 1 - 4
+
+
+def test_language_filter_rejects_noise(spark):
+    good = ["the quick brown fox jumps over the lazy dog and the cat sleeps in the sun"] * 30
+    noise = ["".join(chr(0x4E00 + (i * 7919 + k * 104729) % 20000) for i in range(60)) for k in range(3)]
+    docs = spark.createDataFrame([(i, t, "en" if i < 30 else None) for i, t in enumerate(good + noise)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language_id.keep_identified(docs).collect()} == set(range(30))
+
+
+def test_decontamination_in_shards(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(i, f"{t} item{i}") for i, t in enumerate(["same text as before it is here", "a row without an id has a text", "one", "no such text at all in there"])] + [(7, "same text as before it is")], "item_id long, text string")
+    whole = sorted(map(str, decontamination.contaminated(docs, items).collect()))
+    kept = sorted(map(str, decontamination.drop_contaminated(docs, items).select("doc_id").collect()))
+    monkeypatch.setattr(decontamination, "SHARD_WORDS", 4)
+    assert sorted(map(str, decontamination.contaminated(docs, items).collect())) == whole and whole
+    assert sorted(map(str, decontamination.drop_contaminated(docs, items).select("doc_id").collect())) == kept
+
+
+def test_words_of_a_regular_shape_differ(spark):
+    """Words that a polynomial hash modulo a power of two takes for equal."""
+    word = b"a"
+    for _ in range(10):
+        word += bytes(195 - c for c in word)
+    texts = [word.decode(), bytes(195 - c for c in word).decode(), f"{word.decode()} {bytes(195 - c for c in word).decode()}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()} == {0: 0, 1: 1, 2: 2}
+    got = queries.sentencepiece_digest(docs).join(docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("s")), "doc_id")
+    assert got.filter("s = decoded_sha256").count() == 3
+
+
+def _timed(run, text):
+    began = time.time()
+    tracemalloc.start()
+    run(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return time.time() - began, peak
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'a0="f8Kq2Lz9Xw4Tn7Vb"\n' + "".join(f'a{i + 1}="$a{i}" "$a{i}"\n' for i in range(300)) + "password=$a300",
+        "password" + " " * 300_000 + "x",
+        'password="\\' * 30_000,
+        "password = f(b=" * 20_000,
+        "password=" * 40_000,
+        "<password>" * 30_000,
+        'password="""' * 20_000,
+    ],
+    ids=["references", "spaces", "quotes", "calls", "pairs", "elements", "triples"],
+)
+def test_secret_lexer_is_linear(text):
+    seconds, peak = _timed(secret_scan.scan, text)
+    assert seconds < 15 and peak < 300e6
+
+
+def test_references_reach_the_literal():
+    text = 'a0="f8Kq2Lz9Xw4Tn7Vb"\n' + "".join(f'a{i + 1}="$a{i}" "$a{i}"\n' for i in range(300)) + "password=$a300"
+    assert (4, 3, 20) in secret_scan.scan(text)
+
+
+@pytest.mark.parametrize("text", [base64.b64encode(random.Random(1).randbytes(30_000)).decode(), "x" * 60_000, " " * 60_000], ids=["base64", "letters", "spaces"])
+def test_long_units(text):
+    with open(sentencepiece_lattice.MODEL, "rb") as f:
+        encoder = sentencepiece_lattice.Encoder(f.read())
+
+    def run(t):
+        for _, _, data, offsets in words.chunks(pa.array([t])):
+            ((ids, score, best),) = encoder(data, offsets, 4)
+            assert encoder.pieces.decode(ids) == t.encode() and best[0][0] == score == int(encoder.pieces.score[ids].sum()) and len(best) == 4
+
+    seconds, peak = _timed(run, text)
+    assert seconds < 20 and peak < 500e6
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "an item of the benchmark with some words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    with pytest.warns(UserWarning):
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     item = "quite a long test item that nobody should train on at all today"
     texts = [*TEXTS, f"some words before {item} and some words after it", "a clean text that says nothing special about anything in the world"]

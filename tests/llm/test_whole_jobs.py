@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexaria.llm import language_id, lm_scoring, ngram_join, queries
+from lexaria.llm import language_id, lm_scoring, ngram_join
 from tests.llm.test_brute_force import _near_copies
 
 
@@ -22,7 +22,6 @@ def test_lm_learns_from_every_block(spark):
 
 def test_join_counts_every_link(spark, monkeypatch):
     """Near copies and equal texts against brute force, with blocks so small that components take several."""
-    assert "op1_ngram_jaccard_links" in queries.QUERIES
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 3)
     texts = _near_copies(1) + _near_copies(1)[:20] + [""]
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()} for w in map(str.split, texts)]
@@ -35,9 +34,8 @@ def test_join_counts_every_link(spark, monkeypatch):
 
 def test_language_id_keeps_all_contexts_of_many_languages():
     r = np.random.default_rng(5)
-    window = r.integers(1, 128, (4000, 4))
+    window = r.integers(1, 256, (4000, 4))
     grams = window @ (256 ** np.arange(3, -1, -1))
-    model = language_id.build_model([str(i) for i in range(8)], np.arange(4000) % 8, grams, np.ones(4000))
-    w = model.symbol[window].astype(np.int64)
-    code = (w[:, 0] * model.width + w[:, 1]) * model.width + w[:, 2]
-    assert (np.asarray(model.row_of)[code] >= model.width**2).all()
+    model = language_id.PpmModel([str(i) for i in range(12)], np.arange(4000) % 12, grams, np.ones(4000))
+    assert [len(level.node.values[level.node.values >= 0]) for level in model.levels] == [len(np.unique(grams >> 8 & (1 << 8 * k) - 1)) for k in range(4)]
+    assert len(model.cost) == len(np.unique(grams))
