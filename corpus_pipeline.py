@@ -1,13 +1,14 @@
 """A training corpus from raw documents: five stages, each a pass over what the one before kept.
 
-1. Language ID: texts whose language can't be told go.
+1. Language ID: texts without a letter, and those that no language's model fits, go.
 2. N-gram Jaccard join: of each group of near copies the smallest doc_id stays.
 3. Decontamination: documents that hold a test item go.
 4. Secret scan: secrets are masked in place.
 5. SentencePiece: the texts' pieces, with digests of what decoding gives back.
 
 All but the last return the columns of documents.  An input without rows gives
-an output without rows.
+an output without rows; where no text has a language, the first stage warns and
+keeps all texts with a letter.
 """
 
 from __future__ import annotations
@@ -54,6 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder before the next reads them."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, scratch.table(stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(before)
     return docs
