@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from lexaria.llm.attention import Attention, Vocabulary, blocks_of
 from lexaria.llm.scratch import Scratch, least_count
-from lexaria.llm.words import HashIndex, bound_batches, chunk_words, chunks, expand
+from lexaria.llm.words import HashIndex, bound_batches, chunk_words, chunks, expand, one_thread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 FREQUENT = 1 << 18
@@ -179,6 +179,7 @@ def mixed(logs: np.ndarray, bounds: np.ndarray, starts: np.ndarray, prior: np.nd
 def _trainer(shared, rate: float, steps: int | None):
     def train(table: pa.Table) -> pa.Table:
         """The weights after this shard's texts, and its number of targets; with steps, random blocks of them, else each block once."""
+        one_thread()
         # an order that doesn't depend on how rows came; equal rows may trade places
         held = sorted(zip(table.column("key").to_pylist(), table.column("ids").to_pylist(), strict=True))
         tokens, bounds, _ = _tokens(pa.array([x for _, x in held], pa.binary()))
@@ -341,6 +342,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     end_prior = float(np.log10(texts + 0.5)) - scale
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for batch in batches:
             tokens, bounds, starts = _tokens(batch.column(0))
             costs, words_of = _shorts(batch.column(batch.num_columns - 1), np.uint16)

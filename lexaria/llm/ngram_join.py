@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexaria.llm.scratch import Scratch, broadcast_if_small, least_count
-from lexaria.llm.words import chunk_words, chunks, mix, shingle_hashes, short_hash
+from lexaria.llm.words import chunk_words, chunks, mix, one_thread, shingle_hashes, short_hash
 
 WORDS = 5
 #: Hashes gathered in a map task before they are combined and sent on.
@@ -389,6 +389,7 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
 
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sid, links) from rows sorted by group (root, c, p, d, q): a set's links into the other side's block, by numbers of texts."""
+    one_thread()
     group, held = None, []
 
     def counted() -> list[tuple[np.ndarray, np.ndarray]]:

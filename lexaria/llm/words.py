@@ -120,6 +120,24 @@ def give_back() -> None:
         trim(0)
 
 
+def one_thread() -> None:
+    """Matrix products of this worker on one thread: a task has one core, and further threads only wait for each other on products this small.
+
+    Does nothing where numpy's library is another than OpenBLAS.
+    """
+    try:
+        with open("/proc/self/maps") as f:
+            libraries = {line.split()[-1] for line in f if "openblas" in line and line.rstrip().endswith(".so")}
+    except OSError:
+        return
+    for path in libraries:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of about BATCH bytes (or one row) in this session, unless its settings name a size."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
