@@ -1,15 +1,23 @@
-"""Column functions on one text: words, syllables, readability, complexity.
+"""Functions on one text: words, syllables, readability, sentences.
 
-All are built-in and higher-order expressions, so they stay in the JVM.
-Syllable and sentence rules come in families that differ on purpose; names say
+Column functions are built-in and higher-order expressions and stay in the JVM.
+Counts over all words of a text are plain functions for Arrow batches: a text's
+words are then cut once and counted by distinct word, where lambdas in the JVM
+would work every count out from the text again.  Syllable and sentence rules come in families that differ on purpose; names say
 which (``f`` for the formulas, ``r`` for the reports).
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexaria.functions import measures, preserve
+
 WORD_F = r"[A-Za-z]+(?:['-][A-Za-z]+)*"
 WORD_R = r"[A-Za-z]+(?:'[A-Za-z]+)?"
 
@@ -51,36 +59,17 @@ def sentence_count(text: Column) -> Column:
     return F.greatest(F.size(matches(text, "[.!?]+")), F.lit(1))
 
 
-def zipf_fallback(word: Column) -> Column:
-    """Frequency on the Zipf scale where no table is at hand."""
-    return F.lit(6.0) - F.length(word) / F.lit(2.0)
-
-
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-# Default weights of word complexity.
-COMPLEXITY = {"bias": 0.0, "zipf": 1.0, "length": 0.08, "syllables": 0.25, "context": 0.2}
-
+def counts_f(text: str | None) -> tuple[int, ...]:
+    """Words, sentences, syllables, words of three syllables or more, words of seven letters or more, and letters of the formula family; scores_f makes the scores of them."""
+    t = measures.Text(text or "")
+    return t.n, max(1, len(re.findall("[.!?]+", t.text))), t.syllables, t.poly, t.long, t.letters
 
-def word_complexity(word: Column, context: Column) -> Column:
-    """0 to 1; context: mean of length plus syllables of the other words."""
-    w = COMPLEXITY
-    return sigmoid(F.lit(w["bias"]) - zipf_fallback(word) * w["zipf"] + F.length(word) * w["length"] + syllables_f(word) * w["syllables"] + context * w["context"])
 
-
-def readability_f(text: Column) -> dict[str, Column]:
-    """Counts of the formula family; score_f makes the score of them."""
-    w = words(text)
-    return {
-        "n_words": F.size(w).cast("long"),
-        "n_sentences": sentence_count(text).cast("long"),
-        "n_syllables": total(w, syllables_f),
-        "n_poly": F.size(F.filter(w, lambda x: syllables_f(x) >= 3)).cast("long"),
-        "n_long": F.size(F.filter(w, lambda x: F.length(x) >= 7)).cast("long"),
-        "n_letters": total(w, F.length),
-    }
+COUNTS_F = "n_words long, n_sentences long, n_syllables long, n_poly long, n_long long, n_letters long"
 
 
 def scores_f(n: dict[str, Column]) -> dict[str, Column]:
@@ -96,15 +85,21 @@ def scores_f(n: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-def readability_r(text: Column) -> dict[str, Column]:
-    """Counts of the report family; at least one sentence where there are words."""
-    w = words(text, WORD_R)
-    return {
-        "n_words": F.size(w).cast("long"),
-        "n_sentences": F.when(F.size(w) > 0, sentence_count(text)).otherwise(0).cast("long"),
-        "n_syllables": total(w, syllables_r),
-        "n_poly": F.size(F.filter(w, lambda x: syllables_r(x) >= 3)).cast("long"),
-    }
+@lru_cache(maxsize=1 << 16)
+def _syllables_r(word: str) -> int:
+    return max(1, len(re.findall("[aeiouy]+", word)) - word.endswith("e"))
+
+
+def counts_r(text: str | None) -> tuple[int, ...]:
+    """Words, sentences, syllables, words of three syllables or more, letters, and technical terms (three syllables or more, where no table of frequencies is at hand) of the report family."""
+    words = Counter(w.lower() for w in re.findall(WORD_R, text or ""))
+    n = words.total()
+    parts = [(k, len(w), _syllables_r(w)) for w, k in words.items()]
+    poly = sum(k for k, _, y in parts if y >= 3)
+    return n, max(1, len(preserve.sentence_spans(text or ""))) if n else 0, sum(k * y for k, _, y in parts), poly, sum(k * size for k, size, _ in parts), poly
+
+
+COUNTS_R = "n_words long, n_sentences long, n_syllables long, n_poly long, n_letters long, n_terms long"
 
 
 def scores_r(n: dict[str, Column]) -> dict[str, Column]:
@@ -125,8 +120,32 @@ def normalised(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Split after end marks and closing quotes or brackets, before a capital, digit, quote or bracket."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])(?=\s)|(?<=[.!?][\"')\]])(?=\s)"), F.trim), lambda s: s != "")
+    """Sentences without white space around them: a new one begins after an end mark, closing quotes or brackets and white space, before a capital, digit, quote or bracket."""
+    marked = F.regexp_replace(text, r"([.!?][\"')\]]*\s+)(?=[\p{Lu}\p{Nd}\"'(\[“‘])", "$1\u0001")
+    parts = F.transform(F.split(marked, "\u0001"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    return F.filter(parts, lambda s: s != "")
+
+
+def spelling_variant(a: Column, b: Column) -> Column:
+    """Whether two words differ by British and American spelling only."""
+
+    def plain(w: Column) -> Column:
+        w = F.lower(w)
+        # Spellings that are taken for one another.
+        for x, y in (("isa", "iza"), ("ise", "ize"), ("yse", "yze"), ("our", "or"), ("tre", "ter")):
+            w = F.replace(w, F.lit(x), F.lit(y))
+        return w
+
+    return (F.lower(a) != F.lower(b)) & (plain(a) == plain(b))
+
+
+def shared_prefix(a: Column, b: Column) -> Column:
+    """Length of the common start over the first word's length."""
+    x, y = F.split(F.lower(a), ""), F.split(F.lower(b), "")
+    same = F.zip_with(x, y, lambda p, q: p.eqNullSafe(q) & (p != ""))
+    first = F.array_position(same, F.lit(False))
+    n = F.when(first == 0, F.least(F.length(a), F.length(b))).otherwise(first - 1)
+    return n / F.greatest(F.length(a), F.lit(1)).cast("double")
 
 
 def band(score: Column) -> Column:

@@ -23,19 +23,51 @@ def missing_cells(rows: DataFrame, system: str, passage: str, systems: DataFrame
     return passages.join(small).join(rows.select(system, passage).distinct(), [system, passage], "left_anti")
 
 
-def average_ranks(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+def ranges(rows: DataFrame, order: str) -> Column:
+    """A number for each range of a numeric column, ranges of about equal numbers of rows, as many as shuffle partitions. Null and NaN values come first."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(rows.approxQuantile(order, [i / n for i in range(1, n)], 0.01))) if n > 1 else []
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order).cast("double")))
+
+
+def before(rows: DataFrame, order: str, value: Column, name: str, descending: bool = False) -> DataFrame:
+    """rows with the sum of a value over all rows that come before by the order (a unique column).
+
+    Sums run inside ranges of the order, and each range starts from the sum of the
+    ranges before it, of which one number a range is collected: no task sees all rows.
+    """
+    rows = rows.withColumn("__r", ranges(rows, order)).withColumn("__v", value)
+    sums = sorted((r["__r"], r.s or 0) for r in rows.groupBy("__r").agg(F.sum("__v").alias("s")).collect())
+    start, total = {}, 0
+    for k, s in reversed(sums) if descending else sums:
+        start[k], total = total, total + s
+    first = F.lit(0)
+    for k, s in start.items():
+        first = F.when(F.col("__r") == k, F.lit(s)).otherwise(first)
+    by = F.desc(order) if descending else F.asc(order)
+    inside = F.sum("__v").over(Window.partitionBy("__r").orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn(name, first + F.coalesce(inside, F.lit(0))).drop("__r", "__v")
+
+
+def average_ranks(rows: DataFrame, value: str) -> DataFrame:
     """value, count and average-tie rank of each distinct value; ranks come from counts, so rows aren't sorted."""
-    by = by or []
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
+    counts = rows.groupBy(value).agg(F.count("*").alias("n"))
+    return before(counts, value, F.col("n"), "__before").withColumn("rank", F.col("__before") + (F.col("n") + 1) / F.lit(2.0)).drop("__before")
+
+
+def average_ranks_weighted(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, value, rank_value: average-tie ranks inside each group of cells that count k rows."""
+    c = counts.groupBy(*by, value).agg(F.sum("k").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("rank", before + (F.col("n") + 1) / F.lit(2.0))
+    return c.select(*by, value, (before + (F.col("n") + 1) / F.lit(2.0)).alias(f"rank_{value}"))
 
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Mann-Whitney AUC with credit for ties; null if a class is empty."""
     counts = rows.groupBy(score).agg(F.sum(label).cast("long").alias("pos"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy().orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", before + (F.col("n") + 1) / F.lit(2.0))
+    ranked = before(counts, score, F.col("n"), "__before").withColumn("rank", F.col("__before") + (F.col("n") + 1) / F.lit(2.0))
     sums = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return sums.select(F.col("p").alias("n_pos"), F.col("q").alias("n_neg"), divide(F.col("r") - F.col("p") * (F.col("p") + 1) / F.lit(2.0), F.col("p") * F.col("q")).alias("auc"))
 
@@ -63,13 +95,100 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column, Co
 
 
 def pareto(rows: DataFrame, low: str, high: str) -> DataFrame:
-    """Rows that no other row beats: smaller low and larger high are better. By a running maximum over distinct lows."""
+    """Rows that no other row beats: smaller low and larger high are better.
+
+    A running maximum over distinct lows inside ranges; each range starts from the
+    largest high of the ranges before it, of which one number a range is collected.
+    """
     best = rows.groupBy(low).agg(F.max(high).alias("__top"))
-    before = F.max("__top").over(Window.partitionBy().orderBy(low).rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("__before", before).filter(F.col("__before").isNull() | (F.col("__top") > F.col("__before"))).select(low, F.col("__top"))
+    best = best.withColumn("__r", ranges(best, low))
+    tops = sorted((r["__r"], r.t) for r in best.groupBy("__r").agg(F.max("__top").alias("t")).collect())
+    first, so_far = F.lit(None), None
+    for k, t in tops:
+        if so_far is not None:
+            first = F.when(F.col("__r") == k, F.lit(so_far)).otherwise(first)
+        so_far = t if so_far is None else max(so_far, t)
+    inside = F.max("__top").over(Window.partitionBy("__r").orderBy(low).rowsBetween(Window.unboundedPreceding, -1))
+    beaten = F.greatest(first.cast(dict(best.dtypes)["__top"]), inside)
+    front = best.withColumn("__before", beaten).filter(F.col("__before").isNull() | (F.col("__top") > F.col("__before"))).select(low, "__top")
     return rows.join(front, [low]).filter(F.col(high) == F.col("__top")).drop("__top")
 
 
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], parts: int = 64) -> DataFrame:
+    """by, q0, q1, ...: exact quantiles (linear between neighbours) of each group.
+
+    Approximate cuts deal a group's values to parts; counts say which part holds the
+    rank asked for, and only such parts are sorted, so no task holds a group.
+    """
+    rows = rows.filter(F.col(value).isNotNull()).select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(by)), F.col(value).cast("double").alias("__v"))
+    keys = [f"__g{i}" for i in range(len(by))]
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("__v", [i / parts for i in range(1, parts)], 10_000).alias("__c"), F.count("*").alias("__n"))
+    cut = F.broadcast(cuts.select(*(F.col(k).alias(f"{k}c") for k in keys), "__c"))  # a row a group, 64 numbers each
+    on = [F.col(k).eqNullSafe(F.col(f"{k}c")) for k in keys]
+    placed = (rows.join(cut, on) if on else rows.crossJoin(cut)).select(*keys, "__v", F.size(F.filter("__c", lambda c: c < F.col("__v"))).alias("__p"))
+    sizes = placed.groupBy(*keys, "__p").agg(F.count("*").alias("__k"))
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    sizes = sizes.withColumns({"__n": F.sum("__k").over(w), "__to": F.sum("__k").over(w.orderBy("__p"))}).withColumn("__from", F.col("__to") - F.col("__k"))
+    ranks = [(F.col("__n") - 1) * F.lit(float(q)) for q in shares]
+    wanted = F.lit(False)
+    for r in ranks:
+        for k in (F.floor(r), F.ceil(r)):
+            wanted = wanted | ((F.col("__from") <= k) & (k < F.col("__to")))
+    need = sizes.filter(wanted).select(*(F.col(k).alias(f"{k}d") for k in keys), F.col("__p").alias("__pd"), "__n", "__from")
+    hit = placed.join(F.broadcast(need), [*(F.col(k).eqNullSafe(F.col(f"{k}d")) for k in keys), F.col("__p") == F.col("__pd")])  # at most two parts a share
+    at = F.col("__from") + F.row_number().over(Window.partitionBy(*keys, "__p").orderBy("__v")) - 1
+    ranked = hit.select(*keys, "__v", "__n", at.alias("__at"))
+    out = []
+    for i, r in enumerate(ranks):
+        lo, up = F.max(F.when(F.col("__at") == F.floor(r), F.col("__v"))), F.max(F.when(F.col("__at") == F.ceil(r), F.col("__v")))
+        out.append((lo + (up - lo) * F.max(r - F.floor(r))).alias(f"q{i}"))
+    return ranked.groupBy(*keys).agg(*out).select(*(F.col(k).alias(c) for k, c in zip(keys, by, strict=True)), *(f"q{i}" for i in range(len(shares))))
+
+
+def nearest(table: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, block: int = 4096) -> DataFrame:
+    """q_id, id, cosine: the k nearest rows of each query (but itself), of equal ones the smaller id; cosines rounded to nine digits.
+
+    Queries are normalised and broadcast as matrices of at most block rows; each
+    batch of the table meets a matrix in one product and sends on its best k for each
+    query, so what is shuffled is k rows a query and task. Each block is one pass.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        x = np.array(column.to_pylist(), dtype=np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    spark = table.sparkSession
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    parts = -(-asked.count() // block)
+    best = None
+    for p in range(parts):
+        own = asked.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).toArrow()
+        held = spark.sparkContext.broadcast((own.column("id").to_numpy(), matrix(own.column("v").combine_chunks())))
+
+        def near(batches, held=held):
+            q_ids, q = held.value
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                if not len(ids) or not len(q_ids):
+                    continue
+                cosine = np.round(q @ matrix(batch.column(1)).T, 9)
+                cosine[q_ids[:, None] == ids[None, :]] = -2
+                order = np.lexsort((np.broadcast_to(ids, cosine.shape), -cosine), axis=1)[:, :k]
+                top = np.take_along_axis(cosine, order, 1)
+                keep = top > -2
+                yield pa.record_batch([pa.array(np.repeat(q_ids, keep.sum(1))), pa.array(ids[order][keep]), pa.array(top[keep])], ["q_id", "id", "cosine"])
+
+        found = rows.mapInArrow(near, "q_id long, id long, cosine double")
+        best = found if best is None else best.unionByName(found)
+    if best is None:
+        return spark.createDataFrame([], "q_id long, id long, cosine double")
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("cosine"), "id"))
+    return best.withColumn("place", place).filter(F.col("place") <= k)
+
+
 def interval_alpha(rows: DataFrame, unit: str, value: str) -> DataFrame:
     """Krippendorff's alpha for interval values, from sums by unit; units with one value are left out."""
     units = rows.groupBy(unit).agg(F.count(value).alias("m"), F.sum(value).cast("double").alias("s"), F.sum(F.col(value) * F.col(value)).cast("double").alias("q")).filter("m > 1")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lexaria.plans import corpus_queries, evaluation_queries, study_queries, text_queries
+from lexaria.plans import corpus_queries, evaluation_queries, model_queries, rewrite_queries, stat_oracles, stat_queries, study_queries, text_queries
 
-QUERIES = text_queries.QUERIES | evaluation_queries.QUERIES | corpus_queries.QUERIES | study_queries.QUERIES
-ORACLES = text_queries.ORACLES | evaluation_queries.ORACLES | corpus_queries.ORACLES | study_queries.ORACLES
+MODULES = (text_queries, evaluation_queries, corpus_queries, study_queries, stat_queries, rewrite_queries, model_queries)
+QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLES = {k: s for m in (*MODULES, stat_oracles) for k, s in m.ORACLES.items()}

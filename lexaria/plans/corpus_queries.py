@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexaria.functions import text
 from lexaria.operators import corpus
+from lexaria.operators import evaluation as ev
 from lexaria.plans.text_queries import read
 
 
@@ -26,13 +27,17 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why documents go, first reason first; accepted ones too."""
-    reason = (
-        F.when(F.col("text").isNull() | (F.trim("text") == ""), "empty").when(F.col("n_chars") < 200, "short").when(F.col("n_chars") > 20000, "long").when(F.col("text").rlike("https?://|<[a-z]+>"), "markup").when(F.col("copy") > 1, "duplicate").otherwise("accepted")
+    """Why documents go, first reason first; accepted ones too. One pass: rows are counted by text and own reason, and all but a text's first document are its duplicates."""
+    own = (
+        F.when(F.col("text").isNull() | (F.trim("text") == ""), "empty").when(F.col("n_chars") < 200, "short").when(F.col("n_chars") > 20000, "long").when(F.col("text").rlike("https?://|<[a-z]+>"), "markup").otherwise("accepted")
     )
-    first = _docs(spark, sf_dir).groupBy("norm").agg(F.min("doc_id").alias("first"))
-    d = _docs(spark, sf_dir).join(first, "norm").withColumn("copy", F.when(F.col("doc_id") == F.col("first"), 1).otherwise(2))
-    return d.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    d = _docs(spark, sf_dir).select("norm", "doc_id", own.alias("own"))
+    names = ("empty", "short", "long", "markup", "accepted")
+    by = d.groupBy("norm").agg(F.min_by("own", "doc_id").alias("first"), *(F.count_if(F.col("own") == n).alias(n) for n in names))
+    good = F.when(F.col("first") == "accepted", 1).otherwise(0)
+    sums = by.agg(*(F.sum(n).alias(n) for n in names[:-1]), F.sum(F.col("accepted") - good).alias("duplicate"), F.sum(good).alias("accepted"))
+    cells = F.array(*(F.struct(F.lit(n).alias("reason"), F.col(n).cast("long").alias("n")) for n in (*names[:-1], "duplicate", "accepted")))
+    return sums.select(F.explode(cells).alias("x")).select("x.reason", "x.n").filter("n > 0")
 
 
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +97,8 @@ def token_multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders")
-    return o.groupBy("o_orderpriority").agg(*(F.round(F.percentile("o_totalprice", F.lit(p)), 4).alias(f"q{i}") for i, p in ((1, 0.25), (2, 0.5), (3, 0.75))))
+    q = ev.exact_quantiles(read(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", [0.25, 0.5, 0.75])
+    return q.select("o_orderpriority", *(F.round(f"q{i}", 4).alias(f"q{i + 1}") for i in range(3)))
 
 
 def cross_split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:

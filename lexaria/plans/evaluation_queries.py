@@ -37,11 +37,10 @@ def system_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grouping_sets_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All and changed cells (value over 50), overall and by panel (passage modulo 4)."""
-    _events(spark, sf_dir).withColumn("panel", F.col("passage") % 4).createOrReplaceTempView("__grouping_cells")
-    return spark.sql("""
-        SELECT system, panel, grouping_id() AS level, count(*) AS n, count_if(value > 50) AS n_changed, round(avg(value), 6) AS mean,
-            round(avg(value) FILTER (WHERE value > 50), 6) AS mean_changed
-        FROM __grouping_cells GROUP BY GROUPING SETS ((system), (system, panel), ())""").withColumn("level", F.col("level").cast("long"))
+    x = _events(spark, sf_dir).withColumn("panel", F.col("passage") % 4)
+    changed = F.col("value") > 50
+    by = x.groupingSets([["system"], ["system", "panel"], []], "system", "panel")
+    return by.agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.count_if(changed).alias("n_changed"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg(F.when(changed, F.col("value"))), 6).alias("mean_changed"))
 
 
 def study_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +64,7 @@ def baseline_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_stratified_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """40 draws of the mean text length, stratified by language, and their percentile interval."""
+    """40 draws of the mean text length, stratified by language (``bootstrap_interval`` has the percentile interval)."""
     rows = read(spark, sf_dir, "documents").select("doc_id", "lang", F.col("n_chars").cast("double").alias("v"))
     return ev.bootstrap_means(rows, "doc_id", "lang", "v", 40).select(F.col("draw").cast("int").alias("draw"), F.round("mean", 4).alias("mean"))
 
@@ -92,9 +91,10 @@ def confusion_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def youden_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least score with the largest TPR - FPR, from counts by distinct score."""
     c = _scored_labels(spark, sf_dir).groupBy("score").agg(F.sum("quality").cast("long").alias("p"), F.count("*").alias("n"))
-    after = Window.partitionBy().orderBy("score").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     t = c.agg(F.sum("p").alias("tp"), F.sum(F.col("n") - F.col("p")).alias("tn"))
-    j = c.withColumns({"hp": F.sum("p").over(after), "hn": F.sum(F.col("n") - F.col("p")).over(after)}).crossJoin(F.broadcast(t))
+    j = ev.before(c, "score", F.col("p"), "pb")
+    j = ev.before(j, "score", F.col("n") - F.col("p"), "nb").crossJoin(F.broadcast(t))
+    j = j.withColumns({"hp": F.col("tp") - F.col("pb"), "hn": F.col("tn") - F.col("nb")})
     j = j.withColumn("j", F.round(F.col("hp") / F.col("tp") - F.col("hn") / F.col("tn"), 9))
     return j.orderBy(F.desc("j"), "score").limit(1).select("score", "j")
 
@@ -124,19 +124,12 @@ def macro_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accuracy_at_k_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For the vectors with an id divisible by 100 as queries against all: accuracy at 5 and MRR within 20, gold = same label.
-
-    The queries are a counted, broadcast block; each row of the table meets
-    them once, and a top-20 window per query keeps its partial results small.
-    """
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_label"), F.col("v").alias("q"))
-    n = q.count()
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda a: a * a), F.lit(0.0), lambda a, x: a + x))
-    s = e.join(F.broadcast(q) if n <= 10_000 else q, F.col("vec_id") != F.col("q_id")).select("q_id", "vec_id", (F.col("label") == F.col("q_label")).alias("gold"), F.round(dot / (norm("v") * norm("q")), 9).alias("cosine"))
-    top = s.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("cosine"), "vec_id"))).filter("place <= 20")
-    per = top.groupBy("q_id").agg(F.min(F.when(F.col("gold"), F.col("place"))).alias("first"))
+    """For the vectors with an id divisible by 100 as queries against all: accuracy at 5 and MRR within 20, gold = same label."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    top = ev.nearest(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", 20)
+    labels = e.select(F.col("vec_id").alias("id"), "label")
+    gold = top.join(labels, "id").join(labels.select(F.col("id").alias("q_id"), F.col("label").alias("q_label")), "q_id")
+    per = gold.groupBy("q_id").agg(F.min(F.when(F.col("label") == F.col("q_label"), F.col("place"))).alias("first"))
     return per.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("first") <= 5, 1.0).otherwise(0.0)), 6).alias("accuracy_at_5"), F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
@@ -150,10 +143,16 @@ def krippendorff_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pearson_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of rating and price, and of their average ranks (ranks come from counts of distinct values)."""
-    r = _ratings(spark, sf_dir).select("rating", F.floor(F.col("l_extendedprice") / 1000.0).alias("price"))
-    a = ev.average_ranks(r, "rating").select("rating", F.col("rank").alias("ra"))
-    b = ev.average_ranks(r, "price").select("price", F.col("rank").alias("rb"))
-    return r.join(F.broadcast(a), "rating").join(b, "price").agg(F.round(F.corr(F.col("rating"), F.col("price").cast("double")), 6).alias("pearson"), F.round(F.corr("ra", "rb"), 6).alias("spearman"))
+    r = _ratings(spark, sf_dir).groupBy("rating", F.floor(F.col("l_extendedprice") / 1000.0).cast("double").alias("price")).agg(F.count("*").alias("k"))
+    # cells of both values with their counts stand for the rows from here on
+    ranked = r.join(ev.average_ranks_weighted(r, "rating", []), "rating").join(ev.average_ranks_weighted(r, "price", []), "price")
+
+    def corr(a: str, b: str):
+        n, sa, sb = F.sum("k").cast("double"), F.sum(F.col("k") * F.col(a)), F.sum(F.col("k") * F.col(b))
+        spread = lambda c, s: F.sum(F.col("k") * F.col(c) * F.col(c)) - s * s / n
+        return F.round((F.sum(F.col("k") * F.col(a) * F.col(b)) - sa * sb / n) / F.sqrt(spread(a, sa) * spread(b, sb)), 6)
+
+    return ranked.agg(corr("rating", "price").alias("pearson"), corr("rank_rating", "rank_price").alias("spearman"))
 
 
 def split_half(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,86 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexaria.functions import pairs, text
+from lexaria.functions import measures, text
+from lexaria.functions.batches import column_of, rows_of
 from lexaria.operators import corpus
 from lexaria.operators import evaluation as ev
 from lexaria.plans import evaluation_queries as eq
 from lexaria.plans import text_queries as tq
 from lexaria.plans.text_queries import read
 
-# Words that negate.
-NEGATIONS = ["not", "no", "never", "neither", "without", "cannot", "can't", "doesn't", "isn't", "won't", "don't", "didn't", "n't"]
 # Endings that a lookup takes off.
 ENDINGS = ["s", "es", "ed", "ing"]
 
 
-def _tokens(x: Column) -> Column:
-    return text.matches(x, r"[\p{L}\p{N}_]+")
-
-
 def formula_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Information preservation of the rewrite: word overlaps, protected facts (names, numbers, negating words), loss and verdict.
-
-    Names are capitalised ASCII words, kept if the output contains them in any
-    case. A kind of fact that the source lacks doesn't count; without any,
-    P_critical is 1.
-    """
-    p = tq._pairs(spark, sf_dir).select("doc_id", "text", F.array_join("output", " ").alias("out"))
-    count = lambda x, a, b: F.transform(text.words(F.col(x)), lambda w: F.struct(w.alias("w"), F.lit(a).alias("a"), F.lit(b).alias("b")))
-    one = p.select("doc_id", F.explode(F.concat(count("text", 1, 0), count("out", 0, 1))).alias("x"))
-    by = one.groupBy("doc_id", F.col("x.w").alias("w")).agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))
-    negates = F.col("w").isin(NEGATIONS) & (F.col("a") > 0)
-    sums = by.groupBy("doc_id").agg(
-        F.sum(F.least("a", "b")).alias("shared"), F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("both"), F.count("*").alias("any"),
-        F.count_if(negates).alias("n_neg"), F.count_if(negates & (F.col("b") > 0)).alias("k_neg"),
-    )
-    names = F.filter(_tokens(F.col("text")), lambda t: t.rlike("^[A-Z][a-z]+$"))
-    nums, left = pairs.numbers(F.col("text")), pairs.numbers(F.col("out"))
-    facts = p.select("doc_id", F.size(names).alias("n_name"), F.size(F.filter(names, lambda t: F.contains(F.lower("out"), F.lower(t)))).alias("k_name"), F.size(nums).alias("n_num"), F.size(F.filter(nums, lambda t: F.array_contains(left, t))).alias("k_num"))
-    x = facts.join(sums, "doc_id", "left").fillna(0)
-    most = lambda c: F.greatest(F.col(c), F.lit(1)).cast("double")
-    x = x.withColumns({"m_tfidf": F.col("shared") / most("na"), "m_embedding": F.col("both") / most("any"), "m_nli": (F.col("shared") / most("na") + F.col("shared") / most("nb")) / 2.0})
-    kinds = ("name", "num", "neg")
-    kept = sum((F.coalesce(ev.divide(F.col(f"k_{k}"), F.col(f"n_{k}")), F.lit(0.0)) for k in kinds), F.lit(0.0))
-    some = sum((F.when(F.col(f"n_{k}") > 0, 1).otherwise(0) for k in kinds), F.lit(0))
-    x = x.withColumn("p_critical", F.coalesce(ev.divide(kept, some), F.lit(1.0)))
-    x = x.withColumn("loss", F.lit(1.0) - ((F.col("m_tfidf") + F.col("m_embedding") + F.col("m_nli")) / 6.0 + F.col("p_critical") / 2.0))
-    numbers = (F.round(c, 6).alias(c) for c in ("m_tfidf", "m_embedding", "m_nli", "p_critical", "loss"))
-    return x.select("doc_id", *numbers, ((F.round("loss", 6) <= 0.2) & (F.col("p_critical") == 1.0)).alias("accepted"))
+    """Complexity, simplicity, preservation, utility and verdict of each text and its rewrite."""
+    r = rows_of(tq._rewrites(spark, sf_dir), measures.record, measures.RECORD, ["doc_id"], ["a", "b"])
+    return r.select("doc_id", *(F.round(c, 6).alias(c) for c in r.columns if c not in ("doc_id", "accepted")), "accepted")
 
 
 def formula_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of every value, number of records and share of accepted ones; no records are an error."""
     r = formula_record(spark, sf_dir)
-    return r.agg(F.count("*").alias("records"), *(F.round(F.avg(c), 5).alias(f"mean_{c}") for c in ("m_tfidf", "m_embedding", "m_nli", "p_critical", "loss")), F.round(F.avg(F.col("accepted").cast("double")), 6).alias("accepted_rate"))
+    means = r.agg(F.count("*").alias("records"), *(F.round(F.avg(c), 5).alias(f"mean_{c}") for c in r.columns if c not in ("doc_id", "accepted")), F.round(F.avg(F.col("accepted").cast("double")), 6).alias("accepted_rate"))
+    return means.withColumn("records", F.when(F.col("records") == 0, F.raise_error(F.lit("there are no records"))).otherwise(F.col("records")))
 
 
 def sari_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SARI with gram counts, 1 to 4 grams and one reference, empty sets counting 0; grams of a pair are counted together, then summed."""
-    t = tq._turns(spark, sf_dir)
-    sides = [("t", "s"), ("o", "c"), ("r", "r")]
-
-    def grams_of(side: str, k: str, n: int) -> Column:
-        return F.transform(pairs.ngrams(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), g.alias("g")))
-
-    grams = F.concat(*(grams_of(side, k, n) for side, k in sides for n in range(1, 5)))
-    long = t.select("conv_id", "turn", F.explode(grams).alias("x")).select("conv_id", "turn", "x.n", "x.k", "x.g")
-    c = long.groupBy("conv_id", "turn", "n", "g").agg(*(F.count_if(F.col("k") == k).alias(k) for _, k in sides))
-    keep, gone = F.least("s", "c"), F.greatest(F.col("s") - F.col("c"), F.lit(0))
-    ratio = lambda a, b: F.coalesce(ev.divide(a, b), F.lit(0.0))
-    m = c.groupBy("conv_id", "turn", "n").agg(
-        F.sum(F.when(keep > 0, F.least(keep, F.col("r")) / keep.cast("double"))).alias("kp"), F.count_if(keep > 0).alias("kn"), F.sum(F.least(keep, F.col("r"))).alias("kg"), F.sum(F.least("s", "r")).alias("ka"),
-        F.sum(F.when(gone > 0, F.greatest(gone - F.col("r"), F.lit(0)) / gone.cast("double"))).alias("dp"), F.count_if(gone > 0).alias("dn"),
-        F.count_if((F.col("s") == 0) & (F.col("c") > 0)).alias("an"), F.count_if((F.col("s") == 0) & (F.col("c") > 0) & (F.col("r") > 0)).alias("ag"), F.count_if((F.col("s") == 0) & (F.col("r") > 0)).alias("aa"),
-    )
-    m = m.select("conv_id", "turn", ratio(F.coalesce("kp", F.lit(0.0)), F.col("kn")).alias("p"), ratio(F.col("kg"), F.col("ka")).alias("q"), ratio(F.coalesce("dp", F.lit(0.0)), F.col("dn")).alias("d"), ratio(F.col("ag"), F.col("an")).alias("u"), ratio(F.col("ag"), F.col("aa")).alias("v"))
-    f1 = lambda a, b: F.coalesce(ev.divide(F.col(a) * F.col(b) * 2.0, F.col(a) + F.col(b)), F.lit(0.0))
-    return m.groupBy("conv_id", "turn").agg(F.round(F.sum(f1("p", "q") + F.col("d") + f1("u", "v")) / 12.0 * 100.0, 6).alias("sari"))
+    """SARI of 13a tokens and gram counts against two references; empty sets count 1."""
+    score = column_of(lambda t, o, r: measures.sari(t, o, r), "double")
+    return tq._turns(spark, sf_dir).select("conv_id", "turn", F.round(score(F.col("t"), F.col("o"), F.array("r", "q")), 6).alias("sari"))
 
 
 def sari_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean sentence SARI; every sentence has two references."""
     return sari_sentence(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.avg("sari"), 5).alias("sari"))
 
 
@@ -102,26 +58,21 @@ def bootstrap_cluster_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter("n > 0").select("draw", F.round(F.col("s") / F.col("n"), 4).alias("mean"))
 
 
-def _context_score(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs are summed by key before they meet the counts, so a frequent pair costs one row a key."""
+def bigram_context_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean log probability ln((c(a b) + 0.1) / (c(a) + 0.1 V)) of each document's word pairs; counts over all documents.
+
+    Pairs go from text to table once: the table of (pair, document, count) is written by the shuffle of the pairs,
+    and each pair's total is a window sum over it, so a frequent pair costs a row a document and no join of pairs.
+    """
     w = F.concat(F.array(F.lit("<s>")), text.words(F.col("text")), F.array(F.lit("</s>")))
-    two = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    per = rows.filter("text IS NOT NULL").select(key, F.explode(two).alias("p")).groupBy(key, "p.a", "p.b").agg(F.count("*").alias("n"))
+    words = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.explode(F.array(w)).alias("w"))
+    two = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    per = words.select("doc_id", F.explode(two).alias("p")).groupBy("doc_id", "p").agg(F.count("*").alias("n")).select("doc_id", "p.a", "p.b", "n")
     ab = per.groupBy("a", "b").agg(F.sum("n").alias("ab"))
     a = ab.groupBy("a").agg(F.sum("ab").alias("na"))
     v = a.agg(F.count("*").cast("double").alias("v"))
     scored = ab.join(a, "a").crossJoin(F.broadcast(v)).select("a", "b", F.log((F.col("ab") + 0.1) / (F.col("na") + F.col("v") * 0.1)).alias("lp"))
-    return per.join(scored, ["a", "b"]).groupBy(key).agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("lp")) / F.sum("n"), 6).alias("score"))
-
-
-def bigram_context_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean log probability ln((c(a b) + 0.1) / (c(a) + 0.1 V)) of the word pairs of each conversation's turns; counts over all turns."""
-    return _context_score(read(spark, sf_dir, "conversations"), "conv_id")
-
-
-def bigram_document_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean log probability ln((c(a b) + 0.1) / (c(a) + 0.1 V)) of each document's word pairs; counts over all documents."""
-    return _context_score(read(spark, sf_dir, "documents"), "doc_id")
+    return per.join(scored, ["a", "b"]).groupBy("doc_id").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("lp")) / F.sum("n"), 6).alias("score"))
 
 
 def span_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,25 +83,18 @@ def span_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.groupBy("l_orderkey").agg(F.count("*").alias("n_pairs"), F.sum(F.least("b", "d") - F.greatest("a", "c")).alias("days"))
 
 
-def _lexicon_lookup(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
-    words = read(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("stem")).groupBy("stem").agg(F.count("*").alias("value")).filter(F.col("value") >= least)
-    median = words.agg(F.percentile("value", F.lit(0.5)).alias("median"))
+def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark in the lexicon of all document words: exact, else with the first ending off that is there, else the lexicon's median."""
+    words = read(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("stem")).groupBy("stem").agg(F.count("*").alias("value"))
+    # the median from counts of values, as values are few and words are many
+    by = words.groupBy("value").agg(F.count("*").alias("n"))
+    median = by.agg(F.percentile("value", F.lit(0.5), F.col("n")).alias("median"))
     b = read(spark, sf_dir, "benchmark").select(F.explode(text.words(F.col("text"))).alias("word")).distinct()
     tries = F.array(F.col("word"), *(F.when(F.col("word").endswith(e), F.expr(f"left(word, length(word) - {len(e)})")) for e in ENDINGS))
     found = b.select("word", F.posexplode(tries).alias("place", "stem")).join(words, "stem", "left").groupBy("word").agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("place"))).alias("value"))
     return found.crossJoin(F.broadcast(median)).select("word", F.coalesce(F.col("value").cast("double"), F.col("median")).alias("value"), F.col("value").isNotNull().alias("known"))
 
 
-def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the benchmark in the lexicon of frequent document words: exact, else with the first ending off that is there, else the lexicon's median."""
-    return _lexicon_lookup(spark, sf_dir, 100)
-
-
-def lexicon_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the benchmark in the lexicon of all document words: exact, else with the first ending off that is there, else the lexicon's median."""
-    return _lexicon_lookup(spark, sf_dir, 1)
-
-
 def locked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that a locked list names by id or by text hash: a semi join for each way, united, in place of one join on 'or'."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
@@ -209,11 +153,11 @@ def precise_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The loosest score with most right decisions (accept at or above it), and the middle between it and the next lower score."""
     c = eq._scored_labels(spark, sf_dir).groupBy("score").agg(F.sum("quality").cast("long").alias("good"), F.count("*").alias("n"))
-    up = Window.partitionBy().orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    at = Window.partitionBy().orderBy(F.desc("score"))
     total = c.agg(F.sum(F.col("n") - F.col("good")).alias("bad"))
-    x = c.withColumns({"right": F.sum(F.col("good") * 2 - F.col("n")).over(up), "below": F.lead("score").over(at)}).crossJoin(F.broadcast(total))
-    return x.select("score", (F.col("right") + F.col("bad")).alias("right"), F.round((F.col("score") + F.coalesce("below", "score")) / 2.0, 6).alias("cutoff")).orderBy(F.desc("right"), "score").limit(1)
+    x = ev.before(c, "score", F.col("good") * 2 - F.col("n"), "above", descending=True).withColumn("right", F.col("above") + F.col("good") * 2 - F.col("n"))
+    best = x.crossJoin(F.broadcast(total)).select("score", (F.col("right") + F.col("bad")).alias("right")).orderBy(F.desc("right"), "score").limit(1)
+    below = best.join(c.select(F.col("score").alias("s")), F.col("s") < F.col("score"), "left").groupBy("score", "right").agg(F.max("s").alias("below"))
+    return below.select("score", "right", F.round((F.col("score") + F.coalesce("below", "score")) / 2.0, 6).alias("cutoff"))
 
 
 def miss_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,15 +228,22 @@ def config_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their median and largest value, overall, by system, and by system and weekday."""
-    read(spark, sf_dir, "events").select("event_type", F.weekday("ts").alias("day"), "value").createOrReplaceTempView("__latency_rows")
-    return spark.sql("""SELECT event_type, day, grouping_id() AS level, count(*) AS n, round(percentile(value, 0.5), 6) AS median, round(max(value), 6) AS most
-        FROM __latency_rows GROUP BY GROUPING SETS ((event_type, day), (event_type), ())""").withColumn("level", F.col("level").cast("long"))
+    x = read(spark, sf_dir, "events").select("event_type", F.weekday("ts").alias("day"), "value")
+    none = {"event_type": F.lit(None).cast("string"), "day": F.lit(None).cast("int")}
+    out = None
+    for level, by in ((0, ["event_type", "day"]), (1, ["event_type"]), (3, [])):
+        sums = x.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.max("value"), 6).alias("most"))
+        median = ev.exact_quantiles(x, by, "value", [0.5])
+        both = sums.join(median, by, "left") if by else sums.crossJoin(F.broadcast(median))
+        part = both.select(*(F.col(c) if c in by else none[c].alias(c) for c in none), F.lit(level).cast("long").alias("level"), "n", F.round("q0", 6).alias("median"), "most")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def conversation_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and grade of each conversation's assistant turns; counts add up, so the texts are never put together."""
     c = read(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    n = c.select("conv_id", *(v.alias(k) for k, v in text.readability_f(F.col("text")).items()))
+    n = rows_of(c, text.counts_f, text.COUNTS_F, ["conv_id"], ["text"])
     s = n.groupBy("conv_id").agg(*(F.sum(k).alias(k) for k in ("n_words", "n_sentences", "n_syllables", "n_poly", "n_long")))
     return s.select("conv_id", "n_words", "n_sentences", F.round(text.scores_f({k: F.col(k) for k in s.columns})["grade"], 6).alias("grade"))
 
@@ -309,57 +260,74 @@ def panel_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (formula_record, formula_summary, sari_sentence, sari_corpus, threshold_f1, bootstrap_cluster_hash, bigram_context_score, bigram_document_score, span_overlap, lexicon_lookup, lexicon_lookup_all, locked_rows, priority_lookup, nominal_alpha, cross_tab, weighted_precision, band_means, precise_threshold,
+    for f in (formula_record, formula_summary, sari_sentence, sari_corpus, threshold_f1, bootstrap_cluster_hash, bigram_context_score, span_overlap, lexicon_lookup, locked_rows, priority_lookup, nominal_alpha, cross_tab, weighted_precision, band_means, precise_threshold,
               best_cutoff, miss_partition, sole_failures, rating_pivot, rating_union, listwise_features, passage_shortlist, rank_sum, modal_edge, event_states, config_parse, latency_summary, conversation_grade, panel_assembly)
 }
 
 _E, _C, _L, _R = eq._E, eq._C, eq._L, eq._R
 _NORM = "sha256(array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' '))"
 _BAND = "CASE WHEN score >= 0.95 THEN 3 WHEN score >= 0.9 THEN 2 WHEN score >= 0.8 THEN 1 ELSE 0 END"
-_NEG = ", ".join("'" + w.replace("'", "''") + "'" for w in NEGATIONS)
-_NUM = "'[0-9]+(?:[.,][0-9]+)*'"
-_FORMULA = f"""{tq._PAIRS_SQL}, t AS (SELECT doc_id, text, array_to_string(output, ' ') AS o FROM q),
-    r AS (SELECT doc_id, unnest({tq._W}) AS w, 1 AS a, 0 AS b FROM t UNION ALL SELECT doc_id, unnest({tq._W.replace("text", "o")}), 0, 1 FROM t),
-    k AS (SELECT doc_id, w, sum(a) AS a, sum(b) AS b FROM r GROUP BY 1, 2),
-    s AS (SELECT doc_id, sum(least(a, b)) AS shared, sum(a) AS na, sum(b) AS nb, count_if(a > 0 AND b > 0) AS twice, count(*) AS many, count_if(a > 0 AND w IN ({_NEG})) AS n_neg, count_if(a > 0 AND b > 0 AND w IN ({_NEG})) AS k_neg FROM k GROUP BY 1),
-    e AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]+')) AS e, regexp_extract_all(text, {_NUM}) AS n, regexp_extract_all(o, {_NUM}) AS m, lower(o) AS o FROM t),
-    f AS (SELECT doc_id, len(e) AS n_name, len(list_filter(e, lambda x: contains(o, lower(x)))) AS k_name, len(n) AS n_num, len(list_filter(n, lambda x: list_contains(m, x))) AS k_num FROM e),
-    g AS (SELECT f.*, coalesce(shared, 0)::DOUBLE AS shared, greatest(coalesce(na, 0), 1) AS na, greatest(coalesce(nb, 0), 1) AS nb, coalesce(twice, 0)::DOUBLE AS twice, greatest(coalesce(many, 0), 1) AS many, coalesce(n_neg, 0) AS n_neg, coalesce(k_neg, 0) AS k_neg FROM f LEFT JOIN s USING (doc_id)),
-    h AS (SELECT doc_id, shared / na AS m_tfidf, twice / many AS m_embedding, (shared / na + shared / nb) / 2 AS m_nli,
-        CASE WHEN n_name + n_num + n_neg = 0 THEN 1.0::DOUBLE ELSE (CASE WHEN n_name > 0 THEN k_name::DOUBLE / n_name ELSE 0 END + CASE WHEN n_num > 0 THEN k_num::DOUBLE / n_num ELSE 0 END + CASE WHEN n_neg > 0 THEN k_neg::DOUBLE / n_neg ELSE 0 END)
-            / ((n_name > 0)::INT + (n_num > 0)::INT + (n_neg > 0)::INT) END AS p_critical FROM g),
-    z AS (SELECT *, 1 - ((m_tfidf + m_embedding + m_nli) / 6.0::DOUBLE + p_critical / 2.0::DOUBLE) AS loss FROM h),
-    y AS (SELECT doc_id, round(m_tfidf, 6) AS m_tfidf, round(m_embedding, 6) AS m_embedding, round(m_nli, 6) AS m_nli, round(p_critical, 6) AS p_critical, round(loss, 6) AS loss, round(loss, 6) <= 0.2 AND p_critical = 1 AS accepted FROM z)"""
-_ALL_GRAMS = " UNION ALL ".join(f"SELECT conv_id, turn, {n} AS n, '{k}' AS k, unnest(CASE WHEN len({c}) >= {n} THEN list_transform(range(1, len({c}) - {n - 2}), lambda i: array_to_string({c}[i:i + {n - 1}], ' ')) ELSE [] END) AS g FROM l" for c, k in (("t", "s"), ("o", "c"), ("r", "r")) for n in range(1, 5))
-_SARI = f"""t AS (SELECT conv_id, turn, role, regexp_split_to_array(lower(trim(text, ' ')), '\\s+') AS t FROM conversations),
-    w AS (SELECT conv_id, turn, role, t, lead(t) OVER w AS o, lead(t, 2) OVER w AS r FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), l AS (SELECT * FROM w WHERE role = 'user' AND o IS NOT NULL AND r IS NOT NULL),
+_IN = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+_NUM = r"'\b\d[\d,]*(?:\.\d+)?\b'"
+_DAY = r"'(?i)\b(?:\d{1,4}[/-]\d{1,2}[/-]\d{1,4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{1,2},?\s+\d{4})\b'"
+_QTY = r"'(?i)\b\d[\d,]*(?:\.\d+)?\s*(?:kg|g|lb|lbs|m|cm|km|%|percent)\b'"
+_FOLD = lambda x: f"replace(lower({x}), 'ß', 'ss')"
+_HAS = lambda items: f"len({items}) AS n_{items}, len(list_filter({items}, lambda i: contains(fb, {_FOLD('i')}))) AS k_{items}"
+_FORMULA = f"""{tq._TEXTS_SQL}, {tq._sums_sql(measures.DEFAULT_WORD)},
+    j AS (SELECT doc_id, coalesce(sum(k) FILTER (WHERE side = 'a'), 0) AS a, coalesce(sum(k) FILTER (WHERE side = 'b'), 0) AS b FROM k WHERE w IN {_IN(measures.TERMS)} GROUP BY 1),
+    o AS (SELECT doc_id, w, coalesce(sum(k) FILTER (WHERE side = 'a'), 0) AS a, coalesce(sum(k) FILTER (WHERE side = 'b'), 0) AS b FROM k GROUP BY 1, 2),
+    v AS (SELECT doc_id, sum(least(o.a, o.b))::DOUBLE AS shared, count_if(o.a > 0 AND o.b > 0)::DOUBLE AS twice, count(*) AS many, list(w) FILTER (WHERE o.a > 0 AND w IN {_IN(measures.NEGATIONS)}) AS neg,
+        count_if(o.a > 0 AND w IN {_IN(measures.TERMS)}) AS n_term, count_if(o.a > 0 AND o.b > 0 AND w IN {_IN(measures.TERMS)}) AS k_term FROM o GROUP BY 1),
+    i AS (SELECT t.doc_id, {_FOLD("b")} AS fb, list_filter(regexp_extract_all(a, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]+')) AS name, list_transform(regexp_extract_all(a, {_NUM}), lambda x: replace(x, ',', '')) AS num,
+        list_transform(regexp_extract_all(b, {_NUM}), lambda x: replace(x, ',', '')) AS num_b, regexp_extract_all(a, {_DAY}) AS day, regexp_extract_all(a, {_QTY}) AS qty, coalesce(neg, []) AS neg, coalesce(shared, 0) AS shared, coalesce(twice, 0) AS twice,
+        greatest(coalesce(many, 0), 1) AS many, coalesce(n_term, 0) AS n_term, coalesce(k_term, 0) AS k_term FROM t LEFT JOIN v USING (doc_id)),
+    u AS (SELECT *, {_HAS("name")}, len(num) AS n_num, len(list_filter(num, lambda x: list_contains(num_b, x))) AS k_num, {_HAS("day")}, {_HAS("qty")}, {_HAS("neg")} FROM i),
+    g AS (SELECT doc_id, shared, twice / many AS m_embedding, list_filter([{", ".join(f"CASE WHEN n_{c} > 0 THEN k_{c}::DOUBLE / n_{c} END" for c in ("name", "num", "day", "qty", "neg", "term"))}], lambda x: x IS NOT NULL) AS p FROM u),
+    d AS (SELECT g.doc_id, ra.c AS word_complexity_before, rb.c AS word_complexity_after, {tq._reduced("ra.hard", "rb.hard")} AS s_lex, least(1, greatest(0, rb.score - ra.score + 0.5)) AS s_read, {tq._reduced("coalesce(j.a, 0)", "coalesce(j.b, 0)")} AS s_jargon,
+        shared / ra.m AS m_tfidf, m_embedding, (shared / ra.m + shared / rb.m) / 2 AS m_nli, CASE WHEN len(p) = 0 THEN 1.0::DOUBLE ELSE list_sum(p) / len(p) END AS p_critical
+        FROM g JOIN r ra ON ra.doc_id = g.doc_id AND ra.side = 'a' JOIN r rb ON rb.doc_id = g.doc_id AND rb.side = 'b' LEFT JOIN j ON j.doc_id = g.doc_id),
+    l AS (SELECT *, (s_lex + s_read + s_jargon) / 3 AS s, (m_tfidf + m_embedding + m_nli) / 3 AS m_avg FROM d), z AS (SELECT *, 0.5 * m_avg + 0.5 * p_critical AS p_meaning FROM l), zz AS (SELECT *, 1 - p_meaning AS loss_info, s - (1 - p_meaning) AS u FROM z),
+    y AS (SELECT doc_id, {", ".join(f"round({c}, 6) AS {c}" for c in ("word_complexity_before", "word_complexity_after", "s_lex", "s_read", "s_jargon", "s", "m_tfidf", "m_embedding", "m_nli", "m_avg", "p_critical", "p_meaning", "loss_info", "u"))},
+        loss_info <= 0.2 AND p_critical = 1 AS accepted FROM zz)"""
+_VALUES = [c.split()[0] for c in measures.RECORD.split(",") if not c.endswith("boolean")]
+
+
+def _tok(x: str) -> str:
+    """SQL for the 13a tokens of a text."""
+    x = f"replace(replace(replace(lower({x}), '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for a, b in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        x = f"replace({x}, '{a}', '{b}')"
+    x = f"' ' || {x} || ' '"
+    for pattern, by in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
+
+
+_ALL_GRAMS = " UNION ALL ".join(f"SELECT conv_id, turn, {n} AS n, '{k}' AS k, unnest(CASE WHEN len({c}) >= {n} THEN list_transform(range(1, len({c}) - {n - 2}), lambda i: array_to_string({c}[i:i + {n - 1}], ' ')) ELSE [] END) AS g FROM l" for c, k in (("t", "s"), ("o", "c"), ("r", "r"), ("q", "r")) for n in range(1, 5))
+_SARI = f"""w AS (SELECT conv_id, turn, role, text AS t, lead(text) OVER w AS o, lead(text, 2) OVER w AS r, lead(text, 3) OVER w AS q FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    l AS (SELECT conv_id, turn, {", ".join(f"{_tok(c)} AS {c}" for c in "torq")} FROM w WHERE role = 'user' AND t IS NOT NULL AND o IS NOT NULL AND r IS NOT NULL AND q IS NOT NULL),
     x AS ({_ALL_GRAMS}), c AS (SELECT conv_id, turn, n, g, count_if(k = 's')::BIGINT AS s, count_if(k = 'c')::BIGINT AS c, count_if(k = 'r')::BIGINT AS r FROM x GROUP BY ALL),
-    d AS (SELECT *, least(s, c) AS keep, greatest(s - c, 0) AS gone FROM c),
-    m AS (SELECT conv_id, turn, n, coalesce(avg(least(keep, r)::DOUBLE / keep) FILTER (WHERE keep > 0), 0) AS p, CASE WHEN sum(least(s, r)) > 0 THEN sum(least(keep, r))::DOUBLE / sum(least(s, r)) ELSE 0 END AS q, coalesce(avg(greatest(gone - r, 0)::DOUBLE / gone) FILTER (WHERE gone > 0), 0) AS d,
-        coalesce(avg((r > 0)::INT) FILTER (WHERE s = 0 AND c > 0), 0) AS u, coalesce(avg((c > 0)::INT) FILTER (WHERE s = 0 AND r > 0), 0) AS v FROM d GROUP BY ALL),
+    d AS (SELECT *, 2 * least(s, c) AS keep, 2 * greatest(s - c, 0) AS gone, least(2 * s, r) AS wanted FROM c), e AS (SELECT conv_id, turn, unnest([1, 2, 3, 4]) AS n FROM l),
+    m AS (SELECT e.conv_id, e.turn, e.n, coalesce(avg(least(keep, r)::DOUBLE / keep) FILTER (WHERE keep > 0), 1) AS p, CASE WHEN sum(wanted) > 0 THEN sum(least(keep, r))::DOUBLE / sum(wanted) ELSE 1 END AS q,
+        coalesce(avg(greatest(gone - r, 0)::DOUBLE / gone) FILTER (WHERE gone > 0), 1) AS d, coalesce(avg((r > 0)::INT) FILTER (WHERE s = 0 AND c > 0), 1) AS u, coalesce(avg((c > 0)::INT) FILTER (WHERE s = 0 AND r > 0), 1) AS v
+        FROM e LEFT JOIN d ON d.conv_id = e.conv_id AND d.turn = e.turn AND d.n = e.n GROUP BY ALL),
     y AS (SELECT conv_id, turn, round(sum(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END + d + CASE WHEN u + v > 0 THEN 2 * u * v / (u + v) ELSE 0 END) / 12.0::DOUBLE * 100, 6) AS sari FROM m GROUP BY 1, 2)"""
 _GRID = f"""{_L}, t AS (SELECT unnest({eq.GRID}::DOUBLE[]) AS threshold), k AS (SELECT threshold, count_if(score >= threshold AND quality = 1)::BIGINT AS tp, count_if(score >= threshold AND quality = 0)::BIGINT AS fp, count_if(score < threshold AND quality = 1)::BIGINT AS fn FROM x, t GROUP BY 1)"""
 
 ORACLES = {
     "formula_record": f"WITH {_FORMULA} SELECT * FROM y",
-    "formula_summary": f"""WITH {_FORMULA} SELECT count(*) AS records, round(avg(m_tfidf), 5) AS mean_m_tfidf, round(avg(m_embedding), 5) AS mean_m_embedding, round(avg(m_nli), 5) AS mean_m_nli, round(avg(p_critical), 5) AS mean_p_critical, round(avg(loss), 5) AS mean_loss, round(avg(accepted::INT), 6) AS accepted_rate FROM y""",
+    "formula_summary": f"WITH {_FORMULA} SELECT count(*) AS records, {', '.join(f'round(avg({c}), 5) AS mean_{c}' for c in _VALUES)}, round(avg(accepted::INT), 6) AS accepted_rate FROM y",
     "sari_sentence": f"WITH {_SARI} SELECT * FROM y",
     "sari_corpus": f"WITH {_SARI} SELECT count(*) AS n, round(avg(sari), 5) AS sari FROM y",
     "threshold_f1": f"WITH {_GRID} SELECT threshold, tp, fp, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) END, 9) AS f1 FROM k ORDER BY 4 DESC NULLS LAST, 1 LIMIT 1",
     "bootstrap_cluster_hash": """WITH b AS (SELECT source, sum(n_chars)::DOUBLE AS s, count(*) AS n FROM documents GROUP BY 1), k AS (SELECT draw, s, n, ('0x' || substr(md5(source || ':' || draw), 1, 8))::BIGINT AS h FROM b, range(30) t(draw)),
         w AS (SELECT *, (h >= 1580030169)::INT + (h >= 3160060337)::INT + (h >= 3950075421)::INT + (h >= 4213413783)::INT AS k FROM k) SELECT draw::INT AS draw, round(sum(k * s) / sum(k * n), 4) AS mean FROM w GROUP BY 1 HAVING sum(k * n) > 0""",
-    "bigram_context_score": f"""WITH w AS (SELECT conv_id, list_concat(['<s>'], {tq._W}, ['</s>']) AS w FROM conversations WHERE text IS NOT NULL), p AS (SELECT conv_id, unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM w),
-        ab AS (SELECT p, count(*) AS ab FROM p GROUP BY 1), a AS (SELECT p[1] AS a, count(*) AS na FROM p GROUP BY 1), v AS (SELECT count(*)::DOUBLE AS v FROM a)
-        SELECT conv_id, count(*) AS n, round(avg(ln((ab + 0.1::DOUBLE) / (na + v * 0.1::DOUBLE))), 6) AS score FROM p JOIN ab USING (p) JOIN a ON a.a = p.p[1], v GROUP BY 1""",
-    "bigram_document_score": f"""WITH w AS (SELECT doc_id, list_concat(['<s>'], {tq._W}, ['</s>']) AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM w),
+    "bigram_context_score": f"""WITH w AS (SELECT doc_id, list_concat(['<s>'], {tq._W}, ['</s>']) AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM w),
         ab AS (SELECT p, count(*) AS ab FROM p GROUP BY 1), a AS (SELECT p[1] AS a, count(*) AS na FROM p GROUP BY 1), v AS (SELECT count(*)::DOUBLE AS v FROM a)
         SELECT doc_id, count(*) AS n, round(avg(ln((ab + 0.1::DOUBLE) / (na + v * 0.1::DOUBLE))), 6) AS score FROM p JOIN ab USING (p) JOIN a ON a.a = p.p[1], v GROUP BY 1""",
     "span_overlap": """WITH s AS (SELECT l_orderkey, l_linenumber AS m, l_shipdate::DATE - DATE '1970-01-01' AS a, l_shipdate::DATE - DATE '1970-01-01' + l_quantity::INT AS b FROM lineitem)
         SELECT s.l_orderkey, count(*) AS n_pairs, sum(least(s.b, t.b) - greatest(s.a, t.a))::BIGINT AS days FROM s JOIN s t ON s.l_orderkey = t.l_orderkey AND s.m < t.m AND s.a < t.b AND t.a < s.b GROUP BY 1""",
-    "lexicon_lookup": f"""WITH x AS (SELECT stem, count(*) AS value FROM (SELECT unnest({tq._W}) AS stem FROM documents) GROUP BY 1 HAVING count(*) >= 100), b AS (SELECT DISTINCT unnest({tq._W}) AS word FROM benchmark),
-        t AS (SELECT word, 0 AS place, word AS stem FROM b {" ".join(f"UNION ALL SELECT word, {i + 1}, left(word, length(word) - {len(e)}) FROM b WHERE word LIKE '%{e}'" for i, e in enumerate(ENDINGS))}),
-        f AS (SELECT word, arg_min(value, place) FILTER (WHERE value IS NOT NULL) AS value FROM t LEFT JOIN x USING (stem) GROUP BY 1) SELECT word, coalesce(value::DOUBLE, (SELECT median(value)::DOUBLE FROM x)) AS value, value IS NOT NULL AS known FROM f""",
-    "lexicon_lookup_all": f"""WITH x AS (SELECT stem, count(*) AS value FROM (SELECT unnest({tq._W}) AS stem FROM documents) GROUP BY 1), b AS (SELECT DISTINCT unnest({tq._W}) AS word FROM benchmark),
+    "lexicon_lookup": f"""WITH x AS (SELECT stem, count(*) AS value FROM (SELECT unnest({tq._W}) AS stem FROM documents) GROUP BY 1), b AS (SELECT DISTINCT unnest({tq._W}) AS word FROM benchmark),
         t AS (SELECT word, 0 AS place, word AS stem FROM b {" ".join(f"UNION ALL SELECT word, {i + 1}, left(word, length(word) - {len(e)}) FROM b WHERE word LIKE '%{e}'" for i, e in enumerate(ENDINGS))}),
         f AS (SELECT word, arg_min(value, place) FILTER (WHERE value IS NOT NULL) AS value FROM t LEFT JOIN x USING (stem) GROUP BY 1) SELECT word, coalesce(value::DOUBLE, (SELECT median(value)::DOUBLE FROM x)) AS value, value IS NOT NULL AS known FROM f""",
     "locked_rows": "WITH t AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT doc_id FROM documents WHERE doc_id IN (FROM t) OR sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id IN (FROM t))",

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexaria.functions import pairs, text
+from lexaria.functions import alignment, measures, pairs, preserve, text
+from lexaria.functions.batches import column_of, rows_of
 from lexaria.operators import rewrite
 from lexaria.sources import loaders
 
 #: The rewrite rules of the queries: frequent tokens of the tables.
 RULES = {"the": "a", "thereon": "on", "within": "in", "thing": "item", "nicht": "kein", "dans": "en", "entre": "en", "tion": "act", "ing": "do"}
-# Weights of lexical reduction, reading gain and jargon reduction.
-WEIGHTS = (0.4, 0.5, 0.1)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,7 +26,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts_f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", "lang", *(c.alias(k) for k, c in text.readability_f(F.col("text")).items()))
+    return rows_of(_docs(spark, sf_dir), text.counts_f, text.COUNTS_F, ["doc_id", "lang"], ["text"])
 
 
 def readability_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,18 +36,21 @@ def readability_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readability_family_r(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _docs(spark, sf_dir).select("doc_id", *(c.alias(k) for k, c in text.readability_r(F.col("text")).items()))
+    """Report metrics: words, sentences by the split, reading ease, grade, fog, smog, mean sentence and word length, technical terms."""
+    counts = rows_of(_docs(spark, sf_dir), text.counts_r, text.COUNTS_R, ["doc_id"], ["text"])
     scores = text.scores_r({c: F.col(c) for c in counts.columns})
-    return counts.select("doc_id", "n_words", "n_sentences", "n_syllables", "n_poly", *(F.round(c, 6).alias(k) for k, c in scores.items()))
+    scores |= {"sentence_length": F.when(F.col("n_words") > 0, F.col("n_words") / F.col("n_sentences")), "word_length": F.when(F.col("n_words") > 0, F.col("n_letters") / F.col("n_words"))}
+    return counts.select("doc_id", "n_words", "n_sentences", "n_syllables", "n_poly", "n_terms", *(F.round(c, 6).alias(k) for k, c in scores.items()))
 
 
 def word_complexity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 most complex words, out of context (mean length plus syllables of all words stands for it)."""
-    w = _docs(spark, sf_dir).select(F.explode(text.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    w = w.withColumn("weight", (F.length("word") + text.syllables_f(F.col("word"))).cast("double"))
-    context = w.agg((F.sum(F.col("weight") * F.col("n")) / F.sum("n")).alias("context"))
-    scored = w.crossJoin(F.broadcast(context)).withColumn("complexity", F.round(text.word_complexity(F.col("word"), F.col("context")), 9))
-    return scored.orderBy(F.desc("complexity"), "word").limit(50).select("word", "n", "complexity")
+    """The 50 most complex (text, word) pairs, each word among the other words of its text."""
+
+    def complexities(t: str | None) -> list[tuple[str, float]]:
+        return sorted(((w, round(c, 9)) for w, c in measures.Text(t or "").complexities(measures.DEFAULT_WORD).items()), key=lambda x: (-x[1], x[0]))[:50]
+
+    scored = rows_of(_docs(spark, sf_dir), complexities, "word string, complexity double", ["doc_id"], ["text"])
+    return scored.orderBy(F.desc("complexity"), "doc_id", "word").limit(50).select("doc_id", "word", "complexity")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,57 +64,66 @@ def dictionary_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", F.size("source").alias("n_tokens"), changed.alias("n_changed"), F.md5(F.array_join("output", " ").cast("binary")).alias("output_md5"))
 
 
+def _rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the text with single spaces (a) and its rewrite (b)."""
+    return _pairs(spark, sf_dir).select("doc_id", F.array_join("source", " ").alias("a"), F.array_join("output", " ").alias("b"))
+
+
 def simplicity_s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S = G * lexical reduction + H * reading gain + I * jargon reduction; a copy scores H / 2."""
-    p = _pairs(spark, sf_dir).select("doc_id", F.array_join("source", " ").alias("a"), F.array_join("output", " ").alias("b"))
-    for x in ("a", "b"):
-        n = text.readability_f(F.col(x))
-        p = p.withColumns({f"{x}_long": n["n_long"], f"{x}_poly": n["n_poly"], f"{x}_words": n["n_words"], f"{x}_sent": n["n_sentences"], f"{x}_syll": n["n_syllables"]})
-    grade = lambda x: text.scores_f({"n_words": F.col(f"{x}_words"), "n_sentences": F.col(f"{x}_sent"), "n_syllables": F.col(f"{x}_syll"), "n_poly": F.col(f"{x}_poly"), "n_long": F.col(f"{x}_long")})["grade"]
-    gain = text.clamp((grade("a") - grade("b")) / 20.0 + 0.5)
-    s = pairs.reduction(F.col("a_poly"), F.col("b_poly")) * WEIGHTS[0] + gain * WEIGHTS[1] + pairs.reduction(F.col("a_long"), F.col("b_long")) * WEIGHTS[2]
-    return p.select("doc_id", F.round(s, 6).alias("s"))
+    """S with the weights fitted to ratings, from the reductions of complex words and of rare terms and the gain in reading score."""
+    parts = rows_of(_rewrites(spark, sf_dir), measures.trained_simplicity, "s_lex double, s_read double, s_jargon double, s double", ["doc_id"], ["a", "b"])
+    return parts.select("doc_id", *(F.round(c, 6).alias(c) for c in ("s_lex", "s_read", "s_jargon", "s")))
 
 
 def explicit_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers and distinct tokens of the source that the output keeps."""
-    p = _pairs(spark, sf_dir)
-    out = F.array_join("output", " ")
-    return p.select("doc_id", F.size(pairs.numbers(F.col("text"))).alias("n_numbers"), F.round(pairs.kept_share(pairs.numbers(F.col("text")), pairs.numbers(out)), 6).alias("numbers_kept"), F.round(pairs.kept_share(F.col("source"), F.col("output")), 6).alias("tokens_kept"))
+    """Kept shares of numbers, dates, names, negating words and tenses, and the numbers, negating words and names that are lost."""
+    c = rows_of(_rewrites(spark, sf_dir), preserve.explicit_checks, preserve.CHECKS, ["doc_id"], ["a", "b"])
+    return c.select("doc_id", "n_numbers", *(F.round(k, 6).alias(k) for k in ("numbers", "dates", "entities", "capitalised", "negations", "tenses")), "lost_numbers", "lost_negations", "lost_entities")
+
+
+def item_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of explicit_checks that patterns alone decide."""
+    return explicit_checks(spark, sf_dir).select("doc_id", "n_numbers", "numbers", "dates", "negations", "lost_numbers")
 
 
 def tfidf_pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine of the TF-IDF vectors of source and output, the pair as corpus: smooth idf ln(3 / (1 + df)) + 1."""
+    """Cosine of the TF-IDF vectors of source and output, the pair as corpus: smooth idf ln(3 / (1 + df)) + 1. A pair never leaves its row."""
+    both, one = 1.0, math.log(3 / 2) + 1
+
+    def cosine(a: list[str], b: list[str]) -> float:
+        x, y = Counter(a), Counter(b)
+        weigh = lambda p, q: sum((n * (both if w in q else one)) ** 2 for w, n in p.items())
+        return sum(n * y[w] for w, n in x.items()) / math.sqrt(weigh(x, y) * weigh(y, x))
+
     p = _pairs(spark, sf_dir)
-    rows = p.select("doc_id", F.explode("source").alias("w"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(p.select("doc_id", F.explode("output").alias("w"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-    tf = rows.groupBy("doc_id", "w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    idf = F.log(F.lit(3.0) / (F.lit(1.0) + F.when(F.col("a") > 0, 1).otherwise(0) + F.when(F.col("b") > 0, 1).otherwise(0))) + 1.0
-    v = tf.withColumn("idf2", idf * idf)
-    sums = v.groupBy("doc_id").agg(F.sum(F.col("a") * F.col("b") * F.col("idf2")).alias("ab"), F.sum(F.col("a") * F.col("a") * F.col("idf2")).alias("aa"), F.sum(F.col("b") * F.col("b") * F.col("idf2")).alias("bb"))
-    return sums.select("doc_id", F.round(F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")), 6).alias("cosine"))
+    return p.select("doc_id", F.round(column_of(cosine, "double")("source", "output"), 6).alias("cosine"))
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adjacent user and assistant turns as (source, output, reference) token arrays; the next user turn is the reference."""
+    """Each user turn with the turn after it as output and the two after that as references."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    t = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.split(F.lower(F.trim("text")), r"\s+").alias("t"))
-    return t.withColumns({"o": F.lead("t").over(w), "r": F.lead("t", 2).over(w)}).filter("role = 'user' and o is not null and r is not null")
+    t = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("t"))
+    return t.withColumns({"o": F.lead("t").over(w), "r": F.lead("t", 2).over(w), "q": F.lead("t", 3).over(w)}).filter("role = 'user' and t is not null and o is not null and r is not null and q is not null")
 
 
 def sari_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _turns(spark, sf_dir).select("conv_id", "turn", F.round(pairs.sari_sets(F.col("t"), F.col("o"), F.col("r"), 2), 6).alias("sari"))
+    """SARI on sets of 1 to 4 grams against one reference."""
+    tokens = preserve.metric_tokens
+    score = column_of(lambda t, o, r: measures.sari_sets(tokens(t), tokens(o), tokens(r)), "double")
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.round(score("t", "o", "r"), 6).alias("sari"))
 
 
 def changed_token_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pairs(spark, sf_dir)
-    return p.select("doc_id", F.round(pairs.changed_token_rate(F.col("source"), F.col("output")), 6).alias("rate"))
+    """Changed tokens over source tokens, from the longest-match alignment."""
+    return _rewrites(spark, sf_dir).select("doc_id", F.round(column_of(alignment.changed_token_rate, "double")("a", "b"), 6).alias("rate"))
 
 
 def metric_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal (source, output) pairs are scored once, and the score joined back by the pair's hash."""
-    p = _pairs(spark, sf_dir).select("doc_id", "source", "output").withColumn("pair", F.sha2(F.concat(F.array_join("source", " "), F.lit("\n"), F.array_join("output", " ")), 256))
-    scored = p.groupBy("pair").agg(F.any_value(F.size("source")).alias("n"), F.any_value(pairs.jaccard(F.array_distinct("source"), F.array_distinct("output"))).alias("j"), F.count("*").alias("uses"))
-    return p.select("doc_id", "pair").join(scored, "pair").select("doc_id", "n", F.round("j", 6).alias("jaccard"), "uses")
+    """Equal (source, output) pairs are scored once: by the row that has the smallest doc_id of its pair; the score is joined back by the pair's hash."""
+    p = _pairs(spark, sf_dir).select("doc_id", "source", "output", F.sha2(F.concat(F.array_join("source", " "), F.lit("\n"), F.array_join("output", " ")), 256).alias("pair"))
+    of = p.groupBy("pair").agg(F.min("doc_id").alias("first"), F.count("*").alias("uses"))
+    scored = p.join(of.select(F.col("first").alias("doc_id"), "uses"), "doc_id").select("pair", "uses", F.size("source").alias("n"), F.round(pairs.jaccard(F.array_distinct("source"), F.array_distinct("output")), 6).alias("jaccard"))
+    return p.select("doc_id", "pair").join(scored, "pair").select("doc_id", "n", "jaccard", "uses")
 
 
 def _bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,42 +133,40 @@ def _bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bigram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram counts with sentence markers, of counts of 20 or more."""
-    return _bigrams(spark, sf_dir).filter("n >= 20")
-
-
-def bigram_lm_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All counts of the language model with sentence markers: bigrams; words, where b is null; and the vocabulary's size, where a is null too."""
-    w = F.concat(F.array(F.lit("<s>")), text.words(F.col("text")), F.array(F.lit("</s>")))
-    one = _docs(spark, sf_dir).select(F.explode(w).alias("a")).groupBy("a").agg(F.count("*").alias("n"))
+    two = _bigrams(spark, sf_dir)
+    # each word but the last marker begins as many bigrams as it occurs
+    ends = _docs(spark, sf_dir).agg(F.count("text").alias("n")).filter("n > 0").select(F.lit("</s>").alias("a"), "n")
+    one = two.groupBy("a").agg(F.sum("n").alias("n")).unionByName(ends)
     none = F.lit(None).cast("string")
     size = one.agg(F.count("*").alias("n"))
-    return _bigrams(spark, sf_dir).unionByName(one.select("a", none.alias("b"), "n")).unionByName(size.select(none.alias("a"), none.alias("b"), "n"))
-
-
-def _zipf(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
-    n = _docs(spark, sf_dir).select(F.explode(text.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").cast("double").alias("total"))
-    return n.filter(F.col("n") >= least).crossJoin(F.broadcast(total)).select("word", "n", F.round(F.log10(F.col("n") / F.col("total") * 1e9), 6).alias("zipf"))
+    return two.unionByName(one.select("a", none.alias("b"), "n")).unionByName(size.select(none.alias("a"), none.alias("b"), "n"))
 
 
 def corpus_zipf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zipf frequency log10(1e9 * count / total) of words that occur 50 times or more."""
-    return _zipf(spark, sf_dir, 50)
-
-
-def corpus_zipf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zipf frequency log10(1e9 * count / total) of every word."""
-    return _zipf(spark, sf_dir, 1)
+    n = _docs(spark, sf_dir).select(F.explode(text.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n").cast("double").alias("total"))
+    return n.crossJoin(F.broadcast(total)).select("word", "n", F.round(F.log10(F.col("n") / F.col("total") * 1e9), 6).alias("zipf"))
 
 
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item's first three words in a row, by n-gram equality and not by search."""
-    phrases = read(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(text.words(F.col("text")), 1, 3), " ").alias("phrase"))
+    """Phrases of test items (each item's words by sixes) in documents, by n-gram equality and not by search: every place, and which are kept.
+
+    Items with an even id are the first source, the others the second: inside a
+    source a place that overlaps an earlier one of equal length goes, and the first source beats the second.
+    """
+    six = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 6).cast("int") - 1), lambda k: F.array_join(F.slice("w", k * 6 + 1, 6), " "))
+    items = read(spark, sf_dir, "benchmark").select("item_id", text.words(F.col("text")).alias("w")).filter(F.size("w") >= 6)
+    phrases = items.select(F.explode(six).alias("phrase"), (F.col("item_id") % 2).alias("k")).groupBy("phrase").agg(F.min("k").alias("source"))
     # the generator keeps the words from being extracted again for every n-gram
     tokens = _docs(spark, sf_dir).select("doc_id", F.explode(F.array(text.words(F.col("text")))).alias("w"))
-    grams = tokens.select("doc_id", F.explode(F.array_distinct(pairs.ngrams(F.col("w"), 3))).alias("phrase"))
-    return grams.join(phrases, "phrase").select("doc_id", "item_id")
+    grams = tokens.select("doc_id", F.posexplode(pairs.ngrams(F.col("w"), 6)).alias("place", "phrase"))
+    found = grams.join(phrases, "phrase").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("source", "place", "phrase"))).alias("found"))
+    # a document's few places, first source and first place first: one is kept unless it overlaps one that is
+    free = lambda kept, x: ~F.exists(kept, lambda y: F.abs(y["place"] - x["place"]) < 6)
+    kept = F.aggregate("found", F.slice("found", 1, 0), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    return found.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.place", "x.phrase", "x.source")
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +183,11 @@ def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (readability_by_lang, readability_family_r, word_complexity_topk, dictionary_rewrite, simplicity_s, explicit_checks, tfidf_pair_cosine, sari_proxy, changed_token_rate, metric_reuse, bigram_lm, bigram_lm_all, corpus_zipf, corpus_zipf_all, phrase_match, sentence_split, html_blocks, normalise_text)
-}
+    for f in (
+        readability_by_lang, readability_family_r, word_complexity_topk, dictionary_rewrite, simplicity_s, explicit_checks, item_checks, tfidf_pair_cosine, sari_proxy, changed_token_rate,
+        metric_reuse, bigram_lm, corpus_zipf, phrase_match, sentence_split, html_blocks, normalise_text,
+    )
+}
 
 _W = "regexp_extract_all(lower(text), '[a-z]+(?:[''-][a-z]+)*')"
 _WR = "regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?')"
@@ -206,7 +221,7 @@ def _grams(x: str, n: int) -> str:
 
 def _sari_sql() -> str:
     parts = []
-    for n in (1, 2):
+    for n in range(1, 5):
         s, o, r = f"s{n}", f"o{n}", f"r{n}"
         both = lambda a, b: f"len(list_intersect({a}, {b}))"
         minus = lambda a, b: f"list_filter({a}, lambda x: NOT list_contains({b}, x))"
@@ -217,6 +232,42 @@ def _sari_sql() -> str:
     return " + ".join(parts)
 
 
+_SENTENCES = r"""list_filter(string_split(regexp_replace(text, '([.!?]["'')\]]*\s+)([\p{Lu}\p{Nd}"''(\[“‘])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: regexp_matches(s, '\S'))"""
+
+
+def _sums_sql(weights: dict[str, float]) -> str:
+    """Common tables k (words of each side), n (their sums) and h (mean complexity and complex words) from t (doc_id, a, b)."""
+    return f"""e AS (SELECT doc_id, 'a' AS side, lower(unnest(regexp_extract_all(a, '[A-Za-z]+(?:[''-][A-Za-z]+)*'))) AS w FROM t
+            UNION ALL SELECT doc_id, 'b', lower(unnest(regexp_extract_all(b, '[A-Za-z]+(?:[''-][A-Za-z]+)*'))) FROM t),
+        k AS (SELECT doc_id, side, w, count(*) AS k, length(w) AS l, {_syll_f("w")} AS y FROM e GROUP BY ALL),
+        n AS (SELECT doc_id, side, sum(k)::DOUBLE AS n, sum(k * l) AS letters, sum(k * y) AS syll, coalesce(sum(k) FILTER (WHERE l >= 7), 0) AS long_, coalesce(sum(k) FILTER (WHERE y >= 3), 0) AS poly FROM k GROUP BY ALL),
+        x AS (SELECT doc_id, side, w, k, 1 / (1 + exp(-({weights["A"]}::DOUBLE - {weights["B"]}::DOUBLE * (6 - l / 2.0::DOUBLE) + {weights["C"]}::DOUBLE * l + {weights["D"]}::DOUBLE * y
+            + {weights["E"]}::DOUBLE * coalesce((letters + syll - k * (l + y)) / nullif(n - k, 0), 0)))) AS c FROM k JOIN n USING (doc_id, side)),
+        h AS (SELECT doc_id, side, sum(k * c) / sum(k) AS c, coalesce(sum(k) FILTER (WHERE c > 0.5), 0) AS hard FROM x GROUP BY ALL),
+        f AS (SELECT doc_id, side, coalesce(n, 0) AS n, greatest(n, 1) AS m, greatest(1, len(regexp_extract_all(txt, '[.!?]+')))::DOUBLE AS s, coalesce(letters, 0) AS letters, coalesce(syll, 0) AS syll, coalesce(long_, 0) AS long_, coalesce(poly, 0) AS poly,
+            coalesce(c, 0) AS c, coalesce(hard, 0) AS hard FROM (SELECT doc_id, 'a' AS side, a AS txt FROM t UNION ALL SELECT doc_id, 'b', b FROM t) LEFT JOIN n USING (doc_id, side) LEFT JOIN h USING (doc_id, side)),
+        r AS (SELECT *, (least(1, greatest(0, (206.835::DOUBLE - 1.015::DOUBLE * (m / s) - 84.6::DOUBLE * (syll / m)) / 100)) + 1 - least(1, greatest(0, (0.39::DOUBLE * (m / s) + 11.8::DOUBLE * (syll / m) - 15.59::DOUBLE) / 18))
+            + 1 - least(1, greatest(0, 0.4::DOUBLE * (m / s + 100 * long_ / m) / 20)) + 1 - least(1, greatest(0, (1.043::DOUBLE * sqrt(30 * poly) + 3.1291::DOUBLE) / 20))
+            + 1 - least(1, greatest(0, m / s / 40)) + 1 - least(1, greatest(0, letters / m / 12))) / 6 AS score FROM f)"""
+
+
+def _reduced(a: str, b: str) -> str:
+    return f"least(1, greatest(0, ({a} - {b})::DOUBLE / greatest(1, {a})))"
+
+
+_TEXTS_SQL = f"""{_PAIRS_SQL}, t AS (SELECT doc_id, array_to_string(source, ' ') AS a, array_to_string(output, ' ') AS b FROM q)"""
+
+_FOLDED = "replace(lower({0}), 'ß', 'ss')"
+_DATE_SQL = r"'(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4}\b|\b\d{1,2}/\d{1,2}/\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b'"
+_NUMBER_SQL = r"'(?i)\b\d+(?:,\d{3})*(?:\.\d+)?\b|\b\d+\s*(?:%|percent|dollars?|USD|million|billion|thousand)\b'"
+
+
+def _kept(items: str) -> str:
+    """Share of the distinct items that b has as whole words in any case."""
+    held = f"list_filter(list_distinct({items}), lambda i: regexp_matches(' ' || lower(b) || ' ', '[^\\p{{L}}\\p{{N}}_]' || regexp_escape(lower(i)) || '[^\\p{{L}}\\p{{N}}_]'))"
+    return f"CASE WHEN len({items}) = 0 THEN 1 ELSE len({held})::DOUBLE / len(list_distinct({items})) END"
+
+
 ORACLES = {
     "readability_by_lang": f"""
         WITH c AS (SELECT doc_id, lang, {_counts_sql("text")} FROM documents)
@@ -228,66 +279,56 @@ ORACLES = {
         FROM c GROUP BY lang""",
     "readability_family_r": f"""
         WITH c AS (SELECT doc_id, CAST(len({_WR}) AS BIGINT) AS n_words,
-            CAST(CASE WHEN len({_WR}) > 0 THEN greatest(len(regexp_extract_all(text, '[.!?]+')), 1) ELSE 0 END AS BIGINT) AS n_sentences,
+            CAST(CASE WHEN len({_WR}) > 0 THEN greatest(len({_SENTENCES}), 1) ELSE 0 END AS BIGINT) AS n_sentences,
             CAST(coalesce(list_sum(list_transform({_WR}, lambda w: {_syll_r("w")})), 0) AS BIGINT) AS n_syllables,
-            CAST(len(list_filter({_WR}, lambda w: {_syll_r("w")} >= 3)) AS BIGINT) AS n_poly FROM documents)
-        SELECT *, round(CASE WHEN n_words > 0 THEN 206.835::DOUBLE - 1.015::DOUBLE * n_words / n_sentences - 84.6::DOUBLE * n_syllables / n_words END, 6) AS ease,
+            CAST(len(list_filter({_WR}, lambda w: {_syll_r("w")} >= 3)) AS BIGINT) AS n_poly, coalesce(list_sum(list_transform({_WR}, lambda w: length(w))), 0) AS letters FROM documents)
+        SELECT * EXCLUDE (letters), n_poly AS n_terms, round(CASE WHEN n_words > 0 THEN 206.835::DOUBLE - 1.015::DOUBLE * n_words / n_sentences - 84.6::DOUBLE * n_syllables / n_words END, 6) AS ease,
             round(CASE WHEN n_words > 0 THEN 0.39::DOUBLE * n_words / n_sentences + 11.8::DOUBLE * n_syllables / n_words - 15.59::DOUBLE END, 6) AS grade,
             round(CASE WHEN n_words > 0 THEN 0.4::DOUBLE * (n_words::DOUBLE / n_sentences + 100.0::DOUBLE * n_poly / n_words) END, 6) AS fog,
-            round(CASE WHEN n_words > 0 THEN 1.043::DOUBLE * sqrt(30.0::DOUBLE * n_poly / n_sentences) + 3.1291::DOUBLE END, 6) AS smog
+            round(CASE WHEN n_words > 0 THEN 1.043::DOUBLE * sqrt(30.0::DOUBLE * n_poly / n_sentences) + 3.1291::DOUBLE END, 6) AS smog,
+            round(CASE WHEN n_words > 0 THEN n_words::DOUBLE / n_sentences END, 6) AS sentence_length, round(CASE WHEN n_words > 0 THEN letters::DOUBLE / n_words END, 6) AS word_length
         FROM c""",
+    "sentence_split": f"SELECT doc_id, len({_SENTENCES})::INT AS n_sentences, list_max(list_transform({_SENTENCES}, lambda s: length(regexp_replace(s, '^\\s+|\\s+$', '', 'g'))))::INT AS longest FROM documents",
     "word_complexity_topk": f"""
-        WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({_W}) AS word FROM documents) GROUP BY 1),
-        x AS (SELECT *, length(word) + ({_syll_f("word")}) AS weight FROM w), c AS (SELECT sum(weight * n)::DOUBLE / sum(n) AS context FROM x)
-        SELECT word, n, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-(0.0::DOUBLE - (6.0::DOUBLE - length(word) / 2.0::DOUBLE) + 0.08::DOUBLE * length(word) + 0.25::DOUBLE * ({_syll_f("word")}) + 0.2::DOUBLE * context))), 9) AS complexity
-        FROM x, c ORDER BY complexity DESC, word LIMIT 50""",
+        WITH t AS (SELECT doc_id, text AS a, NULL AS b FROM documents), {_sums_sql(measures.DEFAULT_WORD)}
+        SELECT doc_id, w AS word, round(c, 9) AS complexity FROM x ORDER BY complexity DESC, doc_id, word LIMIT 50""",
     "dictionary_rewrite": f"""
         WITH {_PAIRS_SQL} SELECT doc_id, CAST(len(source) AS INT) AS n_tokens,
             CAST(len(list_filter(range(1, len(source) + 1), lambda i: source[i] <> output[i])) AS INT) AS n_changed, md5(array_to_string(output, ' ')) AS output_md5 FROM q""",
     "simplicity_s": f"""
-        WITH {_PAIRS_SQL}, t AS (SELECT doc_id, array_to_string(source, ' ') AS a, array_to_string(output, ' ') AS b FROM q),
-        x AS (SELECT doc_id, {_counts_sql("a")} FROM t), y AS (SELECT doc_id, {_counts_sql("b")} FROM t),
-        g AS (SELECT x.doc_id, x.n_poly AS ap, y.n_poly AS bp, x.n_long AS al, y.n_long AS bl,
-            CASE WHEN x.n_words > 0 THEN 0.39::DOUBLE * x.n_words / x.n_sentences + 11.8::DOUBLE * x.n_syllables / x.n_words - 15.59::DOUBLE END AS ga,
-            CASE WHEN y.n_words > 0 THEN 0.39::DOUBLE * y.n_words / y.n_sentences + 11.8::DOUBLE * y.n_syllables / y.n_words - 15.59::DOUBLE END AS gb
-            FROM x JOIN y USING (doc_id))
-        SELECT doc_id, round(0.4::DOUBLE * least(greatest((ap - bp)::DOUBLE / greatest(1, ap), 0), 1) + 0.5::DOUBLE * least(greatest((ga - gb) / 20.0::DOUBLE + 0.5::DOUBLE, 0), 1)
-            + 0.1::DOUBLE * least(greatest((al - bl)::DOUBLE / greatest(1, al), 0), 1), 6) AS s FROM g""",
-    "explicit_checks": f"""
-        WITH {_PAIRS_SQL}, n AS (SELECT doc_id, source, output, regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*') AS a, regexp_extract_all(array_to_string(output, ' '), '[0-9]+(?:[.,][0-9]+)*') AS b FROM q)
-        SELECT doc_id, CAST(len(a) AS INT) AS n_numbers, round(CASE WHEN len(a) = 0 THEN 1 ELSE len(list_filter(list_distinct(a), lambda x: list_contains(b, x)))::DOUBLE / len(list_distinct(a)) END, 6) AS numbers_kept,
-            round(len(list_intersect(list_distinct(source), list_distinct(output)))::DOUBLE / len(list_distinct(source)), 6) AS tokens_kept FROM n""",
+        WITH {_TEXTS_SQL}, {_sums_sql(measures.TRAINED_WORD)},
+        j AS (SELECT doc_id, coalesce(sum(k) FILTER (WHERE side = 'a' AND l > 6), 0) AS a, coalesce(sum(k) FILTER (WHERE side = 'b' AND l > 6 AND w IN (SELECT w FROM k z WHERE z.doc_id = k.doc_id AND z.side = 'a')), 0) AS b FROM k GROUP BY 1),
+        pp AS (SELECT a.doc_id, {_reduced("a.hard", "b.hard")} AS s_lex, least(1, greatest(0, b.score - a.score + 0.5)) AS s_read, {_reduced("coalesce(j.a, 0)", "coalesce(j.b, 0)")} AS s_jargon
+            FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.side = 'a' AND b.side = 'b' LEFT JOIN j ON j.doc_id = a.doc_id)
+        SELECT doc_id, round(s_lex, 6) AS s_lex, round(s_read, 6) AS s_read, round(s_jargon, 6) AS s_jargon,
+            round({measures.TRAINED_SENTENCE[0]}::DOUBLE * s_lex + {measures.TRAINED_SENTENCE[1]}::DOUBLE * s_read + {measures.TRAINED_SENTENCE[2]}::DOUBLE * s_jargon, 6) AS s FROM pp""",
+    "item_checks": f"""
+        WITH {_TEXTS_SQL}, i AS (SELECT doc_id, b, list_distinct(regexp_extract_all(a, {_NUMBER_SQL})) AS n, regexp_extract_all(b, {_NUMBER_SQL}) AS m, regexp_extract_all(a, {_DATE_SQL}) AS d,
+            list_filter(regexp_extract_all(a, '[\\p{{L}}\\p{{N}}_]+(?:\\s+[\\p{{L}}\\p{{N}}_]+)*'), lambda x: true) AS runs, a FROM t),
+        c AS (SELECT *, list_filter(list_transform(regexp_extract_all(a, '(?:^|[^\\p{{L}}\\p{{N}}_])[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{0,3}}'), lambda x: regexp_replace(x, '^[^A-Z]+', '')), lambda x: true) AS caps,
+            list_distinct(list_filter(list_transform(regexp_extract_all(a, '[A-Za-z]+(?:''[A-Za-z]+)?|n''t\\b'), lambda x: lower(x)), lambda x: list_contains([{", ".join("'" + w.replace("'", "''") + "'" for w in preserve.NEGATIONS)}], x))) AS g FROM i)
+        SELECT doc_id, len(n)::INT AS n_numbers, round(CASE WHEN len(n) = 0 THEN 1 ELSE len(list_intersect(n, m))::DOUBLE / len(n) END, 6) AS numbers, round({_kept("d")}, 6) AS dates, round({_kept("g")}, 6) AS negations,
+            array_to_string(list_sort(list_filter(n, lambda x: NOT list_contains(m, x))), '|') AS lost_numbers FROM c""",
     "tfidf_pair_cosine": f"""
         WITH {_PAIRS_SQL}, r AS (SELECT doc_id, unnest(source) AS w, 1 AS a, 0 AS b FROM q UNION ALL SELECT doc_id, unnest(output), 0, 1 FROM q),
         t AS (SELECT doc_id, w, sum(a) AS a, sum(b) AS b FROM r GROUP BY 1, 2),
         v AS (SELECT *, pow(ln(3.0::DOUBLE / (1 + CASE WHEN a > 0 THEN 1 ELSE 0 END + CASE WHEN b > 0 THEN 1 ELSE 0 END)) + 1, 2) AS i FROM t)
         SELECT doc_id, round(sum(a * b * i) / sqrt(sum(a * a * i) * sum(b * b * i)), 6) AS cosine FROM v GROUP BY doc_id""",
     "sari_proxy": f"""
-        WITH t AS (SELECT conv_id, turn, role, regexp_split_to_array(lower(trim(text, ' ')), '\\s+') AS t FROM conversations),
-        l AS (SELECT conv_id, turn, role, t, lead(t) OVER w AS o, lead(t, 2) OVER w AS r FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-        g AS (SELECT conv_id, turn, {", ".join(f"{_grams(x, n)} AS {y}{n}" for x, y in (("t", "s"), ("o", "o"), ("r", "r")) for n in (1, 2))} FROM l WHERE role = 'user' AND o IS NOT NULL AND r IS NOT NULL)
-        SELECT conv_id, turn, round(({_sari_sql()}) / 6.0::DOUBLE * 100.0::DOUBLE, 6) AS sari FROM g""",
+        WITH l AS (SELECT conv_id, turn, role, text AS t, lead(text) OVER w AS o, lead(text, 2) OVER w AS r, lead(text, 3) OVER w AS q FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        m AS (SELECT conv_id, turn, {", ".join(f"regexp_extract_all(replace(lower({c}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]') AS {c}" for c in "tor")} FROM l WHERE role = 'user' AND t IS NOT NULL AND o IS NOT NULL AND r IS NOT NULL AND q IS NOT NULL),
+        g AS (SELECT conv_id, turn, {", ".join(f"{_grams(x, n)} AS {y}{n}" for x, y in (("t", "s"), ("o", "o"), ("r", "r")) for n in range(1, 5))} FROM m)
+        SELECT conv_id, turn, round(({_sari_sql()}) / 12.0::DOUBLE * 100.0::DOUBLE, 6) AS sari FROM g""",
     "metric_reuse": f"""
         WITH {_PAIRS_SQL}, h AS (SELECT doc_id, source, output, array_to_string(source, ' ') AS k FROM q)
         SELECT doc_id, CAST(len(source) AS INT) AS n, round(len(list_intersect(list_distinct(source), list_distinct(output)))::DOUBLE / len(list_distinct(list_concat(source, output))), 6) AS jaccard, count(*) OVER (PARTITION BY k) AS uses FROM h""",
     "bigram_lm": f"""
-        WITH w AS (SELECT list_concat(['<s>'], {_W}, ['</s>']) AS w FROM documents WHERE text IS NOT NULL),
-        b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM w)
-        SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) >= 20""",
-    "bigram_lm_all": f"""
         WITH w AS (SELECT list_concat(['<s>'], {_W}, ['</s>']) AS w FROM documents WHERE text IS NOT NULL),
         u AS (SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM w) GROUP BY 1),
         b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM w), c AS (SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM b GROUP BY 1, 2)
         SELECT a, b, n FROM c UNION ALL SELECT t, NULL, n FROM u UNION ALL SELECT NULL, NULL, count(*) FROM u""",
     "corpus_zipf": f"""
-        WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({_W}) AS word FROM documents) GROUP BY 1), t AS (SELECT sum(n)::DOUBLE AS total FROM w)
-        SELECT word, n, round(log10(n / total * 1e9::DOUBLE), 6) AS zipf FROM w, t WHERE n >= 50""",
-    "corpus_zipf_all": f"""
         WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({_W}) AS word FROM documents) GROUP BY 1), t AS (SELECT sum(n)::DOUBLE AS total FROM w)
         SELECT word, n, round(log10(n / total * 1e9::DOUBLE), 6) AS zipf FROM w, t""",
-    "phrase_match": f"""
-        WITH d AS (SELECT doc_id, {_W} AS w FROM documents), g AS (SELECT doc_id, unnest({_grams("w", 3)}) AS phrase FROM d),
-        b AS (SELECT item_id, array_to_string(({_W})[1:3], ' ') AS phrase FROM benchmark)
-        SELECT doc_id, item_id FROM g JOIN b USING (phrase)""",
     "normalise_text": "SELECT doc_id, sha256(array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ')) AS sha256 FROM documents",
 }
