@@ -211,3 +211,64 @@ def test_nearest(spark):
             cosine[q] = -2
             want = sorted(range(300), key=lambda i: (-cosine[i], i))[:4]
             assert [r.id for r in sorted((r for r in got if r.q_id == q), key=lambda r: r.place)] == want
+
+
+def test_page_layout(spark):
+    from lexaria.sources import layout
+
+    names = "doc string, page long, col long, top double, left double, right double, size double, kind string, text string"
+    e = [("d", 1, 0, 10.0, 0.0, 40.0, 20.0, "plain", "Title"), ("d", 1, 0, 30.0, 0.0, 40.0, 10.0, "bold", "Abstract"), ("d", 1, 0, 40.0, 0.0, 20.0, 10.0, "plain", "It is a sim-"), ("d", 1, 0, 42.0, 30.0, 50.0, 10.0, "plain", "x"),
+         ("d", 1, 0, 50.0, 0.0, 20.0, 10.0, "plain", "ple thing."), ("d", 1, 0, 60.0, 9.0, 20.0, 10.0, "plain", "New one."), ("d", 1, 0, 70.0, 0.0, 30.0, 10.0, "bold", "1 Introduction"), ("d", 1, 0, 80.0, 0.0, 30.0, 10.0, "plain", "Body here."),
+         ("d", 1, 0, 90.0, 0.0, 30.0, 10.0, "bold", "References"), ("d", 1, 0, 99.0, 0.0, 30.0, 10.0, "plain", "[1] none")]
+    found = layout.line_kinds(layout.page_lines(spark.createDataFrame(e, names)), 10.0, 18.0)
+    assert [(r.text, r.kind) for r in found.orderBy("top").collect()][:3] == [("Title", "title"), ("Abstract", "heading"), ("It is a sim- x", "abstract")]
+    assert [r.text for r in layout.paragraphs(found).orderBy("place").collect()] == ["It is a sim- x ple thing.", "New one.", "Body here."]
+    with pytest.raises(Exception, match="case 7"):
+        layout.attributed_cases(spark.createDataFrame([(7, "a cat", "dog", 2, 5, "s")], "id int, text string, target string, start int, end int, source string")).collect()
+
+
+def test_service_answers():
+    from lexaria.sources import services
+
+    good = {"matches": [{"offset": 2, "length": 3, "rule": "r", "replacements": ["dog"]}]}
+    assert services.warnings_of("a cat", good) == [(2, 5, "r", ["dog"])]
+    for bad in ([], {"matches": 1}, {"matches": [{"offset": 2, "length": 9, "rule": "r"}]}, {"matches": [{"offset": 0, "length": 2, "rule": "r"}, {"offset": 1, "length": 1, "rule": "r"}]}):
+        with pytest.raises(ValueError):
+            services.warnings_of("a cat", bad)
+    with pytest.raises(ValueError, match="loopback"):
+        services.post("http://example.org/x", {})
+
+
+def test_loopback_service():
+    import http.server
+    import threading
+
+    from lexaria.sources import services
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if self.path == "/away":
+                self.send_response(302)
+                self.send_header("Location", "http://example.org/")
+                self.end_headers()
+                return
+            data = json.dumps({"output": body["text"].upper(), "matches": []}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert services.simplifier(f"{base}/s")("abc") == "ABC" and services.grammar_checker(f"{base}/g")("abc") == []
+        with pytest.raises(ValueError, match="points to"):
+            services.post(f"{base}/away", {"text": "x"})
+        with pytest.raises(ValueError, match="more than"):
+            services.post(f"{base}/s", {"text": "x" * 100}, most=10)
+    finally:
+        server.shutdown()
