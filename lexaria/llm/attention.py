@@ -84,7 +84,9 @@ class Attention:
         self.vocab_size, self.classes = k, k // CLASS
         self.p = {
             "E": make(k, d, scale=0.3), "Q": make(d, d, scale=d**-0.5), "K": make(d, d, scale=d**-0.5), "V": make(d, d, scale=0.5 * d**-0.5), "pos": np.zeros(2 * SPAN, dtype=np.float32),
-            "C": make(d, self.classes, scale=0.1), "bc": np.log(np.maximum(total, 1e-30)).astype(np.float32), "M": make(k, d, scale=0.1), "bm": np.log(np.maximum(share / total[:, None], 1e-30)).astype(np.float32).reshape(-1),
+            "C": make(d, self.classes, scale=0.1), "bc": np.log(np.maximum(total, 1e-30)).astype(np.float32), "M": make(k, d, scale=0.1), "bm": np.log(
+                np.maximum(share / total[:, None], 1e-30)
+            ).astype(np.float32).reshape(-1),
         }
         i, j = np.arange(SPAN)[:, None], np.arange(2 * SPAN)[None, :]
         self.distance = np.clip(i + SPAN - j, 0, 2 * SPAN - 1)

@@ -55,12 +55,22 @@ def _starts(sizes: Column) -> Column:
     before = F.transform(runs, lambda g: F.aggregate(F.slice(whole, F.lit(1), g), zero, add))
     place = lambda i: F.floor(i / RUN).cast("int")
     # the array of runs is a variable of the outer lambda, so that it is made once
-    return F.flatten(F.transform(F.array(before), lambda b: F.transform(sizes, lambda _, i: F.get(b, place(i)) + F.aggregate(F.slice(sizes, place(i) * RUN + 1, i % RUN), zero, add))))
+    return F.flatten(
+        F.transform(
+            F.array(before),
+            lambda b: F.transform(sizes, lambda _, i: F.get(b, place(i)) + F.aggregate(F.slice(sizes, place(i) * RUN + 1, i % RUN), zero, add))
+        )
+    )
 
 
-def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
+def format_chats(
+    rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant"
+) -> DataFrame:
     """conv_id, formatted, mask: one row for each conversation."""
-    one = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    one = F.struct(
+        F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    )
     grouped = rows.select(F.col(conv_col).alias("conv_id"), one.alias("r")).groupBy("conv_id").agg(F.collect_list("r").alias("t"))
     turns = _once(grouped, F.sort_array("t"), "t", "conv_id")
     # where blocks begin, and the end of the last
@@ -76,15 +86,36 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     def pieces(b: Column) -> Column:
         """What stands before each text of a block, and the text."""
         head = F.concat(F.lit(START), escape(b["role"]), F.lit(SEP))
-        return F.transform(b["texts"], lambda x, i: F.struct(F.when(i == 0, head).otherwise(F.lit(NEXT)).alias("before"), x.alias("body"), F.when(i == F.size(b["texts"]) - 1, F.lit(END)).otherwise(F.lit("")).alias("after"), (b["role"] == loss_role).alias("loss")))
+        return F.transform(
+            b["texts"], lambda x,
+            i: F.struct(
+                F.when(i == 0, head).otherwise(F.lit(NEXT)).alias("before"), x.alias("body"),
+                F.when(i == F.size(b["texts"]) - 1, F.lit(END)).otherwise(F.lit("")).alias("after"), (b["role"] == loss_role).alias("loss")
+            )
+        )
 
     parts = _once(blocks, F.flatten(F.transform("b", pieces)), "p", "conv_id")
-    sized = _once(parts, F.transform("p", lambda x: F.octet_length(x["before"]) + F.octet_length(x["body"]) + F.octet_length(x["after"])), "sizes", "conv_id", "p")
-    placed = _once(sized, F.zip_with("p", _starts(F.col("sizes")), lambda x, s: F.struct((s + F.octet_length(x["before"])).alias("start"), F.octet_length(x["body"]).alias("bytes"), F.length(x["body"]).alias("chars"), x["loss"].alias("loss"))), "m", "conv_id", "p")
+    sized = _once(
+        parts, F.transform("p", lambda x: F.octet_length(x["before"]) + F.octet_length(x["body"]) + F.octet_length(x["after"])), "sizes", "conv_id",
+        "p"
+    )
+    placed = _once(
+        sized,
+        F.zip_with(
+            "p", _starts(F.col("sizes")), lambda x,
+            s: F.struct(
+                (s + F.octet_length(x["before"])).alias("start"), F.octet_length(x["body"]).alias("bytes"), F.length(x["body"]).alias("chars"),
+                x["loss"].alias("loss")
+            )
+        ),
+        "m", "conv_id", "p"
+    )
     return placed.select(
         "conv_id",
         F.array_join(F.transform("p", lambda x: F.concat(x["before"], x["body"], x["after"])), "").alias("formatted"),
-        F.transform(F.filter("m", lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["bytes"].alias("bytes"), x["chars"].alias("chars"))).alias("mask"),
+        F.transform(
+            F.filter("m", lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["bytes"].alias("bytes"), x["chars"].alias("chars"))
+        ).alias("mask"),
     )
 
 
@@ -106,7 +137,9 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
     # the bytes are a variable of the outer lambda, so that each cut copies its own part only
     cut = lambda raw: F.transform("mask", lambda m: unescape(F.substring(raw, (m["start"] + 1).cast("int"), m["bytes"]).cast("string")))
     loss = F.flatten(F.transform(F.array(F.col("formatted").cast("binary")), cut))
-    return formatted.select("conv_id", "formatted", F.explode(F.array(F.struct(turns.alias("turns"), loss.alias("loss")))).alias("x")).select("conv_id", "formatted", "x.turns", "x.loss")
+    return formatted.select(
+        "conv_id", "formatted", F.explode(F.array(F.struct(turns.alias("turns"), loss.alias("loss")))).alias("x")
+    ).select("conv_id", "formatted", "x.turns", "x.loss")
 
 
 def chat_digest(parsed: DataFrame) -> DataFrame:

@@ -289,7 +289,9 @@ def find_in(indexes: list[ClassIndex], texts: pa.Array) -> Iterator[tuple]:
 
 def _shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[ClassIndex]]:
     """Indexes of the items by parts whose words are bounded."""
-    rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(r"[^ \t-\r]")).distinct()
+    rows = items.select(
+        F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")
+    ).filter(F.col("text").rlike(r"[^ \t-\r]")).distinct()
     words = rows.agg(F.sum(F.size(F.split("text", r"[ \t-\r]+"))).alias("n")).first().n or 0
     parts = -(-words * 2 // SHARD_WORDS) if words > SHARD_WORDS else 1
     stats, last = Statistics(), None
@@ -303,7 +305,9 @@ def _shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[Class
             yield build([r.item_id for r in last], [r.text for r in last], stats)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
     """The verified (document, item) pairs: score (normalised BM25 over the item's threshold), shingle counts and hits."""
     spark = docs.sparkSession
     bound_batches(spark)

@@ -196,7 +196,10 @@ class PpmModel:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600) -> PpmModel | None:
     """The model of at most per_language texts of each non-null language; None if there is none."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"))
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
+        F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h")
+    )
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
@@ -220,7 +223,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             out = [held.value.judge(data, offsets)[2] for _, _, data, offsets in chunks(batch.column(0))]
             yield pa.record_batch([pa.array(np.concatenate(out) if out else np.zeros(0))], ["rate"])
 
-    measured = sample.filter(F.octet_length("text") > 8 * ORDER).select("text").mapInArrow(rates, "rate double").agg(F.percentile("rate", F.lit(0.5)).alias("r")).first().r
+    measured = sample.filter(F.octet_length("text") > 8 * ORDER).select("text").mapInArrow(rates, "rate double").agg(
+        F.percentile("rate", F.lit(0.5)).alias("r")
+    ).first().r
     if measured:
         model.bound = SLACK * measured
     return model
@@ -230,7 +235,10 @@ def predict(docs: DataFrame, model: PpmModel | None, id_col: str = "doc_id", tex
     """doc_id, lang_pred, score of every row."""
     spark = docs.sparkSession
     bound_batches(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+        F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters")
+    )
     kind = dict(rows.dtypes)["doc_id"]
     held = spark.sparkContext.broadcast(model)
 

@@ -132,7 +132,10 @@ def _counter(run: str, held):
         if words:
             yield sent()
         some = np.flatnonzero(subword)
-        yield pa.record_batch([pa.array(np.append(np.full(len(some), 2), 3).astype(np.int8)), pa.array(np.append(some, 0)), pa.array(np.append(subword[some], texts))], ["kind", "h", "n"])
+        yield pa.record_batch(
+            [pa.array(np.append(np.full(len(some), 2), 3).astype(np.int8)), pa.array(np.append(some, 0)), pa.array(np.append(subword[some], texts))],
+            ["kind", "h", "n"]
+        )
 
     return count
 
@@ -282,7 +285,10 @@ class _Speller:
         return np.diff(bounds), n_common, base, extra, ids, r[starts], k[starts].view(np.int64), np.diff(np.append(starts, len(r)))
 
 
-_FOUND = {"rid": pa.int64(), "n": pa.int64(), "common": pa.int64(), "h": pa.int64(), "base": pa.float64(), "extra": pa.binary(), "ids": pa.binary(), "doc_id": None, "held_out": pa.bool_()}
+_FOUND = {
+    "rid": pa.int64(), "n": pa.int64(), "common": pa.int64(), "h": pa.int64(), "base": pa.float64(), "extra": pa.binary(), "ids": pa.binary(),
+    "doc_id": None, "held_out": pa.bool_()
+}
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -292,7 +298,10 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.record_batch(arrays, list(_FOUND))
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, frequent: int = FREQUENT, steps: int = STEPS) -> DataFrame:
+def score_texts(
+    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, frequent: int = FREQUENT,
+    steps: int = STEPS
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from rows that are not held out."""
     spark = docs.sparkSession
     bound_batches(spark)
@@ -326,13 +335,20 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             for first, last, data, offsets in chunks(batch.column(1)):
                 n, common, base, extra, spelt, r, h, tf = speller(data, offsets)
                 own = ids[first:last]
-                yield _batch(rid=own, n=n + 1, common=common, base=base, extra=extra, ids=spelt, doc_id=batch.column(2)[first:last], held_out=batch.column(3)[first:last])
+                yield _batch(
+                    rid=own, n=n + 1, common=common, base=base, extra=extra, ids=spelt, doc_id=batch.column(2)[first:last],
+                    held_out=batch.column(3)[first:last]
+                )
                 yield _batch(rid=own[r], n=tf, h=h, doc_id=pa.nulls(len(r), batch.column(2).type))
 
     # rows without h are texts, the others are the words of a text that are not frequent
     kind = dict(rows.dtypes)["doc_id"]
     numbered = rows.withColumn("rid", F.monotonically_increasing_id())
-    found = scratch.table(numbered.select("rid", "text", "doc_id", "held_out").mapInArrow(spell, f"rid long, n long, common long, h long, base double, extra binary, ids binary, doc_id {kind}, held_out boolean"))
+    found = scratch.table(
+        numbered.select("rid", "text", "doc_id", "held_out").mapInArrow(
+            spell, f"rid long, n long, common long, h long, base double, extra binary, ids binary, doc_id {kind}, held_out boolean"
+        )
+    )
     model = Attention(vocab)
     if texts:
         key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "ids")
@@ -361,7 +377,10 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             yield pa.record_batch([*batch.columns[1:-1], pa.array(out)], ["rid", "n", "common", "base", "doc_id", "held_out", "score"])
 
     rare = found.filter("h is not null").select("rid", "h", F.col("n").alias("tf")).join(words, "h", "left")
-    rare = rare.groupBy("rid").agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
+    rare = rare.groupBy("rid").agg(
+        F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_base"),
+        F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known")
+    )
     known_end = 1 if texts else 0
     scored = found.filter("h is null").select("ids", "rid", "n", "common", "base", "doc_id", "held_out", "extra")
     out = scored.mapInArrow(score, f"rid long, n long, common long, base double, doc_id {kind}, held_out boolean, score double").join(rare, "rid", "left")

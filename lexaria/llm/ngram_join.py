@@ -159,7 +159,10 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.add(x[: len(x) - need + max(1, len(x) // 20)], d[1])
                 if keys.held >= FLUSH:
                     yield sent()
-        yield pa.record_batch([pa.array(np.zeros(len(n), dtype=np.int8)), batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["kind", "id", "n", "hi", "lo"])
+        yield pa.record_batch(
+            [pa.array(np.zeros(len(n), dtype=np.int8)), batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())],
+            ["kind", "id", "n", "hi", "lo"]
+        )
     yield sent()
 
 
@@ -227,7 +230,9 @@ def _keys(boundary: int, frequent: dict[str, np.ndarray]):
 def _boundary(sets: DataFrame) -> int:
     """Largest size, by classes of the histogram, at which enumerating 2-subsets costs no more rows than scanning lists."""
     best = 0
-    classes = sets.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 4).alias("c")).agg(F.max("n").alias("n"), F.avg(F.col("n") - F.size("hs")).alias("alone")).orderBy("c").collect()
+    classes = sets.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 4).alias("c")).agg(
+        F.max("n").alias("n"), F.avg(F.col("n") - F.size("hs")).alias("alone")
+    ).orderBy("c").collect()
     for row in classes:  # four classes for each doubling of the size
         spare = row.n - least_overlap(row.n)
         light, heavy = max(0.0, spare + 2 - row.alone), max(0.0, spare + 1 - row.alone)
@@ -270,7 +275,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(low, "u").filter("v > m").select(
+            F.col("v").alias("u"), F.col("m").alias("v")
+        ).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         old, e = e, scratch.table(small)
         scratch.drop(old)
         after = mark(e)
@@ -308,7 +315,9 @@ class JaccardJoin:
         self.boundary = _boundary(self.sets)
         keys = self.sets.repartition(self._spread(), "sid").mapInArrow(_keys(self.boundary, frequent), "key long, sid long, n long, rest long, alone long")
         keys = self.scratch.table(keys, "none")
-        full = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "sid", "n", "rest")).alias("lead")).filter("size > 1")
+        full = keys.groupBy("key").agg(
+            F.count("*").alias("size"), F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "sid", "n", "rest")).alias("lead")
+        ).filter("size > 1")
         self.keys = self.scratch.table(keys.join(full, "key"), "none")
         self.scratch.drop(keys)
 
@@ -326,7 +335,9 @@ class JaccardJoin:
         """(sid, root) of every set that links with another."""
         x = self.keys.select("key", "sid", "n", "rest", "lead").alias("x")
         star = x.filter(F.col("x.sid") != F.col("lead.sid")).select(
-            F.col("lead.sid").alias("a"), F.col("sid").alias("b"), (F.least("rest", "lead.rest") * 9 >= (F.col("n") + F.col("lead.n")) * 4).alias("near"), (F.least("n", "lead.n") * 5 >= F.greatest("n", "lead.n") * 4).alias("alike")
+            F.col("lead.sid").alias("a"), F.col("sid").alias("b"), (
+                F.least("rest", "lead.rest") * 9 >= (F.col("n") + F.col("lead.n")) * 4
+            ).alias("near"), (F.least("n", "lead.n") * 5 >= F.greatest("n", "lead.n") * 4).alias("alike")
         )
         star = star.filter("near and alike").select("a", "b").distinct()
         first = self.scratch.table(components(_verified(star, self.sets), self.scratch))
@@ -335,7 +346,9 @@ class JaccardJoin:
         rows = self.scratch.table(rows.join(open_, "key").select("key", "sid", "n", "rest", "root"), "none")
         more = self._links(rows)
         root = rows.select("sid", "root").distinct()
-        more = more.join(root.select(F.col("sid").alias("a"), F.col("root").alias("ra")), "a").join(root.select(F.col("sid").alias("b"), F.col("root").alias("rb")), "b")
+        more = more.join(
+            root.select(F.col("sid").alias("a"), F.col("root").alias("ra")), "a"
+        ).join(root.select(F.col("sid").alias("b"), F.col("root").alias("rb")), "b")
         second = components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b")), self.scratch)
         second = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
         alone = second.join(first.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("sid"), F.col("top").alias("root"))
@@ -362,8 +375,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = join.scratch.table(join.classes())
     members = join.members
     whole = members.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("texts"))
-    whole = join.scratch.table(whole.join(classes.withColumnRenamed("sid", "rep"), "rep", "left").select("hi", "lo", "texts", F.coalesce("root", "rep").alias("component_id")))
-    full = _dealt(members.filter("n > 0 and doc_id is not null"), whole, ["component_id"], join.scratch).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    whole = join.scratch.table(
+        whole.join(classes.withColumnRenamed("sid", "rep"), "rep", "left").select("hi", "lo", "texts", F.coalesce("root", "rep").alias("component_id"))
+    )
+    full = _dealt(
+        members.filter("n > 0 and doc_id is not null"), whole, ["component_id"], join.scratch
+    ).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = members.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(rest)
 
@@ -435,14 +452,21 @@ def _link_counts(sets: DataFrame) -> DataFrame:
     # hashes and sets of a block are bounded; a quarter in size is one class, and one more for rounding
     size = sets.groupBy("root", "c").agg(F.sum("n").alias("hashes"), F.count("*").alias("k"))
     size = size.select("root", "c", F.greatest(F.ceil(F.col("hashes") / BLOCK_HASHES), F.ceil(F.col("k") / BLOCK_SETS)).cast("long").alias("parts"))
-    near = size.select("root", "c", F.explode(F.sequence(F.col("c") - 2, F.col("c") + 2)).alias("d")).join(size.select("root", F.col("c").alias("d"), F.col("parts").alias("others")), ["root", "d"])
+    near = size.select("root", "c", F.explode(F.sequence(F.col("c") - 2, F.col("c") + 2)).alias("d")).join(
+        size.select("root", F.col("c").alias("d"), F.col("parts").alias("others")), ["root", "d"]
+    )
     near = near.join(size, ["root", "c"])
     rows = sets.join(near, ["root", "c"]).withColumn("p", F.pmod(F.xxhash64("sid"), F.col("parts")))
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
     first = (F.col("c") < F.col("d")) | ((F.col("c") == F.col("d")) & (F.col("p") <= F.col("q")))
     low, high = F.struct("c", "p"), F.struct(F.col("d").alias("c"), F.col("q").alias("p"))
-    rows = rows.select("root", F.when(first, low).otherwise(high).alias("a"), F.when(first, high).otherwise(low).alias("b"), F.when(first, 0).otherwise(1).cast("long").alias("side"), "sid", "n", "texts", "hs")
-    rows = rows.select("root", F.col("a.c").alias("c"), F.col("a.p").alias("p"), F.col("b.c").alias("d"), F.col("b.p").alias("q"), "side", "sid", "n", "texts", "hs")
+    rows = rows.select(
+        "root", F.when(first, low).otherwise(high).alias("a"), F.when(first, high).otherwise(low).alias("b"),
+        F.when(first, 0).otherwise(1).cast("long").alias("side"), "sid", "n", "texts", "hs"
+    )
+    rows = rows.select(
+        "root", F.col("a.c").alias("c"), F.col("a.p").alias("p"), F.col("b.c").alias("d"), F.col("b.p").alias("q"), "side", "sid", "n", "texts", "hs"
+    )
     group = ["root", "c", "p", "d", "q"]
     return rows.repartition(spread, *group).sortWithinPartitions(*group).mapInArrow(_block_links, "sid long, links long").groupBy("sid").agg(F.sum("links").alias("links"))
 
@@ -455,13 +479,24 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     join = JaccardJoin(docs, id_col, text_col)
     classes = join.scratch.table(join.classes())
     members = join.members
-    whole = join.scratch.table(members.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("texts")))
+    whole = join.scratch.table(
+        members.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("texts"))
+    )
     sets = join.sets.join(classes, "sid").join(whole.select(F.col("rep").alias("sid"), "texts"), "sid")
     links = join.scratch.table(_link_counts(join.scratch.table(sets, "none")))
     whole = whole.join(classes.withColumnRenamed("sid", "rep"), "rep", "left").join(links.withColumnRenamed("sid", "rep"), "rep", "left")
-    whole = join.scratch.table(whole.select("hi", "lo", "texts", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).cast("long").alias("n_links")))
-    full = _dealt(members.filter("n > 0 and doc_id is not null"), whole, ["component_id", "n_links"], join.scratch).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    rest = members.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    whole = join.scratch.table(
+        whole.select(
+            "hi", "lo", "texts", F.coalesce("root", "rep").alias("component_id"),
+            (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).cast("long").alias("n_links")
+        )
+    )
+    full = _dealt(
+        members.filter("n > 0 and doc_id is not null"), whole, ["component_id", "n_links"], join.scratch
+    ).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    rest = members.filter("n = 0 or doc_id is null").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")
+    )
     return full.unionByName(rest)
 
 

@@ -177,7 +177,10 @@ def features(payload: bytes, found: dict) -> str:
     x = np.frombuffer(payload, dtype=np.uint8).astype(np.int64) - 128
     energy = x * x
     high = np.signbit(x)
-    return json.dumps(found | {"sum": int(x.sum()), "energy": int(energy.sum()), "peak": int(np.abs(x).max()), "crossings": int((high[1:] != high[:-1]).sum())}, separators=(",", ":"))
+    return json.dumps(
+        found | {"sum": int(x.sum()), "energy": int(energy.sum()), "peak": int(np.abs(x).max()), "crossings": int((high[1:] != high[:-1]).sum())},
+        separators=(",", ":")
+    )
 
 
 _OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -204,7 +207,9 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: each whole text as an Ogg file in a binary column."""
     bound_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    ).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +218,12 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             media = batch.column(2)[i].as_py()
             payload, found = read_ogg(media)
-            rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(payload, found)))
+            rows.append(
+                (
+                    batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), len(payload), hashlib.sha256(payload).hexdigest(),
+                    zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(payload, found)
+                )
+            )
         names = [c.split()[0] for c in _OUT.split(", ")]
         types = [pa.string() if c.endswith("string") else pa.int64() for c in _OUT.split(", ")]
         columns = zip(*rows, strict=True) if rows else [[]] * len(names)

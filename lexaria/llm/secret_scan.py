@@ -260,7 +260,9 @@ class _Reader:
                     chains.append([])
                     open_ = True
                 i += 1
-            elif open_ and (kind in (WORD, OTHER) or (first and not depth and mark and mark in "+/_.~$@!#%^*{-")) and not (kind == OTHER and not first and not join):
+            elif open_ and (
+                kind in (WORD, OTHER) or (first and not depth and mark and mark in "+/_.~$@!#%^*{-")
+            ) and not (kind == OTHER and not first and not join):
                 j = i
                 while kind == WORD and j - i < 16 and t.mark(j + 1) in (".", "->", "::") and t.is_(j + 2, WORD):
                     j += 2

@@ -168,7 +168,13 @@ def _wide_covered(data: np.ndarray, points: np.ndarray) -> np.ndarray:
     b0 = data[starts].astype(np.int64)
     size = np.diff(np.append(starts, len(data)))
     at = [data[np.minimum(starts + i, len(data) - 1)].astype(np.int64) & 63 for i in (1, 2, 3)]
-    point = np.where(b0 < 128, b0, np.where(size == 2, (b0 & 31) << 6 | at[0], np.where(size == 3, (b0 & 15) << 12 | at[0] << 6 | at[1], (b0 & 7) << 18 | at[0] << 12 | at[1] << 6 | at[2])))
+    point = np.where(
+        b0 < 128, b0,
+        np.where(
+            size == 2, (b0 & 31) << 6 | at[0],
+            np.where(size == 3, (b0 & 15) << 12 | at[0] << 6 | at[1], (b0 & 7) << 18 | at[0] << 12 | at[1] << 6 | at[2])
+        )
+    )
     k = np.minimum(np.searchsorted(points, point), len(points) - 1)
     return (points[k] == point)[which]
 
@@ -512,7 +518,10 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     ids.append(None if none else x.astype("<i4").tobytes())
                     scores.append(None if none else s)
                     lists.append(None if none else [{"score": a, "changes": [{"unit": u, "ids": p} for u, p in c]} for a, c in v])
-                yield pa.record_batch([batch.column(0)[first:last], pa.array(ids, pa.binary()), pa.array(scores, pa.int64()), pa.array(lists, best)], ["doc_id", "ids", "score", "n_best"])
+                yield pa.record_batch(
+                    [batch.column(0)[first:last], pa.array(ids, pa.binary()), pa.array(scores, pa.int64()), pa.array(lists, best)],
+                    ["doc_id", "ids", "score", "n_best"]
+                )
 
     return rows.mapInArrow(encode, f"doc_id {kind}, ids binary, score long, n_best array<struct<score:long,changes:array<struct<unit:int,ids:array<int>>>>>")
 
@@ -543,7 +552,9 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         out.append((None, None, None, "", None))
                         continue
                     back = encoder.pieces.decode(x)
-                    out.append((len(x), hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), s, ",".join(str(a) for a, _ in v), hashlib.sha256(back).hexdigest()))
+                    out.append(
+                        (len(x), hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), s, ",".join(str(a) for a, _ in v), hashlib.sha256(back).hexdigest())
+                    )
                 yield pa.record_batch([batch.column(0)[first:last], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names)
 
     return rows.mapInArrow(check, f"doc_id {kind}, n_pieces long, pieces_sha256 string, best_score long, n_best_scores string, decoded_sha256 string")

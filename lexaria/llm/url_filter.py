@@ -73,7 +73,9 @@ def bloom_blocks(keys: DataFrame, key_col: str, blocks: int) -> DataFrame:
     return placed.groupBy("block").agg(*(F.bit_or(f"m{i}").alias(f"w{i}") for i in range(WORDS)))
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", listed_col: str = "url") -> DataFrame:
+def judge_urls(
+    pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", listed_col: str = "url"
+) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages; listed URLs without a rule are blocked."""
     keys = listed.select(canonical(F.col(listed_col)).alias("canon")).filter("canon != ''").distinct()
     size = keys.agg(F.count("*").alias("n"), F.sum(F.octet_length("canon") + 32).alias("bytes")).first()
@@ -89,7 +91,9 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     rows = rows.select(*held, *_place(F.when(F.col("rule").isNull() & (F.col("canon") != ""), F.col("canon")), blocks))
     hit = reduce(lambda a, b: a & b, (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}") for i in range(WORDS)))
     free = F.col("rule").isNull() & (F.col("canon") != "")
-    passed = rows.join(F.broadcast(table) if small else table, "block", "left").withColumn("probe", F.when(free & F.coalesce(hit, F.lit(False)), F.col("canon"))).select(*held, "probe")
+    passed = rows.join(F.broadcast(table) if small else table, "block", "left").withColumn(
+        "probe", F.when(free & F.coalesce(hit, F.lit(False)), F.col("canon"))
+    ).select(*held, "probe")
     names = ["page_id", "host", "path", "rule", "verdict"]
     exact = keys.select(F.col("canon").alias("probe"), F.lit(True).alias("on_list"))
     said = F.coalesce("verdict", F.when(F.col("on_list"), "block").otherwise("allow")).alias("verdict")
@@ -97,4 +101,6 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
         return passed.join(F.broadcast(exact), "probe", "left").select("page_id", "host", "path", "rule", said)
     passed = Scratch(pages.sparkSession, "url_filter").table(passed)
     found = passed.filter("probe is not null").join(exact, "probe", "left").select("page_id", "host", "path", "rule", said)
-    return found.unionByName(passed.filter("probe is null").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict")).select(names))
+    return found.unionByName(
+        passed.filter("probe is null").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict")).select(names)
+    )

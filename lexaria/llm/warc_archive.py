@@ -116,7 +116,9 @@ def write_archive(records: list[bytes]) -> bytes:
             kind = zstandard.DICT_TYPE_FULLDICT
         except zstandard.ZstdError:  # samples too alike to train on: their bytes serve as they are
             pass
-    compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(data, dict_type=kind), write_checksum=True, write_content_size=True)
+    compressor = zstandard.ZstdCompressor(
+        level=LEVEL, dict_data=zstandard.ZstdCompressionDict(data, dict_type=kind), write_checksum=True, write_content_size=True
+    )
     return b"".join([struct.pack("<II", SKIPPABLE, len(data)), data, *map(compressor.compress, records)])
 
 
@@ -169,7 +171,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise WarcError("records are missing")
             columns = list(zip(*rows, strict=True))
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            yield pa.record_batch(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+            )
 
 
 def write_archives(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -180,7 +185,9 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id"
     scratch = Scratch(pages.sparkSession, "warc")
     last = rows.groupBy("sum", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("pages"))
     last = scratch.table(last.filter(f"pages > 1 AND last IS NOT NULL AND size >= {int(min_bytes)}").drop("pages"))
-    marked = rows.join(broadcast_if_small(last, last.count(), 128), ["sum", "size"], "left").withColumn("response", F.col("last").isNull() | F.col("page_id").eqNullSafe(F.col("last")))
+    marked = rows.join(broadcast_if_small(last, last.count(), 128), ["sum", "size"], "left").withColumn(
+        "response", F.col("last").isNull() | F.col("page_id").eqNullSafe(F.col("last"))
+    )
     marked = marked.select("page_id", "url", "html", "response", F.when(~F.col("response"), F.col("last")).alias("refers_to"))
     bound_batches(pages.sparkSession)
     return scratch.table(marked.mapInArrow(_write, "records long, warc binary"), "none")

@@ -227,7 +227,9 @@ def test_decontamination_finds_all_that_verification_accepts():
             copy[k : k + r.randrange(2)] = [r.choice(["other", "a", "s3"])] * r.randrange(2)
         copy = copy[r.randrange(3) :]
         copy = copy[: len(copy) - r.randrange(3)]
-        texts.append(" ".join([r.choice(["x", "y", "s1", "b"]) for _ in range(r.randrange(90))] + copy + [r.choice(["x", "z", "s2"]) for _ in range(r.randrange(90))]))
+        texts.append(
+            " ".join([r.choice(["x", "y", "s1", "b"]) for _ in range(r.randrange(90))] + copy + [r.choice(["x", "z", "s2"]) for _ in range(r.randrange(90))])
+        )
     got = {(f[0], f[1]): f[3:] for f in decontamination.find_in(indexes, pa.array(texts))}
     want = {}
     for d, t in enumerate(texts):
@@ -251,7 +253,10 @@ def test_secret_patterns():
     key = "AKIA" + "Z9" * 8
     text = f'x password: "short" token = abcdefghijkl.mn {key} AKIAshort {"0a" * 8} SECRET="ABCDEFGHIJKL"\napi_key=token: 1234567890123456'
     want = []
-    for kind, p, ok in ((0, r"""(?a:(?i:(password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12), (1, r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18), (2, r"[0-9a-f]+", lambda m: len(m[0]) >= 16)):
+    for kind, p, ok in (
+        (0, r"""(?a:(?i:(password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12),
+        (1, r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18), (2, r"[0-9a-f]+", lambda m: len(m[0]) >= 16)
+    ):
         want += [(m.start(), kind, m.end()) for m in re.finditer(p, text) if ok(m)]
     assert secret_scan.base_spans(text) == sorted(want) and len(want) == 5
 
@@ -359,7 +364,9 @@ def test_warc_round_trip():
 
 def test_chat_mask(spark):
     """The mask's bytes, cut out of the formatted text, are the assistant's texts; adjacent rows of a role are one block."""
-    chats = [(1, i, ["user", "assistant", "assistant"][i % 3], f"t{i} <|im_end|>\\ é" * (i % 4)) for i in range(20)] + [(2, i, "assistant", f"é{i}") for i in range(700)]
+    chats = [
+        (1, i, ["user", "assistant", "assistant"][i % 3], f"t{i} <|im_end|>\\ é" * (i % 4)) for i in range(20)
+    ] + [(2, i, "assistant", f"é{i}") for i in range(700)]
     rows = {r.conv_id: r for r in chat_format.format_chats(spark.createDataFrame(chats, "conv_id long, turn long, role string, text string")).collect()}
     for conv, row in rows.items():
         raw = row.formatted.encode()

@@ -15,11 +15,17 @@ from lexaria.llm import chat_format, decontamination, language_id, lm_scoring, n
 
 LONG = " ".join(f"wort{i % 977} und noch {i}" for i in range(40_000))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, h long, key string, sid string, rid int, kind string, score string, hi string, lo int, `__x` int, date date"
-TEXTS = [None, "", " \t\n", "one", "Two words", "a b c d", "the same text as before it is here", "the same text as before it is here", "THE SAME  text as before it is here", LONG, "123 456 ..", "é   ü", "x" * 100_000, "password=abcdefghijklmnop and more"]
+TEXTS = [
+    None, "", " \t\n", "one", "Two words", "a b c d", "the same text as before it is here", "the same text as before it is here",
+    "THE SAME  text as before it is here", LONG, "123 456 ..", "é   ü", "x" * 100_000, "password=abcdefghijklmnop and more"
+]
 
 
 def rows(spark, texts=TEXTS, first=1):
-    data = [(first + i, t, ["en", "de", None][i % 3], "s", len(t or ""), 1, 2, "k", "s", 3, "q", "z", "p", 4, 5, datetime.date(2020, 1, 1)) for i, t in enumerate(texts)]
+    data = [
+        (first + i, t, ["en", "de", None][i % 3], "s", len(t or ""), 1, 2, "k", "s", 3, "q", "z", "p", 4, 5, datetime.date(2020, 1, 1)) for i,
+        t in enumerate(texts)
+    ]
     data.append((None, "a row without an id has a text too", "en", "s", 5, 1, 2, "k", "s", 3, "q", "z", "p", 4, 5, None))
     return spark.createDataFrame(data, SCHEMA)
 
@@ -66,7 +72,10 @@ def test_lm_scoring(docs, none):
 
 
 def test_decontamination(spark, docs, none):
-    items = spark.createDataFrame([(1, "same text as before it is"), (1, "same text as before it is"), (2, None), (3, " "), (4, "one"), (5, "a b c")], "item_id long, text string")
+    items = spark.createDataFrame(
+        [(1, "same text as before it is"), (1, "same text as before it is"), (2, None), (3, " "), (4, "one"), (5, "a b c")],
+        "item_id long, text string"
+    )
     got = sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect())
     assert got == [(4, 4), (7, 1), (8, 1), (9, 1)]
     assert decontamination.contaminated(none, items).count() == 0
@@ -101,24 +110,51 @@ def test_ogg_media(docs, none):
 
 
 def test_url_filter(spark):
-    pages = spark.createDataFrame([(1, None, "r"), (2, "no scheme", "r"), (3, "http://A.Net", "r"), (4, "http://a.net/x", "r"), (5, "https://www.b.org/p/?utm_x=1&b=2&a=1#f", "r"), (5, "https://www.b.org/p/?utm_x=1&b=2&a=1#f", "r"), (6, "http://b.org/q", None)], "page_id long, url string, rule string")
+    pages = spark.createDataFrame(
+        [
+            (1, None, "r"), (2, "no scheme", "r"), (3, "http://A.Net", "r"), (4, "http://a.net/x", "r"),
+            (5, "https://www.b.org/p/?utm_x=1&b=2&a=1#f", "r"), (5, "https://www.b.org/p/?utm_x=1&b=2&a=1#f", "r"), (6, "http://b.org/q", None)
+        ],
+        "page_id long, url string, rule string"
+    )
     listed = spark.createDataFrame([("http://b.org/p?a=1&b=2",), ("http://b.org/p?a=1&b=2",), (None,), ("junk",)], "url string")
     rules = [("block", "net", "/"), ("allow", "a.net", "/x")]
     got = sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in url_filter.judge_urls(pages, listed, rules).collect())
-    assert got == [(1, "", "", "", "allow"), (2, "", "", "", "allow"), (3, "a.net", "", "", "allow"), (4, "a.net", "/x", "a.net/x", "allow"), (5, "www.b.org", "/p/", "", "block"), (5, "www.b.org", "/p/", "", "block"), (6, "b.org", "/q", "", "allow")]
+    assert got == [
+        (1, "", "", "", "allow"), (2, "", "", "", "allow"), (3, "a.net", "", "", "allow"), (4, "a.net", "/x", "a.net/x", "allow"),
+        (5, "www.b.org", "/p/", "", "block"), (5, "www.b.org", "/p/", "", "block"), (6, "b.org", "/q", "", "allow")
+    ]
     assert url_filter.judge_urls(pages.limit(0), listed, rules).count() == 0
     assert {r.verdict for r in url_filter.judge_urls(pages, listed.limit(0), []).collect()} == {"allow"}
 
 
 def test_warc(spark):
-    pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (3, "u\r\nX: y", "é<p>", 1), (4, "u", "é<p>", 1), (4, "u", "é<p>", 1), (None, "u", "z", 1), (7, "v", "y" * 9_000_000, 1)], "page_id long, url string, html string, last int")
-    got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc_archive.read_archives(warc_archive.write_archives(pages)).collect()), key=str)
-    assert got == [(0, 1, "response", None), (1, 0, "revisit", 2), (2, 0, "response", None), (3, 5, "revisit", 4), (4, 5, "response", None), (4, 5, "response", None), (7, 9_000_000, "response", None)]
+    pages = spark.createDataFrame(
+        [
+            (1, "u", None, 1), (2, None, "", 1), (3, "u\r\nX: y", "é<p>", 1), (4, "u", "é<p>", 1), (4, "u", "é<p>", 1), (None, "u", "z", 1),
+            (7, "v", "y" * 9_000_000, 1)
+        ],
+        "page_id long, url string, html string, last int"
+    )
+    got = sorted(
+        ((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc_archive.read_archives(warc_archive.write_archives(pages)).collect()),
+        key=str
+    )
+    assert got == [
+        (0, 1, "response", None), (1, 0, "revisit", 2), (2, 0, "response", None), (3, 5, "revisit", 4), (4, 5, "response", None),
+        (4, 5, "response", None), (7, 9_000_000, "response", None)
+    ]
     assert warc_archive.read_archives(warc_archive.write_archives(pages.limit(0))).count() == 0
 
 
 def test_chat(spark):
-    chats = spark.createDataFrame([(1, 2, "user", "b", 0), (1, 1, "user", "a<|im_sep|>\\", 0), (1, 2, "user", "b", 0), (1, 3, None, None, 0), (None, None, "assistant", "x<|", 0), (2, 0, "as\nsistant<|", "y", 0)], "conv_id long, turn long, role string, text string, t int")
+    chats = spark.createDataFrame(
+        [
+            (1, 2, "user", "b", 0), (1, 1, "user", "a<|im_sep|>\\", 0), (1, 2, "user", "b", 0), (1, 3, None, None, 0),
+            (None, None, "assistant", "x<|", 0), (2, 0, "as\nsistant<|", "y", 0)
+        ],
+        "conv_id long, turn long, role string, text string, t int"
+    )
     formatted = chat_format.format_chats(chats)
     got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat_format.parse_chats(formatted).collect()}
     assert got == {1: [("user", "a<|im_sep|>\\"), ("user", "b"), ("user", "b"), ("", "")], None: [("assistant", "x<|")], 2: [("as\nsistant<|", "y")]}
@@ -148,7 +184,13 @@ def test_language_filter_rejects_noise(spark):
 
 
 def test_decontamination_in_shards(spark, docs, monkeypatch):
-    items = spark.createDataFrame([(i, f"{t} item{i}") for i, t in enumerate(["same text as before it is here", "a row without an id has a text", "one", "no such text at all in there"])] + [(7, "same text as before it is")], "item_id long, text string")
+    items = spark.createDataFrame(
+        [
+            (i, f"{t} item{i}") for i,
+            t in enumerate(["same text as before it is here", "a row without an id has a text", "one", "no such text at all in there"])
+        ] + [(7, "same text as before it is")],
+        "item_id long, text string"
+    )
     whole = sorted(map(str, decontamination.contaminated(docs, items).collect()))
     kept = sorted(map(str, decontamination.drop_contaminated(docs, items).select("doc_id").collect()))
     monkeypatch.setattr(decontamination, "SHARD_WORDS", 4)
@@ -200,7 +242,9 @@ def test_references_reach_the_literal():
     assert (4, 3, 20) in secret_scan.scan(text)
 
 
-@pytest.mark.parametrize("text", [base64.b64encode(random.Random(1).randbytes(30_000)).decode(), "x" * 60_000, " " * 60_000], ids=["base64", "letters", "spaces"])
+@pytest.mark.parametrize(
+    "text", [base64.b64encode(random.Random(1).randbytes(30_000)).decode(), "x" * 60_000, " " * 60_000], ids=["base64", "letters", "spaces"]
+)
 def test_long_units(text):
     with open(sentencepiece_lattice.MODEL, "rb") as f:
         encoder = sentencepiece_lattice.Encoder(f.read())

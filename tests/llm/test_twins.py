@@ -57,7 +57,10 @@ def test_op2(spark, texts):
 
 def test_op3(spark, texts):
     counts, n = Counter(), 0
-    tokens = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m.group().lower(), t or "")) if w] + [None] for i, (t, _) in texts.items()}
+    tokens = {
+        i: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m.group().lower(), t or "")) if w] + [None] for i,
+        (t, _) in texts.items()
+    }
     for i, w in tokens.items():
         if zlib.crc32(str(i).encode()) % 5 != 1:
             counts.update(w)
@@ -75,10 +78,14 @@ def test_op3(spark, texts):
 def test_op5(spark, texts):
     got = {r.doc_id: r for r in queries.op5_secret_scan(spark, SMALL).collect()}
     assert set(got) == set(texts)
-    assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    assign = re.compile(
+        r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    )
     for i, (t, _) in texts.items():
         t = t or ""
-        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12] + [
+            (m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18
+        ] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
         said = [f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans)]
         r = got[i]
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for _, k, _ in spans) for x in range(3)]
@@ -137,5 +144,7 @@ def test_op8(spark, texts):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
         said = json.loads(r.feature)
-        assert (said["sum"], said["energy"], said["peak"], said["pages"], said["packets"]) == (sum(samples), sum(x * x for x in samples), max(map(abs, samples)), pages, len(blocks))
+        assert (said["sum"], said["energy"], said["peak"], said["pages"], said["packets"]) == (
+            sum(samples), sum(x * x for x in samples), max(map(abs, samples)), pages, len(blocks)
+        )
         assert said["crossings"] == sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))
