@@ -54,7 +54,9 @@ def rows_of(df: DataFrame, function: Callable[..., list[tuple] | tuple], ddl: st
                     of.append(i)
             place = pa.array(of, pa.int64())
             columns = list(zip(*made, strict=True)) if made else [[]] * len(kinds)
-            yield pa.record_batch([*(batch.column(i).take(place) for i in range(len(keep))), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+            yield pa.record_batch(
+                [*(batch.column(i).take(place) for i in range(len(keep))), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names
+            )
 
     out = ", ".join([f"`{k}` {types[k]}" for k in keep] + [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields])
     return df.select(*keep, *(F.col(a).alias(f"__argument{i}") for i, a in enumerate(arguments))).mapInArrow(run, out)

@@ -126,7 +126,10 @@ def register_sql(spark: SparkSession, name: str) -> None:
     spark.udf.register(name, F.arrow_udf(batch, "string"))
 
 
-for _name, _stage in (("identity", stages.identity), ("phrases", stages.phrases()), ("negation", stages.flatten_negation), ("clauses", stages.split_clauses), ("grammar", stages.mend_grammar)):
+for _name, _stage in (
+    ("identity", stages.identity), ("phrases", stages.phrases()), ("negation", stages.flatten_negation), ("clauses", stages.split_clauses),
+    ("grammar", stages.mend_grammar)
+):
     register("stage", _name, _stage)
     register("system", _name, lambda t, s=_stage: s(t)[0])
 register("entailment", "overlap", stages.overlap_entailment)

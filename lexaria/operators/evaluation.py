@@ -69,7 +69,10 @@ def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     counts = rows.groupBy(score).agg(F.sum(label).cast("long").alias("pos"), F.count("*").alias("n"))
     ranked = before(counts, score, F.col("n"), "__before").withColumn("rank", F.col("__before") + (F.col("n") + 1) / F.lit(2.0))
     sums = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
-    return sums.select(F.col("p").alias("n_pos"), F.col("q").alias("n_neg"), divide(F.col("r") - F.col("p") * (F.col("p") + 1) / F.lit(2.0), F.col("p") * F.col("q")).alias("auc"))
+    return sums.select(
+        F.col("p").alias("n_pos"), F.col("q").alias("n_neg"),
+        divide(F.col("r") - F.col("p") * (F.col("p") + 1) / F.lit(2.0), F.col("p") * F.col("q")).alias("auc")
+    )
 
 
 def confusion(rows: DataFrame, score: str, label: str, thresholds: list[float]) -> DataFrame:
@@ -80,9 +83,14 @@ def confusion(rows: DataFrame, score: str, label: str, thresholds: list[float])
         aggs += [F.count_if(hit & (F.col(label) == 1)).alias(f"tp{i}"), F.count_if(hit & (F.col(label) == 0)).alias(f"fp{i}")]
     one = rows.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"), *aggs)
     cells = F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp")) for i, t in enumerate(thresholds)))
-    long = one.select("p", "q", F.explode(cells).alias("c")).select(F.col("c.threshold").alias("threshold"), F.col("c.tp").alias("tp"), F.col("c.fp").alias("fp"), (F.col("p") - F.col("c.tp")).alias("fn"), (F.col("q") - F.col("c.fp")).alias("tn"))
+    long = one.select("p", "q", F.explode(cells).alias("c")).select(
+        F.col("c.threshold").alias("threshold"), F.col("c.tp").alias("tp"), F.col("c.fp").alias("fp"), (F.col("p") - F.col("c.tp")).alias("fn"),
+        (F.col("q") - F.col("c.fp")).alias("tn")
+    )
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    return long.withColumns({"precision": divide(tp, tp + fp), "recall": divide(tp, tp + fn), "specificity": divide(tn, tn + fp), "f1": divide(tp * 2, tp * 2 + fp + fn)}).withColumn("balanced", (F.col("recall") + F.col("specificity")) / 2.0)
+    return long.withColumns(
+        {"precision": divide(tp, tp + fp), "recall": divide(tp, tp + fn), "specificity": divide(tn, tn + fp), "f1": divide(tp * 2, tp * 2 + fp + fn)}
+    ).withColumn("balanced", (F.col("recall") + F.col("specificity")) / 2.0)
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column, Column]:
@@ -191,7 +199,9 @@ def nearest(table: DataFrame, queries: DataFrame, id_col: str, vector_col: str,
 
 def interval_alpha(rows: DataFrame, unit: str, value: str) -> DataFrame:
     """Krippendorff's alpha for interval values, from sums by unit; units with one value are left out."""
-    units = rows.groupBy(unit).agg(F.count(value).alias("m"), F.sum(value).cast("double").alias("s"), F.sum(F.col(value) * F.col(value)).cast("double").alias("q")).filter("m > 1")
+    units = rows.groupBy(unit).agg(
+        F.count(value).alias("m"), F.sum(value).cast("double").alias("s"), F.sum(F.col(value) * F.col(value)).cast("double").alias("q")
+    ).filter("m > 1")
     observed = F.sum((F.col("m") * F.col("q") - F.col("s") * F.col("s")) * 2.0 / (F.col("m") - 1))
     sums = units.agg(F.sum("m").cast("double").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), observed.alias("o"))
     expected = (F.col("n") * F.col("q") - F.col("s") * F.col("s")) * 2.0 / (F.col("n") * (F.col("n") - 1))

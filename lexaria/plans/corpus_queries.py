@@ -29,7 +29,9 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why documents go, first reason first; accepted ones too. One pass: rows are counted by text and own reason, and all but a text's first document are its duplicates."""
     own = (
-        F.when(F.col("text").isNull() | (F.trim("text") == ""), "empty").when(F.col("n_chars") < 200, "short").when(F.col("n_chars") > 20000, "long").when(F.col("text").rlike("https?://|<[a-z]+>"), "markup").otherwise("accepted")
+        F.when(
+            F.col("text").isNull() | (F.trim("text") == ""), "empty"
+        ).when(F.col("n_chars") < 200, "short").when(F.col("n_chars") > 20000, "long").when(F.col("text").rlike("https?://|<[a-z]+>"), "markup").otherwise("accepted")
     )
     d = _docs(spark, sf_dir).select("norm", "doc_id", own.alias("own"))
     names = ("empty", "short", "long", "markup", "accepted")
@@ -53,13 +55,17 @@ def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roundrobin_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """60 documents, one of each source in turn, each source in hash order. No source gives more than 60."""
     d = read(spark, sf_dir, "documents").select("doc_id", "source")
-    return corpus.class_quota(d, "source", corpus.hash_order(F.lit("9"), F.col("doc_id")), 60).orderBy("place", "source").limit(60).select("doc_id", "source", "place")
+    return corpus.class_quota(
+        d, "source", corpus.hash_order(F.lit("9"), F.col("doc_id")), 60
+    ).orderBy("place", "source").limit(60).select("doc_id", "source", "place")
 
 
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents of a source go to dev if the hash of the source modulo 10 is 0, else to train."""
     s = corpus.hex_mod(F.sha2("source", 256), 10)
-    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("bucket", s).select("source", "n", "bucket", F.when(F.col("bucket") == 0, "dev").otherwise("train").alias("split"))
+    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("bucket", s).select(
+        "source", "n", "bucket", F.when(F.col("bucket") == 0, "dev").otherwise("train").alias("split")
+    )
 
 
 def document_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +73,9 @@ def document_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("h", F.sha2(F.concat(F.lit("s:"), "source"), 256))
     before = F.coalesce(F.sum("n").over(Window.partitionBy().orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = c.agg(F.sum("n").alias("total"))
-    return c.withColumn("before", before).crossJoin(F.broadcast(total)).select("source", "n", F.when(F.col("before") * 3 < F.col("total"), "dev").otherwise("test").alias("split"))
+    return c.withColumn("before", before).crossJoin(F.broadcast(total)).select(
+        "source", "n", F.when(F.col("before") * 3 < F.col("total"), "dev").otherwise("test").alias("split")
+    )
 
 
 def shard_select(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +117,10 @@ def cross_split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (exclusion_antijoin, dedup_first, filter_reasons, hash_sample, balanced_sample, roundrobin_sample, group_split, document_split, shard_select, gaps_islands, turn_groups, token_multiset_difference, price_quartiles, cross_split_disjoint)
+    for f in (
+        exclusion_antijoin, dedup_first, filter_reasons, hash_sample, balanced_sample, roundrobin_sample, group_split, document_split, shard_select,
+        gaps_islands, turn_groups, token_multiset_difference, price_quartiles, cross_split_disjoint
+    )
 }
 
 _N = "n AS (SELECT *, sha256(array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ')) AS norm FROM documents)"
@@ -118,21 +129,29 @@ ORACLES = {
     "exclusion_antijoin": f"WITH {_N} SELECT doc_id FROM n WHERE norm NOT IN (SELECT norm FROM n JOIN labels USING (doc_id) WHERE toxic = 1)",
     "dedup_first": f"WITH {_N}, r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id) AS k FROM n) SELECT doc_id, lang FROM r WHERE k = 1",
     "filter_reasons": f"""WITH {_N}, r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id) AS k FROM n)
-        SELECT CASE WHEN text IS NULL OR trim(text, ' ') = '' THEN 'empty' WHEN n_chars < 200 THEN 'short' WHEN n_chars > 20000 THEN 'long' WHEN regexp_matches(text, 'https?://|<[a-z]+>') THEN 'markup' WHEN k > 1 THEN 'duplicate' ELSE 'accepted' END AS reason, count(*) AS n FROM r GROUP BY 1""",
+        SELECT CASE WHEN text IS NULL OR trim(text, ' ') = '' THEN 'empty' WHEN n_chars < 200 THEN 'short' WHEN n_chars > 20000
+            THEN 'long' WHEN regexp_matches(text, 'https?://|<[a-z]+>') THEN 'markup' WHEN k > 1 THEN 'duplicate' ELSE 'accepted' END AS reason,
+            count(*) AS n FROM r GROUP BY 1""",
     "hash_sample": "SELECT doc_id, lang, sha256('4701:' || doc_id) AS hash FROM documents ORDER BY hash LIMIT 100",
     "balanced_sample": "SELECT doc_id, lang, place::INT AS place FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('7:' || doc_id)) AS place FROM documents) WHERE place <= 25",
     "roundrobin_sample": "SELECT doc_id, source, place::INT AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('9:' || doc_id)) AS place FROM documents) ORDER BY place, source LIMIT 60",
-    "group_split": """WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256(source), ''), lambda d: ('0x' || d)::BIGINT)), lambda a, d: (a * 16 + d) % 10) AS bucket FROM s)
+    "group_split": """WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT *, list_reduce(list_prepend(0::BIGINT,
+        list_transform(string_split(sha256(source), ''), lambda d: ('0x' || d)::BIGINT)), lambda a, d: (a * 16 + d) % 10) AS bucket FROM s)
         SELECT source, n, bucket, CASE WHEN bucket = 0 THEN 'dev' ELSE 'train' END AS split FROM b""",
-    "document_split": """WITH c AS (SELECT source, count(*) AS n, sha256('s:' || source) AS h FROM documents GROUP BY 1), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM c)
+    "document_split": """WITH c AS (SELECT source, count(*) AS n, sha256('s:' || source) AS h FROM documents GROUP BY 1), r AS (SELECT *,
+        coalesce(sum(n) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM c)
         SELECT source, n, CASE WHEN before * 3 < total THEN 'dev' ELSE 'test' END AS split FROM r""",
     "shard_select": "SELECT doc_id FROM documents WHERE doc_id % 8 = 3",
-    "gaps_islands": """WITH t AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations WHERE length(text) > 300)
+    "gaps_islands": """WITH t AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations
+        WHERE length(text) > 300)
         SELECT conv_id, min(turn) AS first, max(turn) AS last, count(*) AS n FROM t GROUP BY conv_id, g""",
-    "turn_groups": """WITH t AS (SELECT conv_id, turn, role, length(text) AS n, CASE WHEN lag(role) OVER w IS NOT DISTINCT FROM role THEN 0 ELSE 1 END AS start FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-        g AS (SELECT *, sum(start) OVER w AS grp, last_value(CASE WHEN role = 'system' THEN turn END IGNORE NULLS) OVER w AS system_turn FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    "turn_groups": """WITH t AS (SELECT conv_id, turn, role, length(text) AS n, CASE WHEN lag(role) OVER w IS NOT DISTINCT FROM role THEN 0
+        ELSE 1 END AS start FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        g AS (SELECT *, sum(start) OVER w AS grp, last_value(CASE WHEN role = 'system' THEN turn END IGNORE NULLS) OVER w AS system_turn
+            FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
         SELECT conv_id, grp::BIGINT AS grp, count(*) AS n_turns, sum(n)::BIGINT AS n_chars, max(system_turn) AS system_turn FROM g GROUP BY conv_id, grp""",
-    "token_multiset_difference": """WITH w AS (SELECT role, unnest(regexp_extract_all(lower(text), '[a-z]+(?:[''-][a-z]+)*')) AS word FROM conversations), c AS (SELECT word, count_if(role = 'user') AS u, count_if(role = 'assistant') AS a FROM w GROUP BY 1)
+    "token_multiset_difference": """WITH w AS (SELECT role, unnest(regexp_extract_all(lower(text), '[a-z]+(?:[''-][a-z]+)*')) AS word FROM conversations),
+        c AS (SELECT word, count_if(role = 'user') AS u, count_if(role = 'assistant') AS a FROM w GROUP BY 1)
         SELECT word, (u - a)::BIGINT AS more FROM c WHERE u > a""",
     "price_quartiles": "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(quantile_cont(o_totalprice, 0.5), 4) AS q2, round(quantile_cont(o_totalprice, 0.75), 4) AS q3 FROM orders GROUP BY 1",
     "cross_split_disjoint": f"WITH {_N}, s AS (SELECT norm, regexp_extract(source, '([0-9]+)$', 1)::INT % 2 AS side FROM n) SELECT norm, count(*) AS n FROM s GROUP BY norm HAVING count(DISTINCT side) > 1",

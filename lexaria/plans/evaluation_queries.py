@@ -27,7 +27,9 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold labels with a score: the share of the text's characters that are letters or spaces, in hundredths."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "lang", (F.length(F.regexp_replace("text", r"[^\p{L} ]", "")) / F.length("text").cast("double")).alias("s"))
+    d = read(spark, sf_dir, "documents").select(
+        "doc_id", "lang", (F.length(F.regexp_replace("text", r"[^\p{L} ]", "")) / F.length("text").cast("double")).alias("s")
+    )
     return read(spark, sf_dir, "labels").join(d, "doc_id").withColumn("score", F.floor(F.col("s") * 100) / 100.0)
 
 
@@ -40,13 +42,19 @@ def grouping_sets_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _events(spark, sf_dir).withColumn("panel", F.col("passage") % 4)
     changed = F.col("value") > 50
     by = x.groupingSets([["system"], ["system", "panel"], []], "system", "panel")
-    return by.agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.count_if(changed).alias("n_changed"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg(F.when(changed, F.col("value"))), 6).alias("mean_changed"))
+    return by.agg(
+        F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.count_if(changed).alias("n_changed"),
+        F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg(F.when(changed, F.col("value"))), 6).alias("mean_changed")
+    )
 
 
 def study_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per system: cells, cells below 20 (null counts as below), whether all have several events, and the least value."""
     c = _cells(spark, sf_dir)
-    return c.groupBy("system").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("value"), F.lit(0.0)) < 20).alias("n_below"), F.bool_and(F.col("n") > 1).alias("all_repeated"), F.round(F.min("value"), 6).alias("least"))
+    return c.groupBy("system").agg(
+        F.count("*").alias("n"), F.count_if(F.coalesce(F.col("value"), F.lit(0.0)) < 20).alias("n_below"),
+        F.bool_and(F.col("n") > 1).alias("all_repeated"), F.round(F.min("value"), 6).alias("least")
+    )
 
 
 def matrix_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +68,10 @@ def baseline_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = c.filter("system = 'view'").select("passage", F.col("value").alias("base"))
     d = c.filter("system <> 'view'").join(base, "passage").withColumn("d", F.col("value") - F.col("base"))
     sd = F.stddev_samp("d")
-    return d.groupBy("system").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean_delta"), F.count_if(F.abs("d") > 1e-12).alias("n_changed"), F.round(F.when(sd > 0, F.avg("d") / (sd / F.sqrt(F.count("*")))).otherwise(0.0), 6).alias("t"))
+    return d.groupBy("system").agg(
+        F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean_delta"), F.count_if(F.abs("d") > 1e-12).alias("n_changed"),
+        F.round(F.when(sd > 0, F.avg("d") / (sd / F.sqrt(F.count("*")))).otherwise(0.0), 6).alias("t")
+    )
 
 
 def bootstrap_stratified_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +87,15 @@ def gates_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     gated = by.crossJoin(F.broadcast(ref)).filter("n >= 3 AND size >= ref_size - 5 AND price <= ref_price + 50")
     least = gated.agg(F.min("price").alias("least"))
     near = gated.crossJoin(F.broadcast(least)).filter("price <= least + 2")
-    return near.orderBy(F.desc("size"), "price", "p_brand").limit(1).select("p_brand", "n", F.round("price", 6).alias("price"), F.round("size", 6).alias("size"))
+    return near.orderBy(F.desc("size"), "price", "p_brand").limit(1).select(
+        "p_brand", "n", F.round("price", 6).alias("price"), F.round("size", 6).alias("size")
+    )
 
 
 def pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.pareto(read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), "p_retailprice", "p_size").select("p_partkey", "p_size", F.round("p_retailprice", 2).alias("p_retailprice"))
+    return ev.pareto(
+        read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), "p_retailprice", "p_size"
+    ).select("p_partkey", "p_size", F.round("p_retailprice", 2).alias("p_retailprice"))
 
 
 def confusion_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +122,10 @@ def wilson_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of labelled texts with a score under 0.9, by language, with its Wilson interval."""
     c = _scored_labels(spark, sf_dir).groupBy("lang").agg(F.count("*").cast("double").alias("n"), F.count_if(F.col("score") < 0.9).cast("double").alias("k"))
     p, low, high = ev.wilson(F.col("k"), F.col("n"))
-    return c.select("lang", F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), F.round(p, 6).alias("rate"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+    return c.select(
+        "lang", F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), F.round(p, 6).alias("rate"), F.round(low, 6).alias("low"),
+        F.round(high, 6).alias("high")
+    )
 
 
 def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +136,15 @@ def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def macro_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per class precision, recall, F1 and support of 'score >= 0.9 means quality 1'; zero where undefined."""
     x = _scored_labels(spark, sf_dir).select(F.col("quality").alias("y"), (F.col("score") >= 0.9).cast("int").alias("z"))
-    cls = x.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("label"), "y", "z").groupBy("label").agg(F.count_if((F.col("y") == F.col("label")) & (F.col("z") == F.col("label"))).alias("tp"), F.count_if(F.col("z") == F.col("label")).alias("said"), F.count_if(F.col("y") == F.col("label")).alias("support"))
+    cls = x.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("label"), "y", "z").groupBy("label").agg(
+        F.count_if((F.col("y") == F.col("label")) & (F.col("z") == F.col("label"))).alias("tp"),
+        F.count_if(F.col("z") == F.col("label")).alias("said"), F.count_if(F.col("y") == F.col("label")).alias("support")
+    )
     p, r = F.coalesce(ev.divide(F.col("tp"), F.col("said")), F.lit(0.0)), F.coalesce(ev.divide(F.col("tp"), F.col("support")), F.lit(0.0))
-    return cls.select("label", "support", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.coalesce(ev.divide(p * r * 2, p + r), F.lit(0.0)), 6).alias("f1"))
+    return cls.select(
+        "label", "support", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"),
+        F.round(F.coalesce(ev.divide(p * r * 2, p + r), F.lit(0.0)), 6).alias("f1")
+    )
 
 
 def accuracy_at_k_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,11 +154,17 @@ def accuracy_at_k_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = e.select(F.col("vec_id").alias("id"), "label")
     gold = top.join(labels, "id").join(labels.select(F.col("id").alias("q_id"), F.col("label").alias("q_label")), "q_id")
     per = gold.groupBy("q_id").agg(F.min(F.when(F.col("label") == F.col("q_label"), F.col("place"))).alias("first"))
-    return per.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("first") <= 5, 1.0).otherwise(0.0)), 6).alias("accuracy_at_5"), F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+    return per.agg(
+        F.count("*").alias("n"), F.round(F.avg(F.when(F.col("first") <= 5, 1.0).otherwise(0.0)), 6).alias("accuracy_at_5"),
+        F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))), 6).alias("mrr")
+    )
 
 
 def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_linenumber").alias("rater"), (F.floor(F.col("l_quantity") / 10.0) + 1).cast("double").alias("rating"), "l_extendedprice", "l_discount")
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("unit"), F.col("l_linenumber").alias("rater"),
+        (F.floor(F.col("l_quantity") / 10.0) + 1).cast("double").alias("rating"), "l_extendedprice", "l_discount"
+    )
 
 
 def krippendorff_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +187,9 @@ def pearson_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement of the mean ratings of odd and even raters, stepped up by Spearman and Brown."""
-    u = _ratings(spark, sf_dir).groupBy("unit").agg(F.avg(F.when(F.col("rater") % 2 == 1, F.col("rating"))).alias("a"), F.avg(F.when(F.col("rater") % 2 == 0, F.col("rating"))).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    u = _ratings(spark, sf_dir).groupBy("unit").agg(
+        F.avg(F.when(F.col("rater") % 2 == 1, F.col("rating"))).alias("a"), F.avg(F.when(F.col("rater") % 2 == 0, F.col("rating"))).alias("b")
+    ).filter("a IS NOT NULL AND b IS NOT NULL")
     r = F.corr("a", "b")
     return u.agg(F.count("*").alias("n"), F.round(r, 6).alias("r"), F.round(r * 2 / (r + 1), 6).alias("stepped_up"))
 
@@ -172,7 +204,9 @@ def vote_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def softmax_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Softmax of mean values over the systems of a passage, temperature 10; the share of each system that comes first."""
     w = Window.partitionBy("passage")
-    x = _cells(spark, sf_dir).filter("value IS NOT NULL").withColumn("e", F.exp((F.col("value") - F.max("value").over(w)) / 10.0)).withColumn("p", F.col("e") / F.sum("e").over(w))
+    x = _cells(spark, sf_dir).filter("value IS NOT NULL").withColumn(
+        "e", F.exp((F.col("value") - F.max("value").over(w)) / 10.0)
+    ).withColumn("p", F.col("e") / F.sum("e").over(w))
     return x.groupBy("system").agg(F.round(F.sum("p"), 4).alias("mass"), F.count_if(F.col("e") == 1.0).alias("n_first"))
 
 
@@ -180,7 +214,11 @@ def neighbour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with its passage's neighbours: systems before and after, running maximum, mean of three before."""
     w = Window.partitionBy("passage").orderBy("event_id")
     e = _events(spark, sf_dir)
-    return e.select("event_id", F.lag("system", 1, "BOS").over(w).alias("before"), F.lead("system", 1, "EOS").over(w).alias("after"), F.round(F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("top"), F.round(F.avg("value").over(w.rowsBetween(-3, -1)), 6).alias("mean3"))
+    return e.select(
+        "event_id", F.lag("system", 1, "BOS").over(w).alias("before"), F.lead("system", 1, "EOS").over(w).alias("after"),
+        F.round(F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("top"),
+        F.round(F.avg("value").over(w.rowsBetween(-3, -1)), 6).alias("mean3")
+    )
 
 
 def asof_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +226,9 @@ def asof_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").filter("event_type IN ('purchase', 'view')").select("user_id", "ts", "event_id", "event_type")
     w = Window.partitionBy("user_id").orderBy("ts", F.desc("event_type")).rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("event_type") == "view", F.col("ts")), True).over(w)
-    return e.withColumn("view_ts", last).filter("event_type = 'purchase'").select("event_id", F.unix_micros(F.col("view_ts").cast("timestamp")).alias("view_us"))
+    return e.withColumn("view_ts", last).filter("event_type = 'purchase'").select(
+        "event_id", F.unix_micros(F.col("view_ts").cast("timestamp")).alias("view_us")
+    )
 
 
 def resume_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,17 +240,31 @@ def resume_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def design_factorial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All level combinations of three factors, and the one-factor-at-a-time changes of the first."""
-    levels = {"a": read(spark, sf_dir, "region").select(F.col("r_name").alias("a")), "b": spark.createDataFrame([("on",), ("off",)], "b string"), "c": spark.createDataFrame([(0,), (1,), (2,)], "c int")}
+    levels = {
+        "a": read(spark, sf_dir, "region").select(F.col("r_name").alias("a")), "b": spark.createDataFrame([("on",), ("off",)], "b string"),
+        "c": spark.createDataFrame([(0,), (1,), (2,)], "c int")
+    }
     full = levels["a"].crossJoin(F.broadcast(levels["b"])).crossJoin(F.broadcast(levels["c"]))
     one = (F.when(F.col("a") != "AFRICA", 1).otherwise(0) + F.when(F.col("b") != "off", 1).otherwise(0) + F.when(F.col("c") != 0, 1).otherwise(0)) <= 1
-    return full.select(F.concat_ws("|", F.concat(F.lit("a="), "a"), F.concat(F.lit("b="), "b"), F.concat(F.lit("c="), F.col("c").cast("string"))).alias("config"), one.alias("single"))
+    return full.select(
+        F.concat_ws("|", F.concat(F.lit("a="), "a"), F.concat(F.lit("b="), "b"), F.concat(F.lit("c="), F.col("c").cast("string"))).alias("config"),
+        one.alias("single")
+    )
 
 
 def simplex_grid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of weights on a simplex of tenths, those whose mix of three features correlates best with price."""
-    x = read(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50.0).alias("f"), (F.col("l_discount") * 10.0).alias("g"), (F.col("l_tax") * 10.0).alias("h"), F.col("l_extendedprice").alias("y"))
-    m = x.agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{c}") for c in "fghy"), *(F.sum(F.col(a) * F.col(b)).alias(f"s{a}{b}") for a, b in ("ff", "gg", "hh", "yy", "fg", "fh", "gh", "fy", "gy", "hy")))
-    grid = spark.range(11).select((F.col("id") / 10.0).alias("a")).crossJoin(spark.range(11).select((F.col("id") / 10.0).alias("b"))).filter("a + b <= 1.0000001").withColumn("c", F.round(F.lit(1.0) - F.col("a") - F.col("b"), 1))
+    x = read(spark, sf_dir, "lineitem").select(
+        (F.col("l_quantity") / 50.0).alias("f"), (F.col("l_discount") * 10.0).alias("g"), (F.col("l_tax") * 10.0).alias("h"),
+        F.col("l_extendedprice").alias("y")
+    )
+    m = x.agg(
+        F.count("*").alias("n"), *(F.sum(c).alias(f"s{c}") for c in "fghy"),
+        *(F.sum(F.col(a) * F.col(b)).alias(f"s{a}{b}") for a, b in ("ff", "gg", "hh", "yy", "fg", "fh", "gh", "fy", "gy", "hy"))
+    )
+    grid = spark.range(11).select((F.col("id") / 10.0).alias("a")).crossJoin(
+        spark.range(11).select((F.col("id") / 10.0).alias("b"))
+    ).filter("a + b <= 1.0000001").withColumn("c", F.round(F.lit(1.0) - F.col("a") - F.col("b"), 1))
     r = grid.crossJoin(F.broadcast(m)).selectExpr(
         "a", "b", "c", "n * (a*sfy + b*sgy + c*shy) - (a*sf + b*sg + c*sh) * sy AS cov",
         "n * (a*a*sff + b*b*sgg + c*c*shh + 2*a*b*sfg + 2*a*c*sfh + 2*b*c*sgh) - power(a*sf + b*sg + c*sh, 2) AS vx", "n * syy - sy * sy AS vy",
@@ -223,8 +277,13 @@ def logistic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    d = read(spark, sf_dir, "documents").select("doc_id", F.log1p("n_chars").alias("f"), (F.length(F.regexp_replace("text", r"[^\p{L} ]", "")) / F.length("text").cast("double")).alias("g"), (F.size(F.split("text", r"[.!?]")) / F.length("text").cast("double")).alias("h"))
-    x = VectorAssembler(inputCols=["f", "g", "h"], outputCol="raw", handleInvalid="skip").transform(read(spark, sf_dir, "labels").join(d, "doc_id").withColumn("y", F.col("quality").cast("double")))
+    d = read(spark, sf_dir, "documents").select(
+        "doc_id", F.log1p("n_chars").alias("f"), (F.length(F.regexp_replace("text", r"[^\p{L} ]", "")) / F.length("text").cast("double")).alias("g"),
+        (F.size(F.split("text", r"[.!?]")) / F.length("text").cast("double")).alias("h")
+    )
+    x = VectorAssembler(inputCols=["f", "g", "h"], outputCol="raw", handleInvalid="skip").transform(
+        read(spark, sf_dir, "labels").join(d, "doc_id").withColumn("y", F.col("quality").cast("double"))
+    )
     train, test = x.filter("doc_id % 5 <> 0"), x.filter("doc_id % 5 = 0")
     scale = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(train)
     model = LogisticRegression(featuresCol="x", labelCol="y", regParam=0.01, maxIter=30).fit(scale.transform(train))
@@ -245,56 +304,88 @@ _R = "r AS (SELECT l_orderkey AS unit, l_linenumber AS rater, floor(l_quantity /
 ORACLES = {
     "system_aggregate": f"WITH {_E} SELECT system, count(*) AS n, count(value) AS n_values, round(avg(value), 6) AS mean FROM e GROUP BY 1",
     "grouping_sets_changed": f"""WITH {_E}, p AS (SELECT *, passage % 4 AS panel FROM e)
-        SELECT system, panel, CAST(grouping(system, panel) AS BIGINT) AS level, count(*) AS n, count_if(value > 50)::BIGINT AS n_changed, round(avg(value), 6) AS mean, round(avg(value) FILTER (WHERE value > 50), 6) AS mean_changed
+        SELECT system, panel, CAST(grouping(system, panel) AS BIGINT) AS level, count(*) AS n, count_if(value > 50)::BIGINT AS n_changed, round(avg(value),
+            6) AS mean, round(avg(value) FILTER (WHERE value > 50), 6) AS mean_changed
         FROM p GROUP BY GROUPING SETS ((system), (system, panel), ())""",
     "study_summary": f"WITH {_C} SELECT system, count(*) AS n, count_if(coalesce(value, 0) < 20)::BIGINT AS n_below, bool_and(n > 1) AS all_repeated, round(min(value), 6) AS least FROM c GROUP BY 1",
     "matrix_validate": f"WITH {_E} SELECT s.system, p.passage FROM (SELECT DISTINCT system FROM e) s CROSS JOIN (SELECT DISTINCT passage FROM e) p ANTI JOIN e ON e.system = s.system AND e.passage = p.passage",
-    "baseline_delta": f"""WITH {_C}, d AS (SELECT c.system, c.value - b.value AS d FROM c JOIN c b ON b.passage = c.passage AND b.system = 'view' WHERE c.system <> 'view')
-        SELECT system, count(*) AS n, round(avg(d), 6) AS mean_delta, count_if(abs(d) > 1e-12)::BIGINT AS n_changed, round(CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) ELSE 0 END, 6) AS t FROM d GROUP BY 1""",
-    "bootstrap_stratified_hash": """WITH k AS (SELECT draw, lang, n_chars::DOUBLE AS v, ('0x' || substr(md5(doc_id || ':' || draw), 1, 8))::BIGINT AS h FROM documents, range(40) t(draw)),
+    "baseline_delta": f"""WITH {_C}, d AS (SELECT c.system, c.value - b.value AS d FROM c JOIN c b ON b.passage = c.passage AND b.system = 'view'
+        WHERE c.system <> 'view')
+        SELECT system, count(*) AS n, round(avg(d), 6) AS mean_delta, count_if(abs(d) > 1e-12)::BIGINT AS n_changed, round(CASE WHEN stddev_samp(d) > 0
+            THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) ELSE 0 END, 6) AS t FROM d GROUP BY 1""",
+    "bootstrap_stratified_hash": """WITH k AS (SELECT draw, lang, n_chars::DOUBLE AS v, ('0x' || substr(md5(doc_id || ':' || draw), 1, 8))::BIGINT AS h
+        FROM documents, range(40) t(draw)),
         w AS (SELECT *, (h >= 1580030169)::INT + (h >= 3160060337)::INT + (h >= 3950075421)::INT + (h >= 4213413783)::INT AS n FROM k),
         s AS (SELECT draw, lang, sum(n) AS n, sum(n * v) AS s, count(*) AS size FROM w GROUP BY 1, 2)
         SELECT draw::INT AS draw, round(sum(s / n * size) / sum(size), 4) AS mean FROM s WHERE n > 0 GROUP BY draw""",
-    "gates_selection": """WITH b AS (SELECT p_brand, count(*) AS n, avg(p_retailprice) AS price, avg(p_size) AS size FROM part GROUP BY 1), r AS (SELECT avg(p_size) AS rs, avg(p_retailprice) AS rp FROM part),
+    "gates_selection": """WITH b AS (SELECT p_brand, count(*) AS n, avg(p_retailprice) AS price, avg(p_size) AS size FROM part GROUP BY 1),
+        r AS (SELECT avg(p_size) AS rs, avg(p_retailprice) AS rp FROM part),
         g AS (SELECT b.* FROM b, r WHERE n >= 3 AND size >= rs - 5 AND price <= rp + 50)
-        SELECT p_brand, n, round(price, 6) AS price, round(size, 6) AS size FROM g WHERE price <= (SELECT min(price) FROM g) + 2 ORDER BY g.size DESC, g.price, p_brand LIMIT 1""",
+        SELECT p_brand, n, round(price, 6) AS price, round(size, 6) AS size FROM g WHERE price <= (SELECT min(price) FROM g) + 2 ORDER BY g.size DESC,
+            g.price, p_brand LIMIT 1""",
     "pareto_front": """SELECT p_partkey, p_size, round(p_retailprice, 2) AS p_retailprice FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b
         WHERE b.p_retailprice <= a.p_retailprice AND b.p_size >= a.p_size AND (b.p_retailprice < a.p_retailprice OR b.p_size > a.p_size))""",
     "confusion_sweep": f"""WITH {_L}, t AS (SELECT unnest({GRID}::DOUBLE[]) AS threshold),
-        k AS (SELECT threshold, count_if(score >= threshold AND quality = 1)::BIGINT AS tp, count_if(score >= threshold AND quality = 0)::BIGINT AS fp, count_if(score < threshold AND quality = 1)::BIGINT AS fn, count_if(score < threshold AND quality = 0)::BIGINT AS tn FROM x, t GROUP BY 1),
-        q AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) END AS recall, CASE WHEN tn + fp > 0 THEN tn::DOUBLE / (tn + fp) END AS specificity, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) END AS f1 FROM k)
-        SELECT threshold, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(specificity, 6) AS specificity, round(f1, 6) AS f1, round((recall + specificity) / 2.0::DOUBLE, 6) AS balanced FROM q""",
+        k AS (SELECT threshold, count_if(score >= threshold AND quality = 1)::BIGINT AS tp, count_if(score >= threshold AND quality = 0)::BIGINT AS fp,
+            count_if(score < threshold AND quality = 1)::BIGINT AS fn, count_if(score < threshold AND quality = 0)::BIGINT AS tn FROM x, t GROUP BY 1),
+        q AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) END AS recall,
+            CASE WHEN tn + fp > 0 THEN tn::DOUBLE / (tn + fp) END AS specificity, CASE WHEN 2 * tp + fp + fn > 0
+            THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) END AS f1 FROM k)
+        SELECT threshold, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(specificity, 6) AS specificity, round(f1,
+            6) AS f1, round((recall + specificity) / 2.0::DOUBLE, 6) AS balanced FROM q""",
     "youden_threshold": f"""WITH {_L}, t AS (SELECT DISTINCT score FROM x), n AS (SELECT sum(quality) AS p, sum(1 - quality) AS q FROM x)
-        SELECT t.score, round(sum(CASE WHEN x.score >= t.score THEN quality ELSE 0 END)::DOUBLE / any_value(p) - sum(CASE WHEN x.score >= t.score THEN 1 - quality ELSE 0 END)::DOUBLE / any_value(q), 9) AS j FROM t, x, n GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1""",
+        SELECT t.score, round(sum(CASE WHEN x.score >= t.score THEN quality ELSE 0 END)::DOUBLE / any_value(p) - sum(CASE WHEN x.score >= t.score
+            THEN 1 - quality ELSE 0 END)::DOUBLE / any_value(q), 9) AS j FROM t, x, n GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1""",
     "auc_rank": f"""WITH {_L}, r AS (SELECT quality, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS rank FROM x)
-        SELECT sum(quality)::BIGINT AS n_pos, sum(1 - quality)::BIGINT AS n_neg, round((sum(rank) FILTER (WHERE quality = 1) - sum(quality) * (sum(quality) + 1) / 2.0::DOUBLE) / (sum(quality) * sum(1 - quality)), 9) AS auc FROM r""",
-    "wilson_rates": f"""WITH {_L}, k AS (SELECT lang, count(*) AS n, count_if(score < 0.9)::BIGINT AS k FROM x GROUP BY 1), p AS (SELECT *, k::DOUBLE / n AS p, 3.8416::DOUBLE AS z FROM k)
-        SELECT lang, n, k, round(p, 6) AS rate, round(greatest((p + z / 2 / n) / (1 + z / n) - 1.96::DOUBLE * sqrt(p * (1 - p) / n + z / 4 / (n * n)) / (1 + z / n), 0), 6) AS low,
+        SELECT sum(quality)::BIGINT AS n_pos, sum(1 - quality)::BIGINT AS n_neg,
+            round((sum(rank) FILTER (WHERE quality = 1) - sum(quality) * (sum(quality) + 1) / 2.0::DOUBLE) / (sum(quality) * sum(1 - quality)), 9) AS auc
+            FROM r""",
+    "wilson_rates": f"""WITH {_L}, k AS (SELECT lang, count(*) AS n, count_if(score < 0.9)::BIGINT AS k FROM x GROUP BY 1), p AS (SELECT *,
+        k::DOUBLE / n AS p, 3.8416::DOUBLE AS z FROM k)
+        SELECT lang, n, k, round(p, 6) AS rate,
+            round(greatest((p + z / 2 / n) / (1 + z / n) - 1.96::DOUBLE * sqrt(p * (1 - p) / n + z / 4 / (n * n)) / (1 + z / n), 0), 6) AS low,
             round(least((p + z / 2 / n) / (1 + z / n) + 1.96::DOUBLE * sqrt(p * (1 - p) / n + z / 4 / (n * n)) / (1 + z / n), 1), 6) AS high FROM p""",
     "calibration_bins": f"WITH {_L} SELECT floor(score * 10) / 10.0::DOUBLE AS bin, count(*) AS n, round(avg(quality), 6) AS share FROM x GROUP BY 1",
-    "macro_prf": f"""WITH {_L}, z AS (SELECT quality AS y, (score >= 0.9)::INT AS z FROM x), k AS (SELECT label, count_if(y = label AND z = label) AS tp, count_if(z = label) AS said, count_if(y = label)::BIGINT AS support FROM z, (VALUES (0), (1)) c(label) GROUP BY 1),
-        q AS (SELECT label, support, CASE WHEN said > 0 THEN tp::DOUBLE / said ELSE 0 END AS p, CASE WHEN support > 0 THEN tp::DOUBLE / support ELSE 0 END AS r FROM k)
-        SELECT label, support, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM q""",
+    "macro_prf": f"""WITH {_L}, z AS (SELECT quality AS y, (score >= 0.9)::INT AS z FROM x), k AS (SELECT label, count_if(y = label AND z = label) AS tp,
+        count_if(z = label) AS said, count_if(y = label)::BIGINT AS support FROM z, (VALUES (0), (1)) c(label) GROUP BY 1),
+        q AS (SELECT label, support, CASE WHEN said > 0 THEN tp::DOUBLE / said ELSE 0 END AS p, CASE WHEN support > 0 THEN tp::DOUBLE / support
+            ELSE 0 END AS r FROM k)
+        SELECT label, support, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1
+            FROM q""",
     "accuracy_at_k_mrr": """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-        s AS (SELECT q.vec_id AS q_id, e.vec_id, e.label = q.label AS gold, round(list_sum(list_transform(range(1, len(e.v) + 1), lambda i: e.v[i] * q.v[i])) / (sqrt(list_sum(list_transform(e.v, lambda a: a * a))) * sqrt(list_sum(list_transform(q.v, lambda a: a * a)))), 9) AS cosine
+        s AS (SELECT q.vec_id AS q_id, e.vec_id, e.label = q.label AS gold, round(list_sum(list_transform(range(1, len(e.v) + 1),
+            lambda i: e.v[i] * q.v[i])) / (sqrt(list_sum(list_transform(e.v, lambda a: a * a))) * sqrt(list_sum(list_transform(q.v, lambda a: a * a)))),
+            9) AS cosine
             FROM v e JOIN v q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
-        t AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY cosine DESC, vec_id) AS place FROM s), f AS (SELECT q_id, min(place) FILTER (WHERE gold) AS first FROM t WHERE place <= 20 GROUP BY 1)
-        SELECT count(*) AS n, round(avg(CASE WHEN first <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy_at_5, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM f""",
-    "krippendorff_alpha": f"""WITH {_R}, u AS (SELECT unit, count(rating) AS m, sum(rating) AS s, sum(rating * rating) AS q FROM r GROUP BY 1 HAVING count(rating) > 1), t AS (SELECT sum(m) AS n, sum(s) AS s, sum(q) AS q, sum(2 * (m * q - s * s) / (m - 1)) AS o FROM u)
+        t AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY cosine DESC, vec_id) AS place FROM s), f AS (SELECT q_id,
+            min(place) FILTER (WHERE gold) AS first FROM t WHERE place <= 20 GROUP BY 1)
+        SELECT count(*) AS n, round(avg(CASE WHEN first <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy_at_5, round(avg(coalesce(1.0::DOUBLE / first, 0)),
+            6) AS mrr FROM f""",
+    "krippendorff_alpha": f"""WITH {_R}, u AS (SELECT unit, count(rating) AS m, sum(rating) AS s, sum(rating * rating) AS q FROM r
+        GROUP BY 1 HAVING count(rating) > 1), t AS (SELECT sum(m) AS n, sum(s) AS s, sum(q) AS q, sum(2 * (m * q - s * s) / (m - 1)) AS o FROM u)
         SELECT n::BIGINT AS n_values, round(1 - (o / n) / (2 * (n * q - s * s) / (n * (n - 1))), 9) AS alpha FROM t""",
-    "pearson_spearman": f"""WITH {_R}, k AS (SELECT rating, price, rank() OVER (ORDER BY rating) + (count(*) OVER (PARTITION BY rating) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0::DOUBLE AS rb FROM r)
+    "pearson_spearman": f"""WITH {_R}, k AS (SELECT rating, price,
+        rank() OVER (ORDER BY rating) + (count(*) OVER (PARTITION BY rating) - 1) / 2.0::DOUBLE AS ra,
+        rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0::DOUBLE AS rb FROM r)
         SELECT round(corr(rating, price), 6) AS pearson, round(corr(ra, rb), 6) AS spearman FROM k""",
-    "split_half": f"""WITH {_R}, u AS (SELECT unit, avg(rating) FILTER (WHERE rater % 2 = 1) AS a, avg(rating) FILTER (WHERE rater % 2 = 0) AS b FROM r GROUP BY 1), c AS (SELECT count(*) AS n, corr(a, b) AS r FROM u WHERE a IS NOT NULL AND b IS NOT NULL)
+    "split_half": f"""WITH {_R}, u AS (SELECT unit, avg(rating) FILTER (WHERE rater % 2 = 1) AS a, avg(rating) FILTER (WHERE rater % 2 = 0) AS b FROM r
+        GROUP BY 1), c AS (SELECT count(*) AS n, corr(a, b) AS r FROM u WHERE a IS NOT NULL AND b IS NOT NULL)
         SELECT n, round(r, 6) AS r, round(2 * r / (1 + r), 6) AS stepped_up FROM c""",
-    "vote_mode": f"""WITH {_R}, c AS (SELECT unit, rating, count(*) AS n FROM r GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY n DESC, rating) AS k FROM c)
+    "vote_mode": f"""WITH {_R}, c AS (SELECT unit, rating, count(*) AS n FROM r GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY unit
+        ORDER BY n DESC, rating) AS k FROM c)
         SELECT rating, count(*) AS n_units, sum(n)::BIGINT AS n_votes FROM b WHERE k = 1 GROUP BY 1""",
-    "softmax_group": f"""WITH {_C}, x AS (SELECT *, exp((value - max(value) OVER (PARTITION BY passage)) / 10.0::DOUBLE) AS e FROM c WHERE value IS NOT NULL), p AS (SELECT *, e / sum(e) OVER (PARTITION BY passage) AS p FROM x)
+    "softmax_group": f"""WITH {_C}, x AS (SELECT *, exp((value - max(value) OVER (PARTITION BY passage)) / 10.0::DOUBLE) AS e FROM c
+        WHERE value IS NOT NULL), p AS (SELECT *, e / sum(e) OVER (PARTITION BY passage) AS p FROM x)
         SELECT system, round(sum(p), 4) AS mass, count_if(e = 1.0)::BIGINT AS n_first FROM p GROUP BY 1""",
-    "neighbour_features": f"""WITH {_E} SELECT event_id, lag(system, 1, 'BOS') OVER w AS before, lead(system, 1, 'EOS') OVER w AS after, round(max(value) OVER (PARTITION BY passage ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS top,
-            round(avg(value) OVER (PARTITION BY passage ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS mean3 FROM e WINDOW w AS (PARTITION BY passage ORDER BY event_id)""",
+    "neighbour_features": f"""WITH {_E} SELECT event_id, lag(system, 1, 'BOS') OVER w AS before, lead(system, 1, 'EOS') OVER w AS after,
+        round(max(value) OVER (PARTITION BY passage ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS top,
+            round(avg(value) OVER (PARTITION BY passage ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS mean3
+                FROM e WINDOW w AS (PARTITION BY passage ORDER BY event_id)""",
     "asof_snap": """SELECT p.event_id, epoch_us(v.ts) AS view_us FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""",
     "resume_cells": f"WITH {_E} SELECT DISTINCT e.system, e.passage FROM e ANTI JOIN (SELECT * FROM e WHERE value >= 90) d ON d.system = e.system AND d.passage = e.passage",
     "design_factorial": """SELECT 'a=' || r_name || '|b=' || b || '|c=' || c AS config, (r_name <> 'AFRICA')::INT + (b <> 'off')::INT + (c <> 0)::INT <= 1 AS single FROM region, (VALUES ('on'), ('off')) x(b), (VALUES (0), (1), (2)) y(c)""",
-    "simplex_grid_fit": """WITH x AS (SELECT l_quantity / 50.0::DOUBLE AS f, l_discount * 10.0::DOUBLE AS g, l_tax * 10.0::DOUBLE AS h, l_extendedprice AS y FROM lineitem), i AS (SELECT a / 10.0::DOUBLE AS a, b / 10.0::DOUBLE AS b, round(1 - a / 10.0::DOUBLE - b / 10.0::DOUBLE, 1) AS c FROM range(11) s(a), range(11) t(b) WHERE a + b <= 10)
+    "simplex_grid_fit": """WITH x AS (SELECT l_quantity / 50.0::DOUBLE AS f, l_discount * 10.0::DOUBLE AS g, l_tax * 10.0::DOUBLE AS h, l_extendedprice AS y
+        FROM lineitem), i AS (SELECT a / 10.0::DOUBLE AS a, b / 10.0::DOUBLE AS b, round(1 - a / 10.0::DOUBLE - b / 10.0::DOUBLE, 1) AS c
+        FROM range(11) s(a), range(11) t(b) WHERE a + b <= 10)
         SELECT a, b, c, round(corr(a * f + b * g + c * h, y), 6) AS r FROM i, x GROUP BY 1, 2, 3 ORDER BY 4 DESC, 1 DESC, 2 DESC LIMIT 5""",
 }

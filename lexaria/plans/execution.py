@@ -44,7 +44,9 @@ def freeze(plan: DataFrame, folder: str, identity: dict[str, str]) -> None:
     if twice:
         raise ValueError(f"{twice} cells repeat")
     plan.write.mode("errorifexists").parquet(f"{folder}/plan")
-    spark.createDataFrame([(k, v) for k, v in sorted(identity.items())], "name string, value string").coalesce(1).write.mode("errorifexists").json(f"{folder}/identity")
+    spark.createDataFrame(
+        [(k, v) for k, v in sorted(identity.items())], "name string, value string"
+    ).coalesce(1).write.mode("errorifexists").json(f"{folder}/identity")
 
 
 def preflight(spark: SparkSession, folder: str, identity: dict[str, str]) -> None:
@@ -66,7 +68,10 @@ def todo(plan: DataFrame, cells: DataFrame, shards: int = 1, shard: int = 0) ->
     return left if shards == 1 else left.filter(F.pmod(F.xxhash64("config", "id"), F.lit(shards)) == shard)
 
 
-def run_cells(spark: SparkSession, folder: str, work: Callable[[DataFrame], DataFrame], schema: str, identity: dict[str, str], shards: int = 1, deadline: float | None = None) -> int:
+def run_cells(
+    spark: SparkSession, folder: str, work: Callable[[DataFrame], DataFrame], schema: str, identity: dict[str, str], shards: int = 1,
+    deadline: float | None = None
+) -> int:
     """Works off what is left shard by shard, each written with one append, until done or past the deadline; returns the number of cells left.
 
     Frozen values are checked before and after each shard. A shard that is cut

@@ -32,12 +32,19 @@ def _staged(spark: SparkSession, sf_dir: str, stage: stages.Stage) -> DataFrame:
 
 def word_stage() -> stages.Stage:
     """Generates from the rules, turns down by the window veto, and fills the place with the next candidate."""
-    return stages.swap_words(lambda w: OPTIONS.get(w, []), lambda w: w.lower() in OPTIONS, stages.window_veto(stages.overlap_entailment, 0.5, checks=stages.keeps_items), most=3)
+    return stages.swap_words(
+        lambda w: OPTIONS.get(w, []), lambda w: w.lower() in OPTIONS, stages.window_veto(stages.overlap_entailment, 0.5, checks=stages.keeps_items),
+        most=3
+    )
 
 
 def whole_chain() -> stages.Stage:
     """Grammar, negation, clauses, phrases and words, each undone where it loses an item, all undone where a code literal changes."""
-    checked = [stages.guarded(s, [stages.keeps_literals]) for s in (stages.by_sentence(stages.mend_grammar), stages.flatten_negation, stages.by_sentence(stages.split_clauses), stages.phrases(most=3))]
+    checked = [
+        stages.guarded(s, [stages.keeps_literals]) for s in (
+            stages.by_sentence(stages.mend_grammar), stages.flatten_negation, stages.by_sentence(stages.split_clauses), stages.phrases(most=3)
+        )
+    ]
     return stages.chain([*checked, word_stage()])
 
 
@@ -49,12 +56,18 @@ def stage_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order: edits by stage."""
     x = _staged(spark, sf_dir, whole_chain())
-    return x.select("doc_id", "n_edits", F.array_join(F.array_sort(F.array_distinct(F.transform("edits", lambda e: e["stage"]))), ",").alias("stages"), (F.col("output") != F.col("text")).alias("changed"))
+    return x.select(
+        "doc_id", "n_edits", F.array_join(F.array_sort(F.array_distinct(F.transform("edits", lambda e: e["stage"]))), ",").alias("stages"),
+        (F.col("output") != F.col("text")).alias("changed")
+    )
 
 
 def rewrite_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each arm of the ablation on every document: changed texts and edits."""
-    factors = {"grammar": {"off": stages.identity, "rules": stages.mend_grammar}, "words": {"off": stages.identity, "dictionary": stages.dictionary(RULES)}, "phrases": {"off": stages.identity, "authored": stages.phrases()}}
+    factors = {
+        "grammar": {"off": stages.identity, "rules": stages.mend_grammar}, "words": {"off": stages.identity, "dictionary": stages.dictionary(RULES)},
+        "phrases": {"off": stages.identity, "authored": stages.phrases()}
+    }
     made = stages.arms(factors, {"grammar": "off", "words": "dictionary", "phrases": "off"})
 
     def run(text: str | None) -> list[tuple[str, bool, int]]:
@@ -131,7 +144,10 @@ def sentence_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two windows of six words around the change of each rewrite."""
-    return rows_of(_rewrites(spark, sf_dir), lambda a, b: tuple(len(x.split()) for x in alignment.window_pair(a or "", b or "", 6)), "before int, after int", ["doc_id"], ["a", "b"])
+    return rows_of(
+        _rewrites(spark, sf_dir), lambda a, b: tuple(len(x.split()) for x in alignment.window_pair(a or "", b or "", 6)), "before int, after int",
+        ["doc_id"], ["a", "b"]
+    )
 
 
 def text_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,14 +155,19 @@ def text_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(text: str | None) -> tuple[int, int, int, int]:
         code = spans.literal_spans(text or "")
-        return len(code), len(spans.acronyms(text or "")), len(preserve.entities(text or "")), len(filters.candidates(text or "", frozenset(preserve.OPENERS), code))
+        return len(code), len(spans.acronyms(text or "")), len(preserve.entities(text or "")), len(
+            filters.candidates(text or "", frozenset(preserve.OPENERS), code)
+        )
 
     return rows_of(_docs(spark, sf_dir), run, "n_literals int, n_acronyms int, n_entities int, n_candidates int", ["doc_id"], ["text"])
 
 
 def acronym_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Acronyms with several expansions, by source: of the texts put together from the sources' documents, each document on its own first."""
-    found = rows_of(read(spark, sf_dir, "documents").select("source", "text"), lambda t: spans.acronyms(t or ""), "acronym string, expansion string", ["source"], ["text"])
+    found = rows_of(
+        read(spark, sf_dir, "documents").select("source", "text"), lambda t: spans.acronyms(t or ""), "acronym string, expansion string", ["source"],
+        ["text"]
+    )
     return found.groupBy("source", "acronym").agg(F.count_distinct("expansion").alias("n")).filter("n > 1")
 
 
@@ -154,7 +175,10 @@ def term_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of phrases by two sources in order of priority, the longest first inside a source."""
     sources = [["of the", "in the", "and the"], ["the", "of", "de la", "en la"]]
     long = rows_of(_docs(spark, sf_dir), lambda t: spans.phrase_spans(t or "", sources), "start int, stop int, rank int", ["doc_id"], ["text"])
-    return long.groupBy("doc_id").agg(F.count_if(F.col("rank") == 0).alias("first"), F.count_if(F.col("rank") == 1).alias("second"), F.sum(F.col("stop") - F.col("start")).alias("chars"))
+    return long.groupBy("doc_id").agg(
+        F.count_if(F.col("rank") == 0).alias("first"), F.count_if(F.col("rank") == 1).alias("second"),
+        F.sum(F.col("stop") - F.col("start")).alias("chars")
+    )
 
 
 def text_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +199,9 @@ def prose_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         chosen = filters.pick_windows([w[:3] for w in found], 3, lambda w: hashlib.sha256(str(w).encode()).hexdigest())
         return len(found), len(chosen or [])
 
-    return rows_of(_docs(spark, sf_dir).withColumn("blocks", lines.paragraphs(F.col("text"), "text")), run, "n_windows int, n_chosen int", ["doc_id"], ["blocks"])
+    return rows_of(
+        _docs(spark, sf_dir).withColumn("blocks", lines.paragraphs(F.col("text"), "text")), run, "n_windows int, n_chosen int", ["doc_id"], ["blocks"]
+    )
 
 
 def pair_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +220,11 @@ def pair_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that can be sources, each once (by hash), with its first document."""
-    long = rows_of(_docs(spark, sf_dir), lambda t: [(hashlib.sha256(s.encode()).hexdigest(), len(s.split())) for s in preserve.sentence_list(t or "") if filters.source_sentence(s)], "sha256 string, n_words int", ["doc_id"], ["text"])
+    long = rows_of(
+        _docs(spark, sf_dir),
+        lambda t: [(hashlib.sha256(s.encode()).hexdigest(), len(s.split())) for s in preserve.sentence_list(t or "") if filters.source_sentence(s)],
+        "sha256 string, n_words int", ["doc_id"], ["text"]
+    )
     return long.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
 
 

@@ -53,7 +53,9 @@ def udf_entailment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def udf_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.generate("endings", _parts(spark, sf_dir), "p_brand", ["p_partkey"]).groupBy("candidate").agg(F.count("*").alias("n"), F.max("score").alias("score"))
+    return registry.generate(
+        "endings", _parts(spark, sf_dir), "p_brand", ["p_partkey"]
+    ).groupBy("candidate").agg(F.count("*").alias("n"), F.max("score").alias("score"))
 
 
 def udf_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +93,10 @@ def layout_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attributed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases of part names with their last word as target, all exactly at their offsets."""
     p = _parts(spark, sf_dir).withColumn("target", F.substring_index("p_name", " ", -1))
-    cases = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), "target", (F.length("p_name") - F.length("target")).alias("start"), F.length("p_name").alias("end"), F.col("p_brand").alias("source"))
+    cases = p.select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), "target", (F.length("p_name") - F.length("target")).alias("start"),
+        F.length("p_name").alias("end"), F.col("p_brand").alias("source")
+    )
     return layout.attributed_cases(cases).select("id", "target", "start")
 
 
@@ -102,19 +107,32 @@ def finder_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = li.filter("l_discount > 0.045").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("f"), F.max("l_linestatus").alias("fs"))
     x = gold.join(found, ["l_orderkey", "l_linenumber"], "full")
     hit = F.col("g").isNotNull() & F.col("f").isNotNull()
-    by = x.groupBy(F.coalesce("f", "g").alias("source")).agg(F.count_if(hit).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("f").isNull()).alias("fn"), F.count_if(hit & (F.col("gs") == F.col("fs"))).alias("right"))
+    by = x.groupBy(F.coalesce("f", "g").alias("source")).agg(
+        F.count_if(hit).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("f").isNull()).alias("fn"),
+        F.count_if(hit & (F.col("gs") == F.col("fs"))).alias("right")
+    )
     ratio = lambda a, b: F.round(F.coalesce(ev.divide(a, b), F.lit(0.0)), 6)
-    return by.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "suggestions": ratio(F.col("right"), F.col("tp"))})
+    return by.withColumns(
+        {
+            "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")),
+            "suggestions": ratio(F.col("right"), F.col("tp"))
+        }
+    )
 
 
 def calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each language and kind (short texts or long): positives, negatives, and the AUC of the score, ties counted half."""
-    x = eq._scored_labels(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("kind", F.when(F.col("n_chars") < 1000, "short").otherwise("long"))
+    x = eq._scored_labels(spark, sf_dir).join(
+        read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id"
+    ).withColumn("kind", F.when(F.col("n_chars") < 1000, "short").otherwise("long"))
     by = ["lang", "kind"]
     cells = x.groupBy(*by, "score").agg(F.count("*").alias("k"), F.sum("quality").cast("long").alias("p"))
     ranked = cells.join(ev.average_ranks_weighted(cells, "score", by), [*by, "score"])
     s = ranked.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum(F.col("k") - F.col("p")).alias("n_neg"), F.sum(F.col("rank_score") * F.col("p")).alias("r"))
-    return s.select(*by, "n_pos", "n_neg", F.round(ev.divide(F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0, F.col("n_pos") * F.col("n_neg")), 9).alias("auc"))
+    return s.select(
+        *by, "n_pos", "n_neg",
+        F.round(ev.divide(F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0, F.col("n_pos") * F.col("n_neg")), 9).alias("auc")
+    )
 
 
 def structure_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +140,14 @@ def structure_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexaria.plans.text_queries import _pairs
 
     longest = lambda c: F.array_max(F.transform(c, lambda w: F.length(w)))
-    p = _pairs(spark, sf_dir).select("doc_id", "lang", (F.array_join("source", " ") != F.array_join("output", " ")).alias("changed"), (longest("output") < longest("source")).alias("shorter"))
-    return p.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("changed").alias("n_changed"), F.count_if("shorter").alias("n_shorter"), F.count_if((F.col("doc_id") % 2 == 0) & ~F.col("changed")).alias("copies_kept"))
+    p = _pairs(spark, sf_dir).select(
+        "doc_id", "lang", (F.array_join("source", " ") != F.array_join("output", " ")).alias("changed"),
+        (longest("output") < longest("source")).alias("shorter")
+    )
+    return p.groupBy("lang").agg(
+        F.count("*").alias("n"), F.count_if("changed").alias("n_changed"), F.count_if("shorter").alias("n_shorter"),
+        F.count_if((F.col("doc_id") % 2 == 0) & ~F.col("changed")).alias("copies_kept")
+    )
 
 
 def reference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +155,9 @@ def reference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation")
     line = lambda d, v: d.select(F.col("n_nationkey").cast("long").alias("line"), F.concat_ws("\t", "n_name", v).alias("value"))
     a = lines.fields(line(n.filter("n_nationkey % 2 = 0"), F.lower("n_name")), exactly=2).select(F.col("f")[0].alias("source"), F.col("f")[1].alias("first"))
-    b = lines.fields(line(n.filter("n_nationkey % 3 = 0"), F.substring("n_name", 1, 3)), exactly=2).select(F.col("f")[0].alias("source"), F.col("f")[1].alias("second"))
+    b = lines.fields(
+        line(n.filter("n_nationkey % 3 = 0"), F.substring("n_name", 1, 3)), exactly=2
+    ).select(F.col("f")[0].alias("source"), F.col("f")[1].alias("second"))
     return a.join(b, "source")
 
 
@@ -146,7 +172,9 @@ def connector_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which occurrence of the most frequent role change of a conversation dominates: the number (1, 2, ...) of its longest turn among the turns of its role."""
     w = Window.partitionBy("conv_id", "role").orderBy("turn")
     t = read(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.length("text").alias("n"), F.row_number().over(w).cast("long").alias("k"))
-    return t.groupBy("conv_id", "role").agg(F.max(F.struct("n", (-F.col("k")).alias("k"))).alias("b")).select("conv_id", "role", (-F.col("b.k")).alias("occurrence"), F.col("b.n").alias("n"))
+    return t.groupBy("conv_id", "role").agg(F.max(F.struct("n", (-F.col("k")).alias("k"))).alias("b")).select(
+        "conv_id", "role", (-F.col("b.k")).alias("occurrence"), F.col("b.n").alias("n")
+    )
 
 
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,12 +198,16 @@ def exposure_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staged_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores once, arms as thresholds on them: accepted passages of each arm."""
     cells = eq._cells(spark, sf_dir)
-    return execution.staged(cells, "value", {"low": 40.0, "middle": 50.0, "high": 60.0}, ["system", "passage"]).groupBy("config", "system").agg(F.count_if("accepted").alias("n"))
+    return execution.staged(
+        cells, "value", {"low": 40.0, "middle": 50.0, "high": 60.0}, ["system", "passage"]
+    ).groupBy("config", "system").agg(F.count_if("accepted").alias("n"))
 
 
 def blind_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blind order of two arms' parts, joined back by the key: how many of each arm come in the first half."""
-    p = _parts(spark, sf_dir).filter("p_partkey <= 500").select(F.col("p_partkey").alias("id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("system"), "p_name")
+    p = _parts(spark, sf_dir).filter("p_partkey <= 500").select(
+        F.col("p_partkey").alias("id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("system"), "p_name"
+    )
     sheet, key = execution.blind_sheet(p, "s1")
     return sheet.join(key, "item").filter("item < '8'").groupBy("system").agg(F.count("*").alias("n"), F.min("item").alias("first"))
 
@@ -194,21 +226,34 @@ ORACLES = {
     "udf_veto": "SELECT p_partkey, length(p_type) > length(p_name) AS vetoed FROM part",
     "udf_entailment": r"""WITH p AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '\w+') AS w FROM part) SELECT a.p_partkey, round(len(list_filter(a.w, lambda x: list_contains(b.w, x)))::DOUBLE / len(a.w), 6) AS p FROM p a JOIN p b ON b.p_partkey = a.p_partkey - 1""",
     "udf_generator": "WITH c AS (SELECT unnest(range(1, least(4, length(p_brand)) + 1)) AS k, p_brand FROM part) SELECT left(p_brand, k) AS candidate, count(*) AS n, max(k)::DOUBLE AS score FROM c GROUP BY 1",
-    "udf_scorer": """WITH p AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), '')) AS n, list_distinct(string_split(lower(p_type), '')) AS t FROM part)
-        SELECT p_partkey, len(list_filter(n, lambda x: x <> '' AND list_contains(t, x)))::DOUBLE AS a, len(list_filter(n, lambda x: list_contains(['a', 'b', 'c'], x)))::DOUBLE AS b FROM p""",
+    "udf_scorer": """WITH p AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), '')) AS n, list_distinct(string_split(lower(p_type), '')) AS t
+        FROM part)
+        SELECT p_partkey, len(list_filter(n, lambda x: x <> '' AND list_contains(t, x)))::DOUBLE AS a, len(list_filter(n, lambda x: list_contains(['a', 'b',
+            'c'], x)))::DOUBLE AS b FROM p""",
     "udf_aggregate": "SELECT p_brand, round((max(p_retailprice) + min(p_retailprice)) / 2, 4) AS middle FROM part GROUP BY 1",
     "layout_lines": """WITH e AS (SELECT p_brand AS doc, p_partkey % 10 + 1 AS page, (p_partkey // 10) % 2 AS col, p_size AS top, p_partkey % 7 * 100 AS l FROM part) SELECT doc, page, col, count(DISTINCT top) AS n, min(l)::DOUBLE AS "left" FROM e GROUP BY 1, 2, 3""",
-    "layout_paragraphs": """WITH t AS (SELECT conv_id AS doc, turn, CASE role WHEN 'user' THEN 'heading' WHEN 'system' THEN 'abstract' ELSE 'body' END AS kind, CASE WHEN length(text) > 300 THEN 20 ELSE 0 END AS l, left(text, 10) AS text FROM conversations),
-        c AS (SELECT doc, l, count(*) AS n FROM t WHERE kind <> 'heading' GROUP BY 1, 2), e AS (SELECT doc, l AS edge FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, l) AS k FROM c) WHERE k = 1),
-        f AS (SELECT t.*, CASE WHEN coalesce(lag(kind) OVER w, 'heading') = 'heading' OR lag(kind) OVER w <> kind OR l - coalesce(edge, l) > 5 THEN 1 ELSE 0 END AS start FROM t LEFT JOIN e USING (doc) WINDOW w AS (PARTITION BY doc ORDER BY turn)),
-        g AS (SELECT *, sum(start) OVER (PARTITION BY doc ORDER BY turn) AS place FROM f WHERE kind <> 'heading'), j AS (SELECT doc, place, string_agg(text, chr(10) ORDER BY turn) AS x FROM g GROUP BY 1, 2)
+    "layout_paragraphs": """WITH t AS (SELECT conv_id AS doc, turn, CASE role WHEN 'user' THEN 'heading' WHEN 'system' THEN 'abstract'
+        ELSE 'body' END AS kind, CASE WHEN length(text) > 300 THEN 20 ELSE 0 END AS l, left(text, 10) AS text FROM conversations),
+        c AS (SELECT doc, l, count(*) AS n FROM t WHERE kind <> 'heading' GROUP BY 1, 2), e AS (SELECT doc, l AS edge FROM (SELECT *,
+            row_number() OVER (PARTITION BY doc ORDER BY n DESC, l) AS k FROM c) WHERE k = 1),
+        f AS (SELECT t.*, CASE WHEN coalesce(lag(kind) OVER w, 'heading') = 'heading' OR lag(kind) OVER w <> kind OR l - coalesce(edge, l) > 5 THEN 1
+            ELSE 0 END AS start FROM t LEFT JOIN e USING (doc) WINDOW w AS (PARTITION BY doc ORDER BY turn)),
+        g AS (SELECT *, sum(start) OVER (PARTITION BY doc ORDER BY turn) AS place FROM f WHERE kind <> 'heading'), j AS (SELECT doc, place, string_agg(text,
+            chr(10) ORDER BY turn) AS x FROM g GROUP BY 1, 2)
         SELECT doc, place::BIGINT AS place, length(replace(regexp_replace(x, '([a-z])-\\n([a-z])', '\\1\\2', 'g'), chr(10), ' '))::INT AS n_chars FROM j""",
     "attributed_cases": "SELECT p_partkey AS id, string_split(p_name, ' ')[-1] AS target, (length(p_name) - length(string_split(p_name, ' ')[-1]))::INT AS start FROM part",
-    "finder_scoreboard": """WITH g AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS g, min(l_linestatus) AS gs FROM lineitem WHERE l_quantity > 20 GROUP BY 1, 2), f AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS f, max(l_linestatus) AS fs FROM lineitem WHERE l_discount > 0.045 GROUP BY 1, 2),
-        x AS (SELECT coalesce(f, g) AS source, count_if(g IS NOT NULL AND f IS NOT NULL)::BIGINT AS tp, count_if(g IS NULL)::BIGINT AS fp, count_if(f IS NULL)::BIGINT AS fn, count_if(gs = fs)::BIGINT AS right_ FROM g FULL JOIN f USING (l_orderkey, l_linenumber) GROUP BY 1)
-        SELECT source, tp, fp, fn, right_ AS "right", round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / (tp + fn), 6) AS recall, round(right_::DOUBLE / tp, 6) AS suggestions FROM x""",
-    "calibration_report": f"""WITH {eq._L}, y AS (SELECT x.*, CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END AS kind FROM x JOIN documents d USING (doc_id)),
-        r AS (SELECT *, rank() OVER (PARTITION BY lang, kind ORDER BY score) + (count(*) OVER (PARTITION BY lang, kind, score) - 1) / 2.0::DOUBLE AS rank FROM y), s AS (SELECT lang, kind, sum(quality)::BIGINT AS p, sum(1 - quality)::BIGINT AS n, sum(rank) FILTER (WHERE quality = 1) AS r FROM r GROUP BY 1, 2)
+    "finder_scoreboard": """WITH g AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS g, min(l_linestatus) AS gs FROM lineitem WHERE l_quantity > 20
+        GROUP BY 1, 2), f AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS f, max(l_linestatus) AS fs FROM lineitem WHERE l_discount > 0.045
+        GROUP BY 1, 2),
+        x AS (SELECT coalesce(f, g) AS source, count_if(g IS NOT NULL AND f IS NOT NULL)::BIGINT AS tp, count_if(g IS NULL)::BIGINT AS fp,
+            count_if(f IS NULL)::BIGINT AS fn, count_if(gs = fs)::BIGINT AS right_ FROM g FULL JOIN f USING (l_orderkey, l_linenumber) GROUP BY 1)
+        SELECT source, tp, fp, fn, right_ AS "right", round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / (tp + fn), 6) AS recall,
+            round(right_::DOUBLE / tp, 6) AS suggestions FROM x""",
+    "calibration_report": f"""WITH {eq._L}, y AS (SELECT x.*, CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END AS kind FROM x
+        JOIN documents d USING (doc_id)),
+        r AS (SELECT *, rank() OVER (PARTITION BY lang, kind ORDER BY score) + (count(*) OVER (PARTITION BY lang, kind, score) - 1) / 2.0::DOUBLE AS rank
+            FROM y), s AS (SELECT lang, kind, sum(quality)::BIGINT AS p, sum(1 - quality)::BIGINT AS n, sum(rank) FILTER (WHERE quality = 1) AS r FROM r
+            GROUP BY 1, 2)
         SELECT lang, kind, p AS n_pos, n AS n_neg, round(CASE WHEN p * n > 0 THEN (r - p * (p + 1) / 2.0::DOUBLE) / (p * n) END, 9) AS auc FROM s""",
     "reference_pairs": "SELECT n_name AS source, lower(n_name) AS first, left(n_name, 3) AS second FROM nation WHERE n_nationkey % 6 = 0",
     "containment_exclusion": "SELECT n_nationkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM region WHERE contains(lower(n_name), lower(left(r_name, 2))) OR contains(lower(left(r_name, 2)), lower(n_name)))",
@@ -223,8 +268,11 @@ ORACLES = {
 def _structure_sql() -> str:
     from lexaria.plans import text_queries as tq
 
-    return f"""WITH {tq._PAIRS_SQL}, c AS (SELECT d.lang, q.doc_id, array_to_string(q.source, ' ') <> array_to_string(q.output, ' ') AS changed, list_max(list_transform(q.output, lambda w: length(w))) < list_max(list_transform(q.source, lambda w: length(w))) AS shorter FROM q JOIN documents d USING (doc_id))
-        SELECT lang, count(*) AS n, count_if(changed)::BIGINT AS n_changed, count_if(shorter)::BIGINT AS n_shorter, count_if(doc_id % 2 = 0 AND NOT changed)::BIGINT AS copies_kept FROM c GROUP BY 1"""
+    return f"""WITH {tq._PAIRS_SQL}, c AS (SELECT d.lang, q.doc_id, array_to_string(q.source, ' ') <> array_to_string(q.output, ' ') AS changed,
+        list_max(list_transform(q.output, lambda w: length(w))) < list_max(list_transform(q.source, lambda w: length(w))) AS shorter FROM q
+        JOIN documents d USING (doc_id))
+        SELECT lang, count(*) AS n, count_if(changed)::BIGINT AS n_changed, count_if(shorter)::BIGINT AS n_shorter, count_if(doc_id % 2 = 0
+            AND NOT changed)::BIGINT AS copies_kept FROM c GROUP BY 1"""
 
 
 ORACLES["structure_metrics"] = _structure_sql()

@@ -32,14 +32,19 @@ def _counts_f(spark: SparkSession, sf_dir: str) -> DataFrame:
 def readability_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _counts_f(spark, sf_dir)
     scores = text.scores_f({c: F.col(c) for c in counts.columns})
-    return counts.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_words").alias("n_words"), *(F.round(F.avg(c), 6).alias(f"mean_{k}") for k, c in scores.items()))
+    return counts.groupBy("lang").agg(
+        F.count("*").alias("n"), F.sum("n_words").alias("n_words"), *(F.round(F.avg(c), 6).alias(f"mean_{k}") for k, c in scores.items())
+    )
 
 
 def readability_family_r(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report metrics: words, sentences by the split, reading ease, grade, fog, smog, mean sentence and word length, technical terms."""
     counts = rows_of(_docs(spark, sf_dir), text.counts_r, text.COUNTS_R, ["doc_id"], ["text"])
     scores = text.scores_r({c: F.col(c) for c in counts.columns})
-    scores |= {"sentence_length": F.when(F.col("n_words") > 0, F.col("n_words") / F.col("n_sentences")), "word_length": F.when(F.col("n_words") > 0, F.col("n_letters") / F.col("n_words"))}
+    scores |= {
+        "sentence_length": F.when(F.col("n_words") > 0, F.col("n_words") / F.col("n_sentences")),
+        "word_length": F.when(F.col("n_words") > 0, F.col("n_letters") / F.col("n_words"))
+    }
     return counts.select("doc_id", "n_words", "n_sentences", "n_syllables", "n_poly", "n_terms", *(F.round(c, 6).alias(k) for k, c in scores.items()))
 
 
@@ -61,7 +66,10 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dictionary_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pairs(spark, sf_dir)
     changed = F.size(F.filter(F.zip_with("source", "output", lambda a, b: a != b), lambda x: x))
-    return p.select("doc_id", F.size("source").alias("n_tokens"), changed.alias("n_changed"), F.md5(F.array_join("output", " ").cast("binary")).alias("output_md5"))
+    return p.select(
+        "doc_id", F.size("source").alias("n_tokens"), changed.alias("n_changed"),
+        F.md5(F.array_join("output", " ").cast("binary")).alias("output_md5")
+    )
 
 
 def _rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +86,10 @@ def simplicity_s(spark: SparkSession, sf_dir: str) -> DataFrame:
 def explicit_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept shares of numbers, dates, names, negating words and tenses, and the numbers, negating words and names that are lost."""
     c = rows_of(_rewrites(spark, sf_dir), preserve.explicit_checks, preserve.CHECKS, ["doc_id"], ["a", "b"])
-    return c.select("doc_id", "n_numbers", *(F.round(k, 6).alias(k) for k in ("numbers", "dates", "entities", "capitalised", "negations", "tenses")), "lost_numbers", "lost_negations", "lost_entities")
+    return c.select(
+        "doc_id", "n_numbers", *(F.round(k, 6).alias(k) for k in ("numbers", "dates", "entities", "capitalised", "negations", "tenses")),
+        "lost_numbers", "lost_negations", "lost_entities"
+    )
 
 
 def item_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +114,9 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn with the turn after it as output and the two after that as references."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("t"))
-    return t.withColumns({"o": F.lead("t").over(w), "r": F.lead("t", 2).over(w), "q": F.lead("t", 3).over(w)}).filter("role = 'user' and t is not null and o is not null and r is not null and q is not null")
+    return t.withColumns({"o": F.lead("t").over(w), "r": F.lead("t", 2).over(w), "q": F.lead("t", 3).over(w)}).filter(
+        "role = 'user' and t is not null and o is not null and r is not null and q is not null"
+    )
 
 
 def sari_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,9 +133,14 @@ def changed_token_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal (source, output) pairs are scored once: by the row that has the smallest doc_id of its pair; the score is joined back by the pair's hash."""
-    p = _pairs(spark, sf_dir).select("doc_id", "source", "output", F.sha2(F.concat(F.array_join("source", " "), F.lit("\n"), F.array_join("output", " ")), 256).alias("pair"))
+    p = _pairs(spark, sf_dir).select(
+        "doc_id", "source", "output", F.sha2(F.concat(F.array_join("source", " "), F.lit("\n"), F.array_join("output", " ")), 256).alias("pair")
+    )
     of = p.groupBy("pair").agg(F.min("doc_id").alias("first"), F.count("*").alias("uses"))
-    scored = p.join(of.select(F.col("first").alias("doc_id"), "uses"), "doc_id").select("pair", "uses", F.size("source").alias("n"), F.round(pairs.jaccard(F.array_distinct("source"), F.array_distinct("output")), 6).alias("jaccard"))
+    scored = p.join(of.select(F.col("first").alias("doc_id"), "uses"), "doc_id").select(
+        "pair", "uses", F.size("source").alias("n"),
+        F.round(pairs.jaccard(F.array_distinct("source"), F.array_distinct("output")), 6).alias("jaccard")
+    )
     return p.select("doc_id", "pair").join(scored, "pair").select("doc_id", "n", "jaccard", "uses")
 
 
@@ -170,7 +188,9 @@ def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", text.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("n_sentences"), F.array_max(F.transform("s", F.length)).alias("longest"))
+    return _docs(spark, sf_dir).select("doc_id", text.sentences(F.col("text")).alias("s")).select(
+        "doc_id", F.size("s").alias("n_sentences"), F.array_max(F.transform("s", F.length)).alias("longest")
+    )
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +227,8 @@ def _counts_sql(x: str) -> str:
     w = _W.replace("text", x)
     return f"""CAST(len({w}) AS BIGINT) AS n_words, CAST(greatest(len(regexp_extract_all({x}, '[.!?]+')), 1) AS BIGINT) AS n_sentences,
         CAST(coalesce(list_sum(list_transform({w}, lambda w: {_syll_f("w")})), 0) AS BIGINT) AS n_syllables,
-        CAST(len(list_filter({w}, lambda w: ({_syll_f("w")}) >= 3)) AS BIGINT) AS n_poly, CAST(len(list_filter({w}, lambda w: length(w) >= 7)) AS BIGINT) AS n_long"""
+        CAST(len(list_filter({w}, lambda w: ({_syll_f("w")}) >= 3)) AS BIGINT) AS n_poly, CAST(len(list_filter({w},
+            lambda w: length(w) >= 7)) AS BIGINT) AS n_long"""
 
 
 _RULE_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sorted(RULES.items())) + "}"
@@ -240,14 +261,19 @@ def _sums_sql(weights: dict[str, float]) -> str:
     return f"""e AS (SELECT doc_id, 'a' AS side, lower(unnest(regexp_extract_all(a, '[A-Za-z]+(?:[''-][A-Za-z]+)*'))) AS w FROM t
             UNION ALL SELECT doc_id, 'b', lower(unnest(regexp_extract_all(b, '[A-Za-z]+(?:[''-][A-Za-z]+)*'))) FROM t),
         k AS (SELECT doc_id, side, w, count(*) AS k, length(w) AS l, {_syll_f("w")} AS y FROM e GROUP BY ALL),
-        n AS (SELECT doc_id, side, sum(k)::DOUBLE AS n, sum(k * l) AS letters, sum(k * y) AS syll, coalesce(sum(k) FILTER (WHERE l >= 7), 0) AS long_, coalesce(sum(k) FILTER (WHERE y >= 3), 0) AS poly FROM k GROUP BY ALL),
+        n AS (SELECT doc_id, side, sum(k)::DOUBLE AS n, sum(k * l) AS letters, sum(k * y) AS syll, coalesce(sum(k) FILTER (WHERE l >= 7), 0) AS long_,
+            coalesce(sum(k) FILTER (WHERE y >= 3), 0) AS poly FROM k GROUP BY ALL),
         x AS (SELECT doc_id, side, w, k, 1 / (1 + exp(-({weights["A"]}::DOUBLE - {weights["B"]}::DOUBLE * (6 - l / 2.0::DOUBLE) + {weights["C"]}::DOUBLE * l + {weights["D"]}::DOUBLE * y
             + {weights["E"]}::DOUBLE * coalesce((letters + syll - k * (l + y)) / nullif(n - k, 0), 0)))) AS c FROM k JOIN n USING (doc_id, side)),
         h AS (SELECT doc_id, side, sum(k * c) / sum(k) AS c, coalesce(sum(k) FILTER (WHERE c > 0.5), 0) AS hard FROM x GROUP BY ALL),
-        f AS (SELECT doc_id, side, coalesce(n, 0) AS n, greatest(n, 1) AS m, greatest(1, len(regexp_extract_all(txt, '[.!?]+')))::DOUBLE AS s, coalesce(letters, 0) AS letters, coalesce(syll, 0) AS syll, coalesce(long_, 0) AS long_, coalesce(poly, 0) AS poly,
-            coalesce(c, 0) AS c, coalesce(hard, 0) AS hard FROM (SELECT doc_id, 'a' AS side, a AS txt FROM t UNION ALL SELECT doc_id, 'b', b FROM t) LEFT JOIN n USING (doc_id, side) LEFT JOIN h USING (doc_id, side)),
-        r AS (SELECT *, (least(1, greatest(0, (206.835::DOUBLE - 1.015::DOUBLE * (m / s) - 84.6::DOUBLE * (syll / m)) / 100)) + 1 - least(1, greatest(0, (0.39::DOUBLE * (m / s) + 11.8::DOUBLE * (syll / m) - 15.59::DOUBLE) / 18))
-            + 1 - least(1, greatest(0, 0.4::DOUBLE * (m / s + 100 * long_ / m) / 20)) + 1 - least(1, greatest(0, (1.043::DOUBLE * sqrt(30 * poly) + 3.1291::DOUBLE) / 20))
+        f AS (SELECT doc_id, side, coalesce(n, 0) AS n, greatest(n, 1) AS m, greatest(1, len(regexp_extract_all(txt, '[.!?]+')))::DOUBLE AS s,
+            coalesce(letters, 0) AS letters, coalesce(syll, 0) AS syll, coalesce(long_, 0) AS long_, coalesce(poly, 0) AS poly,
+            coalesce(c, 0) AS c, coalesce(hard, 0) AS hard FROM (SELECT doc_id, 'a' AS side, a AS txt FROM t UNION ALL SELECT doc_id, 'b', b FROM t) LEFT
+                JOIN n USING (doc_id, side) LEFT JOIN h USING (doc_id, side)),
+        r AS (SELECT *, (least(1, greatest(0, (206.835::DOUBLE - 1.015::DOUBLE * (m / s) - 84.6::DOUBLE * (syll / m)) / 100)) + 1 - least(1, greatest(0,
+            (0.39::DOUBLE * (m / s) + 11.8::DOUBLE * (syll / m) - 15.59::DOUBLE) / 18))
+            + 1 - least(1, greatest(0, 0.4::DOUBLE * (m / s + 100 * long_ / m) / 20)) + 1 - least(1, greatest(0,
+                (1.043::DOUBLE * sqrt(30 * poly) + 3.1291::DOUBLE) / 20))
             + 1 - least(1, greatest(0, m / s / 40)) + 1 - least(1, greatest(0, letters / m / 12))) / 6 AS score FROM f)"""
 
 
@@ -272,8 +298,10 @@ ORACLES = {
     "readability_by_lang": f"""
         WITH c AS (SELECT doc_id, lang, {_counts_sql("text")} FROM documents)
         SELECT lang, count(*) AS n, CAST(sum(n_words) AS BIGINT) AS n_words,
-            round(avg(CASE WHEN n_words > 0 THEN 206.835::DOUBLE - 1.015::DOUBLE * n_words / n_sentences - 84.6::DOUBLE * n_syllables / n_words END), 6) AS mean_flesch,
-            round(avg(CASE WHEN n_words > 0 THEN 0.39::DOUBLE * n_words / n_sentences + 11.8::DOUBLE * n_syllables / n_words - 15.59::DOUBLE END), 6) AS mean_grade,
+            round(avg(CASE WHEN n_words > 0 THEN 206.835::DOUBLE - 1.015::DOUBLE * n_words / n_sentences - 84.6::DOUBLE * n_syllables / n_words END),
+                6) AS mean_flesch,
+            round(avg(CASE WHEN n_words > 0 THEN 0.39::DOUBLE * n_words / n_sentences + 11.8::DOUBLE * n_syllables / n_words - 15.59::DOUBLE END),
+                6) AS mean_grade,
             round(avg(CASE WHEN n_words > 0 THEN 0.4::DOUBLE * (n_words::DOUBLE / n_sentences + 100.0::DOUBLE * n_long / n_words) END), 6) AS mean_fog,
             round(avg(CASE WHEN n_words > 0 THEN 1.043::DOUBLE * sqrt(30.0::DOUBLE * n_poly) + 3.1291::DOUBLE END), 6) AS mean_smog
         FROM c GROUP BY lang""",
@@ -281,12 +309,15 @@ ORACLES = {
         WITH c AS (SELECT doc_id, CAST(len({_WR}) AS BIGINT) AS n_words,
             CAST(CASE WHEN len({_WR}) > 0 THEN greatest(len({_SENTENCES}), 1) ELSE 0 END AS BIGINT) AS n_sentences,
             CAST(coalesce(list_sum(list_transform({_WR}, lambda w: {_syll_r("w")})), 0) AS BIGINT) AS n_syllables,
-            CAST(len(list_filter({_WR}, lambda w: {_syll_r("w")} >= 3)) AS BIGINT) AS n_poly, coalesce(list_sum(list_transform({_WR}, lambda w: length(w))), 0) AS letters FROM documents)
-        SELECT * EXCLUDE (letters), n_poly AS n_terms, round(CASE WHEN n_words > 0 THEN 206.835::DOUBLE - 1.015::DOUBLE * n_words / n_sentences - 84.6::DOUBLE * n_syllables / n_words END, 6) AS ease,
+            CAST(len(list_filter({_WR}, lambda w: {_syll_r("w")} >= 3)) AS BIGINT) AS n_poly, coalesce(list_sum(list_transform({_WR}, lambda w: length(w))),
+                0) AS letters FROM documents)
+        SELECT * EXCLUDE (letters), n_poly AS n_terms, round(CASE WHEN n_words > 0
+            THEN 206.835::DOUBLE - 1.015::DOUBLE * n_words / n_sentences - 84.6::DOUBLE * n_syllables / n_words END, 6) AS ease,
             round(CASE WHEN n_words > 0 THEN 0.39::DOUBLE * n_words / n_sentences + 11.8::DOUBLE * n_syllables / n_words - 15.59::DOUBLE END, 6) AS grade,
             round(CASE WHEN n_words > 0 THEN 0.4::DOUBLE * (n_words::DOUBLE / n_sentences + 100.0::DOUBLE * n_poly / n_words) END, 6) AS fog,
             round(CASE WHEN n_words > 0 THEN 1.043::DOUBLE * sqrt(30.0::DOUBLE * n_poly / n_sentences) + 3.1291::DOUBLE END, 6) AS smog,
-            round(CASE WHEN n_words > 0 THEN n_words::DOUBLE / n_sentences END, 6) AS sentence_length, round(CASE WHEN n_words > 0 THEN letters::DOUBLE / n_words END, 6) AS word_length
+            round(CASE WHEN n_words > 0 THEN n_words::DOUBLE / n_sentences END, 6) AS sentence_length, round(CASE WHEN n_words > 0
+                THEN letters::DOUBLE / n_words END, 6) AS word_length
         FROM c""",
     "sentence_split": f"SELECT doc_id, len({_SENTENCES})::INT AS n_sentences, list_max(list_transform({_SENTENCES}, lambda s: length(regexp_replace(s, '^\\s+|\\s+$', '', 'g'))))::INT AS longest FROM documents",
     "word_complexity_topk": f"""
@@ -294,20 +325,27 @@ ORACLES = {
         SELECT doc_id, w AS word, round(c, 9) AS complexity FROM x ORDER BY complexity DESC, doc_id, word LIMIT 50""",
     "dictionary_rewrite": f"""
         WITH {_PAIRS_SQL} SELECT doc_id, CAST(len(source) AS INT) AS n_tokens,
-            CAST(len(list_filter(range(1, len(source) + 1), lambda i: source[i] <> output[i])) AS INT) AS n_changed, md5(array_to_string(output, ' ')) AS output_md5 FROM q""",
+            CAST(len(list_filter(range(1, len(source) + 1), lambda i: source[i] <> output[i])) AS INT) AS n_changed, md5(array_to_string(output,
+                ' ')) AS output_md5 FROM q""",
     "simplicity_s": f"""
         WITH {_TEXTS_SQL}, {_sums_sql(measures.TRAINED_WORD)},
-        j AS (SELECT doc_id, coalesce(sum(k) FILTER (WHERE side = 'a' AND l > 6), 0) AS a, coalesce(sum(k) FILTER (WHERE side = 'b' AND l > 6 AND w IN (SELECT w FROM k z WHERE z.doc_id = k.doc_id AND z.side = 'a')), 0) AS b FROM k GROUP BY 1),
-        pp AS (SELECT a.doc_id, {_reduced("a.hard", "b.hard")} AS s_lex, least(1, greatest(0, b.score - a.score + 0.5)) AS s_read, {_reduced("coalesce(j.a, 0)", "coalesce(j.b, 0)")} AS s_jargon
+        j AS (SELECT doc_id, coalesce(sum(k) FILTER (WHERE side = 'a' AND l > 6), 0) AS a, coalesce(sum(k) FILTER (WHERE side = 'b' AND l > 6
+            AND w IN (SELECT w FROM k z WHERE z.doc_id = k.doc_id AND z.side = 'a')), 0) AS b FROM k GROUP BY 1),
+        pp AS (SELECT a.doc_id, {_reduced("a.hard", "b.hard")} AS s_lex, least(1, greatest(0, b.score - a.score + 0.5)) AS s_read,
+            {_reduced("coalesce(j.a, 0)", "coalesce(j.b, 0)")} AS s_jargon
             FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.side = 'a' AND b.side = 'b' LEFT JOIN j ON j.doc_id = a.doc_id)
         SELECT doc_id, round(s_lex, 6) AS s_lex, round(s_read, 6) AS s_read, round(s_jargon, 6) AS s_jargon,
             round({measures.TRAINED_SENTENCE[0]}::DOUBLE * s_lex + {measures.TRAINED_SENTENCE[1]}::DOUBLE * s_read + {measures.TRAINED_SENTENCE[2]}::DOUBLE * s_jargon, 6) AS s FROM pp""",
     "item_checks": f"""
-        WITH {_TEXTS_SQL}, i AS (SELECT doc_id, b, list_distinct(regexp_extract_all(a, {_NUMBER_SQL})) AS n, regexp_extract_all(b, {_NUMBER_SQL}) AS m, regexp_extract_all(a, {_DATE_SQL}) AS d,
+        WITH {_TEXTS_SQL}, i AS (SELECT doc_id, b, list_distinct(regexp_extract_all(a, {_NUMBER_SQL})) AS n, regexp_extract_all(b, {_NUMBER_SQL}) AS m,
+            regexp_extract_all(a, {_DATE_SQL}) AS d,
             list_filter(regexp_extract_all(a, '[\\p{{L}}\\p{{N}}_]+(?:\\s+[\\p{{L}}\\p{{N}}_]+)*'), lambda x: true) AS runs, a FROM t),
-        c AS (SELECT *, list_filter(list_transform(regexp_extract_all(a, '(?:^|[^\\p{{L}}\\p{{N}}_])[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{0,3}}'), lambda x: regexp_replace(x, '^[^A-Z]+', '')), lambda x: true) AS caps,
-            list_distinct(list_filter(list_transform(regexp_extract_all(a, '[A-Za-z]+(?:''[A-Za-z]+)?|n''t\\b'), lambda x: lower(x)), lambda x: list_contains([{", ".join("'" + w.replace("'", "''") + "'" for w in preserve.NEGATIONS)}], x))) AS g FROM i)
-        SELECT doc_id, len(n)::INT AS n_numbers, round(CASE WHEN len(n) = 0 THEN 1 ELSE len(list_intersect(n, m))::DOUBLE / len(n) END, 6) AS numbers, round({_kept("d")}, 6) AS dates, round({_kept("g")}, 6) AS negations,
+        c AS (SELECT *, list_filter(list_transform(regexp_extract_all(a, '(?:^|[^\\p{{L}}\\p{{N}}_])[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{0,3}}'),
+            lambda x: regexp_replace(x, '^[^A-Z]+', '')), lambda x: true) AS caps,
+            list_distinct(list_filter(list_transform(regexp_extract_all(a, '[A-Za-z]+(?:''[A-Za-z]+)?|n''t\\b'), lambda x: lower(x)),
+                lambda x: list_contains([{", ".join("'" + w.replace("'", "''") + "'" for w in preserve.NEGATIONS)}], x))) AS g FROM i)
+        SELECT doc_id, len(n)::INT AS n_numbers, round(CASE WHEN len(n) = 0 THEN 1 ELSE len(list_intersect(n, m))::DOUBLE / len(n) END, 6) AS numbers,
+            round({_kept("d")}, 6) AS dates, round({_kept("g")}, 6) AS negations,
             array_to_string(list_sort(list_filter(n, lambda x: NOT list_contains(m, x))), '|') AS lost_numbers FROM c""",
     "tfidf_pair_cosine": f"""
         WITH {_PAIRS_SQL}, r AS (SELECT doc_id, unnest(source) AS w, 1 AS a, 0 AS b FROM q UNION ALL SELECT doc_id, unnest(output), 0, 1 FROM q),
@@ -315,17 +353,21 @@ ORACLES = {
         v AS (SELECT *, pow(ln(3.0::DOUBLE / (1 + CASE WHEN a > 0 THEN 1 ELSE 0 END + CASE WHEN b > 0 THEN 1 ELSE 0 END)) + 1, 2) AS i FROM t)
         SELECT doc_id, round(sum(a * b * i) / sqrt(sum(a * a * i) * sum(b * b * i)), 6) AS cosine FROM v GROUP BY doc_id""",
     "sari_proxy": f"""
-        WITH l AS (SELECT conv_id, turn, role, text AS t, lead(text) OVER w AS o, lead(text, 2) OVER w AS r, lead(text, 3) OVER w AS q FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        WITH l AS (SELECT conv_id, turn, role, text AS t, lead(text) OVER w AS o, lead(text, 2) OVER w AS r, lead(text, 3) OVER w AS q
+            FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
         m AS (SELECT conv_id, turn, {", ".join(f"regexp_extract_all(replace(lower({c}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]') AS {c}" for c in "tor")} FROM l WHERE role = 'user' AND t IS NOT NULL AND o IS NOT NULL AND r IS NOT NULL AND q IS NOT NULL),
         g AS (SELECT conv_id, turn, {", ".join(f"{_grams(x, n)} AS {y}{n}" for x, y in (("t", "s"), ("o", "o"), ("r", "r")) for n in range(1, 5))} FROM m)
         SELECT conv_id, turn, round(({_sari_sql()}) / 12.0::DOUBLE * 100.0::DOUBLE, 6) AS sari FROM g""",
     "metric_reuse": f"""
         WITH {_PAIRS_SQL}, h AS (SELECT doc_id, source, output, array_to_string(source, ' ') AS k FROM q)
-        SELECT doc_id, CAST(len(source) AS INT) AS n, round(len(list_intersect(list_distinct(source), list_distinct(output)))::DOUBLE / len(list_distinct(list_concat(source, output))), 6) AS jaccard, count(*) OVER (PARTITION BY k) AS uses FROM h""",
+        SELECT doc_id, CAST(len(source) AS INT) AS n, round(len(list_intersect(list_distinct(source),
+            list_distinct(output)))::DOUBLE / len(list_distinct(list_concat(source, output))), 6) AS jaccard, count(*) OVER (PARTITION BY k) AS uses
+            FROM h""",
     "bigram_lm": f"""
         WITH w AS (SELECT list_concat(['<s>'], {_W}, ['</s>']) AS w FROM documents WHERE text IS NOT NULL),
         u AS (SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM w) GROUP BY 1),
-        b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM w), c AS (SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM b GROUP BY 1, 2)
+        b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM w), c AS (SELECT p[1] AS a, p[2] AS b, count(*) AS n
+            FROM b GROUP BY 1, 2)
         SELECT a, b, n FROM c UNION ALL SELECT t, NULL, n FROM u UNION ALL SELECT NULL, NULL, count(*) FROM u""",
     "corpus_zipf": f"""
         WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({_W}) AS word FROM documents) GROUP BY 1), t AS (SELECT sum(n)::DOUBLE AS total FROM w)

@@ -52,7 +52,9 @@ def page_lines(elements: DataFrame) -> DataFrame:
         return out
 
     kind = dict(elements.dtypes)["doc"]
-    return elements.select("doc", *names).groupBy("doc", "page").applyInPandas(run, f"doc {kind}, page long, col long, top double, left double, size double, bold boolean, text string")
+    return elements.select("doc", *names).groupBy("doc", "page").applyInPandas(
+        run, f"doc {kind}, page long, col long, top double, left double, size double, bold boolean, text string"
+    )
 
 
 def line_kinds(lines: DataFrame, body: float, title: float) -> DataFrame:
@@ -62,9 +64,13 @@ def line_kinds(lines: DataFrame, body: float, title: float) -> DataFrame:
     """
     w = Window.partitionBy("doc").orderBy("page", "col", "top").rowsBetween(Window.unboundedPreceding, 0)
     low = F.lower("text")
-    marker = F.when(low.rlike("^abstract"), "abstract").when(low.rlike(r"^(\d+\.?\s+)?(references|bibliography)$"), "end").when(F.col("text").rlike(r"^\d+(\.\d+)*\.?\s+\p{Lu}") & F.col("bold"), "body")
+    marker = F.when(low.rlike("^abstract"), "abstract").when(low.rlike(r"^(\d+\.?\s+)?(references|bibliography)$"), "end").when(
+        F.col("text").rlike(r"^\d+(\.\d+)*\.?\s+\p{Lu}") & F.col("bold"), "body"
+    )
     state = F.coalesce(F.last(marker, True).over(w), F.lit("front"))
-    kind = F.when(state == "end", "end").when((F.col("page") == 1) & (state == "front") & (F.col("size") >= title), "title").when(F.col("bold") | low.rlike("^abstract$"), "heading").when(state == "abstract", "abstract").when((state == "body") & (F.abs(F.col("size") - body) <= 1), "body")
+    kind = F.when(state == "end", "end").when(
+        (F.col("page") == 1) & (state == "front") & (F.col("size") >= title), "title"
+    ).when(F.col("bold") | low.rlike("^abstract$"), "heading").when(state == "abstract", "abstract").when((state == "body") & (F.abs(F.col("size") - body) <= 1), "body")
     return lines.withColumn("kind", F.coalesce(kind, F.lit("drop")))
 
 
@@ -82,7 +88,10 @@ def paragraphs(lines: DataFrame, indent: float = 5.0) -> DataFrame:
     rows = lines.join(column_edge(lines), ["doc", "col"], "left")
     w = Window.partitionBy("doc").orderBy("page", "col", "top")
     kept = F.col("kind").isin("body", "abstract")
-    start = F.when(~F.coalesce(F.lag(kept).over(w), F.lit(False)) | (F.lag("kind").over(w) != F.col("kind")) | (F.col("left") - F.coalesce("edge", "left") > indent), 1).otherwise(0)
+    start = F.when(
+        ~F.coalesce(F.lag(kept).over(w), F.lit(False)) | (F.lag("kind").over(w) != F.col("kind")) | (F.col("left") - F.coalesce("edge", "left") > indent),
+        1
+    ).otherwise(0)
     rows = rows.withColumns({"kept": kept, "start": start}).filter("kept")
     rows = rows.withColumn("place", F.sum("start").over(Window.partitionBy("doc").orderBy("page", "col", "top")))
     parts = rows.groupBy("doc", "place").agg(F.array_sort(F.collect_list(F.struct("page", "col", "top", "text"))).alias("x"))
@@ -98,7 +107,12 @@ def attributed_cases(cases: DataFrame, start: str = "start", end: str = "end") -
     """Cases whose target stands exactly at its offsets; any other fails the read, with its id."""
     at = F.substring(F.col("text"), F.col(start) + 1, F.col(end) - F.col(start))
     good = (F.col(start) >= 0) & (F.col(end) <= F.length("text")) & (at == F.col("target")) & F.col("source").isNotNull()
-    return cases.withColumn("target", F.when(F.coalesce(good, F.lit(False)), F.col("target")).otherwise(F.raise_error(F.concat(F.lit("case "), F.col("id").cast("string"), F.lit(" isn't at its offsets or has no source")))))
+    return cases.withColumn(
+        "target",
+        F.when(F.coalesce(good, F.lit(False)), F.col("target")).otherwise(
+            F.raise_error(F.concat(F.lit("case "), F.col("id").cast("string"), F.lit(" isn't at its offsets or has no source")))
+        )
+    )
 
 
 def numbered_heading(text: str) -> bool:

@@ -40,31 +40,52 @@ def _number(x: Column) -> Column:
 def complex_words(lines: DataFrame) -> DataFrame:
     """id, sentence, start, end, target, binary, probability: lines of eleven fields or more."""
     f = fields(lines, 11)
-    return f.select(F.get("f", F.lit(0)).alias("id"), F.get("f", F.lit(1)).alias("sentence"), F.get("f", F.lit(2)).cast("int").alias("start"), F.get("f", F.lit(3)).cast("int").alias("end"), F.get("f", F.lit(4)).alias("target"), F.get("f", F.lit(9)).cast("double").cast("int").alias("binary"), F.get("f", F.lit(10)).cast("double").alias("probability"))
+    return f.select(
+        F.get("f", F.lit(0)).alias("id"), F.get("f", F.lit(1)).alias("sentence"), F.get("f", F.lit(2)).cast("int").alias("start"),
+        F.get("f", F.lit(3)).cast("int").alias("end"), F.get("f", F.lit(4)).alias("target"),
+        F.get("f", F.lit(9)).cast("double").cast("int").alias("binary"), F.get("f", F.lit(10)).cast("double").alias("probability")
+    )
 
 
 def ranked_substitutes(lines: DataFrame, keep_target: bool = False) -> DataFrame:
     """line, sentence, target, ranked (word, n): substitutes of all annotators, trimmed, blank ones left out, most frequent first, then by word."""
-    f = fields(lines, 3).select("line", F.trim(F.get("f", F.lit(0))).alias("sentence"), F.trim(F.get("f", F.lit(1))).alias("target"), F.filter(F.transform(F.slice("f", 3, F.size("f")), lambda w: F.trim(w)), lambda w: w != "").alias("w"))
+    f = fields(lines, 3).select(
+        "line", F.trim(F.get("f", F.lit(0))).alias("sentence"), F.trim(F.get("f", F.lit(1))).alias("target"),
+        F.filter(F.transform(F.slice("f", 3, F.size("f")), lambda w: F.trim(w)), lambda w: w != "").alias("w")
+    )
     if not keep_target:
         f = f.withColumn("w", F.filter("w", lambda w: w != F.col("target")))
     ranked = F.transform(F.array_distinct("w"), lambda x: F.struct((-F.size(F.filter("w", lambda y: y == x))).alias("n"), x.alias("word")))
-    return f.select("line", "sentence", "target", F.transform(F.array_sort(ranked), lambda r: F.struct(r["word"].alias("word"), (-r["n"]).alias("n"))).alias("ranked"))
+    return f.select(
+        "line", "sentence", "target",
+        F.transform(F.array_sort(ranked), lambda r: F.struct(r["word"].alias("word"), (-r["n"]).alias("n"))).alias("ranked")
+    )
 
 
 def word_complexities(lines: DataFrame) -> DataFrame:
     """id, sentence, target, complexity: lines of five fields or more (the second is the language)."""
     f = fields(lines, 5)
-    return f.select(F.get("f", F.lit(0)).alias("id"), F.get("f", F.lit(2)).alias("sentence"), F.get("f", F.lit(3)).alias("target"), F.get("f", F.lit(4)).cast("double").alias("complexity"))
+    return f.select(
+        F.get("f", F.lit(0)).alias("id"), F.get("f", F.lit(2)).alias("sentence"), F.get("f", F.lit(3)).alias("target"),
+        F.get("f", F.lit(4)).cast("double").alias("complexity")
+    )
 
 
 def single_words(lines: DataFrame, expected: int | None = None) -> DataFrame:
     """id, corpus, sentence, token, complexity: every line after the header has five fields, and there are as many as expected, else the read fails."""
     rows = lines.filter("line > 0 AND trim(value) <> ''").select("line", F.split("value", "\t", -1).alias("f"))
-    checked = rows.withColumn("f", F.when(F.size("f") == 5, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("not five fields in line "), F.col("line").cast("string"))).cast("array<string>")))
+    checked = rows.withColumn(
+        "f",
+        F.when(F.size("f") == 5, F.col("f")).otherwise(
+            F.raise_error(F.concat(F.lit("not five fields in line "), F.col("line").cast("string"))).cast("array<string>")
+        )
+    )
     if expected is not None and (n := rows.count()) != expected:
         raise ValueError(f"{n} rows where {expected} were expected")
-    return checked.select(*(F.get("f", F.lit(i)).alias(c) for i, c in enumerate(("id", "corpus", "sentence", "token"))), F.get("f", F.lit(4)).cast("double").alias("complexity"))
+    return checked.select(
+        *(F.get("f", F.lit(i)).alias(c) for i, c in enumerate(("id", "corpus", "sentence", "token"))),
+        F.get("f", F.lit(4)).cast("double").alias("complexity")
+    )
 
 
 def aligned(original: DataFrame, references: list[DataFrame]) -> DataFrame:
@@ -100,10 +121,16 @@ def lexicon(lines: DataFrame, scale: str) -> DataFrame:
 
 def paraphrase_rules(lines: DataFrame) -> DataFrame:
     """complex, simple, complexity, quality: phrases in lower case, lines without a number left out, sides swapped where the complexity is negative."""
-    f = fields(lines, 3).select(*(F.lower(F.trim(F.get("f", F.lit(i)))).alias(c) for i, c in enumerate("ab")), F.get("f", F.lit(2)).try_cast("double").alias("c"), F.get("f", F.lit(3)).alias("q"))
+    f = fields(lines, 3).select(
+        *(F.lower(F.trim(F.get("f", F.lit(i)))).alias(c) for i, c in enumerate("ab")), F.get("f", F.lit(2)).try_cast("double").alias("c"),
+        F.get("f", F.lit(3)).alias("q")
+    )
     f = f.withColumn("quality", F.col("q").try_cast("double")).filter("c IS NOT NULL AND (q IS NULL OR quality IS NOT NULL)")
     swap = F.col("c") < 0
-    return f.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("complex"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("simple"), F.abs("c").alias("complexity"), "quality")
+    return f.select(
+        F.when(swap, F.col("b")).otherwise(F.col("a")).alias("complex"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("simple"),
+        F.abs("c").alias("complexity"), "quality"
+    )
 
 
 def sentence_splits(lines: DataFrame, stride: int = 1, limit: int | None = None) -> DataFrame:
@@ -116,12 +143,20 @@ def sentence_splits(lines: DataFrame, stride: int = 1, limit: int | None = None)
 
 def labelled_pairs(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows whose label is 0 or 1; any other label fails the read."""
-    return df.withColumn(label, F.when(F.col(label).isin(0, 1), F.col(label)).otherwise(F.raise_error(F.concat(F.lit("label "), F.coalesce(F.col(label).cast("string"), F.lit("null")))).cast("int")))
+    return df.withColumn(
+        label,
+        F.when(F.col(label).isin(0, 1), F.col(label)).otherwise(
+            F.raise_error(F.concat(F.lit("label "), F.coalesce(F.col(label).cast("string"), F.lit("null")))).cast("int")
+        )
+    )
 
 
 def sentence_difficulty(lines: DataFrame, other: DataFrame | None = None) -> DataFrame:
     """text, difficulty: the mean of a line's two last fields; texts whose normal form another split has are left out."""
-    f = lines.select(F.regexp_extract("value", r"^(.*)\t([^\t]*)\t([^\t]*)$", 1).alias("text"), *(F.regexp_extract("value", r"^(.*)\t([^\t]*)\t([^\t]*)$", i).try_cast("double").alias(c) for i, c in ((2, "a"), (3, "b"))))
+    f = lines.select(
+        F.regexp_extract("value", r"^(.*)\t([^\t]*)\t([^\t]*)$", 1).alias("text"),
+        *(F.regexp_extract("value", r"^(.*)\t([^\t]*)\t([^\t]*)$", i).try_cast("double").alias(c) for i, c in ((2, "a"), (3, "b")))
+    )
     out = f.filter("a IS NOT NULL AND b IS NOT NULL").select("text", ((F.col("a") + F.col("b")) / 2.0).alias("difficulty"))
     if other is None:
         return out
@@ -131,8 +166,13 @@ def sentence_difficulty(lines: DataFrame, other: DataFrame | None = None) -> Dat
 
 def ranked_words(lines: DataFrame) -> DataFrame:
     """sentence, target, rank, word of lines whose fields after the target (and its place) are 'rank:word'; the target's key decides the half, by hash."""
-    f = fields(lines, 4).select(F.get("f", F.lit(0)).alias("sentence"), F.get("f", F.lit(1)).alias("target"), F.explode(F.slice("f", 4, F.size("f"))).alias("x")).filter(F.col("x").rlike("^[0-9]+:."))
-    return f.select("sentence", "target", F.split("x", ":", 2)[0].cast("int").alias("rank"), F.split("x", ":", 2)[1].alias("word"), F.when(F.crc32(F.lower("target")) % 2 == 0, "dev").otherwise("test").alias("half"))
+    f = fields(lines, 4).select(
+        F.get("f", F.lit(0)).alias("sentence"), F.get("f", F.lit(1)).alias("target"), F.explode(F.slice("f", 4, F.size("f"))).alias("x")
+    ).filter(F.col("x").rlike("^[0-9]+:."))
+    return f.select(
+        "sentence", "target", F.split("x", ":", 2)[0].cast("int").alias("rank"), F.split("x", ":", 2)[1].alias("word"),
+        F.when(F.crc32(F.lower("target")) % 2 == 0, "dev").otherwise("test").alias("half")
+    )
 
 
 def substitution_items(documents: DataFrame) -> DataFrame:
@@ -145,15 +185,21 @@ def substitution_items(documents: DataFrame) -> DataFrame:
     j = documents.select(F.from_json("value", schema).alias("j"))
     contexts = j.select(F.explode("j.contexts").alias("context_id", "c")).select("context_id", "c.context")
     targets = j.select(F.explode("j.targets").alias("target_id", "t")).select("target_id", "t.context_id", "t.offset", "t.target")
-    subs = j.select(F.explode("j.substitutes").alias("sid", "s")).select("sid", "s.target_id", F.trim("s.substitute").alias("substitute")).filter(F.col("substitute").rlike(r"^\p{L}+$"))
-    labels = j.select(F.explode("j.substitute_labels").alias("sid", "l")).select("sid", (F.size(F.filter("l", lambda x: x == "TRUE")) / F.size("l").cast("double")).alias("share"))
+    subs = j.select(F.explode("j.substitutes").alias("sid", "s")).select(
+        "sid", "s.target_id", F.trim("s.substitute").alias("substitute")
+    ).filter(F.col("substitute").rlike(r"^\p{L}+$"))
+    labels = j.select(F.explode("j.substitute_labels").alias("sid", "l")).select(
+        "sid", (F.size(F.filter("l", lambda x: x == "TRUE")) / F.size("l").cast("double")).alias("share")
+    )
     at = targets.join(contexts, "context_id").filter("substring(context, offset + 1, length(target)) = target AND NOT contains(target, ' ')")
     return at.join(subs, "target_id").join(labels, "sid").select("target_id", "context", "offset", "target", "substitute", "share")
 
 
 def blocks(text: Column) -> Column:
     """Array of (key, value) of a text cut at lines of asterisks: blocks of two lines, of equal keys the first."""
-    parts = F.transform(F.split(text, r"(?m)^\*{5,}[ \t]*\r?$\n?"), lambda b: F.filter(F.transform(F.split(b, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    parts = F.transform(
+        F.split(text, r"(?m)^\*{5,}[ \t]*\r?$\n?"), lambda b: F.filter(F.transform(F.split(b, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    )
     two = F.transform(F.filter(parts, lambda b: F.size(b) == 2), lambda b: F.struct(b[0].alias("key"), b[1].alias("value")))
     keys = F.transform(two, lambda x: x["key"])
     return F.filter(two, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
@@ -161,9 +207,22 @@ def blocks(text: Column) -> Column:
 
 def expected_phrases(text: Column) -> Column:
     """Map from phrase to its replacements of 'a => b | c ; d => e'; parts without an arrow are left out, repeated phrases unite."""
-    pairs = F.transform(F.filter(F.split(text, ";"), lambda p: p.contains("=>")), lambda p: F.struct(F.lower(F.trim(F.split(p, "=>")[0])).alias("k"), F.transform(F.split(F.split(p, "=>")[1], r"\|"), lambda x: F.lower(F.trim(x))).alias("v")))
+    pairs = F.transform(
+        F.filter(F.split(text, ";"), lambda p: p.contains("=>")),
+        lambda p: F.struct(
+            F.lower(F.trim(F.split(p, "=>")[0])).alias("k"), F.transform(F.split(F.split(p, "=>")[1], r"\|"), lambda x: F.lower(F.trim(x))).alias("v")
+        )
+    )
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])), lambda x: x != ""))))))
+    return F.map_from_entries(
+        F.transform(
+            keys,
+            lambda k: F.struct(
+                k,
+                F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])), lambda x: x != "")))
+            )
+        )
+    )
 
 
 def paragraphs(text: Column, kind: str) -> Column:
@@ -179,7 +238,9 @@ def paragraphs(text: Column, kind: str) -> Column:
 def cells(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """config, id and the fields of every folder/config/id.json."""
     at = F.input_file_name()
-    return spark.read.schema(schema).json(f"{folder}/*/*.json", multiLine=True).select(F.regexp_extract(at, r"([^/]+)/[^/]+\.json$", 1).alias("config"), F.regexp_extract(at, r"([^/]+)\.json$", 1).alias("id"), "*")
+    return spark.read.schema(schema).json(f"{folder}/*/*.json", multiLine=True).select(
+        F.regexp_extract(at, r"([^/]+)/[^/]+\.json$", 1).alias("config"), F.regexp_extract(at, r"([^/]+)\.json$", 1).alias("id"), "*"
+    )
 
 
 def panel(rows: DataFrame, locked: DataFrame, id_col: str = "id", text_col: str = "text", prefix: str = "ose-") -> DataFrame:
@@ -194,10 +255,15 @@ def panel(rows: DataFrame, locked: DataFrame, id_col: str = "id", text_col: str
 
 def locked_rows(rows: DataFrame, locked: DataFrame, id_col: str = "id", text_col: str = "text", prefix: str = "ose-") -> DataFrame:
     """Rows that a locked list (id, sha256) names by id or by the hash of the text, or whose id has the prefix and is locked without it: a semi join for each way, united."""
-    key = rows.withColumn("__i", F.col(id_col).cast("string")).withColumn("__h", F.sha2(text_col, 256)).withColumn("__b", F.when(F.col("__i").startswith(prefix), F.substring("__i", len(prefix) + 1, 1 << 20)))
+    key = rows.withColumn("__i", F.col(id_col).cast("string")).withColumn("__h", F.sha2(text_col, 256)).withColumn(
+        "__b", F.when(F.col("__i").startswith(prefix), F.substring("__i", len(prefix) + 1, 1 << 20))
+    )
     ids = locked.select(F.col("id").cast("string").alias("__l")).filter("__l is not null").distinct()
     hashes = locked.select(F.col("sha256").alias("__l")).filter("__l is not null").distinct()
-    ways = [key.join(ids, key["__i"] == ids["__l"], "left_semi"), key.join(hashes, key["__h"] == hashes["__l"], "left_semi"), key.join(ids, key["__b"] == ids["__l"], "left_semi")]
+    ways = [
+        key.join(ids, key["__i"] == ids["__l"], "left_semi"), key.join(hashes, key["__h"] == hashes["__l"], "left_semi"),
+        key.join(ids, key["__b"] == ids["__l"], "left_semi")
+    ]
     return ways[0].unionByName(ways[1]).unionByName(ways[2]).dropDuplicates([id_col]).drop("__i", "__h", "__b")
 
 

@@ -35,7 +35,11 @@ def test_rare_bigrams_count(spark, tmp_path):
 
 
 def test_rare_words_are_in_the_lexicon(spark, tmp_path):
-    got = {r.word: (r.value, r.known) for r in catalog.QUERIES["lexicon_lookup"](spark, _tables(spark, tmp_path, ["cat cat dog", "tree tree tree"], ["cat dog fish"])).collect()}
+    got = {
+        r.word: (r.value, r.known) for r in catalog.QUERIES["lexicon_lookup"](
+            spark, _tables(spark, tmp_path, ["cat cat dog", "tree tree tree"], ["cat dog fish"])
+        ).collect()
+    }
     assert got == {"cat": (2.0, True), "dog": (1.0, True), "fish": (2.0, False)}
 
 

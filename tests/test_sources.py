@@ -32,13 +32,17 @@ def test_lines_are_numbered_over_splits(spark, tmp_path):
 def test_complex_words(spark):
     ok = "\t".join(["7", 'a "q', "0", "1", "a", "5", "5", "1", "0", "1.0", "0.25"])
     rows = lines.complex_words(of(spark, ok, "too\tfew", "", ok + "\textra")).collect()
-    assert len(rows) == 2 and (rows[0].id, rows[0].sentence, rows[0].start, rows[0].end, rows[0].target, rows[0].binary, rows[0].probability) == ("7", 'a "q', 0, 1, "a", 1, 0.25)
+    assert len(rows) == 2 and (
+        rows[0].id, rows[0].sentence, rows[0].start, rows[0].end, rows[0].target, rows[0].binary, rows[0].probability
+    ) == ("7", 'a "q', 0, 1, "a", 1, 0.25)
 
 
 def test_ranked_substitutes(spark):
     t = of(spark, " s \t cat \tdog\t dog\tpet\t \tcat\tape", "a\tb")
     assert [tuple(x) for x in lines.ranked_substitutes(t).first().ranked] == [("dog", 2), ("ape", 1), ("pet", 1)]
-    assert [tuple(x) for x in lines.ranked_substitutes(t, True).first().ranked] == [("dog", 2), ("ape", 1), ("cat", 1), ("pet", 1)] and lines.ranked_substitutes(t).count() == 1
+    assert [
+        tuple(x) for x in lines.ranked_substitutes(t, True).first().ranked
+    ] == [("dog", 2), ("ape", 1), ("cat", 1), ("pet", 1)] and lines.ranked_substitutes(t).count() == 1
 
 
 def test_word_scans(spark):
@@ -71,7 +75,9 @@ def test_rules_and_splits(spark):
     rows = lines.paraphrase_rules(of(spark, "A B\tC\t1.5\t4", "x\ty\t-2", "x\ty\tz", "x\ty", "x\ty\t1\tq")).collect()
     assert [tuple(r) for r in rows] == [("a b", "c", 1.5, 4.0), ("y", "x", 2.0, None)]
     rows = lines.sentence_splits(of(spark, "s\ta <::::> b", "skip\tx<::::>y", "s\tno", "q\tr<::::>t<::::>u", "z\tc <::::> d"), 2).orderBy("line").collect()
-    assert [(r.source, r.first, r.second) for r in rows] == [("s", "a", "b"), ("z", "c", "d")] and lines.sentence_splits(of(spark, "s\ta<::::>b", "t\ta<::::>b"), 1, 1).count() == 1
+    assert [(r.source, r.first, r.second) for r in rows] == [("s", "a", "b"), ("z", "c", "d")] and lines.sentence_splits(
+        of(spark, "s\ta<::::>b", "t\ta<::::>b"), 1, 1
+    ).count() == 1
 
 
 def test_labels_and_difficulty(spark):
@@ -90,7 +96,15 @@ def test_ranked_words(spark):
 
 
 def test_nested_items(spark):
-    j = {"contexts": {"c": {"context": "a big cat"}}, "targets": {"t": {"context_id": "c", "offset": 2, "target": "big"}, "u": {"context_id": "c", "offset": 0, "target": "cat"}}, "substitutes": {"1": {"target_id": "t", "substitute": "large"}, "2": {"target_id": "t", "substitute": "very big"}, "3": {"target_id": "u", "substitute": "pet"}}, "substitute_labels": {"1": ["TRUE", "FALSE"], "2": ["TRUE"], "3": ["TRUE"]}}
+    j = {
+        "contexts": {"c": {"context": "a big cat"}},
+        "targets": {"t": {"context_id": "c", "offset": 2, "target": "big"}, "u": {"context_id": "c", "offset": 0, "target": "cat"}},
+        "substitutes": {
+            "1": {"target_id": "t", "substitute": "large"}, "2": {"target_id": "t", "substitute": "very big"},
+            "3": {"target_id": "u", "substitute": "pet"}
+        },
+        "substitute_labels": {"1": ["TRUE", "FALSE"], "2": ["TRUE"], "3": ["TRUE"]}
+    }
     rows = lines.substitution_items(spark.createDataFrame([(json.dumps(j),)], "value string")).collect()
     assert [(r.target, r.substitute, r.share) for r in rows] == [("big", "large", 0.5)]
 
@@ -101,7 +115,9 @@ def test_text_formats(spark):
     r = df.select(lines.blocks(F.col("b")).alias("b"), lines.expected_phrases(F.col("g")).alias("g"), lines.paragraphs(F.col("p"), "text").alias("p")).first()
     assert [tuple(x) for x in r.b] == [("k1", "v1"), ("k2", "v2")] and r.g == {"a b": ["x", "y", "z"], "c": ["d"]} and r.p == ["p one more", "p two"]
     rfc = "RFC 9999   Title   May 2020\n\nfront\n\n1. Introduction\n\nBody text.\nAuthor  [Page 2]\n\nMore."
-    assert spark.createDataFrame([(rfc,)], "t string").select(lines.paragraphs(F.col("t"), "rfc").alias("p")).first().p == ["1. Introduction", "Body text.", "More."]
+    assert spark.createDataFrame([(rfc,)], "t string").select(
+        lines.paragraphs(F.col("t"), "rfc").alias("p")
+    ).first().p == ["1. Introduction", "Body text.", "More."]
     assert [r.sentence for r in lines.sentences_of(spark.createDataFrame([("One. Two.",)], "s string"), "s").collect()] == ["One.", "Two."]
 
 
@@ -113,7 +129,9 @@ def test_folders_and_panels(spark, tmp_path):
     rows = spark.createDataFrame([("1", "x"), ("ose-2", "y"), ("3", "z")], "id string, text string")
     none = spark.createDataFrame([], "id string, sha256 string")
     assert lines.panel(rows, none).count() == 3
-    lock = spark.createDataFrame([("1", None), ("2", None)], "id string, sha256 string").unionByName(spark.range(1).select(F.lit(None).cast("string").alias("id"), F.sha2(F.lit("z"), 256).alias("sha256")))
+    lock = spark.createDataFrame([("1", None), ("2", None)], "id string, sha256 string").unionByName(
+        spark.range(1).select(F.lit(None).cast("string").alias("id"), F.sha2(F.lit("z"), 256).alias("sha256"))
+    )
     assert sorted(r.id for r in lines.locked_rows(rows, lock).collect()) == ["1", "3", "ose-2"]
     with pytest.raises(ValueError, match="locked"):
         lines.panel(rows, lock)
@@ -140,7 +158,9 @@ def test_sinks(spark, tmp_path):
         sinks.markdown(df, 1)
     assert sinks.blob_sha1(b"") == "e69de29bb2d1d6434b8b29ae775ad8c2e48c5391"
     (tmp_path / "f").write_bytes(b"abc")
-    assert sinks.verified(str(tmp_path / "f"), "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad") and sinks.verified(str(tmp_path / "f"), sinks.blob_sha1(b"abc"))
+    assert sinks.verified(
+        str(tmp_path / "f"), "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
+    ) and sinks.verified(str(tmp_path / "f"), sinks.blob_sha1(b"abc"))
     for wrong in (dict(expected="0" * 64), dict(expected="0" * 40), dict(expected="0" * 64, most=1)):
         with pytest.raises(ValueError):
             sinks.verified(str(tmp_path / "f"), **wrong)
@@ -167,7 +187,9 @@ def test_experiment(spark, tmp_path):
     assert sorted(map(tuple, held.collect())) == [(1, "x"), (2, "z")] and [r.k for r in missing.collect()] == [3]
     assert execution.compatible({"a": "1", "b": "2"}, {"a": "1", "b": "3"}, ["a", "b", "c"]) == ["b", "c"]
     assert execution.stale_cells(spark.createDataFrame([("x",), (None,)], "identity string"), F.lit("x")).count() == 1
-    assert execution.staged(spark.createDataFrame([(1, 0.5)], "id int, s double"), "s", {"lo": 0.4, "hi": 0.6}, ["id"]).filter("accepted").first().config == "lo"
+    assert execution.staged(
+        spark.createDataFrame([(1, 0.5)], "id int, s double"), "s", {"lo": 0.4, "hi": 0.6}, ["id"]
+    ).filter("accepted").first().config == "lo"
     items = spark.createDataFrame([(1, "x", "t1"), (1, "y", "t2")], "id int, system string, text string")
     sheet, key = execution.blind_sheet(items, "seed")
     assert sheet.columns == ["text", "item"] and key.count() == 2
@@ -218,13 +240,17 @@ def test_page_layout(spark):
 
     names = "doc string, page long, col long, top double, left double, right double, size double, kind string, text string"
     e = [("d", 1, 0, 10.0, 0.0, 40.0, 20.0, "plain", "Title"), ("d", 1, 0, 30.0, 0.0, 40.0, 10.0, "bold", "Abstract"), ("d", 1, 0, 40.0, 0.0, 20.0, 10.0, "plain", "It is a sim-"), ("d", 1, 0, 42.0, 30.0, 50.0, 10.0, "plain", "x"),
-         ("d", 1, 0, 50.0, 0.0, 20.0, 10.0, "plain", "ple thing."), ("d", 1, 0, 60.0, 9.0, 20.0, 10.0, "plain", "New one."), ("d", 1, 0, 70.0, 0.0, 30.0, 10.0, "bold", "1 Introduction"), ("d", 1, 0, 80.0, 0.0, 30.0, 10.0, "plain", "Body here."),
+         ("d", 1, 0, 50.0, 0.0, 20.0, 10.0, "plain", "ple thing."), ("d", 1, 0, 60.0, 9.0, 20.0, 10.0, "plain", "New one."), (
+             "d", 1, 0, 70.0, 0.0, 30.0, 10.0, "bold", "1 Introduction"
+         ), ("d", 1, 0, 80.0, 0.0, 30.0, 10.0, "plain", "Body here."),
          ("d", 1, 0, 90.0, 0.0, 30.0, 10.0, "bold", "References"), ("d", 1, 0, 99.0, 0.0, 30.0, 10.0, "plain", "[1] none")]
     found = layout.line_kinds(layout.page_lines(spark.createDataFrame(e, names)), 10.0, 18.0)
     assert [(r.text, r.kind) for r in found.orderBy("top").collect()][:3] == [("Title", "title"), ("Abstract", "heading"), ("It is a sim- x", "abstract")]
     assert [r.text for r in layout.paragraphs(found).orderBy("place").collect()] == ["It is a sim- x ple thing.", "New one.", "Body here."]
     with pytest.raises(Exception, match="case 7"):
-        layout.attributed_cases(spark.createDataFrame([(7, "a cat", "dog", 2, 5, "s")], "id int, text string, target string, start int, end int, source string")).collect()
+        layout.attributed_cases(
+            spark.createDataFrame([(7, "a cat", "dog", 2, 5, "s")], "id int, text string, target string, start int, end int, source string")
+        ).collect()
 
 
 def test_service_answers():
@@ -232,7 +258,10 @@ def test_service_answers():
 
     good = {"matches": [{"offset": 2, "length": 3, "rule": "r", "replacements": ["dog"]}]}
     assert services.warnings_of("a cat", good) == [(2, 5, "r", ["dog"])]
-    for bad in ([], {"matches": 1}, {"matches": [{"offset": 2, "length": 9, "rule": "r"}]}, {"matches": [{"offset": 0, "length": 2, "rule": "r"}, {"offset": 1, "length": 1, "rule": "r"}]}):
+    for bad in (
+        [], {"matches": 1}, {"matches": [{"offset": 2, "length": 9, "rule": "r"}]},
+        {"matches": [{"offset": 0, "length": 2, "rule": "r"}, {"offset": 1, "length": 1, "rule": "r"}]}
+    ):
         with pytest.raises(ValueError):
             services.warnings_of("a cat", bad)
     with pytest.raises(ValueError, match="loopback"):
