@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaria.llm.words import HashIndex, bound_batches, chunks, expand, span_hashes
+from lexaria.llm.words import HashIndex, bound_batches, chunks, eight_bytes, expand, span_hashes, window_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_PENALTY = 10.0
@@ -181,13 +181,13 @@ def _wide_covered(data: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 def _edges(pieces: Pieces, data: np.ndarray, end: np.ndarray, covered: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, size, piece) of all edges that start at these positions; end: where the unit of each byte ends. Shortest first."""
-    bare = at[~covered[at]]
+    bare, eight = at[~covered[at]], eight_bytes(data)
     starts, sizes, ids = [bare], [np.ones(len(bare), dtype=np.int64)], [pieces.byte_id[data[bare]]]
     for length, (index, own) in pieces.by_length.items():
         at = at[at + length <= end[at]]
         if not len(at):
             break
-        found = index.find(span_hashes(data, at, at + length))
+        found = index.find(window_hashes(eight, at, length))
         hit = np.flatnonzero(found >= 0)
         starts.append(at[hit])
         sizes.append(np.full(len(hit), length))
@@ -195,7 +195,7 @@ def _edges(pieces: Pieces, data: np.ndarray, end: np.ndarray, covered: np.ndarra
     return tuple(np.concatenate(x) for x in (starts, sizes, ids))  # type: ignore[return-value]
 
 
-def _search(first: int, last: int, forward: np.ndarray, into: Callable[[int], list[tuple[int, int, int]]], n: int) -> list[tuple[int, list[int]]]:
+def _search(first: int, last: int, forward: np.ndarray | list[int], into: Callable[[int], list[tuple[int, int, int]]], n: int) -> list[tuple[int, list[int]]]:
     """(score, ids) of the n best paths from first to last: A-star from the end, forward scores as heuristics.
 
     into: the edges into a node, as (where it starts, score, piece). An entry is
@@ -278,7 +278,7 @@ class Lattice:
     """The lattices of many units (bounds into one byte buffer), solved together."""
 
     def __init__(self, pieces: Pieces, data: np.ndarray, bounds: np.ndarray):
-        self.pieces, self.bounds = pieces, bounds
+        self.pieces, self.bounds, self._plain = pieces, bounds, None
         n, units = len(data), np.arange(len(bounds) - 1)
         unit = np.repeat(units, np.diff(bounds))
         start, size, piece = _edges(pieces, data, bounds[1:][unit], _covered(data, pieces.points), np.arange(n))
@@ -345,16 +345,27 @@ class Lattice:
         first, last = int(self.first[unit]), int(self.last[unit])
         if first == last:
             return [(0, [])]
-        if not hasattr(self, "_by_target"):
+        if self._plain is None:  # numbers as they are are quicker one by one
             order = np.argsort(self.target, kind="stable")
-            self._by_target = order, np.searchsorted(self.target[order], np.arange(len(self.forward) + 1))
-        order, edge = self._by_target
+            edge = np.searchsorted(self.target[order], np.arange(len(self.forward) + 1))
+            self._plain = tuple(x.tolist() for x in (edge, self.source[order], self.score[order], self.piece[order], self.forward))
+        edge, source, score, piece, forward = self._plain
 
         def into(node: int) -> list[tuple[int, int, int]]:
-            some = order[edge[node] : edge[node + 1]]
-            return list(zip(self.source[some].tolist(), self.score[some].tolist(), self.piece[some].tolist(), strict=True))
+            a, b = edge[node], edge[node + 1]
+            return list(zip(source[a:b], score[a:b], piece[a:b], strict=True))
 
-        return _search(first, last, self.forward, into, n)
+        return _search(first, last, forward, into, n)
+
+
+def _equal(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether spans of one buffer hold the same bytes as spans of another."""
+    out = a_size == b_size
+    if len(a) and len(b):
+        at, of = expand(a_at, a_size)
+        other = expand(b_at, a_size)[0]
+        out[of[a[at] != b[np.minimum(other, len(b) - 1)]]] = False
+    return out
 
 
 def _units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -391,11 +402,12 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[bytes, int] = {}
+        self.slot: dict[int, int] = {}  # by hash
+        self.other: dict[bytes, int] = {}  # of units whose hash another unit has
+        self.pool, self.unit_at, self.unit_size = np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.first = self.size = self.total = self.gap = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int64)
         self.lists: dict[int, list[tuple[int, list[int]]]] = {}
-        self.held = 0
 
     def _lattice(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Lattice:
         at, _ = expand(starts, ends - starts)
@@ -411,37 +423,46 @@ class Encoder:
 
     def _slots(self, data: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
         """Slot of each unit; new units are solved and get one."""
-        if len(self.slot) > REMEMBER or self.held > REMEMBER_BYTES:
+        if len(self.first) > REMEMBER or len(self.pool) > REMEMBER_BYTES:
             self._forget()
         starts, sizes = bounds[:-1], np.diff(bounds)
-        _, pick, same = np.unique(span_hashes(data, starts, bounds[1:]), return_index=True, return_inverse=True)
-        # units of one hash and other bytes, should there be any, go their own way
-        at, of = expand(starts, sizes)
-        like = sizes == sizes[pick][same]
-        other = expand(starts[pick][same], sizes)[0]
-        like[of[data[at] != data[np.minimum(other, len(data) - 1)]]] = False
-        odd = np.flatnonzero(~like)
+        keys, pick, same = np.unique(span_hashes(data, starts, bounds[1:]), return_index=True, return_inverse=True)
+        # units of one hash and other bytes, should there be any, go by their bytes
+        odd = np.flatnonzero(~_equal(data, starts, sizes, data, starts[pick][same], sizes[pick][same]))
         pick, same[odd] = np.concatenate([pick, odd]), len(pick) + np.arange(len(odd))
-        raw = data.tobytes()
-        keys = [raw[a:b] for a, b in zip(bounds[pick].tolist(), bounds[pick + 1].tolist(), strict=True)]
-        fresh = {k: i for i, k in enumerate(keys) if k not in self.slot}
-        new = np.array(sorted(fresh.values(), key=lambda i: len(keys[i]) > LONG), dtype=np.int64)
-        long = [i for i in new.tolist() if len(keys[i]) > LONG]
-        for k, i in enumerate(new.tolist()):
-            self.slot[keys[i]] = len(self.first) + k
-            self.held += len(keys[i])
-        short = new[: len(new) - len(long)]
+        own, size = starts[pick], sizes[pick]
+        get = self.slot.get
+        slots = np.full(len(pick), -1, dtype=np.int64)
+        slots[: len(keys)] = [get(k, -1) for k in keys.tolist()]
+        known = np.flatnonzero(slots >= 0)
+        held = slots[known]
+        wrong = known[~_equal(data, own[known], size[known], self.pool, self.unit_at[held], self.unit_size[held])]
+        strange = {j: data[own[j] : own[j] + size[j]].tobytes() for j in [*wrong.tolist(), *range(len(keys), len(pick))]}
+        for j, unit in strange.items():
+            slots[j] = self.other.get(unit, -1)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            new = new[np.argsort(size[new] > LONG, kind="stable")]
+            slots[new] = len(self.first) + np.arange(len(new))
+            usual = new[[j not in strange for j in new.tolist()]] if strange else new
+            self.slot.update(zip(keys[usual].tolist(), slots[usual].tolist(), strict=True))
+            self.other.update((unit, int(slots[j])) for j, unit in strange.items())
+            at, _ = expand(own[new], size[new])
+            self.unit_at = np.concatenate([self.unit_at, len(self.pool) + np.cumsum(size[new]) - size[new]])
+            self.unit_size = np.concatenate([self.unit_size, size[new]])
+            self.pool = np.concatenate([self.pool, data[at]])
+        short = new[size[new] <= LONG]
         if len(short):
-            lattice = self._lattice(data, bounds[pick[short]], bounds[pick[short] + 1])
+            lattice = self._lattice(data, own[short], own[short] + size[short])
             best, edges = lattice.best_paths()
             self._take(lattice.piece[best], np.diff(edges), lattice.forward[lattice.last], lattice.gaps(best))
-        for i in long:
-            unit = LongUnit(self.pieces, np.frombuffer(keys[i], dtype=np.uint8))
+        for j in new[len(short) :].tolist():
+            unit = LongUnit(self.pieces, data[own[j] : own[j] + size[j]])
             paths = unit.n_best(max(2, n))
             gap = paths[0][0] - paths[1][0] if len(paths) > 1 else FAR_GAP
             self.lists[len(self.first)] = paths[:n]
             self._take(np.array(paths[0][1], dtype=np.int64), np.array([len(paths[0][1])]), np.array([paths[0][0]]), np.array([gap]))
-        return np.array([self.slot[k] for k in keys], dtype=np.int64)[same]
+        return slots[same]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, int, list[tuple[int, list[tuple[int, list[int]]]]]]]:
         """For each row: ids, score, and the n best as (score, [(unit, its ids), ...] where it differs from the best)."""

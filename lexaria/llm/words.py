@@ -40,6 +40,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; what lies past the end is zero."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+
+
+def window_hashes(eight: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The span hashes of windows of one size (up to LONG_WORD) that start at these places, given eight_bytes."""
+    out = mix(np.full(1, size, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    for k in range(0, size, 8):
+        out = mix(out ^ (eight[at + k if k else at] & _KEEP[min(size - k, 8)]))
+    return out
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end].
 
@@ -52,9 +67,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
     if not len(size):
         return out
-    padded = np.zeros(len(data) + 8, dtype=np.uint8)
-    padded[: len(data)] = data
-    words = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    words = eight_bytes(data)
     open_ = np.flatnonzero((size > 0) & (size <= LONG_WORD))
     at, left = starts[open_].astype(np.int64), size[open_]
     while len(open_):
