@@ -35,7 +35,7 @@ def least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each of five splits by order: the weights on a simplex of fifths that correlate best with price on the other four parts, and their correlation on the part."""
     x = read(spark, sf_dir, "lineitem").select(
-        (F.crc32(F.col("l_orderkey").cast("string")) % FOLDS).cast("int").alias("fold"), (F.col("l_quantity") / 50.0).alias("f"),
+        (F.col("l_orderkey") % FOLDS).cast("int").alias("fold"), (F.col("l_quantity") / 50.0).alias("f"),
         (F.col("l_discount") * 10.0).alias("g"), (F.col("l_tax") * 10.0).alias("h"), F.col("l_extendedprice").alias("y")
     )
     names = [*"fghy", *(a + b for a, b in ("ff", "gg", "hh", "yy", "fg", "fh", "gh", "fy", "gy", "hy"))]
@@ -177,6 +177,10 @@ ORACLES = {
             avg(f) AS mf, avg(g) AS mg, avg(y) AS my FROM x), w AS (SELECT *, (p * d - q * b) / (a * d - b * b) AS wf,
             (a * q - b * p) / (a * d - b * b) AS wg FROM c)
         SELECT n, round(wf, 6) AS quantity, round(wg, 6) AS discount, round(my - wf * mf - wg * mg, 6) AS constant FROM w""",
+    "split_robustness": """WITH x AS (SELECT (l_orderkey % 5)::INT AS fold, l_quantity / 50.0::DOUBLE AS f, l_discount * 10.0::DOUBLE AS g, l_tax * 10.0::DOUBLE AS h, l_extendedprice AS y FROM lineitem),
+        i AS (SELECT a / 5.0::DOUBLE AS a, b / 5.0::DOUBLE AS b, round(1 - a / 5.0::DOUBLE - b / 5.0::DOUBLE, 1) AS c FROM range(6) s(a), range(6) t(b) WHERE a + b <= 5), k AS (SELECT DISTINCT fold AS k FROM x),
+        r AS (SELECT k AS fold, a, b, c, round(corr(a * f + b * g + c * h, y) FILTER (WHERE fold <> k), 6) AS train_r, round(corr(a * f + b * g + c * h, y) FILTER (WHERE fold = k), 6) AS test_r FROM x, i, k GROUP BY ALL),
+        s AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY train_r DESC, a DESC, b DESC, c DESC) AS place FROM r) SELECT fold, a, b, c, train_r, test_r FROM s WHERE place = 1""",
     "naive_bayes": f"""WITH d AS (SELECT lang, count(*) AS docs FROM documents WHERE lang IS NOT NULL GROUP BY 1), c AS (SELECT lang, w, count(*) AS k
         FROM (SELECT lang, unnest({_W}) AS w FROM documents WHERE lang IS NOT NULL) GROUP BY 1, 2), t AS (SELECT lang, sum(k) AS total FROM c GROUP BY 1),
         v AS (SELECT count(DISTINCT w) AS v FROM c), l AS (SELECT lang, total, v, ln((docs + 0.5::DOUBLE) / ((SELECT sum(docs)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexaria.functions import alignment, preserve, spans
 from lexaria.functions.batches import rows_of
 from lexaria.operators import filters, stages
-from lexaria.plans.text_queries import RULES, _rewrites, read
+from lexaria.plans.text_queries import _PAIRS_SQL, RULES, _rewrites, read
 from lexaria.sources import lines
 
 #: Further rules for the arms: what a word may be replaced by, with a score.
@@ -236,4 +236,17 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_KEYS = ", ".join(f"'{k}'" for k in sorted(RULES))
+_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sorted(RULES.items())) + "}"
+_PIECES = r"regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')"
+_CASED = f"""CASE WHEN lower(t) NOT IN ({_KEYS}) THEN t WHEN length(t) > 1 AND t = upper(t) THEN upper({_MAP}[lower(t)])
+    WHEN left(t, 1) = upper(left(t, 1)) THEN upper(left({_MAP}[lower(t)], 1)) || substr({_MAP}[lower(t)], 2) ELSE {_MAP}[lower(t)] END"""
+
+ORACLES: dict[str, str] = {
+    "stage_dictionary": f"""WITH p AS (SELECT doc_id, {_PIECES} AS p FROM documents)
+        SELECT doc_id, len(list_filter(p, lambda t: lower(t) IN ({_KEYS})))::INT AS n_edits, md5(array_to_string(list_transform(p, lambda t: {_CASED}), '')) AS output_md5 FROM p""",
+    "window_pairs": f"""WITH {_PAIRS_SQL}, t AS (SELECT doc_id, regexp_split_to_array(trim(array_to_string(source, ' '), chr(10) || chr(9) || ' '), '\\s+') AS a,
+            regexp_split_to_array(trim(array_to_string(output, ' '), chr(10) || chr(9) || ' '), '\\s+') AS b FROM q),
+        d AS (SELECT doc_id, len(a) AS n, list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i]) AS x FROM t),
+        w AS (SELECT doc_id, CASE WHEN len(x) = 0 THEN n ELSE least(6, x[1] - 1) + x[-1] - x[1] + 1 + least(6, n - x[-1]) END::INT AS k FROM d) SELECT doc_id, k AS before, k AS after FROM w""",
+}

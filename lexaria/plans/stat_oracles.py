@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexaria.operators.filters import FOREIGN
 from lexaria.plans import evaluation_queries as eq
 from lexaria.plans import text_queries as tq
 from lexaria.plans.stat_queries import DRAWS
@@ -36,6 +37,7 @@ _CASES = """m AS (SELECT e.system, e.passage, count(*) AS k, round(max(e.value)
     r AS (SELECT coalesce(m.system, p.system) AS system, count_if(m.k IS NULL)::BIGINT AS missing, count_if(m.k > 1)::BIGINT AS repeated,
         count_if(p.system IS NULL)::BIGINT AS unexpected, count_if(m.drift > 50)::BIGINT AS drifted FROM m FULL JOIN p ON m.system = p.system
         AND m.passage = p.passage GROUP BY 1)"""
+_FOREIGN = "(" + ", ".join(f"'{w}'" for w in FOREIGN) + ")"
 _RATED = "floor(l_quantity / 10.0::DOUBLE) + 1"
 
 
@@ -187,6 +189,14 @@ ORACLES = {
             replace(replace(replace(replace(replace(a, 'isa', 'iza'), 'ise', 'ize'), 'yse', 'yze'), 'our', 'or'), 'tre', 'ter') AS x,
                 replace(replace(replace(replace(replace(b, 'isa', 'iza'), 'ise', 'ize'), 'yse', 'yze'), 'our', 'or'), 'tre', 'ter') AS y FROM w)
         SELECT p_partkey, round(n::DOUBLE / greatest(length(a), 1), 6) AS share, a <> b AND b <> '' AND x = y AS variant FROM n""",
+    "phrase_rules": f"""WITH p AS (SELECT lower(p_name) AS a, lower(p_type) AS b, (p_size - 10) / 10.0::DOUBLE AS c, round(p_retailprice / 300, 2) AS q FROM part WHERE (p_partkey % 2 = 0 OR p_size > 5) AND p_size % 7 <> 0),
+        r AS (SELECT string_split(CASE WHEN c < 0 THEN b ELSE a END, ' ') AS x, string_split(CASE WHEN c < 0 THEN a ELSE b END, ' ') AS y, abs(c) AS c, q FROM p),
+        k AS (SELECT *, {" AND ".join(f"len(list_filter({v}, lambda w: NOT regexp_full_match(replace(replace(w, '-', ''), chr(39), ''), '[A-Za-z]+') OR w IN {_FOREIGN})) = 0" for v in "xy")} AS clean,
+            {" = ".join(f"list_sort(list_distinct(list_filter({v}, lambda w: w NOT IN ('the', 'a', 'an'))))" for v in "xy")} AS same,
+            list_filter(y, lambda w: NOT list_contains(x, w)) AS new, list_filter(x, lambda w: NOT list_contains(y, w)) AS gone FROM r)
+        SELECT CASE WHEN len(x) NOT BETWEEN 2 AND 6 THEN 'length' WHEN len(y) > len(x) THEN 'longer' WHEN c < 1 THEN 'complexity' WHEN q < 4 THEN 'quality' WHEN NOT clean THEN 'unclean' WHEN same THEN 'article'
+            WHEN len(list_intersect(new, ['is', 'are', 'was', 'were', 'be', 'been', 'being', 'am'])) > 0 THEN 'adds be' WHEN x[1] = y[1] OR x[-1] = y[-1] THEN 'padded'
+            WHEN len(list_distinct(new)) <= 1 AND len(list_distinct(gone)) <= 1 THEN 'one word' ELSE 'kept' END AS reason, count(*) AS n, round(sum(c), 4) AS complexity FROM k GROUP BY 1""",
     "lexicon_scan": """WITH c AS (SELECT c_custkey AS line, lower(c_mktsegment || c_nationkey) AS word, round(c_acctbal / 100, 2) AS v FROM customer
         WHERE c_custkey > 1 AND c_custkey % 5 <> 0)
         SELECT word, round(arg_max(v, line) / 25.0::DOUBLE + 1, 6) AS value FROM c GROUP BY 1""",

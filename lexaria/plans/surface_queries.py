@@ -223,6 +223,8 @@ QUERIES = {
 ORACLES = {
     "udf_system": "SELECT doc_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS output FROM documents",
     "udf_rewriter": "SELECT doc_id, CASE WHEN length(text) < 400 THEN length(replace(text, ' ', '')) ELSE length(text) END::INT AS n, length(text)::DOUBLE AS score, length(text) < 400 AS passed FROM documents",
+    "udf_stage": r"""WITH t AS (SELECT lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS t FROM documents) SELECT m[t] AS replacement, count(*) AS n
+        FROM t, (SELECT MAP {""" + ", ".join(f"'{k}': '{v}'" for k, v in sorted(RULES.items())) + """} AS m) WHERE m[t] IS NOT NULL GROUP BY 1""",
     "udf_veto": "SELECT p_partkey, length(p_type) > length(p_name) AS vetoed FROM part",
     "udf_entailment": r"""WITH p AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '\w+') AS w FROM part) SELECT a.p_partkey, round(len(list_filter(a.w, lambda x: list_contains(b.w, x)))::DOUBLE / len(a.w), 6) AS p FROM p a JOIN p b ON b.p_partkey = a.p_partkey - 1""",
     "udf_generator": "WITH c AS (SELECT unnest(range(1, least(4, length(p_brand)) + 1)) AS k, p_brand FROM part) SELECT left(p_brand, k) AS candidate, count(*) AS n, max(k)::DOUBLE AS score FROM c GROUP BY 1",

@@ -52,3 +52,11 @@ def test_documents_are_scored_by_all_documents(spark, tmp_path):
     got = {r.doc_id: (r.n, r.score) for r in catalog.QUERIES["bigram_context_score"](spark, _tables(spark, tmp_path, ["a", "a", "b"])).collect()}
     # <s> a 2 of 3, a </s> 2 of 2, <s> b 1 of 3, b </s> 1 of 1; three words begin a pair
     assert got == {0: (2, -0.271478), 1: (2, -0.271478), 2: (2, -0.632833)}
+
+
+def test_phrases_of_test_items(spark, tmp_path):
+    """Six-word phrases of items: the even item is the first source; of overlapping places of one source the first stays, and the first source beats the second."""
+    docs = ["x a b c d e f g h i j k l", "q r s t u v w a b c d e f", "a b c d e"]
+    items = ["a b c d e f g h i j k l m", "c d e f g h q r s t u v"]
+    got = {tuple(r) for r in catalog.QUERIES["phrase_match"](spark, _tables(spark, tmp_path, docs, items)).collect()}
+    assert got == {(0, 1, "a b c d e f", 0), (0, 7, "g h i j k l", 0), (1, 7, "a b c d e f", 0), (1, 0, "q r s t u v", 1)}
