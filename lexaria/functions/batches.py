@@ -11,6 +11,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructType, _parse_datatype_string
 
 
+#: Bytes of a table up to which it may lie in a single row group, and so in a single task.
+FEW_GROUPS = 256 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores: files of one row group would go through one task, whatever the cores. Larger tables stay as they lie, so nothing large is shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= FEW_GROUPS else df
+
+
 def arrow_type(ddl: str) -> pa.DataType:
     return to_arrow_type(_parse_datatype_string(ddl))
 
@@ -58,8 +68,9 @@ def rows_of(df: DataFrame, function: Callable[..., list[tuple] | tuple], ddl: st
                 [*(batch.column(i).take(place) for i in range(len(keep))), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names
             )
 
+    rows = dealt(df.select(*keep, *(F.col(a).alias(f"__argument{i}") for i, a in enumerate(arguments))))
     out = ", ".join([f"`{k}` {types[k]}" for k in keep] + [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields])
-    return df.select(*keep, *(F.col(a).alias(f"__argument{i}") for i, a in enumerate(arguments))).mapInArrow(run, out)
+    return rows.mapInArrow(run, out)
 
 
 __all__ = ["DataType", "arrow_type", "column_of", "rows_of"]

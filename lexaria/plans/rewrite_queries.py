@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaria.functions import alignment, preserve, spans
-from lexaria.functions.batches import rows_of
+from lexaria.functions.batches import dealt, rows_of
 from lexaria.operators import filters, stages
 from lexaria.plans.text_queries import _PAIRS_SQL, RULES, _rewrites, read
 from lexaria.sources import lines
@@ -22,7 +22,7 @@ OPTIONS = {k: [(v, 0.9), (v + v, 0.2)] for k, v in RULES.items()}
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return dealt(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
 def _staged(spark: SparkSession, sf_dir: str, stage: stages.Stage) -> DataFrame:

@@ -68,7 +68,7 @@ def bigram_context_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     and each pair's total is a window sum over it, so a frequent pair costs a row a document and no join of pairs.
     """
     w = F.concat(F.array(F.lit("<s>")), text.words(F.col("text")), F.array(F.lit("</s>")))
-    words = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.explode(F.array(w)).alias("w"))
+    words = tq._docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", F.explode(F.array(w)).alias("w"))
     two = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     per = words.select("doc_id", F.explode(two).alias("p")).groupBy("doc_id", "p").agg(F.count("*").alias("n")).select("doc_id", "p.a", "p.b", "n")
     ab = per.groupBy("a", "b").agg(F.sum("n").alias("ab"))

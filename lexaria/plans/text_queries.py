@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexaria.functions import alignment, measures, pairs, preserve, text
-from lexaria.functions.batches import column_of, rows_of
+from lexaria.functions.batches import column_of, dealt, rows_of
 from lexaria.operators import rewrite
 from lexaria.sources import loaders
 
@@ -22,7 +22,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents")
+    return dealt(docs.select(*(c for c in ("doc_id", "lang", "text") if c in docs.columns)))
 
 
 def _counts_f(spark: SparkSession, sf_dir: str) -> DataFrame:
