@@ -44,6 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexaria.llm.scratch import Scratch
 from lexaria.llm.words import SEGMENT, HashIndex, bound_batches, chunks, mix
 
 ORDER = 3
@@ -208,8 +209,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, (2 * per_language + 50) / n))).otherwise(share)
     few = rows.filter(F.col("h").cast("double") < (share - 0.5) * float(1 << 64))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     sample = few.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("lang", "text")
+    sample = Scratch(docs.sparkSession, "language_id").table(sample)  # read twice below
     grams = sample.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(grams["lang"].unique())
     if not languages:

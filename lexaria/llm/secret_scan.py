@@ -239,7 +239,7 @@ class _Reader:
                 return -1
         return -1
 
-    def _chains(self, i: int, key: bool) -> list[list[tuple[int, int, str]]]:
+    def _chains(self, i: int) -> list[list[tuple[int, int, str]]]:
         """The chains of the value that starts at token i."""
         t, text = self.t, self.text
         chains: list[list[tuple[int, int, str]]] = [[]]
@@ -363,7 +363,7 @@ class _Reader:
                     if value.strip():
                         self._found(m.group(1), [[(low, low + len(value.strip()), "")]], bool(t.comment[i]))
             elif mark == "--" and t.is_(i + 1, WORD) and t.start[i + 1] == t.end[i] and t.mark(i + 2) not in ("=", ":"):
-                self._found(text[t.start[i + 1] : t.end[i + 1]], self._chains(i + 2, False), bool(t.comment[i]))
+                self._found(text[t.start[i + 1] : t.end[i + 1]], self._chains(i + 2), bool(t.comment[i]))
             elif mark in ("=", ":=", "=>", ":"):
                 name = self._target(i)
                 if not name:
@@ -386,7 +386,7 @@ class _Reader:
                     if t.start[j] - (t.end[j - 1] if j else 0) >= 0:
                         self.below.append((t.start[j] - (t.end[j - 1] if j else 0), weight * 0.9 if weight >= 0.9 else 0.0))
                     continue
-                self._found(name, self._chains(i + 1, mark == ":"), bool(t.comment[i]))
+                self._found(name, self._chains(i + 1), bool(t.comment[i]))
 
 
 def pairs(text: str) -> list[Pair]:
