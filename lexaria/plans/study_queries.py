@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,18 +67,23 @@ def bootstrap_cluster_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bigram_context_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean log probability ln((c(a b) + 0.1) / (c(a) + 0.1 V)) of each document's word pairs; counts over all documents.
 
-    Pairs go from text to table once: the table of (pair, document, count) is written by the shuffle of the pairs,
-    and each pair's total is a window sum over it, so a frequent pair costs a row a document and no join of pairs.
+    A document's pairs are counted where its row is, so one row a document and distinct
+    pair goes on, with 64-bit hashes in place of words; it is shuffled once, to meet the
+    pair's count (a pair that most documents have is split by adaptive execution).
     """
-    w = F.concat(F.array(F.lit("<s>")), text.words(F.col("text")), F.array(F.lit("</s>")))
-    words = tq._docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", F.explode(F.array(w)).alias("w"))
-    two = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    per = words.select("doc_id", F.explode(two).alias("p")).groupBy("doc_id", "p").agg(F.count("*").alias("n")).select("doc_id", "p.a", "p.b", "n")
-    ab = per.groupBy("a", "b").agg(F.sum("n").alias("ab"))
-    a = ab.groupBy("a").agg(F.sum("ab").alias("na"))
-    v = a.agg(F.count("*").cast("double").alias("v"))
-    scored = ab.join(a, "a").crossJoin(F.broadcast(v)).select("a", "b", F.log((F.col("ab") + 0.1) / (F.col("na") + F.col("v") * 0.1)).alias("lp"))
-    return per.join(scored, ["a", "b"]).groupBy("doc_id").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("lp")) / F.sum("n"), 6).alias("score"))
+
+    def pairs(t: str) -> list[tuple[str, str, int]]:
+        w = ["<s>", *re.findall("[a-z]+(?:['-][a-z]+)*", t.lower()), "</s>"]
+        return [(a, b, n) for (a, b), n in Counter(zip(w, w[1:])).items()]
+
+    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    per = rows_of(docs, pairs, "a string, b string, n long", ["doc_id"], ["text"]).select("doc_id", F.xxhash64("a").alias("a"), F.xxhash64("a", "b").alias("ab"), "n")
+    both = per.groupBy("ab", "a").agg(F.sum("n").alias("k"))
+    one = both.groupBy("a").agg(F.sum("k").alias("na"))
+    size = one.agg(F.count("*").cast("double").alias("v"))
+    scored = both.join(one, "a").crossJoin(F.broadcast(size)).select("ab", F.log((F.col("k") + 0.1) / (F.col("na") + F.col("v") * 0.1)).alias("lp"))
+    sums = per.select("doc_id", "ab", "n").join(scored, "ab").groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("lp")).alias("s"))
+    return sums.select("doc_id", "n", F.round(F.col("s") / F.col("n"), 6).alias("score"))
 
 
 def span_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
