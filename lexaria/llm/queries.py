@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaria.llm import chat_format, decontamination, language_id, lm_scoring, ngram_join, ogg_media, secret_scan, sentencepiece_lattice, url_filter, warc_archive
+from lexaria.llm import chat_format, decontamination, delta_lloyd, language_id, lm_scoring, ngram_join, ogg_media, secret_scan, sentencepiece_lattice, spelling_variants, url_filter, warc_archive
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,6 +74,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.parse_chats(chat_format.format_chats(rows.unionByName(extra))))
 
 
+CENTROIDS, ROUNDS = 40, 5
+
+
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.cluster_report(_read(spark, sf_dir, "embeddings"), k=CENTROIDS, rounds=ROUNDS)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_forms(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -85,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ogg_media": op8_ogg_media,
     "op9_warc_archive": op9_warc_archive,
     "op10_chat_format": op10_chat_format,
+    "op12_delta_lloyd": op12_delta_lloyd,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _HOST = r"translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -100,7 +113,53 @@ def _words(text: str) -> str:
 #: Distinct shingles of w, joined by spaces.
 _SHINGLES = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
 
+
+def _lloyd_sql(k: int, rounds: int) -> str:
+    """Plain Lloyd: every round compares every vector with every centroid."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""p{i} AS MATERIALIZED (SELECT r, vec_id, v, c, cv, list_sum(list_transform(list_zip(v, cv), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+            FROM x, c{i}),
+        a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM p{i} GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT c, k, count(*) AS n, sum(s)::BIGINT AS s FROM (SELECT c, unnest(v) AS s, unnest(range(len(v))) AS k FROM a{i}) GROUP BY c, k),
+        n{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY k) AS nv FROM m{i} GROUP BY c),
+        c{i + 1} AS MATERIALIZED (SELECT c, coalesce(nv, cv) AS cv FROM c{i} LEFT JOIN n{i} USING (c))""")
+    return f"""
+        WITH x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * e::DOUBLE) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS cv FROM (SELECT sha256('2:' || vec_id) AS h, v FROM x) ORDER BY h, v LIMIT {k}),
+        {", ".join(steps)}
+        SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+            sha256(array_to_string(cv, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
+#: Table of CRC-32 from its polynomial.
+_CRC = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"
+_BYTES = "list_transform(range(strlen(s)), lambda i: CAST('0x' || substr(hex(encode(s)), 2 * i + 1, 2) AS BIGINT))"
+
 ORACLES: dict[str, str] = {
+    "op12_delta_lloyd": _lloyd_sql(CENTROIDS, ROUNDS),
+    # neighbours by what is left when one code point goes, in place of segments
+    "op13_spelling_variants": f"""
+        WITH RECURSIVE t AS MATERIALIZED (SELECT {_CRC} AS t),
+        o AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS o FROM documents),
+        g AS (SELECT doc_id, translate(o, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS g, count(*) AS m FROM o WHERE length(o) >= 6 GROUP BY 1, 2),
+        s AS (SELECT g, m, doc_id || ':' || g AS s FROM g),
+        h AS (SELECT g, m, xor(list_reduce({_BYTES}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM s, t),
+        k AS (SELECT CASE WHEN h % 199 = 0 THEN substr(g, 1, h % length(g)) || substr(g, h % length(g) + 2) ELSE g END AS word, m FROM h),
+        w AS MATERIALIZED (SELECT word, sum(m)::BIGINT AS n FROM k WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+        v AS (SELECT word, n, unnest(range(length(word))) AS i FROM w),
+        x AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM v),
+        p AS (SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+            UNION SELECT x.word, w.word FROM x JOIN w ON x.cut = w.word UNION SELECT w.word, x.word FROM x JOIN w ON x.cut = w.word),
+        r AS (SELECT p.a AS word, w.word AS near, w.n AS near_n, row_number() OVER (PARTITION BY p.a ORDER BY w.n DESC, w.word) AS place,
+            count(*) OVER (PARTITION BY p.a) AS n_near FROM p JOIN w ON w.word = p.b),
+        f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+            FROM w LEFT JOIN (SELECT * FROM r WHERE place = 1) USING (word)),
+        z AS (SELECT word, word AS stop, 0 AS step FROM f UNION ALL SELECT z.word, f.form, step + 1 FROM z JOIN f ON f.word = z.stop WHERE f.form IS NOT NULL)
+        SELECT f.*, root FROM f JOIN (SELECT word, arg_max(stop, step) AS root FROM z GROUP BY word) USING (word)""",
     "op1_ngram_jaccard_join": f"""
         WITH RECURSIVE d AS (SELECT doc_id, {_words("text")} AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM d),
