@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaria.llm import chat_format, decontamination, delta_lloyd, language_id, lm_scoring, ngram_join, ogg_media, secret_scan, sentencepiece_lattice, spelling_variants, url_filter, warc_archive
+from lexaria.llm import chat_format, decontamination, delta_lloyd, divergence_rules, language_id, lm_scoring, ngram_join, ogg_media, secret_scan, sentencepiece_lattice, spelling_variants, url_filter, warc_archive
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.parse_chats(chat_format.format_chats(rows.unionByName(extra))))
 
 
+def op11_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_rules.judge_quality(_read(spark, sf_dir, "documents"))
+
+
 CENTROIDS, ROUNDS = 40, 5
 
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ogg_media": op8_ogg_media,
     "op9_warc_archive": op9_warc_archive,
     "op10_chat_format": op10_chat_format,
+    "op11_divergence_rules": op11_divergence_rules,
     "op12_delta_lloyd": op12_delta_lloyd,
     "op13_spelling_variants": op13_spelling_variants,
 }
@@ -114,6 +119,46 @@ def _words(text: str) -> str:
 _SHINGLES = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
 
 
+def _divergence_sql(common: int = 64) -> str:
+    space, classes = "[ \\t\\n\\x0B\\f\\r]+", ["[aeiou]+", "[b-df-hj-np-tv-z]+", "[ \\t\\n\\x0B\\f\\r]+", "[A-Z]+", "\\p{L}+", "\\p{Nd}+", r"""[.,;:!?''"()-]+"""]
+    steps = ["c0 AS (SELECT *, t AS r0 FROM d)"]
+    steps += [f"c{i + 1} AS (SELECT *, regexp_replace(r{i}, '{p}', '', 'g') AS r{i + 1} FROM c{i})" for i, p in enumerate(classes)]
+    counts = ", ".join(f"length(r{i}) - length(r{i + 1})" for i in range(len(classes)))
+    js = lambda rows, name: f"""{name} AS (SELECT r, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
+            + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS js FROM {rows} GROUP BY r)"""
+    return f"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+        {", ".join(steps)},
+        k AS MATERIALIZED (SELECT r, doc_id, lang, t, r7 AS rest, [{counts}, length(r7)] AS c, list_filter(regexp_split_to_array(t, '{space}'), lambda x: x <> '') AS w,
+            list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}]+'), lambda x: x <> '') AS lw FROM c7),
+        o AS (SELECT lang, sum(len(lw)) AS total FROM k WHERE lang IS NOT NULL GROUP BY 1 HAVING sum(len(lw)) >= 1000),
+        rc AS (SELECT lang, i, sum(x) AS q FROM (SELECT lang, unnest(c) AS x, unnest(range(8)) AS i FROM k JOIN o USING (lang)) GROUP BY 1, 2),
+        rt AS (SELECT lang, sum(q) AS s FROM rc GROUP BY 1),
+        wc AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(lw) AS word FROM k JOIN o USING (lang)) GROUP BY 1, 2),
+        top AS MATERIALIZED (SELECT * FROM wc QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {common}),
+        rw AS (SELECT lang, word, n::DOUBLE / total AS q FROM top JOIN o USING (lang)
+            UNION ALL SELECT lang, NULL, (total - sum(n))::DOUBLE / total FROM top JOIN o USING (lang) GROUP BY lang, total),
+        pc AS (SELECT r, x::DOUBLE / length(t) AS p, q::DOUBLE / s AS q FROM (SELECT r, lang, t, unnest(c) AS x, unnest(range(8)) AS i FROM k WHERE length(t) >= 200)
+            JOIN rc USING (lang, i) JOIN rt USING (lang)),
+        lw AS MATERIALIZED (SELECT r, lang, unnest(lw) AS word FROM k WHERE len(w) >= 200),
+        hc AS (SELECT r, lang, top.word AS word, count(*) AS n FROM lw LEFT JOIN top USING (lang, word) GROUP BY 1, 2, 3),
+        ht AS (SELECT r, sum(n) AS s FROM hc GROUP BY 1),
+        hr AS (SELECT DISTINCT r, lang, s FROM hc JOIN ht USING (r)),
+        pw AS (SELECT hr.r, coalesce(hc.n, 0)::DOUBLE / s AS p, q FROM hr JOIN rw USING (lang) LEFT JOIN hc ON hc.r = hr.r AND hc.word IS NOT DISTINCT FROM rw.word),
+        {js("pc", "jc")}, {js("pw", "jw")},
+        g AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS m FROM (SELECT r, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g,
+            unnest(range(1, len(w) - 1)) AS i FROM k WHERE len(w) > 2)),
+        v AS (SELECT r, count(DISTINCT spot) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS spot FROM g WHERE m > 1) GROUP BY r),
+        b AS (SELECT r, doc_id, len(w) AS n_words, length(t) - c[3] AS word_chars, length(rest) - length(regexp_replace(rest, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+            len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]'))) -
+            len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')))) AS n_dup_lines,
+            coalesce(v.n, 0) AS n_repeat_words FROM k LEFT JOIN v USING (r)),
+        f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND coalesce(round(jc.js, 6), 0) <= 0.3 AND coalesce(round(jw.js, 6), 0) <= 0.36 AS kept, round(jc.js, 6) AS js_chars, round(jw.js, 6) AS js_words
+        FROM f LEFT JOIN jc USING (r) LEFT JOIN jw USING (r)"""
+
+
 def _lloyd_sql(k: int, rounds: int) -> str:
     """Plain Lloyd: every round compares every vector with every centroid."""
     steps = []
@@ -140,6 +185,7 @@ _CRC = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
 _BYTES = "list_transform(range(strlen(s)), lambda i: CAST('0x' || substr(hex(encode(s)), 2 * i + 1, 2) AS BIGINT))"
 
 ORACLES: dict[str, str] = {
+    "op11_divergence_rules": _divergence_sql(),
     "op12_delta_lloyd": _lloyd_sql(CENTROIDS, ROUNDS),
     # neighbours by what is left when one code point goes, in place of segments
     "op13_spelling_variants": f"""
