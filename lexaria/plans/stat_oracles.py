@@ -195,7 +195,7 @@ ORACLES = {
             {" = ".join(f"list_sort(list_distinct(list_filter({v}, lambda w: w NOT IN ('the', 'a', 'an'))))" for v in "xy")} AS same,
             list_filter(y, lambda w: NOT list_contains(x, w)) AS new, list_filter(x, lambda w: NOT list_contains(y, w)) AS gone FROM r)
         SELECT CASE WHEN len(x) NOT BETWEEN 2 AND 6 THEN 'length' WHEN len(y) > len(x) THEN 'longer' WHEN c < 1 THEN 'complexity' WHEN q < 4 THEN 'quality' WHEN NOT clean THEN 'unclean' WHEN same THEN 'article'
-            WHEN len(list_intersect(new, ['is', 'are', 'was', 'were', 'be', 'been', 'being', 'am'])) > 0 THEN 'adds be' WHEN x[1] = y[1] OR x[-1] = y[-1] THEN 'padded'
+            WHEN len(list_intersect(new, ['is', 'are', 'was', 'were', 'be', 'been', 'being', 'am', '''s', '''re', '''m'])) > 0 THEN 'adds be' WHEN x[1] = y[1] OR x[-1] = y[-1] THEN 'padded'
             WHEN len(list_distinct(new)) <= 1 AND len(list_distinct(gone)) <= 1 THEN 'one word' ELSE 'kept' END AS reason, count(*) AS n, round(sum(c), 4) AS complexity FROM k GROUP BY 1""",
     "lexicon_scan": """WITH c AS (SELECT c_custkey AS line, lower(c_mktsegment || c_nationkey) AS word, round(c_acctbal / 100, 2) AS v FROM customer
         WHERE c_custkey > 1 AND c_custkey % 5 <> 0)
