@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexaria.operators.filters import FOREIGN
 from lexaria.plans import evaluation_queries as eq
 from lexaria.plans import text_queries as tq
+from lexaria.plans.mechanism_queries import _ROUNDS
 from lexaria.plans.stat_queries import DRAWS
 
 _C = f"{eq._C}, v AS (SELECT *, passage % 4 AS domain FROM c)"
@@ -145,11 +146,9 @@ ORACLES = {
     "first_proposer": "SELECT p_partkey, CASE WHEN p_size > 40 THEN 0 WHEN p_retailprice > 1200 THEN 1 ELSE 2 END AS proposer FROM part WHERE p_size > 40 OR p_retailprice > 1200 OR length(p_name) > 30",
     "distinct_shortlist": "WITH k AS (SELECT p_brand, lower(string_split(p_type, ' ')[1]) AS kind, round(max(p_retailprice), 2) AS price FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY price DESC, kind) AS place FROM k) SELECT * FROM r WHERE place <= 3",
     "stride_scan": "SELECT doc_id, lang FROM documents WHERE doc_id % 10 = 3 ORDER BY doc_id LIMIT 50",
-    "key_exclusion_sample": r"""WITH n AS (SELECT doc_id, source, sha256(array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ')) AS norm,
-        sha256('3:' || doc_id) AS h FROM documents), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY h) AS k FROM n)
-        WHERE k = 1),
-        b AS (SELECT * FROM (SELECT doc_id, source, h, row_number() OVER (PARTITION BY source ORDER BY h) AS j FROM a) WHERE j = 1) SELECT doc_id, source
-            FROM b ORDER BY h LIMIT 40""",
+    "key_exclusion_sample": rf"""WITH RECURSIVE o AS (SELECT doc_id AS id, sha256('3:' || doc_id) AS h,
+        sha256(array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), ' ')) AS c, source AS d FROM documents), {_ROUNDS}
+        SELECT id AS doc_id, d AS source FROM r WHERE state = 'taken' ORDER BY h LIMIT 40""",
     "length_batches": "SELECT source, batch, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most FROM (SELECT source, n_chars, (row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1) // 32 AS batch FROM documents) GROUP BY 1, 2",
     "either_key_exclusion": r"""WITH t AS (SELECT conv_id, turn, role, lower(regexp_replace(trim(text, ' '), '\s+', ' ', 'g')) AS a FROM conversations),
         l AS (SELECT *, lead(a) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t), x AS (SELECT DISTINCT a FROM t WHERE role = 'system')

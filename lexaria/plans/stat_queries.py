@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexaria.functions import text
 from lexaria.operators import evaluation as ev
-from lexaria.operators import filters
+from lexaria.operators import filters, selection
 from lexaria.operators import statistics as st
 from lexaria.plans import evaluation_queries as eq
 from lexaria.plans import execution
@@ -309,15 +309,12 @@ def stride_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def key_exclusion_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """40 documents in hash order, one of each text and source at most: the first of each key by a minimum, then the first of the other key among these."""
-    d = read(spark, sf_dir, "documents").select(
-        "doc_id", "source", F.sha2(text.normalised(F.col("text")), 256).alias("norm"),
-        F.sha2(F.concat(F.lit("3:"), F.col("doc_id").cast("string")), 256).alias("h")
-    )
-    one = d.groupBy("norm").agg(F.min_by(F.struct("doc_id", "source", "h"), "h").alias("x")).select("x.*")
-    return one.groupBy("source").agg(
-        F.min_by(F.struct("doc_id", "h"), "h").alias("x")
-    ).select("source", "x.doc_id", "x.h").orderBy("h").limit(40).select("doc_id", "source")
+    """Documents in hash order of which no two share a text or a source, as the greedy pass takes them: the first 40."""
+    keys = F.array(F.sha2(text.normalised(F.col("text")), 256), F.concat(F.lit("source "), "source"))
+    order = F.sha2(F.concat(F.lit("3:"), F.col("doc_id").cast("string")), 256)
+    docs = read(spark, sf_dir, "documents")
+    taken = selection.greedy_sample(docs, "doc_id", keys, order).orderBy("place").limit(40)
+    return docs.select("doc_id", "source").join(taken.select(F.col("id").alias("doc_id")), "doc_id")
 
 
 def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:

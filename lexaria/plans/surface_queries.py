@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexaria.functions import registry
+from lexaria.functions import partial, registry
 from lexaria.operators import evaluation as ev
 from lexaria.operators import stages
 from lexaria.plans import evaluation_queries as eq
@@ -64,28 +65,37 @@ def udf_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def udf_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir).groupBy("p_brand").agg(F.round(registry.aggregate("middle of extremes", F.col("p_retailprice")), 4).alias("middle"))
+    """The middle of each brand's extreme prices, from one state of two numbers a task."""
+    extremes = partial.Partial(lambda v: np.array([v.min(), v.max()]), lambda s: np.array([s[:, 0].min(), s[:, 1].max()]), lambda s: (s[0] + s[1]) / 2)
+    found = partial.partial_aggregate(_parts(spark, sf_dir), ["p_brand"], "p_retailprice", extremes)
+    return found.select("p_brand", F.round("value", 4).alias("middle"))
+
+
+def udtf_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best starts of the words of each brand's parts, the longest of the longest words first, by a table function over partitions."""
+    words = _parts(spark, sf_dir).select("p_brand", F.explode(F.split("p_name", " ")).alias("word"))
+    return partial.best_candidates(words, "word", "p_brand", lambda w: [(w[:k], k + len(w) / 100) for k in range(3, len(w) + 1)], 5)
 
 
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as page elements: ten pages a brand, two columns; tops of 1 to 50 from the size."""
+    """Parts as page elements: a document for each brand and two thousand keys, ten pages, two columns; tops from the size."""
     k = F.col("p_partkey").cast("long")
     return _parts(spark, sf_dir).select(
-        F.col("p_brand").alias("doc"), (k % 10 + 1).alias("page"), (F.floor(k / 10) % 2).alias("col"), (F.col("p_size") * 6).cast("double").alias("top"), (k % 7 * 100).cast("double").alias("left"), (k % 7 * 100 + 50).cast("double").alias("right"),
-        F.lit(10.0).alias("size"), F.lit("plain").alias("kind"), F.substring("p_name", 1, 4).alias("text"),
+        F.concat_ws("-", "p_brand", F.floor(k / 2000).cast("string")).alias("doc"), (k % 10 + 1).alias("page"), (F.floor(k / 10) % 2).alias("col"), (F.col("p_size") * 3).cast("double").alias("top"), (k % 7 * 100).cast("double").alias("left"),
+        (k % 7 * 100 + 50).cast("double").alias("right"), F.lit(10.0).alias("size"), F.lit("plain").alias("kind"), F.col("p_name").alias("text"),
     )
 
 
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the pages that the parts make, by size and left edge."""
-    return layout.page_lines(_elements(spark, sf_dir)).groupBy("doc", "page", "col").agg(F.count("*").alias("n"), F.min("left").alias("left"))
+    """Lines of the pages that the parts make, by size and left edge: each line's first top, left edge and whole text."""
+    return layout.page_lines(_elements(spark, sf_dir)).select("doc", "page", "col", "top", "left", "text")
 
 
 def layout_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of conversations as documents: turns are lines, system turns abstracts, user turns headings, and a long turn is indented."""
     c = read(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("doc"), F.lit(1).cast("long").alias("page"), F.lit(0).cast("long").alias("col"), F.col("turn").cast("double").alias("top"), F.when(F.length("text") > 300, 20.0).otherwise(0.0).alias("left"),
-        F.when(F.col("role") == "user", "heading").when(F.col("role") == "system", "abstract").otherwise("body").alias("kind"), F.substring("text", 1, 10).alias("text"),
+        F.when(F.col("role") == "user", "heading").when(F.col("role") == "system", "abstract").otherwise("body").alias("kind"), F.col("text"),
     )
     return layout.paragraphs(c).select("doc", "place", F.length("text").alias("n_chars"))
 
@@ -205,7 +215,7 @@ def staged_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blind_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blind order of two arms' parts, joined back by the key: how many of each arm come in the first half."""
-    p = _parts(spark, sf_dir).filter("p_partkey <= 500").select(
+    p = _parts(spark, sf_dir).select(
         F.col("p_partkey").alias("id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("system"), "p_name"
     )
     sheet, key = execution.blind_sheet(p, "s1")
@@ -215,7 +225,7 @@ def blind_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        udf_system, udf_rewriter, udf_stage, udf_veto, udf_entailment, udf_generator, udf_scorer, udf_aggregate, layout_lines, layout_paragraphs, attributed_cases, finder_scoreboard, calibration_report, structure_metrics,
+        udf_system, udf_rewriter, udf_stage, udf_veto, udf_entailment, udf_generator, udf_scorer, udf_aggregate, udtf_best, layout_lines, layout_paragraphs, attributed_cases, finder_scoreboard, calibration_report, structure_metrics,
         reference_pairs, containment_exclusion, connector_dominance, ordered_distinct, exposure_replay, staged_arms, blind_sheet,
     )
 }
@@ -233,9 +243,19 @@ ORACLES = {
         SELECT p_partkey, len(list_filter(n, lambda x: x <> '' AND list_contains(t, x)))::DOUBLE AS a, len(list_filter(n, lambda x: list_contains(['a', 'b',
             'c'], x)))::DOUBLE AS b FROM p""",
     "udf_aggregate": "SELECT p_brand, round((max(p_retailprice) + min(p_retailprice)) / 2, 4) AS middle FROM part GROUP BY 1",
-    "layout_lines": """WITH e AS (SELECT p_brand AS doc, p_partkey % 10 + 1 AS page, (p_partkey // 10) % 2 AS col, p_size AS top, p_partkey % 7 * 100 AS l FROM part) SELECT doc, page, col, count(DISTINCT top) AS n, min(l)::DOUBLE AS "left" FROM e GROUP BY 1, 2, 3""",
+    "udtf_best": """WITH w AS (SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part),
+        c AS (SELECT p_brand, left(w, k) AS candidate, max(k + length(w) / 100.0::DOUBLE) AS score FROM w, range(3, 100) r(k) WHERE k <= length(w) GROUP BY 1, 2)
+        SELECT p_brand, candidate, score FROM c QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, candidate) <= 5""",
+    "layout_lines": """WITH RECURSIVE e AS (SELECT p_brand || '-' || (p_partkey // 2000) AS doc, p_partkey % 10 + 1 AS page, (p_partkey // 10) % 2 AS col, p_size * 3 AS top,
+            p_partkey % 7 * 100 AS l, p_partkey % 7 * 100 + 50 AS r, p_name AS text FROM part),
+        s AS (SELECT doc, page, col, min(top) AS start FROM e GROUP BY 1, 2, 3
+            UNION ALL SELECT s.doc, s.page, s.col, min(e.top) FROM s JOIN e USING (doc, page, col) WHERE e.top > s.start + 4 GROUP BY s.doc, s.page, s.col, s.start),
+        a AS (SELECT e.doc, e.page, e.col, l, r, text, max(start) AS line FROM e JOIN s ON s.doc = e.doc AND s.page = e.page AND s.col = e.col AND s.start <= e.top
+            GROUP BY e.doc, e.page, e.col, l, r, text, e.top),
+        j AS (SELECT *, CASE WHEN l - lag(r) OVER w > 2 THEN ' ' ELSE '' END || text AS piece FROM a WINDOW w AS (PARTITION BY doc, page, col, line ORDER BY l, r, text))
+        SELECT doc, page, col, line::DOUBLE AS top, min(l)::DOUBLE AS "left", string_agg(piece, '' ORDER BY l, r, text) AS text FROM j GROUP BY doc, page, col, line""",
     "layout_paragraphs": """WITH t AS (SELECT conv_id AS doc, turn, CASE role WHEN 'user' THEN 'heading' WHEN 'system' THEN 'abstract'
-        ELSE 'body' END AS kind, CASE WHEN length(text) > 300 THEN 20 ELSE 0 END AS l, left(text, 10) AS text FROM conversations),
+        ELSE 'body' END AS kind, CASE WHEN length(text) > 300 THEN 20 ELSE 0 END AS l, text FROM conversations),
         c AS (SELECT doc, l, count(*) AS n FROM t WHERE kind <> 'heading' GROUP BY 1, 2), e AS (SELECT doc, l AS edge FROM (SELECT *,
             row_number() OVER (PARTITION BY doc ORDER BY n DESC, l) AS k FROM c) WHERE k = 1),
         f AS (SELECT t.*, CASE WHEN coalesce(lag(kind) OVER w, 'heading') = 'heading' OR lag(kind) OVER w <> kind OR l - coalesce(edge, l) > 5 THEN 1
@@ -263,7 +283,7 @@ ORACLES = {
     "ordered_distinct": "WITH f AS (SELECT l_orderkey, l_returnflag, min((l_linenumber, l_returnflag)) AS k FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY k) AS flags FROM f GROUP BY 1",
     "exposure_replay": """WITH d AS (SELECT doc_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY sha256(epoch || ':' || doc_id)) AS k FROM documents, range(3) t(epoch)), f AS (SELECT doc_id, min(epoch) AS epoch FROM d WHERE k <= 300 GROUP BY 1) SELECT epoch::INT AS epoch, count(*) AS "new" FROM f GROUP BY 1""",
     "staged_arms": f"WITH {eq._C}, a(config, t) AS (VALUES ('low', 40.0), ('middle', 50.0), ('high', 60.0)) SELECT config, system, count_if(value >= t)::BIGINT AS n FROM c, a GROUP BY 1, 2",
-    "blind_sheet": "WITH x AS (SELECT s AS system, left(sha256('s1:' || p_partkey || ':' || s), 16) AS item FROM part, (VALUES ('a'), ('b')) t(s) WHERE p_partkey <= 500) SELECT system, count(*) AS n, min(item) AS first FROM x WHERE item < '8' GROUP BY 1",
+    "blind_sheet": "WITH x AS (SELECT s AS system, left(sha256('s1:' || p_partkey || ':' || s), 16) AS item FROM part, (VALUES ('a'), ('b')) t(s)) SELECT system, count(*) AS n, min(item) AS first FROM x WHERE item < '8' GROUP BY 1",
 }
 
 

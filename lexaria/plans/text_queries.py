@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexaria.functions import alignment, measures, pairs, preserve, text
+from lexaria.functions import alignment, counted, measures, pairs, preserve, text
 from lexaria.functions.batches import column_of, dealt, rows_of
 from lexaria.operators import rewrite
 from lexaria.sources import loaders
@@ -26,21 +23,23 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(docs.select(*(c for c in ("doc_id", "lang", "text") if c in docs.columns)))
 
 
-def _counts_f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows_of(_docs(spark, sf_dir), text.counts_f, text.COUNTS_F, ["doc_id", "lang"], ["text"])
-
-
 def readability_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _counts_f(spark, sf_dir)
-    scores = text.scores_f({c: F.col(c) for c in counts.columns})
-    return counts.groupBy("lang").agg(
-        F.count("*").alias("n"), F.sum("n_words").alias("n_words"), *(F.round(F.avg(c), 6).alias(f"mean_{k}") for k, c in scores.items())
+    rows = counted.with_measures(_docs(spark, sf_dir).select("lang", "text"), "text", "x")
+    n = {f"n_{c}": F.col("x_sum")[c] for c in ("sentences", "syllables", "poly", "long")} | {"n_words": F.col("x_sum")["n"]}
+    return rows.groupBy("lang").agg(
+        F.count("*").alias("n"), F.sum(n["n_words"]).alias("n_words"), *(F.round(F.avg(c), 6).alias(f"mean_{k}") for k, c in text.scores_f(n).items())
     )
 
 
 def readability_family_r(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report metrics: words, sentences by the split, reading ease, grade, fog, smog, mean sentence and word length, technical terms."""
-    counts = rows_of(_docs(spark, sf_dir), text.counts_r, text.COUNTS_R, ["doc_id"], ["text"])
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    rows = counted.with_measures(docs, "text", "x", counted.syllables_r, text.WORD_R)
+    s = F.col("x_sum")
+    sentences = F.when(s["n"] > 0, F.greatest(F.size(text.sentences(F.col("text"))), F.lit(1))).otherwise(0).cast("long")
+    counts = counted.once(rows, n_sentences=sentences).select(
+        "doc_id", s["n"].alias("n_words"), "n_sentences", s["syllables"].alias("n_syllables"), s["poly"].alias("n_poly"), s["letters"].alias("n_letters"), s["poly"].alias("n_terms")
+    )
     scores = text.scores_r({c: F.col(c) for c in counts.columns})
     scores |= {
         "sentence_length": F.when(F.col("n_words") > 0, F.col("n_words") / F.col("n_sentences")),
@@ -52,10 +51,10 @@ def readability_family_r(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_complexity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 most complex (text, word) pairs, each word among the other words of its text."""
 
-    def complexities(t: str | None) -> list[tuple[str, float]]:
-        return sorted(((w, round(c, 9)) for w, c in measures.Text(t or "").complexities(measures.DEFAULT_WORD).items()), key=lambda x: (-x[1], x[0]))[:50]
-
-    scored = rows_of(_docs(spark, sf_dir), complexities, "word string, complexity double", ["doc_id"], ["text"])
+    rows = counted.with_complexities(counted.with_measures(_docs(spark, sf_dir).select("doc_id", "text"), "text", "x"), "x", measures.DEFAULT_WORD)
+    # only a text's 50 best can be among the 50 best of all
+    best = F.slice(F.array_sort(F.transform("x_c", lambda x: F.struct((-F.round(x["c"], 9)).alias("c"), x["w"].alias("w")))), 1, 50)
+    scored = rows.select("doc_id", F.explode(best).alias("x")).select("doc_id", F.col("x.w").alias("word"), (-F.col("x.c")).alias("complexity"))
     return scored.orderBy(F.desc("complexity"), "doc_id", "word").limit(50).select("doc_id", "word", "complexity")
 
 
@@ -80,7 +79,7 @@ def _rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simplicity_s(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S with the weights fitted to ratings, from the reductions of complex words and of rare terms and the gain in reading score."""
-    parts = rows_of(_rewrites(spark, sf_dir), measures.trained_simplicity, "s_lex double, s_read double, s_jargon double, s double", ["doc_id"], ["a", "b"])
+    parts = counted.trained_simplicity(_rewrites(spark, sf_dir))
     return parts.select("doc_id", *(F.round(c, 6).alias(c) for c in ("s_lex", "s_read", "s_jargon", "s")))
 
 
@@ -99,16 +98,11 @@ def item_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine of the TF-IDF vectors of source and output, the pair as corpus: smooth idf ln(3 / (1 + df)) + 1. A pair never leaves its row."""
-    both, one = 1.0, math.log(3 / 2) + 1
-
-    def cosine(a: list[str], b: list[str]) -> float:
-        x, y = Counter(a), Counter(b)
-        weigh = lambda p, q: sum((n * (both if w in q else one)) ** 2 for w, n in p.items())
-        return sum(n * y[w] for w, n in x.items()) / math.sqrt(weigh(x, y) * weigh(y, x))
-
-    p = _pairs(spark, sf_dir)
-    return p.select("doc_id", F.round(column_of(cosine, "double")("source", "output"), 6).alias("cosine"))
+    """Cosine of the TF-IDF vectors of source and output, lower-cased words, the pair as corpus; 0 where a side has none. A pair never leaves its row."""
+    p = _rewrites(spark, sf_dir)
+    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0))
+    rows = counted.once(p, source=tokens("a"), output=tokens("b"))
+    return counted.tfidf_cosine(rows).select("doc_id", F.round(F.coalesce("cosine", F.lit(0.0)), 6).alias("cosine"))
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,10 +343,12 @@ ORACLES = {
             round({_kept("d")}, 6) AS dates, round({_kept("g")}, 6) AS negations,
             array_to_string(list_sort(list_filter(n, lambda x: NOT list_contains(m, x))), '|') AS lost_numbers FROM c""",
     "tfidf_pair_cosine": f"""
-        WITH {_PAIRS_SQL}, r AS (SELECT doc_id, unnest(source) AS w, 1 AS a, 0 AS b FROM q UNION ALL SELECT doc_id, unnest(output), 0, 1 FROM q),
+        WITH {_PAIRS_SQL}, k AS (SELECT doc_id, {", ".join(f"regexp_extract_all(lower(array_to_string({c}, ' ')), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS {c}" for c in ("source", "output"))} FROM q),
+        r AS (SELECT doc_id, unnest(source) AS w, 1 AS a, 0 AS b FROM k UNION ALL SELECT doc_id, unnest(output), 0, 1 FROM k),
         t AS (SELECT doc_id, w, sum(a) AS a, sum(b) AS b FROM r GROUP BY 1, 2),
-        v AS (SELECT *, pow(ln(3.0::DOUBLE / (1 + CASE WHEN a > 0 THEN 1 ELSE 0 END + CASE WHEN b > 0 THEN 1 ELSE 0 END)) + 1, 2) AS i FROM t)
-        SELECT doc_id, round(sum(a * b * i) / sqrt(sum(a * a * i) * sum(b * b * i)), 6) AS cosine FROM v GROUP BY doc_id""",
+        v AS (SELECT *, pow(ln(3.0::DOUBLE / (1 + CASE WHEN a > 0 THEN 1 ELSE 0 END + CASE WHEN b > 0 THEN 1 ELSE 0 END)) + 1, 2) AS i FROM t),
+        c AS (SELECT doc_id, round(sum(a * b * i) / sqrt(sum(a * a * i) * sum(b * b * i)), 6) AS cosine FROM v GROUP BY doc_id)
+        SELECT doc_id, coalesce(cosine, 0) AS cosine FROM q LEFT JOIN c USING (doc_id)""",
     "sari_proxy": f"""
         WITH l AS (SELECT conv_id, turn, role, text AS t, lead(text) OVER w AS o, lead(text, 2) OVER w AS r, lead(text, 3) OVER w AS q
             FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),

@@ -1,60 +1,58 @@
 """Paragraphs out of positioned page elements: lines, columns, line kinds, paragraphs, words put together.
 
-Elements are rows (page, column, top, left, right, size, kind, text).  A page's
-elements are few and meet in one task; kinds and paragraphs run over windows.
+Elements are rows (page, column, top, left, right, size, kind, text).  Lines, kinds
+and paragraphs run over windows: those of lines inside a column of a page, the others inside a document.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexaria.functions import preserve
+from lexaria.functions.batches import column_of
 
 #: Distance of tops up to which elements are on one line, and of a gap that is a space.
 SAME_LINE, GAP = 4.0, 2.0
 
 
-def _joined(parts: list[tuple[float, float, str]]) -> str:
-    out, end = "", None
-    for left, right, text in sorted(parts):
-        if end is not None and left - end > GAP and not out.endswith(" ") and not text.startswith(" "):
-            out += " "
-        out, end = out + text, right
-    return out
+def _line_starts(tops: Column) -> Column:
+    """Of sorted tops, those at which a line begins: a line has all tops within SAME_LINE of its first."""
+    new = lambda starts, top: (F.size(starts) == 0) | (top - F.element_at(starts, -1) > SAME_LINE)
+    return F.aggregate(tops, F.array().cast("array<double>"), lambda starts, top: F.when(new(starts, top), F.concat(starts, F.array(top))).otherwise(starts))
 
 
-def _page_lines(page: pd.DataFrame) -> pd.DataFrame:
-    """A line is all elements within SAME_LINE of its first one's top, by column."""
-    out = []
-    for (number, column), rows in page.groupby(["page", "col"], sort=True):
-        line: list = []
-        for r in [*rows.sort_values(["top", "left"]).itertuples(), None]:
-            if line and (r is None or r.top - line[0].top > SAME_LINE):
-                text = preserve.fix_accents(_joined([(x.left, x.right, x.text) for x in line])).strip()
-                out.append((number, column, line[0].top, min(x.left for x in line), max(x.size for x in line), all(x.kind == "bold" for x in line), text))
-                line = []
-            if r is not None:
-                line.append(r)
-    return pd.DataFrame(out, columns=["page", "col", "top", "left", "size", "bold", "text"])
+def _joined(parts: Column) -> Column:
+    """Texts of parts from left to right, with a space where there is a gap and neither side has one."""
 
+    def piece(part: Column, i: Column) -> Column:
+        last = F.get(parts, i - 1)
+        gap = (i > 0) & (part["left"] - last["right"] > GAP) & ~last["text"].endswith(" ") & ~part["text"].startswith(" ")
+        return F.concat(F.when(gap, " ").otherwise(""), part["text"])
+
+    return F.array_join(F.transform(parts, piece), "")
 
-def page_lines(elements: DataFrame) -> DataFrame:
-    """doc, page, col, top, left, size, bold, text: the lines of each page."""
-    names = ["page", "col", "top", "left", "right", "size", "kind", "text"]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = _page_lines(rows)
-        out.insert(0, "doc", key[0])
-        return out
+def _main_size(parts: Column) -> Column:
+    """The size that most characters of a line have; of equal ones the one further left."""
+    chars = lambda size: F.aggregate(F.filter(parts, lambda p: p["size"].eqNullSafe(size)), F.lit(0), lambda n, p: n + F.length(F.trim(p["text"])))
+    sizes = F.array_distinct(F.transform(parts, lambda p: p["size"]))
+    return F.array_max(F.transform(sizes, lambda size, i: F.struct(chars(size).alias("n"), (-i).alias("place"), size.alias("size"))))["size"]
 
-    kind = dict(elements.dtypes)["doc"]
-    return elements.select("doc", *names).groupBy("doc", "page").applyInPandas(
-        run, f"doc {kind}, page long, col long, top double, left double, size double, bold boolean, text string"
+
+def page_lines(elements: DataFrame) -> DataFrame:
+    """doc, page, col, top, left, size, bold, kinds, text: the lines of each page, from windows over its columns."""
+    place = ["doc", "page", "col"]
+    tops = F.array_sort(F.collect_set(F.col("top").cast("double")).over(Window.partitionBy(*place)))
+    rows = elements.select(*place, "top", "left", "right", "size", "kind", "text").withColumn("starts", _line_starts(tops))
+    rows = rows.withColumn("line", F.array_max(F.filter("starts", lambda s: s <= F.col("top")))).drop("starts")
+    part = F.struct("left", "right", "text", "size")
+    lines = rows.groupBy(*place, F.col("line").alias("top")).agg(
+        F.min("left").alias("left"), F.array_sort(F.collect_list(part)).alias("parts"), F.array_sort(F.collect_set("kind")).alias("kinds")
     )
+    lines = lines.select(*place, "top", "left", _main_size(F.col("parts")).alias("size"), F.col("kinds").eqNullSafe(F.array(F.lit("bold"))).alias("bold"), "kinds", F.trim(_joined(F.col("parts"))).alias("text"))
+    odd = F.col("text").rlike("[" + "".join(preserve.ACCENTS) + "]")
+    return lines.withColumn("text", F.when(odd, column_of(preserve.fix_accents, "string")("text")).otherwise(F.col("text")))
 
 
 def line_kinds(lines: DataFrame, body: float, title: float) -> DataFrame:
@@ -68,7 +66,8 @@ def line_kinds(lines: DataFrame, body: float, title: float) -> DataFrame:
         F.col("text").rlike(r"^\d+(\.\d+)*\.?\s+\p{Lu}") & F.col("bold"), "body"
     )
     state = F.coalesce(F.last(marker, True).over(w), F.lit("front"))
-    kind = F.when(state == "end", "end").when(
+    drawn = F.array_contains("kinds", "figure") | (F.size(F.array_except("kinds", F.array(F.lit("math")))) == 0) if "kinds" in lines.columns else F.lit(False)
+    kind = F.when(state == "end", "end").when(drawn, "drop").when(
         (F.col("page") == 1) & (state == "front") & (F.col("size") >= title), "title"
     ).when(F.col("bold") | low.rlike("^abstract$"), "heading").when(state == "abstract", "abstract").when((state == "body") & (F.abs(F.col("size") - body) <= 1), "body")
     return lines.withColumn("kind", F.coalesce(kind, F.lit("drop")))
