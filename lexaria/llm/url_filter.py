@@ -7,7 +7,7 @@ rule looks up its block; only possible hits go on to the exact join on the
 canonical URL, which removes false positives.  So the shuffle carries hits, not
 pages.  While the list is small (its rows and bytes are counted) both tables are
 broadcast and pages are read once and never shuffled; beyond that the table of blocks
-is joined by a shuffle, what it says is written, and hits alone go on to the join.
+is joined by a shuffle of the pages that no rule decides, what it says is written, and hits alone go on to the join.
 
 Definitions: a null URL or one without ``://`` has empty host, path and
 canonical form, fits no rule and is never listed.  Of several rules that fit the one
@@ -87,20 +87,23 @@ def judge_urls(
     rows = rows.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canon"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("verdict", verdict)
-    held = ["page_id", "host", "path", "canon", "rule", "verdict"]
-    rows = rows.select(*held, *_place(F.when(F.col("rule").isNull() & (F.col("canon") != ""), F.col("canon")), blocks))
-    hit = reduce(lambda a, b: a & b, (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}") for i in range(WORDS)))
-    free = F.col("rule").isNull() & (F.col("canon") != "")
-    passed = rows.join(F.broadcast(table) if small else table, "block", "left").withColumn(
-        "probe", F.when(free & F.coalesce(hit, F.lit(False)), F.col("canon"))
-    ).select(*held, "probe")
+    open_ = F.col("rule").isNull() & (F.col("canon") != "")
     names = ["page_id", "host", "path", "rule", "verdict"]
+    hit = reduce(lambda a, b: a & b, (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}") for i in range(WORDS)))
     exact = keys.select(F.col("canon").alias("probe"), F.lit(True).alias("on_list"))
     said = F.coalesce("verdict", F.when(F.col("on_list"), "block").otherwise("allow")).alias("verdict")
+
+    def probed(some: DataFrame, filter_: DataFrame) -> DataFrame:
+        """Rows with what has to be looked up in the list: the canonical URL of a possible hit."""
+        placed = some.select(*names, "canon", *_place(F.when(open_, F.col("canon")), blocks))
+        probe = F.when(open_ & F.coalesce(hit, F.lit(False)), F.col("canon"))
+        return placed.join(filter_, "block", "left").select(*names, probe.alias("probe"))
+
     if small:
-        return passed.join(F.broadcast(exact), "probe", "left").select("page_id", "host", "path", "rule", said)
-    passed = Scratch(pages.sparkSession, "url_filter").table(passed)
+        return probed(rows, F.broadcast(table)).join(F.broadcast(exact), "probe", "left").select("page_id", "host", "path", "rule", said)
+    # rows that a rule decides, or that have no URL, have no block and needn't meet the filter: they would all meet in one task
+    decided = rows.filter(~open_).select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    passed = Scratch(pages.sparkSession, "url_filter").table(probed(rows.filter(open_), table))
     found = passed.filter("probe is not null").join(exact, "probe", "left").select("page_id", "host", "path", "rule", said)
-    return found.unionByName(
-        passed.filter("probe is null").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict")).select(names)
-    )
+    clear = passed.filter("probe is null").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    return found.unionByName(clear).unionByName(decided)
