@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaria.functions.batches import dealt
-from lexaria.operators import fitting, selection, tagger, terms
-from lexaria.plans.text_queries import read
+from lexaria.operators import dictionaries, fitting, selection, tagger, terms
+from lexaria.plans.text_queries import _W, read
 
 #: Turns of a conversation that make one sequence at most.
 TURNS, BINS = 64, 1 << 14
@@ -66,7 +66,30 @@ def term_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("*").alias("n_places"), F.count_distinct("term").alias("n_terms"), F.sum(F.col("stop") - F.col("start")).alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (greedy_pairs, simplex_fit, role_tagger, term_places)}
+def _spoken(words: DataFrame, more: int) -> DataFrame:
+    """Words with sounds: a stressed one for each vowel letter, and so many more."""
+    vowels = F.size(F.regexp_extract_all("word", F.lit("[aeiou]"), F.lit(0)))
+    return words.select("word", F.concat(F.lit("K"), F.repeat(F.lit(" AH1"), vowels + more), F.lit(" T")).alias("sounds"))
+
+
+def dictionary_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syllables of all words of the documents by a dictionary of the test items' words (two pronunciations each), which one of the parts' words overrides."""
+    items, parts = (dictionaries.corpus_words(read(spark, sf_dir, t), c).select("word") for t, c in (("benchmark", "text"), ("part", "p_name")))
+    own = dictionaries.override_union([_spoken(parts, 0), _spoken(items, 1).unionByName(_spoken(items, 2))], "word")
+    words = dictionaries.corpus_words(read(spark, sf_dir, "documents"))
+    return dictionaries.dictionary_syllables(words, own)
+
+
+def dictionary_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lemmas of all words of the documents: forms in -ly are listed with what they are made of, the test items' words are the lexicon, endings come last."""
+    words = dictionaries.corpus_words(read(spark, sf_dir, "documents"))
+    lexicon = dictionaries.corpus_words(read(spark, sf_dir, "benchmark"))
+    listed = lexicon.filter("word like '%ly'").select(F.col("word").alias("form"), F.expr("left(word, length(word) - 2)").alias("lemma"))
+    found = dictionaries.lemmas(words, listed, lexicon.select("word"))
+    return found.groupBy("lemma", "how").agg(F.count("*").alias("n_words"), F.sum("n").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (greedy_pairs, simplex_fit, role_tagger, term_places, dictionary_syllables, dictionary_lemmas)}
 
 #: Rounds of the greedy pass: a row that is first under both keys is taken, the others of its keys are gone.
 _ROUNDS = """r AS (SELECT *, 0 AS round, 'open' AS state FROM o
@@ -74,7 +97,27 @@ _ROUNDS = """r AS (SELECT *, 0 AS round, 'open' AS state FROM o
         FROM (SELECT *, h = min(h) OVER (PARTITION BY c) AND h = min(h) OVER (PARTITION BY d) AS won FROM r WHERE state = 'open'))"""
 _SYMBOLS = r"list_transform(regexp_extract_all(lower({0}), '[\s-]+|[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s-]'), lambda x: CASE WHEN regexp_matches(x, '^[\s-]') THEN ' ' ELSE x END)"
 
+_CUT = " UNION ALL ".join(
+    f"SELECT word, {i} AS place, left(word, length(word) - {len(end)}) || '{to}' AS lemma FROM o WHERE word LIKE '%{end}'" for i, (end, to) in enumerate(dictionaries.ENDINGS)
+)
+
 ORACLES = {
+    "dictionary_syllables": f"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({_W}) AS word FROM documents) GROUP BY 1),
+        i AS (SELECT DISTINCT unnest({_W}) AS word FROM benchmark), p AS (SELECT DISTINCT unnest({_W.replace("text", "p_name")}) AS word FROM part),
+        s AS (SELECT word, length(regexp_replace(word, '[^aeiou]', '', 'g')) AS k FROM p
+            UNION ALL SELECT word, length(regexp_replace(word, '[^aeiou]', '', 'g')) + 1 FROM i WHERE word NOT IN (SELECT word FROM p)),
+        g AS (SELECT word, n, regexp_replace(word, '[^a-z]', '', 'g') AS plain FROM w),
+        r AS (SELECT *, len(regexp_extract_all(plain, '[aeiouy]+')) AS groups FROM g)
+        SELECT word, n, coalesce(k, CASE WHEN length(plain) <= 3 THEN 1 ELSE greatest(1, groups - CASE WHEN plain LIKE '%e' AND groups > 1 THEN 1 ELSE 0 END) END) AS syllables,
+            k IS NOT NULL AS known FROM r LEFT JOIN s USING (word)""",
+    "dictionary_lemmas": f"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({_W}) AS word FROM documents) GROUP BY 1),
+        l AS (SELECT DISTINCT unnest({_W}) AS word FROM benchmark),
+        o AS (SELECT word FROM w WHERE word NOT IN (SELECT word FROM l)), t AS ({_CUT}),
+        f AS (SELECT t.word, t.lemma FROM t JOIN l ON l.word = t.lemma QUALIFY row_number() OVER (PARTITION BY t.word ORDER BY place) = 1),
+        r AS (SELECT w.word, n, CASE WHEN l.word LIKE '%ly' THEN left(l.word, length(l.word) - 2) WHEN l.word IS NOT NULL THEN l.word ELSE f.lemma END AS lemma,
+            CASE WHEN l.word LIKE '%ly' THEN 'listed' WHEN l.word IS NOT NULL THEN 'whole' WHEN f.lemma IS NOT NULL THEN 'ending' END AS how
+            FROM w LEFT JOIN l USING (word) LEFT JOIN f USING (word))
+        SELECT lemma, how, count(*) AS n_words, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1, 2""",
     "greedy_pairs": f"""WITH RECURSIVE o AS (SELECT o_orderkey AS id, sha256('3:' || o_orderkey) AS h, o_custkey AS c, o_orderdate AS d FROM orders), {_ROUNDS}
         SELECT id AS o_orderkey, round FROM r WHERE state = 'taken'""",
     # the best weights on every face of the simplex, solved

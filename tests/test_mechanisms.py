@@ -247,3 +247,39 @@ def test_roles_of_held_out_conversations(spark):
     assert len(rows) == spark.read.parquet(f"{SMALL}/conversations.parquet").filter("role is not null").count()
     common = max(sum(r.role == x for r in held) for x in {r.role for r in held})
     assert sum(r.role == r.role_pred for r in held) > 1.2 * common
+
+
+def test_dictionaries(spark, tmp_path):
+    from lexaria.operators import dictionaries as d
+
+    (tmp_path / "cmu.txt").write_text(";;; a comment\nREAD  R EH1 D\nREAD(2)  R IY1 D ER0\nFIRE  F AY1 ER0\nFIRE(2)  F AY1 R\nbroken\n")
+    spoken = d.read_pronunciations(spark, str(tmp_path / "cmu.txt"))
+    assert sorted(map(tuple, spoken.collect()))[0] == ("fire", "F AY1 ER0") and spoken.count() == 4
+    own = d.override_union([spark.createDataFrame([("fire", "F AY1 AH0 ER0")], "word string, sounds string"), spoken], "word")
+    words = spark.createDataFrame([("fire", 3), ("read", 1), ("table", 2), (None, 1)], "word string, n int")
+    assert {r.word: (r.n, r.syllables, r.known) for r in d.dictionary_syllables(words, own).collect()} == {
+        "fire": (3, 3, True), "read": (1, 1, True), "table": (2, 1, False), None: (1, None, False)
+    }
+    words = spark.createDataFrame([(w,) for w in ("went", "cities", "making", "ran", "boxes", "zzzed", "go")], "word string")
+    forms = spark.createDataFrame([("went", "go"), ("went", "wend")], "form string, lemma string")
+    lexicon = spark.createDataFrame([(w,) for w in ("go", "city", "make", "mak", "box", "boxe")], "word string")
+    assert {r.word: (r.lemma, r.how) for r in d.lemmas(words, forms, lexicon).collect()} == {
+        "went": ("go", "listed"), "cities": ("city", "ending"), "making": ("mak", "ending"), "ran": (None, None), "boxes": ("box", "ending"), "zzzed": (None, None), "go": ("go", "whole")
+    }
+    assert d.override_union([own, own], "word").count() == own.count() and d.dictionary_syllables(words.limit(0), spoken).count() == 0
+
+
+def test_partial_aggregates(spark):
+    """A hot group in many tasks, groups without values, and a table function's best candidates."""
+    from lexaria.functions import partial
+
+    moments = partial.Partial(lambda v: np.array([len(v), v.sum(), (v * v).sum()]), lambda s: s.sum(0), lambda s: s[2] / s[0] - (s[1] / s[0]) ** 2)
+    rows = spark.range(0, 50_000, 1, 7).select(F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(F.lit(-1)).alias("g"), (F.col("id") % 97).cast("double").alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([(999, None), (None, 4.0)], "g long, v double"))
+    got = {r.g: r.value for r in partial.partial_aggregate(rows, ["g"], "v", moments).collect()}
+    want = {r.g: r.v for r in rows.groupBy("g").agg(F.var_pop("v").alias("v")).collect()}
+    assert got.keys() == want.keys() and got[999] is None and all(got[k] == pytest.approx(want[k]) for k in want if want[k] is not None)
+    assert partial.partial_aggregate(rows.limit(0), ["g"], "v", moments).count() == 0
+    words = spark.createDataFrame([("x", w) for w in ["abcd", "abce", None] * 500] + [("y", "zz"), ("z", None)], "g string, w string")
+    best = partial.best_candidates(words, "w", "g", lambda w: [(w[:k], float(k)) for k in range(1, len(w) + 1)], 3)
+    assert sorted(map(tuple, best.collect())) == [("x", "abc", 3.0), ("x", "abcd", 4.0), ("x", "abce", 4.0), ("y", "z", 1.0), ("y", "zz", 2.0)]
