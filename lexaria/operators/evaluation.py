@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexaria.sources.shared import Rounds
+
 
 def divide(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
@@ -37,15 +39,15 @@ def before(rows: DataFrame, order: str, value: Column, name: str, descending: bo
 
     Sums run inside ranges of the order, and each range starts from the sum of the
     ranges before it, of which one number a range is collected: no task sees all rows.
+    The rows are written first, since they are read three times: for the ranges, their sums, and the result.
     """
+    rows = Rounds(rows.sparkSession, "before").written(rows)
     rows = rows.withColumn("__r", ranges(rows, order)).withColumn("__v", value)
     sums = sorted((r["__r"], r.s or 0) for r in rows.groupBy("__r").agg(F.sum("__v").alias("s")).collect())
     start, total = {}, 0
     for k, s in reversed(sums) if descending else sums:
         start[k], total = total, total + s
-    first = F.lit(0)
-    for k, s in start.items():
-        first = F.when(F.col("__r") == k, F.lit(s)).otherwise(first)
+    first = F.get(F.array(*(F.lit(start.get(k, 0)) for k in range(max(start, default=0) + 1))), F.col("__r"))
     by = F.desc(order) if descending else F.asc(order)
     inside = F.sum("__v").over(Window.partitionBy("__r").orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn(name, first + F.coalesce(inside, F.lit(0))).drop("__r", "__v")
