@@ -144,7 +144,7 @@ def _repeated_words(df: DataFrame) -> DataFrame:
 
 
 def judge_quality(
-    docs: DataFrame, common: int = 64, min_chars: int = 200, min_words: int = 200, min_reference: int = 1000, max_chars: float = 0.3, max_words: float = 0.36,
+    docs: DataFrame, common: int = 64, min_chars: int = 200, min_words: int = 200, min_reference: int = 1000, max_chars: float = 0.3, max_words: float = 0.4,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """doc_id, the base counts, base_failed, js_chars, js_words (null where a guard or the reference is missing), kept."""

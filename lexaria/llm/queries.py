@@ -155,7 +155,7 @@ def _divergence_sql(common: int = 64) -> str:
             coalesce(v.n, 0) AS n_repeat_words FROM k LEFT JOIN v USING (r)),
         f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-            NOT base_failed AND coalesce(round(jc.js, 6), 0) <= 0.3 AND coalesce(round(jw.js, 6), 0) <= 0.36 AS kept, round(jc.js, 6) AS js_chars, round(jw.js, 6) AS js_words
+            NOT base_failed AND coalesce(round(jc.js, 6), 0) <= 0.3 AND coalesce(round(jw.js, 6), 0) <= 0.4 AS kept, round(jc.js, 6) AS js_chars, round(jw.js, 6) AS js_words
         FROM f LEFT JOIN jc USING (r) LEFT JOIN jw USING (r)"""
 
 
