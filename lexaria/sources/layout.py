@@ -41,14 +41,14 @@ def _main_size(parts: Column) -> Column:
 
 
 def page_lines(elements: DataFrame) -> DataFrame:
-    """doc, page, col, top, left, size, bold, kinds, text: the lines of each page, from windows over its columns."""
+    """doc, page, col, top, left, size, bold, kinds, text: the lines of each page, from windows over its columns; a text printed twice at one place counts once."""
     place = ["doc", "page", "col"]
     tops = F.array_sort(F.collect_set(F.col("top").cast("double")).over(Window.partitionBy(*place)))
     rows = elements.select(*place, "top", "left", "right", "size", "kind", "text").withColumn("starts", _line_starts(tops))
     rows = rows.withColumn("line", F.array_max(F.filter("starts", lambda s: s <= F.col("top")))).drop("starts")
-    part = F.struct("left", "right", "text", "size")
+    part = F.struct("left", "right", "text", "size", F.col("top").alias("own"))
     lines = rows.groupBy(*place, F.col("line").alias("top")).agg(
-        F.min("left").alias("left"), F.array_sort(F.collect_list(part)).alias("parts"), F.array_sort(F.collect_set("kind")).alias("kinds")
+        F.min("left").alias("left"), F.array_sort(F.collect_set(part)).alias("parts"), F.array_sort(F.collect_set("kind")).alias("kinds")
     )
     lines = lines.select(*place, "top", "left", _main_size(F.col("parts")).alias("size"), F.col("kinds").eqNullSafe(F.array(F.lit("bold"))).alias("bold"), "kinds", F.trim(_joined(F.col("parts"))).alias("text"))
     odd = F.col("text").rlike("[" + "".join(preserve.ACCENTS) + "]")
