@@ -125,14 +125,18 @@ def span_scores(gold: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
 
 def ordinal_alpha(rows: DataFrame, unit: str, value: str) -> DataFrame:
-    """Krippendorff's alpha for ordinal values, from coincidences of distinct values (few)."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(unit, value).agg(F.count("*").cast("double").alias("k"))
+    """Krippendorff's alpha for ordinal values, from coincidences of distinct values (few).
+
+    Coincidences are summed as whole numbers for each number of ratings a unit has, and divided afterwards; a value's own sum is a whole number.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(unit, value).agg(F.count("*").alias("k"))
     m = counts.groupBy(unit).agg(F.sum("k").alias("m"), F.collect_list(F.struct(F.col(value).alias("v"), "k")).alias("vs")).filter("m > 1")
     one = m.select("m", F.explode("vs").alias("x"), "vs").select("m", "x", F.explode("vs").alias("y"))
-    pairs = one.groupBy(F.col("x.v").alias("c"), F.col("y.v").alias("d")).agg(
-        F.sum(F.when(F.col("x.v") == F.col("y.v"), F.col("x.k") * (F.col("x.k") - 1)).otherwise(F.col("x.k") * F.col("y.k")) / (F.col("m") - 1)).alias("o")
+    whole = one.groupBy(F.col("x.v").alias("c"), F.col("y.v").alias("d"), "m").agg(
+        F.sum(F.when(F.col("x.v") == F.col("y.v"), F.col("x.k") * (F.col("x.k") - 1)).otherwise(F.col("x.k") * F.col("y.k"))).alias("o")
     )
-    n = pairs.groupBy("c").agg(F.sum("o").alias("n"))
+    pairs = whole.groupBy("c", "d").agg(F.sum(F.col("o") / (F.col("m") - 1)).alias("o"))
+    n = pairs.groupBy("c").agg(F.round(F.sum("o")).alias("n"))
     up = n.select("c", "n", F.sum("n").over(Window.partitionBy().orderBy("c")).alias("cum"))  # one row a distinct value
     a, b = up.select("c", F.col("n").alias("nc"), F.col("cum").alias("cc")), up.select(F.col("c").alias("d"), F.col("n").alias("nd"), F.col("cum").alias("cd"))
     grid = a.crossJoin(F.broadcast(b)).join(pairs, ["c", "d"], "left").fillna(0.0, ["o"])

@@ -5,6 +5,13 @@ from lexaria.plans import catalog
 from lexaria.sources import layout
 
 
+def test_ordinal_alpha_counts_all_values(spark):
+    """A hundred thirds, a hundred times over, are less than their sum as doubles."""
+    rows = [(u, float(v)) for u in range(100) for v in range(1, 5)]
+    got = statistics.ordinal_alpha(spark.createDataFrame(rows, "unit long, rating double").coalesce(1), "unit", "rating").collect()[0]
+    assert got.n_values == len(rows)
+
+
 def test_a_text_printed_twice_at_one_place_counts_once(spark):
     schema = "doc string, page long, col long, top double, left double, right double, size double, kind string, text string"
     one = ("d", 1, 0, 10.0, 0.0, 50.0, 10.0, "plain", "bold")
