@@ -17,3 +17,14 @@ def test_a_text_printed_twice_at_one_place_counts_once(spark):
     one = ("d", 1, 0, 10.0, 0.0, 50.0, 10.0, "plain", "bold")
     rows = [one, one, ("d", 1, 0, 12.0, 0.0, 50.0, 10.0, "plain", "bold"), ("d", 1, 0, 10.0, 60.0, 90.0, 10.0, "plain", "end")]
     assert [r.text for r in layout.page_lines(spark.createDataFrame(rows, schema)).collect()] == ["boldbold end"]
+
+
+def test_means_of_cells_are_exact(spark, tmp_path):
+    """Three values of sum 120: as doubles they come to 120 in one order and to less in the other."""
+    values, rows = [1.74, 13.3, 104.96], []
+    for passage in range(300):
+        rows += [(3 * passage + i, passage, s, v) for s, own in (("click", values), ("view", values[::-1])) for i, v in enumerate(own)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    arms = {(r.config, r.system): r.n for r in catalog.QUERIES["staged_arms"](spark, str(tmp_path)).collect()}
+    assert arms["low", "click"] == arms["low", "view"] == 300
+    assert {r.system: r.n_first for r in catalog.QUERIES["softmax_group"](spark, str(tmp_path)).collect()} == {"click": 300, "view": 300}
