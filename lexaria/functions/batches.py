@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,14 +12,24 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructType, _parse_datatype_string
 
 
-#: Bytes of a table up to which it may lie in a single row group, and so in a single task.
-FEW_GROUPS = 256 << 20
+#: Bytes of a table for each part into which it is dealt, as Spark estimates them.
+PART_BYTES = 1 << 20
+#: Rows of a batch that are Python objects at a time.
+SLICE = 256
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """A small table dealt to all cores: files of one row group would go through one task, whatever the cores. Larger tables stay as they lie, so nothing large is shuffled."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= FEW_GROUPS else df
+    """A table dealt evenly to all cores, in parts that grow in number and not in size: a file's row group is one task, whatever the cores, and its rows may be a whole table's. What is shuffled is the table once, little beside the work on its texts."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if re.search(r"\bRepartition \d+, true", said := plan.toString()) and not re.search(r"\b(Join|Aggregate|Window)\b", said):
+        return df  # it is dealt already
+    size = int(str(plan.stats().sizeInBytes()))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // PART_BYTES), 4096)))
+
+
+def slices(batch: pa.RecordBatch | pa.Array) -> Iterator:
+    """A batch in slices of few rows."""
+    return (batch.slice(at, SLICE) for at in range(0, len(batch), SLICE))
 
 
 def arrow_type(ddl: str) -> pa.DataType:
@@ -30,8 +41,9 @@ def column_of(function: Callable, ddl: str) -> Callable[..., Column]:
     kind = arrow_type(ddl)
 
     def batch(*columns: pa.Array) -> pa.Array:
-        rows = zip(*(c.to_pylist() for c in columns), strict=True)
-        return pa.array([None if any(v is None for v in row) else function(*row) for row in rows], kind)
+        parts = (zip(*(c.to_pylist() for c in part), strict=True) for part in zip(*map(slices, columns), strict=True))
+        made = [pa.array([None if any(v is None for v in row) else function(*row) for row in rows], kind) for rows in parts]
+        return pa.concat_arrays(made) if made else pa.array([], kind)
 
     named = [
         lambda a: batch(a),
@@ -54,7 +66,7 @@ def rows_of(df: DataFrame, function: Callable[..., list[tuple] | tuple], ddl: st
     types = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             values = zip(*(batch.column(len(keep) + i).to_pylist() for i in range(len(arguments))), strict=True)
             made, of = [], []
             for i, row in enumerate(values):
