@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexaria.functions import counted, measures, text
+from lexaria.functions import measures, text
 from lexaria.functions.batches import column_of, rows_of
 from lexaria.operators import corpus
 from lexaria.operators import evaluation as ev
@@ -22,7 +22,7 @@ ENDINGS = ["s", "es", "ed", "ing"]
 
 def formula_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complexity, simplicity, preservation, utility and verdict of each text and its rewrite."""
-    r = counted.record(tq._rewrites(spark, sf_dir).filter("a is not null and b is not null"))
+    r = rows_of(tq._rewrites(spark, sf_dir).filter("a is not null and b is not null"), measures.record, measures.RECORD, ["doc_id"], ["a", "b"])
     names = [f.split()[0] for f in measures.RECORD.split(", ")]
     return r.select("doc_id", *(F.round(c, 6).alias(c) for c in names if c != "accepted"), "accepted")
 

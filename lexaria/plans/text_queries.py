@@ -79,7 +79,9 @@ def _rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simplicity_s(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S with the weights fitted to ratings, from the reductions of complex words and of rare terms and the gain in reading score."""
-    parts = counted.trained_simplicity(_rewrites(spark, sf_dir))
+    parts = rows_of(
+        _rewrites(spark, sf_dir), lambda a, b: measures.trained_simplicity(a or "", b or ""), "s_lex double, s_read double, s_jargon double, s double", ["doc_id"], ["a", "b"]
+    )
     return parts.select("doc_id", *(F.round(c, 6).alias(c) for c in ("s_lex", "s_read", "s_jargon", "s")))
 
 
