@@ -95,11 +95,12 @@ def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def veto_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each rule's first place in a text as a single swap: passed or turned down, with the words around it."""
     veto = stages.window_veto(stages.overlap_entailment, 0.9)
+    single = [(source, stages.dictionary({source: target})) for source, target in RULES.items()]
 
     def run(text: str | None) -> list[tuple[str, bool, int]]:
         out = []
-        for source, target in RULES.items():
-            new, edits = stages.dictionary({source: target})(text or "")
+        for source, stage in single:
+            new, edits = stage(text or "")
             if edits:
                 _, s, e, r = edits[0]
                 swapped = text[:s] + r + text[e:]

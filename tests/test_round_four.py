@@ -1,6 +1,10 @@
 """Faults found in round 3: sums that lose a unit, texts printed twice, means that hang on the order of rows."""
 
-from lexaria.operators import statistics
+from pyspark.sql import functions as F
+
+from lexaria.functions import batches, preserve
+from lexaria.functions.automata import TermIndex
+from lexaria.operators import stages, statistics
 from lexaria.plans import catalog
 from lexaria.sources import layout
 
@@ -28,3 +32,36 @@ def test_means_of_cells_are_exact(spark, tmp_path):
     arms = {(r.config, r.system): r.n for r in catalog.QUERIES["staged_arms"](spark, str(tmp_path)).collect()}
     assert arms["low", "click"] == arms["low", "view"] == 300
     assert {r.system: r.n_first for r in catalog.QUERIES["softmax_group"](spark, str(tmp_path)).collect()} == {"click": 300, "view": 300}
+
+
+def test_tables_are_dealt_in_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    """One row group of any size goes to many tasks, and once."""
+    spark.range(20000).selectExpr("id", "repeat(cast(id as string), 5) AS text").coalesce(1).write.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(batches, "PART_BYTES", 1 << 13, raising=False)
+    monkeypatch.setattr(batches, "FEW_GROUPS", 1 << 13, raising=False)
+    t = batches.dealt(spark.read.parquet(f"{tmp_path}/t"))
+    assert t.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert t.rdd.glom().map(len).max() < 5000
+    assert batches.dealt(t.filter("id > 5")).rdd.getNumPartitions() == t.rdd.getNumPartitions()
+    got = batches.rows_of(t, lambda x: [(len(x),)] * 2, "n int", ["id"], ["text"])
+    assert got.count() == 40000 and got.filter("n <> 5 * length(cast(id as string))").count() == 0
+
+
+def test_functions_see_few_rows_at_a_time(spark):
+    """A batch of Spark's is taken in slices, so what a task holds doesn't grow with it."""
+    import pyarrow as pa
+
+    assert [len(x) for x in batches.slices(pa.array(range(600)))] == [256, 256, 88]
+    texts = spark.range(3000).selectExpr("id", "CASE WHEN id % 7 > 0 THEN concat('the ', id % 40) END AS text").coalesce(1)
+    r = stages.run(stages.dictionary({"the": "a"}), F.col("text"))
+    bad = F.expr("NOT (r.output <=> replace(text, 'the', 'a')) OR NOT (size(r.edits) <=> IF(text IS NULL, size(r.edits), 1))")
+    assert texts.withColumn("r", r).filter(bad).count() == 0
+
+
+def test_many_names_are_looked_up_without_an_automaton(monkeypatch):
+    made = []
+    monkeypatch.setattr(preserve, "TermIndex", lambda *a, **k: made.append(1) or TermIndex(*a, **k))
+    names, text = ["New York", "Bob", "n't", "York New", "Ann", "ob"], "bob's new york, don't: annie"
+    assert preserve.missing(names, text) == ["n't", "York New", "Ann", "ob"] and not made
+    monkeypatch.setattr(preserve, "LOOKED", 0)
+    assert preserve.missing(names, text) == ["n't", "York New", "Ann", "ob"] and made
