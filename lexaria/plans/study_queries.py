@@ -70,7 +70,8 @@ def bigram_context_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A document's pairs are counted where its row is, so one row a document and distinct
     pair goes on, with 64-bit hashes in place of words; it is shuffled once, to meet the
-    pair's count (a pair that most documents have is split by adaptive execution).
+    pair's count (a pair that most documents have is split by adaptive execution). Tables of
+    words and pairs grow with the documents: they are sorted and merged, and never broadcast.
     """
 
     def pairs(t: str) -> list[tuple[str, str, int]]:
@@ -82,8 +83,8 @@ def bigram_context_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = per.groupBy("ab", "a").agg(F.sum("n").alias("k"))
     one = both.groupBy("a").agg(F.sum("k").alias("na"))
     size = one.agg(F.count("*").cast("double").alias("v"))
-    scored = both.join(one, "a").crossJoin(F.broadcast(size)).select("ab", F.log((F.col("k") + 0.1) / (F.col("na") + F.col("v") * 0.1)).alias("lp"))
-    sums = per.select("doc_id", "ab", "n").join(scored, "ab").groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("lp")).alias("s"))
+    scored = both.join(one.hint("merge"), "a").crossJoin(F.broadcast(size)).select("ab", F.log((F.col("k") + 0.1) / (F.col("na") + F.col("v") * 0.1)).alias("lp"))
+    sums = per.select("doc_id", "ab", "n").join(scored.hint("merge"), "ab").groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("lp")).alias("s"))
     return sums.select("doc_id", "n", F.round(F.col("s") / F.col("n"), 6).alias("score"))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lexaria.functions import batches, preserve
 from lexaria.functions.automata import TermIndex
-from lexaria.operators import stages, statistics
+from lexaria.operators import evaluation, stages, statistics
 from lexaria.plans import catalog
 from lexaria.sources import layout
 
@@ -65,3 +65,26 @@ def test_many_names_are_looked_up_without_an_automaton(monkeypatch):
     assert preserve.missing(names, text) == ["n't", "York New", "Ann", "ob"] and not made
     monkeypatch.setattr(preserve, "LOOKED", 0)
     assert preserve.missing(names, text) == ["n't", "York New", "Ann", "ob"] and made
+
+
+def test_tables_of_words_and_pairs_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([(i, f"a b c{i} d") for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalog.QUERIES["bigram_context_score"](spark, str(tmp_path))
+    assert len(df.collect()) == 50
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_nearest_vectors_of_many_batches(spark):
+    """A task's product with the queries is bounded, and its best are those of all its rows."""
+    import numpy as np
+
+    assert evaluation.PRODUCT <= 256
+    v = np.random.default_rng(1).integers(-3, 4, (1500, 5)).astype(float) + 0.5
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, e array<double>").coalesce(1)
+    got = {(r.q_id, r.place): r.id for r in evaluation.nearest(rows, rows.filter("vec_id % 300 = 0"), "vec_id", "e", 4).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(0, 1500, 300):
+        c = np.round(u @ u[q], 9)
+        want = sorted((i for i in range(1500) if i != q), key=lambda i: (-c[i], i))[:4]
+        assert [got[q, p] for p in range(1, 5)] == want
