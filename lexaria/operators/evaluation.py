@@ -155,12 +155,16 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: list[flo
     return ranked.groupBy(*keys).agg(*out).select(*(F.col(k).alias(c) for k, c in zip(keys, by, strict=True)), *(f"q{i}" for i in range(len(shares))))
 
 
+#: Rows of the table in one product with the queries.
+PRODUCT = 256
+
+
 def nearest(table: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, block: int = 4096) -> DataFrame:
     """q_id, id, cosine: the k nearest rows of each query (but itself), of equal ones the smaller id; cosines rounded to nine digits.
 
-    Queries are normalised and broadcast as matrices of at most block rows; each
-    batch of the table meets a matrix in one product and sends on its best k for each
-    query, so what is shuffled is k rows a query and task. Each block is one pass.
+    Queries are normalised and broadcast as matrices of at most block rows; a few
+    rows of the table at a time meet a matrix in one product, and a task holds its best k
+    for each query, so what is shuffled is k rows a query and task. Each block is one pass.
     """
     import numpy as np
     import pyarrow as pa
@@ -180,16 +184,16 @@ def nearest(table: DataFrame, queries: DataFrame, id_col: str, vector_col: str,
 
         def near(batches, held=held):
             q_ids, q = held.value
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                if not len(ids) or not len(q_ids):
-                    continue
-                cosine = np.round(q @ matrix(batch.column(1)).T, 9)
-                cosine[q_ids[:, None] == ids[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(ids, cosine.shape), -cosine), axis=1)[:, :k]
-                top = np.take_along_axis(cosine, order, 1)
-                keep = top > -2
-                yield pa.record_batch([pa.array(np.repeat(q_ids, keep.sum(1))), pa.array(ids[order][keep]), pa.array(top[keep])], ["q_id", "id", "cosine"])
+            ids, top = np.zeros((len(q_ids), 0), np.int64), np.zeros((len(q_ids), 0))
+            for part in (batch.slice(at, PRODUCT) for batch in batches for at in range(0, batch.num_rows, PRODUCT)):
+                own = part.column(0).to_numpy()
+                cosine = np.round(q @ matrix(part.column(1)).T, 9)
+                cosine[q_ids[:, None] == own[None, :]] = -2
+                ids, top = np.hstack([ids, np.broadcast_to(own, cosine.shape)]), np.hstack([top, cosine])
+                order = np.lexsort((ids, -top), axis=1)[:, :k]
+                ids, top = np.take_along_axis(ids, order, 1), np.take_along_axis(top, order, 1)
+            keep = top > -2
+            yield pa.record_batch([pa.array(np.repeat(q_ids, keep.sum(1))), pa.array(ids[keep]), pa.array(top[keep])], ["q_id", "id", "cosine"])
 
         found = rows.mapInArrow(near, "q_id long, id long, cosine double")
         best = found if best is None else best.unionByName(found)
