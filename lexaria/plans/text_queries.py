@@ -151,7 +151,7 @@ def bigram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All counts of the language model with sentence markers: bigrams; words, where b is null; and the vocabulary's size, where a is null too."""
     two = _bigrams(spark, sf_dir)
     # each word but the last marker begins as many bigrams as it occurs
-    ends = _docs(spark, sf_dir).agg(F.count("text").alias("n")).filter("n > 0").select(F.lit("</s>").alias("a"), "n")
+    ends = read(spark, sf_dir, "documents").agg(F.count("text").alias("n")).filter("n > 0").select(F.lit("</s>").alias("a"), "n")
     one = two.groupBy("a").agg(F.sum("n").alias("n")).unionByName(ends)
     none = F.lit(None).cast("string")
     size = one.agg(F.count("*").alias("n"))
