@@ -48,7 +48,7 @@ def dictionary_syllables(words: DataFrame, pronunciations: DataFrame) -> DataFra
     """The words with syllables, the fewest of their pronunciations, and known; a word without one has the syllables of the letter rule."""
     least = pronunciations.groupBy("word").agg(F.min(spoken_syllables(F.col("sounds"))).alias("spoken"))
     rows = words.join(least, "word", "left")
-    return rows.select(*words.columns, F.coalesce("spoken", text.syllables_f(F.col("word"))).alias("syllables"), F.col("spoken").isNotNull().alias("known"))
+    return rows.select(*words.columns, F.when(F.col("word").isNotNull(), F.coalesce("spoken", text.syllables_f(F.col("word")))).alias("syllables"), F.col("spoken").isNotNull().alias("known"))
 
 
 def lemmas(words: DataFrame, inflections: DataFrame, lexicon: DataFrame) -> DataFrame:
