@@ -69,6 +69,13 @@ def blocks_of(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return x, y, before, np.repeat(np.arange(len(sizes)), n)
 
 
+def _exp(x: np.ndarray) -> None:
+    """Exponentials in place, of at most 70."""
+    if x.size and x.max() > 70:
+        np.minimum(x, 70, out=x)
+    np.exp(x, out=x)
+
+
 class Attention:
     """Parameters, training, and scoring."""
 
@@ -96,10 +103,14 @@ class Attention:
         """All parameters in one row."""
         return np.concatenate([v.reshape(-1) for v in self.p.values()])
 
+    def _views(self, weights: np.ndarray) -> dict[str, np.ndarray]:
+        """The parameters as parts of such a row."""
+        cuts = np.cumsum([v.size for v in self.p.values()])[:-1]
+        return {k: w.reshape(v.shape) for (k, v), w in zip(self.p.items(), np.split(weights, cuts), strict=True)}
+
     def take(self, weights: np.ndarray) -> None:
         """Set all parameters from such a row."""
-        cuts = np.cumsum([v.size for v in self.p.values()])[:-1]
-        self.p = {k: w.reshape(v.shape).astype(np.float32) for (k, v), w in zip(self.p.items(), np.split(weights, cuts), strict=True)}
+        self.p = self._views(weights.astype(np.float32))
 
     def copy(self) -> Attention:
         """A model with parameters of its own."""
@@ -112,67 +123,76 @@ class Attention:
     def _step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean loss in nats and gradients; x: ids (batch, 2 SPAN), -1 is padding; y: targets (batch, SPAN), -1 is none."""
         p, d, s, rows = self.p, WIDTH, SPAN, self.vocab_size
-        scale = p["E"].dtype.type(d**-0.5)
-        # queries, keys and values of every token, worked out once for the step; the last row is padding, which no query sees
-        table = np.zeros((rows + 1, 2 * d + 2), dtype=p["E"].dtype)
-        table[:rows, :d], table[:rows, d + 1 : -1], table[:rows, -1] = p["E"] @ p["K"], p["E"] @ p["V"], 1
-        table[rows, d] = _FAR
+        kind = p["E"].dtype
+        scaled = p["Q"] * kind.type(d**-0.5)
+        kv = np.concatenate([p["K"], p["V"]], 1)
+        # embedding, key, value and query of every token, worked out once for the step; the last row is padding
+        table = np.zeros((4, rows + 1, d), dtype=kind)
+        table[0, :rows] = p["E"]
+        np.matmul(table[0], np.stack([p["K"], p["V"], scaled]), out=table[1:])
         ids = np.where(x < 0, rows, x)
-        kv = table.take(ids, axis=0)
-        k, v = kv[:, :, : d + 1], kv[:, :, d + 1 :]
-        mine = np.minimum(ids[:, s:], rows - 1)
-        own = p["E"].take(mine, axis=0)
-        q = np.concatenate([own @ (p["Q"] * scale), np.ones((len(x), s, 1), dtype=own.dtype)], 2)
-        w = q @ k.transpose(0, 2, 1)
+        e, k, v = (t.take(ids, axis=0) for t in table[:3])
+        own, q = e[:, s:], table[3].take(ids[:, s:], axis=0)
+        w = np.matmul(q, k.transpose(0, 2, 1))
         w += p["pos"][self.distance] + self.future
-        np.exp(np.minimum(w, 70, out=w), out=w)
-        seen = w @ v  # the last column is the sum of the weights
-        one = 1 / np.maximum(seen[:, :, d:], 1e-30)
-        told = seen[:, :, :d] * one
-        h = (own + told).reshape(-1, d)
-        use = np.flatnonzero(y.reshape(-1) >= 0)
-        t = y.reshape(-1)[use]
+        _exp(w)
+        w *= (x >= 0).astype(kind)[:, None]
+        total = w.reshape(-1, 2 * s) @ np.ones((2 * s, 1), dtype=kind)
+        one = 1 / np.maximum(total, 1e-30).reshape(-1, s, 1)
+        told = w @ v
+        told *= one
+        # a target's vector carries a 1 for the biases; targets go by class
+        use = np.flatnonzero(y >= 0)
+        t = y.reshape(-1).take(use)
         order = np.argsort((t // CLASS).astype(np.uint16), kind="stable")
-        use, t = use[order], t[order]
-        g = h[use]
+        use, t = use.take(order), t.take(order)
+        g = np.ones((len(t), d + 1), dtype=kind)
+        np.add(own, told).reshape(-1, d).take(use, axis=0, out=g[:, :d], mode="clip")
         c, m, at = t // CLASS, t % CLASS, np.arange(len(t))
-        pc = g @ p["C"] + p["bc"]
-        np.exp(np.minimum(pc, 70, out=pc), out=pc)
-        pc *= 1 / (pc @ np.ones((self.classes, 1), dtype=pc.dtype))
-        members, edge = p["M"].reshape(self.classes, CLASS, d), np.searchsorted(c, np.arange(self.classes + 1)).tolist()
+        members = np.concatenate([p["M"].reshape(self.classes, CLASS, d), p["bm"].reshape(self.classes, CLASS, 1)], 2)
+        edge = np.searchsorted(c, np.arange(self.classes + 1)).tolist()
         parts = [(n, slice(i, j)) for n, (i, j) in enumerate(zip(edge, edge[1:])) if j > i]
-        pm = p["bm"].reshape(self.classes, CLASS)[c]
+        pc = g @ np.concatenate([p["C"], p["bc"][None]])
+        pm = np.empty((len(t), CLASS), dtype=kind)
         for cls, of in parts:
-            pm[of] += g[of] @ members[cls].T
-        np.exp(np.minimum(pm, 70, out=pm), out=pm)
-        pm *= 1 / np.maximum(pm @ np.ones((CLASS, 1), dtype=pm.dtype), 1e-30)
-        loss = -float(np.mean(np.log(pc[at, c] + 1e-30) + np.log(pm[at, m] + 1e-30)))
-        n = p["E"].dtype.type(1 / len(t))
-        pc *= n
-        pm *= n
-        pc[at, c] -= n
-        pm[at, m] -= n
-        gm, gb = np.zeros_like(members), np.zeros((self.classes, CLASS), dtype=members.dtype)
-        dg = pc @ p["C"].T
+            np.matmul(g[of], members[cls].T, out=pm[of])
+        n, loss = kind.type(1 / len(t)), 0.0
+        for part, target in ((pc, at * self.classes + c), (pm, at * CLASS + m)):
+            _exp(part)
+            part *= n / np.maximum(part @ np.ones((part.shape[1], 1), dtype=kind), 1e-30)
+            flat = part.reshape(-1)
+            right = flat.take(target)
+            flat[target] = right - n
+            loss -= float(np.mean(np.log(right / n + 1e-30)))
+        gm, dg = np.zeros_like(members), np.empty((len(t), d), dtype=kind)
         for cls, of in parts:
-            gm[cls], gb[cls] = pm[of].T @ g[of], np.ones(of.stop - of.start, dtype=pm.dtype) @ pm[of]
-            dg[of] += pm[of] @ members[cls]
-        out = {"C": g.T @ pc, "bc": np.ones(len(t), dtype=pc.dtype) @ pc, "M": gm.reshape(-1, d), "bm": gb.reshape(-1)}
-        dh = np.zeros((y.size, d), dtype=own.dtype)
+            np.matmul(pm[of].T, g[of], out=gm[cls])
+            np.matmul(pm[of], members[cls, :, :d], out=dg[of])
+        dg += pc @ p["C"].T
+        gc = g.T @ pc
+        out = {"C": gc[:d], "bc": gc[d], "M": gm[:, :, :d].reshape(-1, d), "bm": gm[:, :, d].reshape(-1)}
+        dh = np.zeros((y.size, d), dtype=kind)
         dh[use] = dg
         dh = dh.reshape(own.shape)
         part = dh * one
-        dv = w.transpose(0, 2, 1) @ part
-        ds = part @ v[:, :, :d].transpose(0, 2, 1)
-        ds -= np.einsum("bid,bid->bi", part, told)[:, :, None]
+        ds = np.matmul(part, v.transpose(0, 2, 1))
+        told *= part
+        ds -= (told.reshape(-1, d) @ np.ones((d, 1), dtype=kind)).reshape(-1, s, 1)
         ds *= w
-        out["pos"] = np.bincount(self.distance.reshape(-1), weights=ds.sum(0).reshape(-1), minlength=2 * s).astype(own.dtype)
-        dq, dk = ds @ k[:, :, :d], ds.transpose(0, 2, 1) @ q[:, :, :d]
-        by_all = self._by_token(ids, np.concatenate([dk, dv], 2))
-        by_own = self._by_token(mine, np.concatenate([dq, dh], 2))
-        gk, gv, gq = by_all[:, :d], by_all[:, d:], by_own[:, :d] * scale
-        out["Q"], out["K"], out["V"] = p["E"].T @ gq, p["E"].T @ gk, p["E"].T @ gv
-        out["E"] = by_own[:, d:] + gq @ p["Q"].T + gk @ p["K"].T + gv @ p["V"].T
+        out["pos"] = np.bincount(self.distance.reshape(-1), weights=ds.sum(0).reshape(-1), minlength=2 * s).astype(kind)
+        dkv = np.empty((len(x), 2 * s, 2 * d), dtype=kind)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :d])
+        np.matmul(w.transpose(0, 2, 1), part, out=dkv[:, :, d:])
+        dq = (ds @ k).reshape(-1, d)
+        # each place's share in its token's embedding, summed by token; weights take theirs from the places
+        e, dkv = e.reshape(-1, d), dkv.reshape(-1, 2 * d)
+        gkv = e.T @ dkv
+        out["K"], out["V"] = gkv[:, :d], gkv[:, d:]
+        out["Q"] = own.reshape(-1, d).T @ dq * (p["Q"].dtype.type(d**-0.5))
+        de = (dkv @ kv.T).reshape(len(x), 2 * s, d)
+        dh += (dq @ scaled.T).reshape(dh.shape)
+        de[:, s:] += dh
+        out["E"] = self._by_token(ids, de)
         return loss, out
 
     def _by_token(self, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -182,21 +202,37 @@ class Attention:
         ids = ids[order]
         head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         out = np.zeros((self.vocab_size + 1, rows.shape[1]), dtype=rows.dtype)
-        out[ids[head]] = np.add.reduceat(rows.take(order, axis=0), head, axis=0)
+        # two numbers at a time, as the real and the imaginary part
+        pairs = rows.take(order, axis=0).view(np.result_type(rows.dtype, np.complex64))
+        out[ids[head]] = np.add.reduceat(pairs, head, axis=0).view(rows.dtype)
         return out[:-1]
 
     def _descend(self, x: np.ndarray, y: np.ndarray, before: np.ndarray, picks, rates) -> list[float]:
         """Adam steps on these picks of blocks at these rates; returns the losses."""
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        # all parameters and their moments in one row each
+        flat = self.weights()
+        self.p = self._views(flat)
+        g, first, second, now_at = np.empty_like(flat), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
+        into = self._views(g)
         losses = []
         for step, (pick, now) in enumerate(zip(picks, rates, strict=True), 1):
             loss, grad = self._step(np.concatenate([x[before[pick]], x[pick]], 1), y[pick])
             losses.append(loss)
-            for k, g in grad.items():
-                first[k] += np.float32(0.1) * (g - first[k])
-                second[k] += np.float32(0.01) * (g * g - second[k])
-                self.p[k] -= np.float32(now) * (first[k] / np.float32(1 - 0.9**step)) / (np.sqrt(second[k] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+            for k, v in grad.items():
+                into[k][...] = v
+            np.subtract(g, first, out=now_at)
+            now_at *= np.float32(0.1)
+            first += now_at
+            g *= g
+            g -= second
+            g *= np.float32(0.01)
+            second += g
+            np.multiply(second, np.float32(1 / (1 - 0.99**step)), out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-8)
+            np.divide(first, g, out=now_at)
+            now_at *= np.float32(now / (1 - 0.9**step))
+            flat -= now_at
         return losses
 
     def train(self, tokens: np.ndarray, bounds: np.ndarray, steps: int = 800, batch: int = 192, rate: float = 0.03, seed: int = 11) -> list[float]:

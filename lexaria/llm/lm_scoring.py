@@ -34,6 +34,7 @@ split reads are used; other columns may have any name.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 
 from lexaria.llm.attention import Attention, Vocabulary, blocks_of
 from lexaria.llm.scratch import Scratch, least_count
-from lexaria.llm.words import HashIndex, bound_batches, chunk_words, chunks, expand, one_thread
+from lexaria.llm.words import HashIndex, bound_batches, chunk_words, chunks, expand, give_back, keep_freed, one_thread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 FREQUENT = 1 << 18
@@ -62,6 +63,10 @@ FIRST = 1 << 14
 SCORED = 1 << 17
 #: Words gathered in a task before they are counted.
 FLUSH = 1 << 21
+#: Words spelt in one row, and words whose subwords a worker keeps.
+ROW, KEPT = 1 << 14, 1 << 19
+#: White space that a word may hold, with which a row could be cut otherwise than its words.
+GAP = re.compile(r"[^\S ]")
 # Fixed value: how the tokenizer's vocabulary was made to split text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -75,11 +80,70 @@ class Subwords:
     def __init__(self, file: bytes):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
         self.size = max(ranks.values()) + 1
+        self.length = np.zeros(self.size, dtype=np.int64)
+        self.length[list(ranks.values())] = [len(b) for b in ranks]
         self.encoding = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, word: bytes) -> list[int]:
         return self.encoding.encode_ordinary(" " + word.decode())
 
+    def _row(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As many, of words that no other white space touches: in a row with a space before each, a piece never runs over a word's end."""
+        ids = np.array(self.encoding.encode_ordinary((b" " + b" ".join(words)).decode()), dtype=np.int32)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        return np.diff(np.searchsorted(np.cumsum(self.length[ids]), ends, "right"), prepend=0), ids
+
+    def many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of subword ids of words, and the ids of all."""
+        sizes, ids = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+        for i in range(0, len(words), ROW):
+            some = words[i : i + ROW]
+            if not GAP.search(b" ".join(some).decode()):
+                size, own = self._row(some)
+            else:
+                odd = np.array([GAP.search(w.decode()) is not None for w in some])
+                lists = [self(w) for w, o in zip(some, odd.tolist(), strict=True) if o]
+                size = np.zeros(len(some), dtype=np.int64)
+                size[odd] = [len(x) for x in lists]
+                plain = [w for w, o in zip(some, odd.tolist(), strict=True) if not o]
+                size[~odd], row = self._row(plain) if plain else (0, ids[0])
+                own, first = np.zeros(int(size.sum()), dtype=np.int32), np.cumsum(size) - size
+                own[expand(first[odd], size[odd])[0]] = [i for x in lists for i in x]
+                own[expand(first[~odd], size[~odd])[0]] = row
+            sizes.append(size)
+            ids.append(own)
+        return np.concatenate(sizes), np.concatenate(ids)
+
+
+class _Known:
+    """Subword ids of words that came twice or more in one go, by hash."""
+
+    def __init__(self):
+        self.keys, self.first, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def __call__(self, keys: np.ndarray, n: np.ndarray, spell) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words, given their hashes in order, their counts, and what spells the words at some places."""
+        at = np.searchsorted(self.keys, keys)
+        old = np.zeros(len(keys), dtype=bool)
+        inside = np.flatnonzero(at < len(self.keys))
+        old[inside] = self.keys[at[inside]] == keys[inside]
+        new = np.flatnonzero(~old)
+        sizes, ids = spell(new)
+        first, size = np.empty(len(keys), dtype=np.int64), np.empty(len(keys), dtype=np.int64)
+        first[old], size[old] = self.first[at[old]], self.size[at[old]]
+        first[new], size[new] = len(self.pool) + np.cumsum(sizes) - sizes, sizes
+        out = np.concatenate([self.pool, ids])[expand(first, size)[0]]
+        kept = new[n[new] > 1]
+        if len(self.keys) + len(kept) > KEPT:
+            self.__init__()
+        elif len(kept):
+            ends = np.cumsum(size[kept])
+            spelt = out[expand((np.cumsum(size) - size)[kept], size[kept])[0]]
+            self.keys, self.size = np.insert(self.keys, at[kept], keys[kept]), np.insert(self.size, at[kept], size[kept])
+            self.first = np.insert(self.first, at[kept], len(self.pool) + ends - size[kept])
+            self.pool = np.concatenate([self.pool, spelt])
+        return size, out
+
 
 def _live(key: str, make):
     """One such object for each worker process; those of earlier runs go."""
@@ -96,34 +160,28 @@ def _counter(run: str, held):
         """kind 1: word hash and count; kind 2: subword id and count; kind 3: number of texts."""
         tokenizer = _live(f"{run}:words", lambda: Subwords(held.value))
         subword = np.zeros(tokenizer.size, dtype=np.int64)
-        known: dict[int, list[int]] = {}
+        known = _live(f"{run}:known", _Known)
         texts = words = 0
         parts: list[tuple] = []
 
         def sent() -> pa.RecordBatch:
-            h = np.concatenate([p[0] for p in parts])
-            which = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-            base = np.cumsum([0] + [len(p[0]) for p in parts])
-            u, at, n = np.unique(h, return_index=True, return_counts=True)
-            ids, weights = [], []
-            if len(known) > 1 << 19:
-                known.clear()
-            for key, i, k in zip(u.tolist(), at.tolist(), n.tolist(), strict=True):
-                got = known.get(key)
-                if got is None:
-                    p = which[i]
-                    j = i - base[p]
-                    got = known[key] = tokenizer(bytes(parts[p][3][parts[p][1][j] : parts[p][2][j]]).lower())
-                ids += got
-                weights += [k] * len(got)
-            np.add(subword, np.bincount(np.array(ids, dtype=np.int64), weights=weights, minlength=len(subword)).astype(np.int64), out=subword)
+            u, at, n = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_counts=True)
+            base = np.cumsum([0] + [len(p[3]) for p in parts])
+            s, e = (np.concatenate([p[k] + b for p, b in zip(parts, base, strict=False)])[at] for k in (1, 2))
+            data = b"".join(p[3] for p in parts)
+
+            def spell(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                return tokenizer.many([data[a:b] for a, b in zip(s[some].tolist(), e[some].tolist(), strict=True)])
+
+            size, ids = known(u, n, spell)
+            np.add(subword, np.bincount(ids, weights=np.repeat(n, size), minlength=len(subword)).astype(np.int64), out=subword)
             return pa.record_batch([pa.array(np.full(len(u), 1, dtype=np.int8)), pa.array(u.view(np.int64)), pa.array(n)], ["kind", "h", "n"])
 
         for batch in batches:
             texts += batch.num_rows
             for _, _, data, offsets in chunks(batch.column(0)):
                 s, e, h, _ = chunk_words(data, offsets)
-                parts.append((h, s, e, data.tobytes()))
+                parts.append((h, s, e, data.tobytes().lower()))
                 words += len(h)
                 if words >= FLUSH:
                     yield sent()
@@ -183,6 +241,7 @@ def _trainer(shared, rate: float, steps: int | None):
     def train(table: pa.Table) -> pa.Table:
         """The weights after this shard's texts, and its number of targets; with steps, random blocks of them, else each block once."""
         one_thread()
+        keep_freed()
         # an order that doesn't depend on how rows came; equal rows may trade places
         held = sorted(zip(table.column("key").to_pylist(), table.column("ids").to_pylist(), strict=True))
         tokens, bounds, _ = _tokens(pa.array([x for _, x in held], pa.binary()))
@@ -191,13 +250,18 @@ def _trainer(shared, rate: float, steps: int | None):
             n = model.train_once(tokens, bounds, rate)
         else:
             n = len(model.train(tokens, bounds, steps=steps)) and len(tokens) + len(held)
+        give_back()
         return pa.table({"n": pa.array([n], pa.int64()), "weights": pa.array([model.weights().tobytes()], pa.binary())})
 
     return train
 
 
+def _rounds(tokens: int) -> int:
+    return max(1, min(ROUNDS, tokens // SHARD_TOKENS))
+
+
 def _fit(model: Attention, texts: DataFrame, tokens: int, steps: int) -> None:
-    """Trains the model on texts (key, ids) with this many tokens in all."""
+    """Trains the model on texts (round, key, ids) with this many tokens in all; a round reads no other's texts where the table is cut by round."""
     sc = texts.sparkSession.sparkContext
 
     def average(rows: DataFrame, rate: float, steps: int | None) -> None:
@@ -212,10 +276,10 @@ def _fit(model: Attention, texts: DataFrame, tokens: int, steps: int) -> None:
     place = F.xxhash64(F.col("key"), F.lit(1))
     cut = F.lit(min(1.0, START_TOKENS / max(tokens, 1)) - 0.5) * float(1 << 64)
     average(texts.filter(place.cast("double") < cut).select(F.lit(0).alias("shard"), "key", "ids"), 0.0, steps)
-    rounds = max(1, min(ROUNDS, tokens // SHARD_TOKENS))
+    rounds = _rounds(tokens)
     shards = min(SHARDS, -(-tokens // (rounds * SHARD_TOKENS)) or 1)
     for k in range(rounds):
-        part = texts.filter(F.pmod(F.xxhash64(F.col("key"), F.lit(2)), F.lit(rounds)) == k)
+        part = texts.filter(F.col("round") == k)
         average(part.select(F.pmod(F.xxhash64(F.col("key"), F.lit(3)), F.lit(shards)).alias("shard"), "key", "ids"), RATE * (1 - 0.95 * k / rounds), None)
 
 
@@ -233,8 +297,7 @@ class _Speller:
         self.used = 0
 
     def _spell(self, data: bytes, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lists = [self.tokenizer(data[a:b].lower()) for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-        return np.array([len(x) for x in lists], dtype=np.int64), np.array([i for x in lists for i in x], dtype=np.int32)
+        return self.tokenizer.many([data[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)])
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple:
         """By row: words, those frequent, sum of their log counts, shares and extra costs of words, model ids; and (row, hash, count) of other words."""
@@ -245,7 +308,7 @@ class _Speller:
         common = at >= 0
         n_common = np.bincount(row[common], minlength=rows)
         base = np.bincount(row[common], weights=self.log_count[at[common]], minlength=rows)
-        raw = data.tobytes()
+        raw = data.tobytes().lower()
         new = np.flatnonzero(common)
         new = new[self.first[at[new]] < 0]
         if len(new):
@@ -341,24 +404,25 @@ def score_texts(
                 )
                 yield _batch(rid=own[r], n=tf, h=h, doc_id=pa.nulls(len(r), batch.column(2).type))
 
-    # rows without h are texts, the others are the words of a text that are not frequent
+    # rows without h are texts, the others (round -1) are the words of a text that are not frequent; held-out texts have round -2
     kind = dict(rows.dtypes)["doc_id"]
     numbered = rows.withColumn("rid", F.monotonically_increasing_id())
-    found = scratch.table(
-        numbered.select("rid", "text", "doc_id", "held_out").mapInArrow(
-            spell, f"rid long, n long, common long, h long, base double, extra binary, ids binary, doc_id {kind}, held_out boolean"
-        )
+    spelt = numbered.select("rid", "text", "doc_id", "held_out").mapInArrow(
+        spell, f"rid long, n long, common long, h long, base double, extra binary, ids binary, doc_id {kind}, held_out boolean"
     )
+    key, tokens = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "ids"), int(subword.sum())
+    dealt = F.pmod(F.xxhash64(key, F.lit(2)), F.lit(_rounds(tokens))).cast("int")
+    found = scratch.table(spelt.withColumn("round", F.when(F.col("h").isNotNull(), -1).when(~F.col("held_out"), dealt).otherwise(-2)), by=["round"])
     model = Attention(vocab)
     if texts:
-        key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "ids")
-        _fit(model, found.filter("h is null and not held_out").select(key.alias("key"), "ids"), int(subword.sum()), steps)
+        _fit(model, found.filter("round >= 0").select("round", key.alias("key"), "ids"), tokens, steps)
     model.freeze()
     shared = sc.broadcast(model)
     end_prior = float(np.log10(texts + 0.5)) - scale
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        keep_freed()
         for batch in batches:
             tokens, bounds, starts = _tokens(batch.column(0))
             costs, words_of = _shorts(batch.column(batch.num_columns - 1), np.uint16)
@@ -375,14 +439,15 @@ def score_texts(
                 out[first:last] = mixed(logs, mine - mine[0], at, costs[some, 0] / -STEP, end_prior)
                 first = last
             yield pa.record_batch([*batch.columns[1:-1], pa.array(out)], ["rid", "n", "common", "base", "doc_id", "held_out", "score"])
+        give_back()
 
-    rare = found.filter("h is not null").select("rid", "h", F.col("n").alias("tf")).join(words, "h", "left")
+    rare = found.filter("round = -1").select("rid", "h", F.col("n").alias("tf")).join(words, "h", "left")
     rare = rare.groupBy("rid").agg(
         F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_base"),
         F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known")
     )
     known_end = 1 if texts else 0
-    scored = found.filter("h is null").select("ids", "rid", "n", "common", "base", "doc_id", "held_out", "extra")
+    scored = found.filter("round <> -1").select("ids", "rid", "n", "common", "base", "doc_id", "held_out", "extra")
     out = scored.mapInArrow(score, f"rid long, n long, common long, base double, doc_id {kind}, held_out boolean, score double").join(rare, "rid", "left")
     return out.select(
         "doc_id",

@@ -37,11 +37,11 @@ class Scratch:
         self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(self._path)
 
-    def table(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        """Write df and return what was written."""
+    def table(self, df: DataFrame, codec: str = "zstd", by: list[str] | None = None) -> DataFrame:
+        """Write df, in a folder for each value of by if there is one, and return what was written."""
         self._made += 1
         path = f"{self.folder}/{self._made:03d}"
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).partitionBy(*by or []).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         return out

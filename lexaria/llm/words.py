@@ -133,6 +133,17 @@ def give_back() -> None:
         trim(0)
 
 
+def keep_freed() -> None:
+    """Freed arrays of up to 32 MB stay with this worker until give_back: where each step takes and frees some MB, fresh pages take a fourth of its time.
+
+    Does nothing where the C library can't.
+    """
+    option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if option is not None:
+        option(-3, 1 << 25)  # M_MMAP_THRESHOLD
+        option(-1, 1 << 28)  # M_TRIM_THRESHOLD
+
+
 def one_thread() -> None:
     """Matrix products of this worker on one thread: a task has one core, and further threads only wait for each other on products this small.
 
