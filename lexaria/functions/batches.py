@@ -14,6 +14,8 @@ from pyspark.sql.types import DataType, StructType, _parse_datatype_string
 
 #: Bytes of a table for each part into which it is dealt, as Spark estimates them.
 PART_BYTES = 1 << 20
+#: Rows, about, of a part that a model's fit holds and goes through in one task.
+FIT_ROWS = 1 << 18
 #: Rows of a batch that are Python objects at a time.
 SLICE = 256
 
@@ -27,6 +29,11 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // PART_BYTES), 4096)))
 
 
+def dealt_for_fit(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """A table of about so many rows, by key in parts that grow in number and not in size, each in order: a fit keeps its rows and reads a part whole again in every step. Parts and order don't hang on files or cores, and neither does what a fit samples by part."""
+    return df.repartition(max(1, -(-rows // FIT_ROWS)), key).sortWithinPartitions(key)
+
+
 def slices(batch: pa.RecordBatch | pa.Array) -> Iterator:
     """A batch in slices of few rows."""
     return (batch.slice(at, SLICE) for at in range(0, len(batch), SLICE))

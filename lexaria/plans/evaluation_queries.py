@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexaria.functions.batches import dealt_for_fit
 from lexaria.operators import evaluation as ev
 from lexaria.plans.text_queries import read
 
@@ -288,8 +289,9 @@ def logistic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.log1p("n_chars").alias("f"), (F.length(F.regexp_replace("text", r"[^\p{L} ]", "")) / F.length("text").cast("double")).alias("g"),
         (F.size(F.split("text", r"[.!?]")) / F.length("text").cast("double")).alias("h")
     )
+    labels = read(spark, sf_dir, "labels")
     x = VectorAssembler(inputCols=["f", "g", "h"], outputCol="raw", handleInvalid="skip").transform(
-        read(spark, sf_dir, "labels").join(d, "doc_id").withColumn("y", F.col("quality").cast("double"))
+        dealt_for_fit(labels.join(d, "doc_id").withColumn("y", F.col("quality").cast("double")), "doc_id", labels.count())
     )
     train, test = x.filter("doc_id % 5 <> 0"), x.filter("doc_id % 5 = 0")
     scale = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(train)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexaria.functions import text
+from lexaria.functions.batches import dealt_for_fit
 from lexaria.plans import evaluation_queries as eq
 from lexaria.plans.text_queries import _W, read
 
@@ -102,9 +103,9 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.length(F.regexp_replace("text", r"[^\p{L} ]", "")) / F.length("text").cast("double")).alias("g"),
         (F.size(F.split("text", r"[.!?]")) / F.length("text").cast("double")).alias("h")
     )
-    return read(spark, sf_dir, "labels").join(d, "doc_id").withColumn("y", F.col("quality").cast("double")).withColumn(
-        "fold", (F.crc32("source") % FOLDS).cast("int")
-    )
+    labels = read(spark, sf_dir, "labels")
+    x = labels.join(d, "doc_id").withColumn("y", F.col("quality").cast("double")).withColumn("fold", (F.crc32("source") % FOLDS).cast("int"))
+    return dealt_for_fit(x, "doc_id", labels.count())
 
 
 def _assembled(rows: DataFrame, columns: list[str], out: str) -> DataFrame:
@@ -159,7 +160,7 @@ def boosted_price(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("p_type").cast("double").alias("c"), (F.col("p_partkey") % 10).cast("double").alias("d"), (F.col("p_partkey") / 1000.0).alias("e"),
         F.length("p_brand").cast("double").alias("g")
     )
-    x = _assembled(p, ["a", "b", "c", "d", "e", "g"], "x")
+    x = _assembled(dealt_for_fit(p, "p_partkey", p.count()), ["a", "b", "c", "d", "e", "g"], "x")
     train = x.filter("p_partkey % 5 <> 0")
     low, high = train.agg(F.min("y"), F.max("y")).first()
     model = GBTRegressor(featuresCol="x", labelCol="y", maxIter=10, maxDepth=4, seed=7).fit(train)
