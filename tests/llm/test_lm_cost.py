@@ -75,7 +75,7 @@ def test_kept_words_give_way(monkeypatch):
 
 
 def test_tokens_are_cut_by_round(spark, monkeypatch):
-    """Each round reads its own texts' files; with one table for all, every round read every text and every rare word."""
+    """The table of tokens has a folder for each round; with one for all, every round read every text and every rare word."""
     seen = []
     fit = lm_scoring._fit
 
