@@ -7,7 +7,8 @@ output biases and the shares of rare tokens), the baseline and the weights come
 from all training texts.  The attention model starts on whole texts of some
 ``START_TOKENS`` subwords, drawn by hash.  Then every block of every training
 text is taken once: texts are dealt by hash to ``ROUNDS`` rounds, and in a round
-to shards of some ``SHARD_TOKENS``; each shard's task goes on from the weights
+to shards of some ``SHARD_TOKENS`` (up to ``GROWN`` times as many where there is much
+text, with steps as much larger); each shard's task goes on from the weights
 of the round before, and their average, by numbers of targets, is what the next
 round gets.  Steps so grow with the tokens, and weights don't depend on how rows
 lie in partitions.  Every token of every text is scored once, in overlapping
@@ -53,6 +54,8 @@ FREQUENT = 1 << 18
 START_TOKENS, STEPS = 1 << 21, 700
 #: Passes over parts of the texts, which together are all texts; a shard's subwords; most shards of a round (beyond it they grow).
 ROUNDS, SHARD_TOKENS, SHARDS = 8, 1 << 18, 256
+#: Blocks of a step, and how many times larger steps and shards get where a round has some shards for each of 8 tasks.
+BATCH, GROWN = 192, 4
 #: Adam's rate in the first round; it falls to nearly nothing in the last.
 RATE = 0.006
 #: Weight of a word's share in the mixture, and steps of a decimal logarithm that shares are kept in.
@@ -158,6 +161,7 @@ def _live(key: str, make):
 def _counter(run: str, held):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 1: word hash and count; kind 2: subword id and count; kind 3: number of texts."""
+        keep_freed()
         tokenizer = _live(f"{run}:words", lambda: Subwords(held.value))
         subword = np.zeros(tokenizer.size, dtype=np.int64)
         known = _live(f"{run}:known", _Known)
@@ -237,7 +241,7 @@ def mixed(logs: np.ndarray, bounds: np.ndarray, starts: np.ndarray, prior: np.nd
     return np.add.reduceat(both, edges[:-1]) if texts else np.zeros(0)
 
 
-def _trainer(shared, rate: float, steps: int | None):
+def _trainer(shared, rate: float, steps: int | None, batch: int):
     def train(table: pa.Table) -> pa.Table:
         """The weights after this shard's texts, and its number of targets; with steps, random blocks of them, else each block once."""
         one_thread()
@@ -247,7 +251,7 @@ def _trainer(shared, rate: float, steps: int | None):
         tokens, bounds, _ = _tokens(pa.array([x for _, x in held], pa.binary()))
         model = shared.value.copy()
         if steps is None:
-            n = model.train_once(tokens, bounds, rate)
+            n = model.train_once(tokens, bounds, rate, batch)
         else:
             n = len(model.train(tokens, bounds, steps=steps)) and len(tokens) + len(held)
         give_back()
@@ -260,13 +264,18 @@ def _rounds(tokens: int) -> int:
     return max(1, min(ROUNDS, tokens // SHARD_TOKENS))
 
 
+def _growth(tokens: int) -> int:
+    """How many times larger steps and shards are: of more text, each round's average takes as many steps of more blocks, which cost less a block."""
+    return max(1, min(GROWN, tokens // (8 * ROUNDS * SHARD_TOKENS)))
+
+
 def _fit(model: Attention, texts: DataFrame, tokens: int, steps: int) -> None:
     """Trains the model on texts (round, key, ids) with this many tokens in all; a round reads no other's texts where the table is cut by round."""
-    sc = texts.sparkSession.sparkContext
+    sc, grown = texts.sparkSession.sparkContext, _growth(tokens)
 
     def average(rows: DataFrame, rate: float, steps: int | None) -> None:
         shared = sc.broadcast(model)
-        done = rows.groupBy("shard").applyInArrow(_trainer(shared, rate, steps), "n long, weights binary").collect()
+        done = rows.groupBy("shard").applyInArrow(_trainer(shared, rate, steps, BATCH * grown), "n long, weights binary").collect()
         shared.destroy()
         # in a fixed order, as sums of floats depend on it
         done = sorted((r.n, bytes(r.weights)) for r in done if r.n)
@@ -277,7 +286,7 @@ def _fit(model: Attention, texts: DataFrame, tokens: int, steps: int) -> None:
     cut = F.lit(min(1.0, START_TOKENS / max(tokens, 1)) - 0.5) * float(1 << 64)
     average(texts.filter(place.cast("double") < cut).select(F.lit(0).alias("shard"), "key", "ids"), 0.0, steps)
     rounds = _rounds(tokens)
-    shards = min(SHARDS, -(-tokens // (rounds * SHARD_TOKENS)) or 1)
+    shards = min(SHARDS, -(-tokens // (rounds * SHARD_TOKENS * grown)) or 1)
     for k in range(rounds):
         part = texts.filter(F.col("round") == k)
         average(part.select(F.pmod(F.xxhash64(F.col("key"), F.lit(3)), F.lit(shards)).alias("shard"), "key", "ids"), RATE * (1 - 0.95 * k / rounds), None)
@@ -392,6 +401,7 @@ def score_texts(
     parts = sc.broadcast((keys, counts, vocab, scale))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         speller = _live(f"{run}:speller", lambda: _Speller(Subwords(held.value), *parts.value))
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)

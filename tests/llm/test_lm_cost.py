@@ -110,3 +110,52 @@ def test_steps_give_the_losses_of_plain_adam():
             second[k] += 0.01 * (g * g - second[k])
             plain.p[k] = plain.p[k] - 0.01 * (first[k] / (1 - 0.9**i)) / (np.sqrt(second[k] / (1 - 0.99**i)) + 1e-8)
     assert np.allclose(model.weights(), plain.weights(), atol=2e-3)
+
+
+def test_cheap_exponentials_are_near_and_shares_add_up_to_one(monkeypatch):
+    """Training and scoring call numpy's exponential for no number in single precision; before, for all."""
+    x = np.linspace(-79, 69, 100_000, dtype=np.float32)
+    got = attention._exp(x.copy())
+    assert np.abs(got / np.exp(x.astype(np.float64)) - 1).max() < 0.031 and (np.diff(got) >= 0).all()
+    assert np.isfinite(attention._exp(np.array([-1e9, 1e9], dtype=np.float32))).all() and (attention._exp(np.array([-1e9], dtype=np.float32)) > 0).all()
+    counts = np.zeros(300)
+    counts[:90] = np.arange(90, 0, -1)
+    vocabulary = attention.Vocabulary(counts, 10)
+    model = attention.Attention(vocabulary)
+    calls = []
+    monkeypatch.setattr(attention.np, "exp", lambda *a, **k: calls.append(a))
+    r = np.random.default_rng(0)
+    model.train_once(r.integers(2, 90, 2000), np.array([0, 900, 2000]), 0.01, 16)
+    model.freeze()
+    x, y, before, _ = attention.blocks_of(r.integers(2, 90, 40), np.array([0, 40]))
+    total = sum(np.float64(np.e) ** model.log_probs(x, np.where(y < 0, -1, v), before).astype(np.float64) for v in range(vocabulary.size))
+    assert np.allclose(total[y >= 0], 1, atol=1e-3) and not calls
+
+
+def test_steps_grow_with_the_text(monkeypatch):
+    """Of more text, a round's average takes as many steps, of more blocks; every block is taken once. Before, steps stayed as small."""
+    size = 8 * lm_scoring.ROUNDS * lm_scoring.SHARD_TOKENS
+    assert [lm_scoring._growth(n) for n in (0, size - 1, size, 3 * size, 100 * size)] == [1, 1, 1, 3, lm_scoring.GROWN]
+    counts = np.zeros(300)
+    counts[:90] = np.arange(90, 0, -1)
+    model, seen = attention.Attention(attention.Vocabulary(counts, 10)), []
+    monkeypatch.setattr(model, "_descend", lambda x, y, before, picks, rates: seen.append(picks))
+    tokens, bounds = np.random.default_rng(1).integers(2, 90, 9000), np.array([0, 9000])
+    for grown in (1, 2):
+        model.train_once(np.tile(tokens, grown), np.append(bounds, [] if grown == 1 else 18000).astype(np.int64), 0.01, 192 * grown)
+    blocks = len(attention.blocks_of(tokens, bounds)[0]) - 1
+    assert len(seen[0]) == len(seen[1])
+    for picks, grown in zip(seen, (1, 2)):
+        assert sorted(np.concatenate(picks).tolist()) == list(range(1, grown * blocks + 1))
+
+
+def test_trainers_get_the_larger_steps(spark, monkeypatch):
+    """The batch that shards are trained with, where the text is large for its settings."""
+    got = []
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 8)
+    make = lm_scoring._trainer
+    monkeypatch.setattr(lm_scoring, "_trainer", lambda shared, rate, steps, batch: got.append(batch) or make(shared, rate, steps, batch))
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 50}" for j in range(60))) for i in range(40)], "doc_id long, text string")
+    rows = lm_scoring.score_texts(docs, F.col("doc_id") % 5 == 1, steps=3, frequent=10).collect()
+    assert len(rows) == 40 and all(np.isfinite(r.score) for r in rows)
+    assert set(got) == {lm_scoring.BATCH * lm_scoring.GROWN}
