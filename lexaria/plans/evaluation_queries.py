@@ -7,7 +7,7 @@ value = metric), ``lineitem`` holds ratings (order = unit, line = rater),
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexaria.functions.batches import dealt_for_fit
@@ -33,6 +33,21 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("system", "passage").agg(_mean("value").alias("value"), F.count("*").alias("n"))
 
 
+def letter_share() -> Column:
+    """Share of a text's characters that are letters or spaces; of an empty text NaN, as in SQL, where Spark's 0 / 0 is an error."""
+    n = F.length("text")
+    return F.coalesce(ev.divide(F.length(F.regexp_replace("text", r"[^\p{L} ]", "")), n), F.when(n == 0, F.lit(float("nan"))))
+
+
+def text_features() -> dict[str, Column]:
+    """Length, share of letters and sentences a character of a text; 0 each where it is empty or null, so every text has them."""
+    n = F.length("text")
+    return {
+        "f": F.log1p(F.greatest(F.coalesce("n_chars", n), F.lit(0))), "g": F.nanvl(F.coalesce(letter_share(), F.lit(0.0)), F.lit(0.0)),
+        "h": F.coalesce(ev.divide(F.size(F.split("text", r"[.!?]")), n), F.lit(0.0))
+    }
+
+
 def _scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold labels with a score: the share of the text's characters that are letters or spaces, in hundredths."""
     d = read(spark, sf_dir, "documents").select(

@@ -98,20 +98,16 @@ def bio_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select(
-        "doc_id", "source", F.log1p("n_chars").alias("f"),
-        (F.length(F.regexp_replace("text", r"[^\p{L} ]", "")) / F.length("text").cast("double")).alias("g"),
-        (F.size(F.split("text", r"[.!?]")) / F.length("text").cast("double")).alias("h")
-    )
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", *(c.alias(k) for k, c in eq.text_features().items()))
     labels = read(spark, sf_dir, "labels")
-    x = labels.join(d, "doc_id").withColumn("y", F.col("quality").cast("double")).withColumn("fold", (F.crc32("source") % FOLDS).cast("int"))
+    x = labels.join(d, "doc_id").withColumn("y", F.col("quality").cast("double")).withColumn("fold", (F.crc32(F.coalesce("source", F.lit(""))) % FOLDS).cast("int"))
     return dealt_for_fit(x, "doc_id", labels.count())
 
 
-def _assembled(rows: DataFrame, columns: list[str], out: str) -> DataFrame:
+def _assembled(rows: DataFrame, columns: list[str], out: str, invalid: str = "skip") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
-    return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="skip").transform(rows)
+    return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid=invalid).transform(rows)
 
 
 def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +136,7 @@ def boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.functions import vector_to_array
 
-    x = _assembled(_features(spark, sf_dir), ["f", "g", "h"], "x").cache()
+    x = _assembled(_features(spark, sf_dir), ["f", "g", "h"], "x", "error").cache()
     train, test = x.filter("fold <> 0"), x.filter("fold = 0")
     p = lambda df, name: df.withColumn(name, vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
     out = p(GBTClassifier(featuresCol="x", labelCol="y", maxIter=10, maxDepth=3, seed=7).fit(train).transform(test), "boosted")
