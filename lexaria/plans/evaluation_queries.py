@@ -39,6 +39,11 @@ def letter_share() -> Column:
     return F.coalesce(ev.divide(F.length(F.regexp_replace("text", r"[^\p{L} ]", "")), n), F.when(n == 0, F.lit(float("nan"))))
 
 
+def floored(x: Column, parts: int) -> Column:
+    """The number rounded down to a part of one; NaN stays, of which Spark's floor makes 0."""
+    return F.when(F.isnan(x), x).otherwise(F.floor(x * parts) / float(parts))
+
+
 def text_features() -> dict[str, Column]:
     """Length, share of letters and sentences a character of a text; 0 each where it is empty or null, so every text has them."""
     n = F.length("text")
@@ -50,10 +55,8 @@ def text_features() -> dict[str, Column]:
 
 def _scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold labels with a score: the share of the text's characters that are letters or spaces, in hundredths."""
-    d = read(spark, sf_dir, "documents").select(
-        "doc_id", "lang", (F.length(F.regexp_replace("text", r"[^\p{L} ]", "")) / F.length("text").cast("double")).alias("s")
-    )
-    return read(spark, sf_dir, "labels").join(d, "doc_id").withColumn("score", F.floor(F.col("s") * 100) / 100.0)
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", letter_share().alias("s"))
+    return read(spark, sf_dir, "labels").join(d, "doc_id").withColumn("score", floored(F.col("s"), 100))
 
 
 def system_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +155,7 @@ def wilson_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = F.floor(F.col("score") * 10) / 10.0
+    b = floored(F.col("score"), 10)
     return _scored_labels(spark, sf_dir).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("share"))
 
 

@@ -160,9 +160,7 @@ def _banded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weighted_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision and recall of 'band 2 or more means quality', weighted so that each band counts as it does among all documents."""
-    d = read(spark, sf_dir, "documents").select(
-        (F.length(F.regexp_replace("text", r"[^\p{L} ]", "")) / F.length("text").cast("double")).alias("s")
-    ).withColumn("score", F.floor(F.col("s") * 100) / 100.0)
+    d = read(spark, sf_dir, "documents").select(eq.letter_share().alias("s")).withColumn("score", eq.floored(F.col("s"), 100))
     pop = d.groupBy(
         F.when(F.col("score") >= 0.95, 3).when(F.col("score") >= 0.9, 2).when(F.col("score") >= 0.8, 1).otherwise(0).alias("band")
     ).agg(F.count("*").cast("double").alias("n_all"))

@@ -136,9 +136,10 @@ def calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id"
     ).withColumn("kind", F.when(F.col("n_chars") < 1000, "short").otherwise("long"))
     by = ["lang", "kind"]
-    cells = x.groupBy(*by, "score").agg(F.count("*").alias("k"), F.sum("quality").cast("long").alias("p"))
-    ranked = cells.join(ev.average_ranks_weighted(cells, "score", by), [*by, "score"])
-    s = ranked.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum(F.col("k") - F.col("p")).alias("n_neg"), F.sum(F.col("rank_score") * F.col("p")).alias("r"))
+    cells = x.groupBy(*by, "score").agg(F.count("*").alias("k"), F.sum("quality").cast("long").alias("p"), F.sum(1 - F.col("quality")).cast("long").alias("q"))
+    before = F.sum("k").over(Window.partitionBy(*by).orderBy(F.asc_nulls_last("score")).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = cells.withColumn("rank_score", F.coalesce(before, F.lit(0)) + (F.col("k") + 1) / F.lit(2.0))
+    s = ranked.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("rank_score") * F.col("p")).alias("r"))
     return s.select(
         *by, "n_pos", "n_neg",
         F.round(ev.divide(F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0, F.col("n_pos") * F.col("n_neg")), 9).alias("auc")

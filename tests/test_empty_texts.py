@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from lexaria.plans import catalog
+from tests.oracle import same
 
 TEXTS = ["", *(f"Words {'and more of them ' * (i % 7)}{'1;2; ' * (i % 5)}end. {i}" for i in range(60)), "", None, "no language here"]
 SOURCES = [*(f"source {i % 20}" for i in range(63)), None]
@@ -33,3 +34,9 @@ def test_boosted_quality_of_empty_texts(spark, folder, labelled):
     ids = range(len(TEXTS)) if labelled == "all" else range(1, 61)
     assert sorted(r.doc_id for r in got) == [i for i in ids if crc32((SOURCES[i] or "").encode()) % 5 == 0] != []
     assert all(0 <= p <= 1 for r in got for p in (r.boosted, r.logistic))
+
+
+@pytest.mark.parametrize("labelled", ["some", "all"])
+@pytest.mark.parametrize("name", ["calibration_report", "calibration_bins", "weighted_precision", "band_means", "youden_threshold"])
+def test_scores_of_empty_texts_are_those_of_sql(spark, folder, name, labelled):
+    same(spark, catalog.QUERIES[name], catalog.ORACLES[name], f"{folder}/{labelled}")
