@@ -303,14 +303,11 @@ def logistic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    d = read(spark, sf_dir, "documents").select(
-        "doc_id", F.log1p("n_chars").alias("f"), (F.length(F.regexp_replace("text", r"[^\p{L} ]", "")) / F.length("text").cast("double")).alias("g"),
-        (F.size(F.split("text", r"[.!?]")) / F.length("text").cast("double")).alias("h")
-    )
+    d = read(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in text_features().items()))
     labels = read(spark, sf_dir, "labels")
-    x = VectorAssembler(inputCols=["f", "g", "h"], outputCol="raw", handleInvalid="skip").transform(
+    x = VectorAssembler(inputCols=["f", "g", "h"], outputCol="raw").transform(
         dealt_for_fit(labels.join(d, "doc_id").withColumn("y", F.col("quality").cast("double")), "doc_id", labels.count())
-    )
+    ).cache()
     train, test = x.filter("doc_id % 5 <> 0"), x.filter("doc_id % 5 = 0")
     scale = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(train)
     model = LogisticRegression(featuresCol="x", labelCol="y", regParam=0.01, maxIter=30).fit(scale.transform(train))

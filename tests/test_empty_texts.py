@@ -40,3 +40,9 @@ def test_boosted_quality_of_empty_texts(spark, folder, labelled):
 @pytest.mark.parametrize("name", ["calibration_report", "calibration_bins", "weighted_precision", "band_means", "youden_threshold"])
 def test_scores_of_empty_texts_are_those_of_sql(spark, folder, name, labelled):
     same(spark, catalog.QUERIES[name], catalog.ORACLES[name], f"{folder}/{labelled}")
+
+
+@pytest.mark.parametrize("labelled", ["some", "all"])
+def test_logistic_quality_judges_every_labelled_text(spark, folder, labelled):
+    got = {r.doc_id for r in catalog.QUERIES["logistic_quality"](spark, f"{folder}/{labelled}").collect()}
+    assert got == {i for i in (range(len(TEXTS)) if labelled == "all" else range(1, 61)) if i % 5 == 0}
