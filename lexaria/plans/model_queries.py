@@ -117,7 +117,7 @@ def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import vector_to_array
 
-    x = _assembled(_features(spark, sf_dir), ["f", "g", "h"], "raw").cache()
+    x = _assembled(_features(spark, sf_dir), ["f", "g", "h"], "raw", "error").cache()
     out = None
     for k in range(FOLDS):
         train = x.filter(F.col("fold") != k)

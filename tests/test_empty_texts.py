@@ -46,3 +46,9 @@ def test_scores_of_empty_texts_are_those_of_sql(spark, folder, name, labelled):
 def test_logistic_quality_judges_every_labelled_text(spark, folder, labelled):
     got = {r.doc_id for r in catalog.QUERIES["logistic_quality"](spark, f"{folder}/{labelled}").collect()}
     assert got == {i for i in (range(len(TEXTS)) if labelled == "all" else range(1, 61)) if i % 5 == 0}
+
+
+@pytest.mark.parametrize("labelled", ["some", "all"])
+def test_out_of_fold_has_every_labelled_text(spark, folder, labelled):
+    got = [r.doc_id for r in catalog.QUERIES["out_of_fold"](spark, f"{folder}/{labelled}").collect()]
+    assert sorted(got) == list(range(len(TEXTS)) if labelled == "all" else range(1, 61))
